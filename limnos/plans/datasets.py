@@ -18,3 +18,11 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return labels.add_predictions(labelled(spark, sf))
+
+
+def stations(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct stations of the feed with their attributes."""
+    from pyspark.sql import functions as F
+    from ..sources.tables import table
+    ids = table(spark, sf, "events").select(F.col("user_id").alias("station_id")).distinct()
+    return bindings.station_dim(spark, sf, ids)
