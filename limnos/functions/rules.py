@@ -259,3 +259,17 @@ def prediction_note(n) -> Column:
     return (F.when(n == 3, F.lit("High confidence: DO, BOD, and pH are available."))
             .when(n == 2, F.lit("Medium confidence: one core parameter is missing."))
             .otherwise(F.lit("Low confidence: two or more core parameters are missing.")))
+
+
+def fmt2(x) -> Column:
+    """Two-decimal text through integer arithmetic: floor(|x|*100 + 0.5).
+
+    Engine-independent (no decimal-vs-binary tie rules); used wherever a
+    number is rendered into explanation text.
+    """
+    x = _c(x)
+    n = F.floor(F.abs(x) * 100.0 + 0.5)
+    body = F.concat((n / 100).cast("bigint").cast("string"), F.lit("."),
+                    F.lpad((n % 100).cast("string"), 2, "0"))
+    return F.when(x.isNull(), F.lit(None).cast("string")).when(
+        (x < 0) & (n > 0), F.concat(F.lit("-"), body)).otherwise(body)

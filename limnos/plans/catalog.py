@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-_QUERY_MODULES = ["queries_labels", "queries_cleaning"]
-_ORACLE_MODULES = ["labels_sql", "cleaning_sql"]
+_QUERY_MODULES = ["queries_labels", "queries_cleaning", "queries_monitoring"]
+_ORACLE_MODULES = ["labels_sql", "cleaning_sql", "monitoring_sql"]
 
 
 def all_queries() -> dict:
