@@ -273,3 +273,21 @@ def fmt2(x) -> Column:
                     F.lpad((n % 100).cast("string"), 2, "0"))
     return F.when(x.isNull(), F.lit(None).cast("string")).when(
         (x < 0) & (n > 0), F.concat(F.lit("-"), body)).otherwise(body)
+
+
+def fmt_short(x, places: int = 4) -> Column:
+    """Shortest text of a value with at most ``places`` decimals ('9.8', '10.0', '0.0002')."""
+    x = _c(x)
+    s = 10 ** places
+    n = F.floor(F.abs(x) * float(s) + 0.5)
+    frac = F.regexp_replace(F.lpad((n % s).cast("string"), places, "0"), "0+$", "")
+    body = F.concat((n / s).cast("bigint").cast("string"), F.lit("."),
+                    F.when(frac == "", F.lit("0")).otherwise(frac))
+    return F.when(x.isNull(), F.lit(None).cast("string")).when(
+        (x < 0) & (n > 0), F.concat(F.lit("-"), body)).otherwise(body)
+
+
+def fmt1(x) -> Column:
+    """One-decimal text through integer arithmetic (non-negative inputs)."""
+    n = F.floor(_c(x) * 10.0 + 0.5)
+    return F.concat((n / 10).cast("bigint").cast("string"), F.lit("."), (n % 10).cast("string"))

@@ -186,3 +186,51 @@ def annual_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.max("l_discount").alias("discount_max"),
                  F.min("l_tax").alias("tax_min"),
                  F.max("l_tax").alias("tax_max")))
+
+
+# ---------------------------------------------------------------------------
+# Live sensor feed binding (DM8): one JSON-like reading object per event.
+# ---------------------------------------------------------------------------
+
+# FIXED VALUES: raw sensor parameter names of the live binding
+LIVE_RAW_NAMES = [("error", "Dissolved Oxygen"), ("click", "BOD"), ("view", "pH"),
+                  ("purchase", "Temp"), ("signup", "EC")]
+LIVE_UNITS = [("error", "mg/L"), ("click", "mg/L"), ("view", "pH"), ("purchase", "degC"),
+              ("signup", "uS/cm")]
+
+
+def _by_type(event_type: Column, pairs) -> Column:
+    expr = F.lit(pairs[-1][1])
+    for ev, v in reversed(pairs[:-1]):
+        expr = F.when(event_type == ev, F.lit(v)).otherwise(expr)
+    return expr
+
+
+def live_reading_value(event_type: Column, v: Column) -> Column:
+    """Calibrated live reading; every branch has at most 4 decimals (exact printing)."""
+    return (F.when(event_type == "error", v / 50.0)
+            .when(event_type == "click", v / 20.0)
+            .when(event_type == "view", F.lit(6.0) + v / 100.0)
+            .when(event_type == "purchase", v / 10.0)
+            .otherwise(v * 10.0))
+
+
+def live_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw live feed: station metadata + raw parameter name + value text per reading."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    dim = station_dim(spark, sf_dir, ev.select(F.col("user_id").alias("station_id")).distinct())
+    et, eid = F.col("event_type"), F.col("event_id")
+    raw_name = (F.when(eid % 13 == 0, F.lit("Chlorophyll"))
+                .when(eid % 17 == 0, F.lit(None).cast("string"))
+                .otherwise(_by_type(et, LIVE_RAW_NAMES)))
+    text = (F.when(eid % 19 == 0, F.lit("NA"))
+            .otherwise(live_reading_value(et, F.col("value")).cast("decimal(12,4)").cast("string")))
+    sid = F.col("user_id")
+    return ev.join(dim, ev["user_id"] == dim["station_id"], "left").select(
+        "event_id", "station_id",
+        F.concat(F.lit("ST"), F.lpad(sid.cast("string"), 4, "0")).alias("station_no"),
+        "station_name", F.col("state_name").alias("state"),
+        (F.lit(8.0) + F.pmod(sid, F.lit(29)) * 0.5).alias("latitude"),
+        (F.lit(68.0) + F.pmod(sid * 7, F.lit(31)) * 0.5).alias("longitude"),
+        raw_name.alias("parameter_raw_name"), F.col("ts").alias("timestamp"),
+        text.alias("value"), _by_type(et, LIVE_UNITS).alias("unit"))
