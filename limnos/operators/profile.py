@@ -31,7 +31,7 @@ def exact_mean(c):
     row order and lands on either side of a rounding tie.  The decimal sum is
     exact, so every engine and every partitioning gives the same double.
     """
-    return F.sum(F.col(c).cast("decimal(38,9)")).cast("double") / F.count(c)
+    return F.try_divide(F.sum(F.col(c).cast("decimal(38,9)")).cast("double"), F.count(c))
 
 
 def pct(num, den):
@@ -145,15 +145,22 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     lo = df.select(F.min(col)).scalar()      # scalar subqueries, evaluated once
     hi = df.select(F.max(col)).scalar()
     v = F.col(col)
-    b = F.least(F.floor((v - lo) / (hi - lo) * bins) + 1, F.lit(bins))
+    b = F.least(F.floor(F.try_divide(v - lo, hi - lo) * bins) + 1, F.lit(bins))
     return (df.where(v.isNotNull()).groupBy(b.cast("int").alias("bin")).agg(_n().alias("count"))
             .select("bin", (lo + (F.col("bin") - 1) * (hi - lo) / bins).alias("bin_start"), "count"))
 
 
+def safe_corr(a: str, b: str):
+    """Pearson r over pairwise-complete rows; NULL (not an ANSI error) on zero variance."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def pearson(df: DataFrame, cols) -> DataFrame:
     """agg_pearson: every pair's correlation in one aggregate, long format."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    wide = df.agg(*[safe_corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"{a}__{b}").alias("corr"))
         for a, b in pairs])).alias("p")).select("p.*")

@@ -39,6 +39,12 @@ def _nonnull_long(keys: str = "") -> str:
         for p in PARAMS)
 
 
+def corr_sql(a: str, b: str, t: str) -> str:
+    x = f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {a} END"
+    y = f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {b} END"
+    return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
+
+
 def _pairs(cols):
     return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
 
@@ -217,18 +223,18 @@ SELECT available_compliance_label, parameter, round(min(v), 6) AS min, round(qua
 FROM long GROUP BY ALL""",
     "agg_histogram": WITH_BASE + """
 , mm AS (SELECT min(ph) AS lo, max(ph) AS hi FROM labelled_risk)
-SELECT CAST(least(floor((ph - lo) / (hi - lo) * 20) + 1, 20) AS INTEGER) AS bin,
+SELECT CAST(least(floor((ph - lo) / nullif(hi - lo, 0) * 20) + 1, 20) AS INTEGER) AS bin,
   round(lo + (least(floor((ph - lo) / (hi - lo) * 20) + 1, 20) - 1) * (hi - lo) / 20, 6) AS bin_start,
   count(*) AS count
 FROM labelled_risk, mm WHERE ph IS NOT NULL GROUP BY ALL""",
     "agg_pearson": SAFE + " UNION ALL ".join(
-        f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS corr FROM safe" for a, b in _pairs(PEARSON_COLS)),
+        f"SELECT '{a}' AS x, '{b}' AS y, round({corr_sql(a, b, 'safe')}, 6) AS corr FROM safe" for a, b in _pairs(PEARSON_COLS)),
     "agg_spearman": WITH_BASE + """
 , base AS (SELECT * FROM labelled_risk WHERE dissolved_oxygen IS NOT NULL AND bod IS NOT NULL AND ph IS NOT NULL)
 , rk AS (SELECT """ + ", ".join(
         f"rank() OVER (ORDER BY {p}) + (count(*) OVER (PARTITION BY {p}) - 1) / 2.0e0 AS {p}"
         for p in ["dissolved_oxygen", "bod", "ph"]) + """ FROM base)
-""" + " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS corr FROM rk"
+""" + " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round({corr_sql(a, b, 'rk')}, 6) AS corr FROM rk"
                          for a, b in _pairs(["dissolved_oxygen", "bod", "ph"])),
     "agg_violation_counts": WITH_BASE + """
 SELECT count_if(dissolved_oxygen < 5) AS do_violations, count_if(bod > 3) AS bod_violations,
