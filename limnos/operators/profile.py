@@ -186,3 +186,18 @@ def spearman(df: DataFrame, cols, key: str) -> DataFrame:
     for c in cols:
         ranked = ranked.join(average_ranks(base, c, key), key)
     return pearson(ranked.select(*[F.col(f"{c}_rank").alias(c) for c in cols]), cols)
+
+
+def baseline(df: DataFrame, params=PARAMS, top_k: int = 50) -> DataFrame:
+    """agg_baseline: top-k rivers by rows, long values, count/mean/median/std/min/max per (state, river, parameter).
+
+    The top-k river list is bounded (k rows) and broadcast for the semi join.
+    """
+    top = (df.groupBy("river_name").agg(_n().alias("_n"))
+           .orderBy(F.col("_n").desc(), "river_name").limit(top_k).select("river_name"))
+    kept = df.join(F.broadcast(top), "river_name", "left_semi")
+    long = kept.unpivot(["state_name", "river_name"], list(params), "parameter", "value") \
+        .where(F.col("value").isNotNull())
+    return long.groupBy("state_name", "river_name", "parameter").agg(
+        _n().alias("count"), exact_mean("value").alias("mean"), F.median("value").alias("median"),
+        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import monitoring as M
@@ -130,9 +129,9 @@ def alr_sort(spark, sf):
 def jn_first_match(spark, sf):
     pred = D.predictions(spark, sf)
     top = M.top_hotspots(M.hotspot_summary(pred), 20).select("station_name", "hotspot_status")
-    w = Window.partitionBy("station_name").orderBy("sampling_date")
+    # first sample per station with min_by (constant memory per station, no per-station sort)
+    cols = ["sampling_date", "available_compliance_label", "violation_reasons", "risk_score", "risk_category"]
     first = (pred.join(F.broadcast(top.select("station_name")), "station_name", "left_semi")
-             .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1))
-    return rounded(top.join(first, "station_name").select(
-        "station_name", "hotspot_status", "sampling_date", "available_compliance_label",
-        "violation_reasons", "risk_score", "risk_category"))
+             .groupBy("station_name").agg(F.min_by(F.struct(*cols), "sampling_date").alias("_f"))
+             .select("station_name", "_f.*"))
+    return rounded(top.join(first, "station_name").select("station_name", "hotspot_status", *cols))

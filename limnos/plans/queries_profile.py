@@ -104,15 +104,7 @@ def agg_best_params(spark, sf):
 
 @q
 def agg_baseline(spark, sf):
-    l = _l(spark, sf)
-    top = (l.groupBy("river_name").agg(F.count(F.lit(1)).alias("_n"))
-           .orderBy(F.col("_n").desc(), "river_name").limit(50).select("river_name"))
-    # top-k is bounded (50 rows): a proven-size broadcast for the semi join
-    kept = l.join(F.broadcast(top), "river_name", "left_semi")
-    long = kept.unpivot(["state_name", "river_name"], P.PARAMS, "parameter", "value").where(F.col("value").isNotNull())
-    return rounded(long.groupBy("state_name", "river_name", "parameter").agg(
-        F.count(F.lit(1)).alias("count"), P.exact_mean("value").alias("mean"), F.median("value").alias("median"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")))
+    return rounded(P.baseline(_l(spark, sf), P.PARAMS, 50))
 
 
 @q
