@@ -234,3 +234,65 @@ def live_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(68.0) + F.pmod(sid * 7, F.lit(31)) * 0.5).alias("longitude"),
         raw_name.alias("parameter_raw_name"), F.col("ts").alias("timestamp"),
         text.alias("value"), _by_type(et, LIVE_UNITS).alias("unit"))
+
+
+# ---------------------------------------------------------------------------
+# Raw upload binding (DM1): a wide, all-string sheet with field-sheet headers.
+# ---------------------------------------------------------------------------
+
+RAW_COLUMNS = ["source_file", "Station Name", "Monitoring Location", "Name of Water Body", "Date",
+               "DO (mg/L)", "Dissolved Oxygen Min", "Dissolved Oxygen Normalized", "BOD (mg/L)",
+               "pH Value", "PH-Value", "Temperature (C)", "Electric Conductivity (umho/cm)", "Class"]
+
+
+def raw_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw sheet row per station and day; every value is text as typed in the field."""
+    d = dirty_readings(spark, sf_dir)
+    p, v = F.col("parameter"), F.col("raw_value")
+
+    def pick(param, agg=F.min):
+        return agg(F.when(p == param, v))
+    g = d.groupBy("station_id", F.to_date("ts").alias("sampling_date")).agg(
+        pick("dissolved_oxygen").alias("DO (mg/L)"),
+        pick("dissolved_oxygen", F.max).alias("_do_max"),
+        pick("bod").alias("BOD (mg/L)"),
+        pick("ph").alias("pH Value"),
+        pick("ph", F.max).alias("PH-Value"),
+        pick("temperature").alias("Temperature (C)"),
+        pick("conductivity").alias("Electric Conductivity (umho/cm)"))
+    dim = station_dim(spark, sf_dir, g.select("station_id").distinct())
+    sid = F.col("station_id")
+    m = month_no(F.col("sampling_date"))
+    return g.join(dim, "station_id", "left").select(
+        F.concat(F.lit("upload_"), F.lower(cycle_name(m)), F.lit(".csv")).alias("source_file"),
+        "station_id",
+        F.when(sid % 5 != 0, F.col("station_name")).alias("Station Name"),
+        F.when(sid % 3 == 0, F.col("station_name")).alias("Monitoring Location"),
+        F.when(sid % 7 != 0, F.col("river_name")).alias("Name of Water Body"),
+        F.date_format("sampling_date", "dd-MM-yyyy").alias("Date"),
+        "DO (mg/L)",
+        F.when(F.col("DO (mg/L)").isNull(), F.col("_do_max")).alias("Dissolved Oxygen Min"),
+        F.col("_do_max").alias("Dissolved Oxygen Normalized"),
+        "BOD (mg/L)", "pH Value", "PH-Value", "Temperature (C)", "Electric Conductivity (umho/cm)",
+        F.element_at(F.array(*[F.lit(x) for x in ["A", "B", "C", "D", "E"]]),
+                     (F.pmod(sid, F.lit(5)) + 1).cast("int")).alias("Class"))
+
+
+def annual_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annual min/max records with the supplier's basin (region) for group imputation."""
+    a = annual_records(spark, sf_dir)
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    geo = (supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+           .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+           .select(F.col("s_suppkey").alias("station_code"), F.col("r_name").alias("river_basin")))
+    # gaps to impute: every 7th supplier lost its price range, every 5th year-row its tax range
+    out = a.join(geo, "station_code", "left")
+    return out.select(
+        "station_code", "year", "river_basin", "quantity_min", "quantity_max",
+        F.when(F.col("station_code") % 7 != 0, F.col("price_min")).alias("price_min"),
+        F.when(F.col("station_code") % 7 != 0, F.col("price_max")).alias("price_max"),
+        "discount_min", "discount_max",
+        F.when((F.col("station_code") + F.col("year")) % 5 != 0, F.col("tax_min")).alias("tax_min"),
+        F.when((F.col("station_code") + F.col("year")) % 5 != 0, F.col("tax_max")).alias("tax_max"))
