@@ -166,16 +166,36 @@ def pearson(df: DataFrame, cols) -> DataFrame:
         for a, b in pairs])).alias("p")).select("p.*")
 
 
-def average_ranks(df: DataFrame, col: str, key: str) -> DataFrame:
-    """Average (tie-corrected) rank of each row's value.
+def rank_table(df: DataFrame, col: str, buckets: int = 256, sums=()) -> DataFrame:
+    """Exact average (tie-corrected) rank of every DISTINCT value of ``col`` without a global window.
 
-    Ranks are computed over the DISTINCT values (value -> count, then a running
-    sum), so the ordered window holds one row per distinct value, not per row;
-    the result is joined back to the rows on the value.
+    Values are range-bucketed by approximate quantile splits (a bounded sketch); a
+    value always lands in one bucket, so ties never straddle buckets and the ranks
+    stay exact.  Ranks inside a bucket come from a window partitioned by bucket;
+    bucket offsets from a running sum over <= ``buckets`` rows.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(_n().alias("_c"))
-    w = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.select(col, (F.sum("_c").over(w) - (F.col("_c") - 1) / 2.0).alias(f"{col}_rank"))
+    v = F.col(col)
+    counts = df.where(v.isNotNull()).groupBy(col).agg(
+        _n().alias("_c"), *[F.sum(x).alias(f"_s_{x}") for x in sums])
+    from pyspark.ml.feature import QuantileDiscretizer
+    # approximate quantile splits over the distinct values (a bounded sketch), then a
+    # binary-search Bucketizer: equal values always get the same bucket
+    disc = QuantileDiscretizer(numBuckets=buckets, inputCol=col, outputCol="_bk", relativeError=0.001,
+                               handleInvalid="keep").fit(counts.select(F.col(col).cast("double").alias(col)))
+    c2 = disc.transform(counts.withColumn(col, F.col(col).cast("double")))
+    off = (c2.groupBy("_bk").agg(F.sum("_c").alias("_bt"))
+           .select("_bk", F.coalesce(F.sum("_bt").over(
+               Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off")))
+    w = Window.partitionBy("_bk").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    # offsets: one row per bucket (bounded) -> broadcast
+    return (c2.join(F.broadcast(off), "_bk")
+            .withColumn("_rank", F.col("_off") + F.sum("_c").over(w) - (F.col("_c") - 1) / 2.0)
+            .drop("_bk", "_off"))
+
+
+def average_ranks(df: DataFrame, col: str, key: str) -> DataFrame:
+    """Average rank of each row's value (joined back from the distinct-value rank table)."""
+    ranks = rank_table(df, col).select(col, F.col("_rank").alias(f"{col}_rank"))
     return df.select(key, col).join(ranks, col, "left").select(key, f"{col}_rank")
 
 
