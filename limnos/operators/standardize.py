@@ -202,3 +202,33 @@ def standardize(raw: DataFrame) -> DataFrame:
     """Full standardisation: coalesce, numeric cleaning, river repair."""
     std = clean_numeric(standardize_columns(raw, keep=("source_file", "station_id")))
     return std.select("*", *T.fix_river("river_name", "station_name"))
+
+
+# FIXED VALUES: false-positive mapping checks (canonical evidence column vs forbidden originals)
+FALSE_POSITIVE_CHECKS = [
+    ("sulphate_not_ph", "ph", ["sulphate", "sulfate"]),
+    ("phosphate_not_ph", "ph", ["phosphate", "total_phosphorus"]),
+    ("odour_not_do", "dissolved_oxygen", ["odour", "odor"]),
+    ("water_body_not_bod", "bod", ["water_body", "name_of_water_body", "body"]),
+]
+
+
+def false_positive_audit(audit: DataFrame, standardized_columns) -> DataFrame:
+    """Pass / Fail per mapping rule from the audit table (one aggregate per rule over a small table)."""
+    rows = []
+    for name, evidence, bad in FALSE_POSITIVE_CHECKS:
+        bad_maps = audit.where((F.col("canonical_column") == evidence) &
+                               F.lower("original_column").isin(*bad))
+        n = bad_maps.select(F.countDistinct("original_column")).scalar()
+        cols = bad_maps.select(F.array_join(F.array_sort(F.collect_set("original_column")), ", ")).scalar()
+        rows.append(F.struct(F.lit(name).alias("test_name"),
+                             F.when(n == 0, "Pass").otherwise("Fail").alias("pass_fail"),
+                             F.when(n == 0, F.lit("No false positives detected"))
+                             .otherwise(F.concat(F.lit("Found false positives: "), n.cast("string"))).alias("evidence"),
+                             F.when(n == 0, F.lit("None")).otherwise(cols).alias("affected_columns_if_any")))
+    used = "class" in standardized_columns
+    rows.append(F.struct(F.lit("use_based_class_not_target").alias("test_name"),
+                         F.lit("Fail" if used else "Pass").alias("pass_fail"),
+                         F.lit("class not found or use_based_class not treated as ML target").alias("evidence"),
+                         F.lit("use_based_class" if used else "None").alias("affected_columns_if_any")))
+    return audit.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")

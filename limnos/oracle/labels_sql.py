@@ -16,3 +16,9 @@ FROM labelled_risk""",
     "rsk_score": WITH_BASE + """
 SELECT station_id, sampling_date, risk_score, risk_category, risk_confidence FROM labelled_risk""",
 }
+
+SQL["rsk_category"] = WITH_BASE + """
+SELECT station_id, sampling_date, risk_score,
+  CASE WHEN risk_score IS NULL THEN 'Unknown' WHEN risk_score <= 25 THEN 'Low Risk' WHEN risk_score <= 50 THEN 'Moderate Risk'
+    WHEN risk_score <= 75 THEN 'High Risk' ELSE 'Severe Risk' END AS risk_band
+FROM labelled_risk"""

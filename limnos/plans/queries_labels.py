@@ -33,3 +33,10 @@ def lbl_compliance(spark, sf):
 def rsk_score(spark, sf):
     return D.labelled(spark, sf).select(
         "station_id", "sampling_date", "risk_score", "risk_category", "risk_confidence")
+
+
+@q
+def rsk_category(spark, sf):
+    from ..functions import rules as R2
+    return D.labelled(spark, sf).select("station_id", "sampling_date", "risk_score",
+                                        R2.risk_category("risk_score").alias("risk_band"))

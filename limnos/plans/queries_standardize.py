@@ -99,3 +99,10 @@ def scl_zscore(spark, sf):
     sd = {c: m.select(F.stddev_pop(c)).scalar() for c in cols}
     return rounded(m.select("station_code", "year", *[
         F.try_divide(F.col(c) - mu[c], sd[c]).alias(f"{c}_zscore") for c in cols]))
+
+
+@q
+def std_mapping_checks(spark, sf):
+    raw = B.raw_uploads(spark, sf)
+    audit = S.alias_audit(raw, DATA_COLS)
+    return S.false_positive_audit(audit, S.standardize(raw).columns)
