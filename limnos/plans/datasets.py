@@ -1,19 +1,56 @@
-"""Shared derived datasets of the monitoring jobs (lazy, composable)."""
+"""Shared derived datasets of the monitoring jobs.
+
+The canonical sample table (DM2) and the live feed (DM8) are the hand-over
+points between stages of the jobs (E1 -> E2 -> E3).  They are written once per
+input location as parquet tables under the shared checkpoint folder
+(``spark.checkpoint.dir``) and read back by every downstream query: this cuts
+the lineage (a lost executor never forces a recompute from raw events),
+lets later filters prune by ``source_file`` partition, and keeps each query's
+plan to its own work.  The storage key includes a hash of the binding code,
+so a change to the binding derives a fresh table instead of reusing a stale one.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import labels
 from ..sources import bindings
+from ..sources import files as FS
+from ..sources.tables import table
+
+_CODE_KEY = hashlib.md5(inspect.getsource(bindings).encode()).hexdigest()[:10]
+
+
+def _tag(sf: str) -> str:
+    return re.sub(r"[^A-Za-z0-9.]+", "_", sf.strip("/"))
+
+
+def materialized(spark: SparkSession, sf: str, name: str, build, partition_by: str | None = None) -> DataFrame:
+    path = FS.scratch_path(spark, "tables", _tag(sf), f"{name}-{_CODE_KEY}")
+
+    def write(p):
+        w = build().write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(partition_by)
+        w.parquet(p)
+    FS.stage_once(spark, path, write)
+    return spark.read.parquet(path)
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
-    return bindings.samples(spark, sf)
+    """DM2 canonical samples (materialised, partitioned by source file)."""
+    df = materialized(spark, sf, "samples", lambda: bindings.samples(spark, sf), partition_by="source_file")
+    return df.select(*bindings.SAMPLE_COLUMNS)
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return labels.label_samples(bindings.samples(spark, sf))
+    return labels.label_samples(samples(spark, sf))
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,8 +58,14 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stations(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct stations of the feed with their attributes."""
-    from pyspark.sql import functions as F
-    from ..sources.tables import table
-    ids = table(spark, sf, "events").select(F.col("user_id").alias("station_id")).distinct()
-    return bindings.station_dim(spark, sf, ids)
+    """Distinct stations of the feed with their attributes (materialised dimension)."""
+    def build():
+        ids = table(spark, sf, "events").select(F.col("user_id").alias("station_id")).distinct()
+        return bindings.station_dim(spark, sf, ids)
+    return materialized(spark, sf, "stations", build)
+
+
+def live_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """DM8 raw live feed (materialised)."""
+    df = materialized(spark, sf, "live_feed", lambda: bindings.live_feed(spark, sf))
+    return df.select(*bindings.LIVE_COLUMNS)

@@ -17,7 +17,8 @@ def q(fn):
 
 
 def readings(spark, sf):
-    return LV.ingest(B.live_feed(spark, sf))
+    from . import datasets as D
+    return LV.ingest(D.live_feed(spark, sf))
 
 
 def as_of(df):

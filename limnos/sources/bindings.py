@@ -120,6 +120,12 @@ def station_dim(spark: SparkSession, sf_dir: str, station_ids: DataFrame) -> Dat
     )
 
 
+SAMPLE_COLUMNS = ["source_file", "station_id", "station_name", "river_name", "state_name", "basin",
+                  "sampling_date", "month_no", "month", "year", *SAMPLE_PARAMS, "n_readings"]
+LIVE_COLUMNS = ["event_id", "station_id", "station_no", "station_name", "state", "latitude", "longitude",
+                "parameter_raw_name", "timestamp", "value", "unit"]
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DM2 canonical samples with station metadata and the monitoring cycle."""
     core = daily_samples(spark, sf_dir)
