@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators import live as LV
-from ..sources import bindings as B
 
 Q = {}
 
