@@ -64,9 +64,12 @@ def live_wide(latest: DataFrame, params=K.LIVE_PARAMS) -> DataFrame:
 
 def live_state(readings: DataFrame) -> DataFrame:
     """jn_live_meta + core_conf: latest metadata LEFT JOIN latest values, season, availability."""
-    latest = latest_per_parameter(readings)
-    wide = live_wide(latest)
-    state = latest_station_meta(readings).join(wide, "station_id", "left")
+    return assemble_state(latest_per_parameter(readings), latest_station_meta(readings))
+
+
+def assemble_state(latest: DataFrame, meta: DataFrame) -> DataFrame:
+    """Live station state from per-parameter latest values and per-station metadata."""
+    state = meta.join(live_wide(latest), "station_id", "left")
     return state.select("*", DT.season_live("latest_timestamp").alias("season"), *core_conf_columns())
 
 

@@ -92,3 +92,10 @@ def st_alerts(spark, sf):
 def batch_alerts(spark, sf):
     r = LV.ingest(B.live_feed(spark, sf))
     return LV.live_alerts(LV.live_predictions(LV.live_state(r)), r.select(F.max("timestamp")).scalar())
+
+
+@q
+def st_stale_stream(spark, sf):
+    out = FS.scratch_path(spark, "stream", _tag(sf), uuid.uuid4().hex[:12])
+    path = ST.stale_alerts_stream(spark, _json_drop(spark, sf), out, max_files=5)
+    return spark.read.schema(ST.STALE_OUT).parquet(path)

@@ -2,15 +2,21 @@
 
 readStream(JSON drop dir, declared schema)
   -> st_ingest projection (canonical parameter, numeric value)
-  -> watermark 24 h + dropDuplicatesWithinWatermark(station, parameter, timestamp)
+  -> watermark + dropDuplicatesWithinWatermark(station, parameter, timestamp)
   -> foreachBatch:
-       * latest-state changelog: per (station, parameter) max_by over the micro
-         batch, written to `epoch=<batchId>` with overwrite, so a re-executed
-         batch (lost executor, restart) rewrites the same folder: idempotent.
-       * alerts for the stations that changed in this batch, recomputed from the
-         merged state (batch operators reused unchanged), also per epoch.
+       * changelog: per (station, parameter) latest value / text / metadata of the
+         micro batch with their ordering keys, written to `epoch=<batchId>` with
+         overwrite, so a re-executed batch (lost executor, restart from the
+         checkpoint) rewrites the same folder: idempotent.
+       * alerts for the stations that changed in this batch: their state is the
+         merge of the changelog rows of those stations only (no reading history
+         is re-read), then the batch operators run unchanged.
 The current state is the latest row per key over the changelog (late, older
 readings lose by (timestamp, event_id)).
+
+``stale_alerts_stream`` is the keyed-state staleness rule: one state per
+station holding its newest reading time and an event-time timeout 24 h later;
+when the watermark passes it the station emits a stale alert.
 """
 
 from __future__ import annotations
@@ -23,40 +29,57 @@ from pyspark.sql import functions as F
 from ..operators import live as LV
 from ..sources import files
 
+META = ["station_no", "station_name", "state", "latitude", "longitude"]
+
 
-def ingest_stream(spark: SparkSession, drop_dir: str, max_files: int = 10) -> DataFrame:
+def ingest_stream(spark: SparkSession, drop_dir: str, max_files: int = 10, delay: str = "24 hours") -> DataFrame:
     raw = (spark.readStream.schema(files.LIVE_SCHEMA).option("maxFilesPerTrigger", max_files)
            .option("timestampNTZFormat", files.TS_FORMAT).option("recursiveFileLookup", True).json(drop_dir))
     # watermarks need an instant type: event_time is the reading time as TIMESTAMP
     return (LV.ingest(raw).withColumn("event_time", F.col("timestamp").cast("timestamp"))
-            .withWatermark("event_time", "24 hours")
+            .withWatermark("event_time", delay)
             .dropDuplicatesWithinWatermark(["station_id", "parameter", "timestamp"]))
 
 
-def _state_from_changelog(spark: SparkSession, path: str) -> DataFrame:
-    ch = spark.read.parquet(path)
-    key = F.struct("latest_timestamp", "latest_event_id")
-    return ch.groupBy("station_id", "parameter").agg(
-        F.max("latest_timestamp").alias("latest_timestamp"),
-        F.max_by("latest_value", F.when(F.col("latest_value").isNotNull(), F.struct("value_ts", "value_event_id")))
-        .alias("latest_value"),
-        F.max_by("latest_value_text", F.when(F.col("latest_value_text").isNotNull(),
-                                              F.struct("text_ts", "text_event_id"))).alias("latest_value_text"),
-        F.max_by("station_name", key).alias("station_name"))
+def _key():
+    return F.struct("timestamp", "event_id")
 
 
 def _batch_latest(batch: DataFrame) -> DataFrame:
     """Per-key latest inside one micro batch, keeping the ordering keys for later merges."""
-    vkey = F.when(F.col("value_numeric").isNotNull(), F.struct("timestamp", "event_id"))
-    tkey = F.when(F.col("value").isNotNull(), F.struct("timestamp", "event_id"))
+    vkey = F.when(F.col("value_numeric").isNotNull(), _key())
+    tkey = F.when(F.col("value").isNotNull(), _key())
     return batch.groupBy("station_id", "parameter").agg(
         F.max("timestamp").alias("latest_timestamp"),
-        F.max_by("event_id", F.struct("timestamp", "event_id")).alias("latest_event_id"),
+        F.max_by("event_id", _key()).alias("latest_event_id"),
         F.max_by("value_numeric", vkey).alias("latest_value"),
-        F.max_by("timestamp", vkey).alias("value_ts"), F.max_by("event_id", vkey).alias("value_event_id"),
+        F.max_by(F.struct("timestamp", "event_id"), vkey).alias("value_key"),
         F.max_by("value", tkey).alias("latest_value_text"),
-        F.max_by("timestamp", tkey).alias("text_ts"), F.max_by("event_id", tkey).alias("text_event_id"),
-        F.max_by("station_name", F.struct("timestamp", "event_id")).alias("station_name"))
+        F.max_by(F.struct("timestamp", "event_id"), tkey).alias("text_key"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), _key())).alias(c) for c in META],
+        *[F.max_by(F.struct("timestamp", "event_id"), F.when(F.col(c).isNotNull(), _key())).alias(f"{c}_key")
+          for c in META])
+
+
+def merge_changelog(ch: DataFrame) -> DataFrame:
+    """Latest per (station, parameter) over all changelog epochs."""
+    row_key = F.struct("latest_timestamp", "latest_event_id")
+    return ch.groupBy("station_id", "parameter").agg(
+        F.max("latest_timestamp").alias("latest_timestamp"),
+        F.max_by("latest_value", "value_key").alias("latest_value"),
+        F.max_by("latest_value_text", "text_key").alias("latest_value_text"),
+        F.max_by("station_name", row_key).alias("station_name"),
+        *[F.max_by(c, f"{c}_key").alias(f"_m_{c}") for c in META],
+        *[F.max(f"{c}_key").alias(f"_k_{c}") for c in META])
+
+
+def state_from_changelog(ch: DataFrame) -> DataFrame:
+    """Live station state (as LV.live_state) from changelog rows."""
+    merged = merge_changelog(ch)
+    latest = merged.select("station_id", "parameter", "latest_timestamp", "latest_value", "latest_value_text")
+    meta = merged.groupBy("station_id").agg(
+        *[F.max_by(f"_m_{c}", f"_k_{c}").alias(c) for c in META], F.max("latest_timestamp").alias("latest_timestamp"))
+    return LV.assemble_state(latest, meta)
 
 
 def run_latest_state(spark: SparkSession, drop_dir: str, out_dir: str, max_files: int = 10,
@@ -72,13 +95,13 @@ def run_latest_state(spark: SparkSession, drop_dir: str, out_dir: str, max_files
         try:
             (_batch_latest(batch).withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
              .parquet(posixpath.join(changelog, f"epoch={epoch}")))
-            (batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
+            (batch.drop("event_time").withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
              .parquet(posixpath.join(readings_log, f"epoch={epoch}")))
             if with_alerts:
                 changed = batch.select("station_id").distinct()
-                readings = spark.read.parquet(readings_log).join(changed, "station_id", "left_semi")
-                state = LV.live_predictions(LV.live_state(readings))
-                as_of = readings.select(F.max("timestamp")).scalar()
+                ch = spark.read.parquet(changelog).join(changed, "station_id", "left_semi")
+                state = LV.live_predictions(state_from_changelog(ch))
+                as_of = ch.select(F.max("latest_timestamp")).scalar()
                 (LV.live_alerts(state, as_of).withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
                  .parquet(posixpath.join(alerts_path, f"epoch={epoch}")))
         finally:
@@ -91,7 +114,7 @@ def run_latest_state(spark: SparkSession, drop_dir: str, out_dir: str, max_files
 
 
 def current_state(spark: SparkSession, changelog: str) -> DataFrame:
-    return _state_from_changelog(spark, changelog)
+    return merge_changelog(spark.read.parquet(changelog))
 
 
 def current_alerts(spark: SparkSession, alerts_path: str) -> DataFrame:
@@ -99,3 +122,44 @@ def current_alerts(spark: SparkSession, alerts_path: str) -> DataFrame:
     a = spark.read.parquet(alerts_path)
     last = a.groupBy("station_id").agg(F.max("epoch").alias("epoch"))
     return a.join(last, ["station_id", "epoch"]).drop("epoch")
+
+
+STALE_OUT = "station_id long, latest_timestamp timestamp, alert_type string, severity string, reason string"
+STALE_STATE = "latest_ms long"
+
+
+def _stale_fn(key, pdfs, state):
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState  # noqa: F401
+    station = key[0]
+    if state.hasTimedOut:
+        (latest_ms,) = state.get
+        state.remove()
+        yield pd.DataFrame({"station_id": [station], "latest_timestamp": [pd.Timestamp(latest_ms, unit="ms")],
+                            "alert_type": ["Live Stale Data Alert"], "severity": ["Warning"],
+                            "reason": ["Live data is older than 24 hours."]})
+        return
+    newest = None
+    for pdf in pdfs:
+        m = pd.to_datetime(pdf["event_time"]).max()
+        newest = m if newest is None or m > newest else newest
+    latest_ms = int(newest.value // 1_000_000)
+    if state.exists:
+        latest_ms = max(latest_ms, state.get[0])
+    state.update((latest_ms,))
+    state.setTimeoutTimestamp(latest_ms + 24 * 3600 * 1000)
+    yield pd.DataFrame({c: [] for c in ["station_id", "latest_timestamp", "alert_type", "severity", "reason"]})
+
+
+def stale_alerts_stream(spark: SparkSession, drop_dir: str, out_dir: str, max_files: int = 10) -> str:
+    """st_stale (stream): keyed state per station with an event-time timeout 24 h after its newest reading."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    path = posixpath.join(out_dir, "stale")
+    s = ingest_stream(spark, drop_dir, max_files, delay="1 hour").select("station_id", "event_time")
+    out = s.groupBy("station_id").applyInPandasWithState(
+        _stale_fn, STALE_OUT, STALE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    q = (out.writeStream.format("parquet").option("path", path)
+         .option("checkpointLocation", posixpath.join(out_dir, "_stale_checkpoint"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return path
