@@ -166,33 +166,41 @@ def pearson(df: DataFrame, cols) -> DataFrame:
         for a, b in pairs])).alias("p")).select("p.*")
 
 
-def rank_table(df: DataFrame, col: str, buckets: int = 256, sums=()) -> DataFrame:
-    """Exact average (tie-corrected) rank of every DISTINCT value of ``col`` without a global window.
-
-    Values are range-bucketed by approximate quantile splits (a bounded sketch); a
-    value always lands in one bucket, so ties never straddle buckets and the ranks
-    stay exact.  Ranks inside a bucket come from a window partitioned by bucket;
-    bucket offsets from a running sum over <= ``buckets`` rows.
+def rank_long(df: DataFrame, group: str, col: str, buckets: int = 256, sums=()) -> DataFrame:
+    """Exact average (tie-corrected) rank of every DISTINCT value of ``col`` within each ``group``,
+    without a global window.
+
+    Per group, values are range-bucketed by approximate quantile splits
+    (``percentile_approx``: a bounded sketch per group, joined as a small
+    table); a value always lands in one bucket, so ties never straddle buckets
+    and the ranks stay exact.  Ranks inside a bucket come from a window
+    partitioned by (group, bucket); bucket offsets from a running sum over
+    <= ``buckets`` rows per group.
     """
     v = F.col(col)
-    counts = df.where(v.isNotNull()).groupBy(col).agg(
+    counts = df.where(v.isNotNull()).groupBy(group, col).agg(
         _n().alias("_c"), *[F.sum(x).alias(f"_s_{x}") for x in sums])
-    from pyspark.ml.feature import QuantileDiscretizer
-    # approximate quantile splits over the distinct values (a bounded sketch), then a
-    # binary-search Bucketizer: equal values always get the same bucket
-    disc = QuantileDiscretizer(numBuckets=buckets, inputCol=col, outputCol="_bk", relativeError=0.001,
-                               handleInvalid="keep").fit(counts.select(F.col(col).cast("double").alias(col)))
-    c2 = disc.transform(counts.withColumn(col, F.col(col).cast("double")))
-    off = (c2.groupBy("_bk").agg(F.sum("_c").alias("_bt"))
-           .select("_bk", F.coalesce(F.sum("_bt").over(
-               Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off")))
-    w = Window.partitionBy("_bk").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    # offsets: one row per bucket (bounded) -> broadcast
-    return (c2.join(F.broadcast(off), "_bk")
+    qs = [i / buckets for i in range(1, buckets)]
+    bounds = counts.groupBy(group).agg(F.percentile_approx(col, qs, 10000).alias("_bounds"))
+    # bounds: one row per group (bounded) -> broadcast
+    c2 = counts.join(F.broadcast(bounds), group).withColumn(
+        "_bk", F.size(F.filter("_bounds", lambda b: b < v))).drop("_bounds")
+    off = (c2.groupBy(group, "_bk").agg(F.sum("_c").alias("_bt"))
+           .select(group, "_bk", F.coalesce(F.sum("_bt").over(
+               Window.partitionBy(group).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)),
+               F.lit(0)).alias("_off")))
+    w = Window.partitionBy(group, "_bk").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    return (c2.join(F.broadcast(off), [group, "_bk"])
             .withColumn("_rank", F.col("_off") + F.sum("_c").over(w) - (F.col("_c") - 1) / 2.0)
             .drop("_bk", "_off"))
 
 
+def rank_table(df: DataFrame, col: str, buckets: int = 256, sums=()) -> DataFrame:
+    """Exact average rank of every distinct value of one column (see ``rank_long``)."""
+    g = df.withColumn("_g", F.lit(0))
+    return rank_long(g, "_g", col, buckets, sums).drop("_g")
+
+
 def average_ranks(df: DataFrame, col: str, key: str) -> DataFrame:
     """Average rank of each row's value (joined back from the distinct-value rank table)."""
     ranks = rank_table(df, col).select(col, F.col("_rank").alias(f"{col}_rank"))
@@ -200,12 +208,18 @@ def average_ranks(df: DataFrame, col: str, key: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, cols, key: str) -> DataFrame:
-    """agg_spearman: Pearson correlation of average ranks, rows with all values present."""
+    """agg_spearman: Pearson correlation of average ranks over rows with all values present.
+
+    One long-format pass: unpivot -> one rank table per parameter (grouped) ->
+    join back on (parameter, value) -> pivot to one row per key -> one corr aggregate.
+    """
     base = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
-    ranked = base.select(key)
-    for c in cols:
-        ranked = ranked.join(average_ranks(base, c, key), key)
-    return pearson(ranked.select(*[F.col(f"{c}_rank").alias(c) for c in cols]), cols)
+    long = base.select(key, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("parameter"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")
+    ).select(key, "x.*")
+    ranks = rank_long(long, "parameter", "v").select("parameter", "v", "_rank")
+    ranked = long.join(ranks, ["parameter", "v"]).groupBy(key).pivot("parameter", list(cols)).agg(F.first("_rank"))
+    return pearson(ranked, list(cols))
 
 
 def baseline(df: DataFrame, params=PARAMS, top_k: int = 50) -> DataFrame:
