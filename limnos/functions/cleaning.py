@@ -83,3 +83,22 @@ def parse_date(raw, formats=DATE_FORMATS) -> Column:
     """date_parse: first declared format that parses; errors -> NULL."""
     s = F.trim(_c(raw))
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("date")
+
+
+def add_censored(df, col: str, value: str = "value", flag: str = "flag", keep_parts: bool = False):
+    """clean_censored as two projections: the normalised text and its first number are computed
+    once per row (a regex inside several CASE branches would be re-evaluated per branch)."""
+    s_name, n_name = f"_s_{col}", f"_n_{col}"
+    s = F.regexp_replace(F.lower(F.trim(F.col(col))), ",", "")
+    d = df.withColumn(s_name, s).withColumn(n_name, first_number(F.col(s_name)))
+    raw, s_c, num = F.col(col), F.col(s_name), F.col(n_name)
+    is_missing = F.lower(F.trim(raw)).isin(*K.CENSORED_MISSING)
+    lt = s_c.startswith("<") & num.isNotNull()
+    d = d.withColumn(value, F.when(raw.isNull() | is_missing, F.lit(None).cast("double"))
+                     .when(lt, num / 2.0).otherwise(num))
+    d = d.withColumn(flag, F.when(raw.isNull(), F.lit(""))
+                     .when(is_missing, F.lit("Below detection/Missing"))
+                     .when(lt, F.concat(F.lit("Converted <"), num.cast("string"), F.lit(" to "),
+                                        (num / 2.0).cast("string")))
+                     .when(num.isNotNull(), F.lit("")).otherwise(F.lit("Parse Error")))
+    return d if keep_parts else d.drop(s_name, n_name)

@@ -50,10 +50,10 @@ def none_if_empty(arr: Column, sep: str) -> Column:
     return F.when(F.size(arr) > 0, F.concat_ws(sep, arr)).otherwise(F.lit("None"))
 
 
-def compliance_columns(do="dissolved_oxygen", bod="bod", ph="ph") -> list[Column]:
-    """lbl_compliance: the 8 label columns of a canonical sample."""
+def compliance_columns(do="dissolved_oxygen", bod="bod", ph="ph", viol: Column | None = None) -> list[Column]:
+    """lbl_compliance: the 8 label columns of a canonical sample (``viol``: precomputed violations)."""
     n = present_count(do, bod, ph)
-    viol = violations(do, bod, ph)
+    viol = violations(do, bod, ph) if viol is None else viol
     nv = F.size(viol)
     available = (F.when(n == 0, F.lit(K.LBL_INSUFFICIENT))
                  .when(nv > 0, F.lit(K.LBL_NON_COMPLIANT))
@@ -114,8 +114,8 @@ def risk_category(score) -> Column:
             .otherwise(F.lit(K.RISK_TOP_BAND)))
 
 
-def risk_columns(do="dissolved_oxygen", bod="bod", ph="ph") -> list[Column]:
-    score = risk_score(do, bod, ph)
+def risk_columns(do="dissolved_oxygen", bod="bod", ph="ph", score: Column | None = None) -> list[Column]:
+    score = risk_score(do, bod, ph) if score is None else score
     n = present_count(do, bod, ph)
     return [score.alias("risk_score"), risk_category(score).alias("risk_category"),
             confidence_by_count(n, zero="Unknown").alias("risk_confidence")]

@@ -9,8 +9,15 @@ from ..functions import rules as R
 
 
 def label_samples(df: DataFrame) -> DataFrame:
-    """lbl_compliance + rsk_score + rsk_category: DM2 -> DM6 in one projection."""
-    return df.select("*", *R.compliance_columns(), *R.risk_columns())
+    """lbl_compliance + rsk_score + rsk_category: DM2 -> DM6.
+
+    Two projections: the structured violations and the risk score are computed
+    once per row and then rendered; an expression shared by several CASE
+    branches would otherwise be evaluated once per branch.
+    """
+    staged = df.withColumn("_viol", R.violations()).withColumn("_risk", R.risk_score())
+    cols = R.compliance_columns(viol=F.col("_viol")) + R.risk_columns(score=F.col("_risk"))
+    return staged.select(*df.columns, *cols)
 
 
 def model_probability(station_id="station_id", date="sampling_date", risk="risk_score"):

@@ -159,10 +159,11 @@ def quality_flags(std: DataFrame, key=("source_file", "station_id", "sampling_da
     """dq_flags: one row per issue (a row can raise several) via explode of an array of structs."""
     flags = []
     for c in DQ_NUMERIC:
-        parsed = C.clean_censored(c)
-        v = parsed["value"]
-        flags.append(F.when(parsed["flag"].startswith("Converted <"), F.struct(
-            F.lit(c).alias("column"), F.col(c).alias("value"), parsed["flag"].alias("flag_type"),
+        std = C.add_censored(std, c, f"_v_{c}", f"_f_{c}")
+    for c in DQ_NUMERIC:
+        v, fl = F.col(f"_v_{c}"), F.col(f"_f_{c}")
+        flags.append(F.when(fl.startswith("Converted <"), F.struct(
+            F.lit(c).alias("column"), F.col(c).alias("value"), fl.alias("flag_type"),
             F.lit("Kept and coerced").alias("action"))))
         if c == "ph":
             flags.append(F.when((v < 0) | (v > 14), F.struct(

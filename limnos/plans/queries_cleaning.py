@@ -30,9 +30,7 @@ def num_clean_basic(spark, sf):
 
 @q
 def num_clean_censored(spark, sf):
-    c = C.clean_censored("raw_value")
-    return _dirty(spark, sf).select("event_id", "raw_value", c["value"].alias("value"),
-                                    c["flag"].alias("flag"))
+    return C.add_censored(_dirty(spark, sf).select("event_id", "raw_value"), "raw_value")
 
 
 @q

@@ -160,9 +160,7 @@ def agg_param_nonnull(spark, sf):
 def agg_numeric_valid(spark, sf):
     from ..functions import cleaning as C
     from ..sources import bindings as B
-    d = B.dirty_readings(spark, sf)
-    c = C.clean_censored("raw_value")
-    d = d.select("parameter", "raw_value", c["value"].alias("v"), c["flag"].alias("flag"))
+    d = C.add_censored(B.dirty_readings(spark, sf).select("parameter", "raw_value"), "raw_value", "v", "flag")
     return d.groupBy("parameter").agg(
         F.count("v").alias("parsed_numeric_count"),
         F.count_if(F.col("flag") == "Parse Error").alias("parse_failure_count"),
