@@ -63,8 +63,22 @@ def live_wide(latest: DataFrame, params=K.LIVE_PARAMS) -> DataFrame:
 
 
 def live_state(readings: DataFrame) -> DataFrame:
-    """jn_live_meta + core_conf: latest metadata LEFT JOIN latest values, season, availability."""
-    return assemble_state(latest_per_parameter(readings), latest_station_meta(readings))
+    """jn_live_meta + core_conf: latest metadata LEFT JOIN latest values, season, availability.
+
+    Readings are shuffled ONCE: the per-(station, parameter) aggregate also keeps each
+    metadata column's latest value with its ordering key, and the per-station metadata
+    is re-aggregated from that small table (max_by over the keys is associative).
+    """
+    latest = readings.groupBy("station_id", "parameter").agg(
+        F.max("timestamp").alias("latest_timestamp"),
+        _last_non_null("value_numeric").alias("latest_value"),
+        _last_non_null("value").alias("latest_value_text"),
+        *[_last_non_null(c).alias(f"_m_{c}") for c in META],
+        *[F.max(F.when(F.col(c).isNotNull(), _key())).alias(f"_k_{c}") for c in META])
+    meta = latest.groupBy("station_id").agg(
+        *[F.max_by(f"_m_{c}", f"_k_{c}").alias(c) for c in META], F.max("latest_timestamp").alias("latest_timestamp"))
+    return assemble_state(latest.select("station_id", "parameter", "latest_timestamp", "latest_value",
+                                        "latest_value_text"), meta)
 
 
 def assemble_state(latest: DataFrame, meta: DataFrame) -> DataFrame:
