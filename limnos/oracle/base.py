@@ -55,7 +55,7 @@ samples AS (
   SELECT 'nwmp_' || lower(['July', 'August', 'September'][m.month_no]) || '.csv' AS source_file,
     d.station_id, s.station_name, s.river_name, s.state_name, s.basin,
     d.sampling_date, m.month_no, ['July', 'August', 'September'][m.month_no] AS month,
-    year(d.sampling_date) AS year,
+    CAST(year(d.sampling_date) AS INTEGER) AS year,
     d.dissolved_oxygen, d.bod, d.ph, d.temperature, d.conductivity, d.n_readings
   FROM daily d
   CROSS JOIN LATERAL (SELECT CAST(least(floor((day(d.sampling_date) - 1) / 10), 2) + 1 AS INT) AS month_no) m
@@ -105,7 +105,7 @@ labelled AS (
     CASE WHEN len(miss) > 0 THEN array_to_string(miss, ', ') ELSE 'None' END AS missing_required_parameters,
     CASE n_core WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' WHEN 1 THEN 'Low' ELSE 'Insufficient' END AS label_confidence,
     CASE WHEN len(viol) > 0 THEN array_to_string(viol, '; ') ELSE 'None' END AS violation_reasons,
-    len(viol) AS violation_count,
+    CAST(len(viol) AS INTEGER) AS violation_count,
     CASE WHEN n_core > 0 THEN (coalesce(r_do * (0.4e0 / w_total), 0.0e0) + coalesce(r_bod * (0.4e0 / w_total), 0.0e0))
                               + coalesce(r_ph * (0.2e0 / w_total), 0.0e0) END AS risk_score,
     CASE n_core WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' WHEN 1 THEN 'Low' ELSE 'Unknown' END AS risk_confidence

@@ -125,9 +125,9 @@ SELECT o_orderkey, month_no,
   CASE WHEN month_no IN (12, 1, 2) THEN 'Winter' WHEN month_no IN (3, 4, 5) THEN 'Pre-Monsoon'
        WHEN month_no IN (6, 7, 8, 9) THEN 'Monsoon' WHEN month_no IN (10, 11) THEN 'Post-Monsoon' END AS season
 FROM (SELECT o_orderkey,
-        coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN month(o_orderdate) END,
+        CAST(coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN month(o_orderdate) END,
                  TRY_CAST(t AS INTEGER),
-                 nullif(list_position({MONTHS3}, lower(trim(t))), 0)) AS month_no
+                 nullif(list_position({MONTHS3}, lower(trim(t))), 0)) AS INTEGER) AS month_no
       FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%b') END AS t FROM orders))""",
     "date_season_live": """
 SELECT o_orderkey,

@@ -106,7 +106,7 @@ LIVE = WITH_BASE + f"""
       WHEN len(lviol) > 0 THEN 'Non-Compliant_Based_On_Available_Parameters'
       ELSE 'Compliant_Based_On_Available_Parameters' END AS live_available_compliance_label,
     CASE WHEN len(lviol) > 0 THEN array_to_string(lviol, ' | ') ELSE 'None' END AS live_violation_reasons,
-    len(lviol) AS live_violation_count,
+    CAST(len(lviol) AS INTEGER) AS live_violation_count,
     CASE WHEN core_parameter_count = 3 THEN 'High' WHEN core_parameter_count = 2 THEN 'Medium' ELSE 'Low' END AS live_rule_confidence,
     CASE WHEN core_parameter_count = 3 THEN 'Full DO/BOD/pH compliance'
       WHEN core_parameter_count > 0 THEN 'Partial compliance based on available core parameters'

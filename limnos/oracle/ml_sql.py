@@ -119,9 +119,9 @@ FROM names n LEFT JOIN data d ON d.feature = n.feature""",
     "ml_dup_audit": MF + f"""
 , d AS (SELECT rsplit, target, {FEATS} FROM mf)
 SELECT (SELECT count(*) FROM d) AS total_rows,
-  (SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM d GROUP BY target, {FEATS})) AS full_row_duplicates,
-  (SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM d GROUP BY {FEATS})) AS feature_duplicates,
-  (SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM d GROUP BY {FEATS}, target)) AS feature_target_duplicates,
+  (SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM d GROUP BY target, {FEATS})) AS full_row_duplicates,
+  (SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM d GROUP BY {FEATS})) AS feature_duplicates,
+  (SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM d GROUP BY {FEATS}, target)) AS feature_target_duplicates,
   (SELECT count(*) FROM (SELECT count(DISTINCT target) AS k FROM d GROUP BY {FEATS}) WHERE k > 1) AS label_collisions,
   (SELECT count(*) FROM (SELECT {FEATS} FROM d WHERE rsplit = 'train' INTERSECT SELECT {FEATS} FROM d WHERE rsplit = 'test'))
     AS train_test_contamination""",

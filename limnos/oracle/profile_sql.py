@@ -165,8 +165,8 @@ FROM long""",
 , tot AS (SELECT source_file, CAST(sum(non_null_count) AS BIGINT) AS total_non_null FROM (""" + _nonnull_long("source_file") + """) GROUP BY source_file)
 , r AS (SELECT *, row_number() OVER (ORDER BY total_non_null DESC, source_file) AS d,
                row_number() OVER (ORDER BY total_non_null ASC, source_file) AS a FROM tot)
-SELECT 'strongest' AS rank_kind, d AS rank, source_file, total_non_null FROM r WHERE d <= 3
-UNION ALL SELECT 'weakest', a, source_file, total_non_null FROM r WHERE a <= 3""",
+SELECT 'strongest' AS rank_kind, CAST(d AS INTEGER) AS rank, source_file, total_non_null FROM r WHERE d <= 3
+UNION ALL SELECT 'weakest', CAST(a AS INTEGER), source_file, total_non_null FROM r WHERE a <= 3""",
     "agg_safe_means": SAFE + "SELECT is_safe, " + ", ".join(
         f"round(CAST(sum(CAST({p} AS DECIMAL(38, 9))) AS DOUBLE) / count({p}), 6) AS {p}" for p in PARAMS)
     + " FROM safe GROUP BY is_safe",

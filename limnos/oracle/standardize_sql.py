@@ -131,7 +131,7 @@ def _examples(col):
 
 ANNUAL = """
 WITH li AS (
-  SELECT l_suppkey AS station_code, year(l_shipdate) AS year,
+  SELECT l_suppkey AS station_code, CAST(year(l_shipdate) AS INTEGER) AS year,
     min(l_quantity) AS quantity_min, max(l_quantity) AS quantity_max, min(l_extendedprice) AS price_min,
     max(l_extendedprice) AS price_max, min(l_discount) AS discount_min, max(l_discount) AS discount_max,
     min(l_tax) AS tax_min, max(l_tax) AS tax_max
