@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import rules as R
 from ..functions import text as T
+from ..session import broadcast_if_small
 
 
 def _mean(c: str) -> Column:
@@ -118,10 +119,10 @@ def hist_fuzzy(cur: DataFrame, baseline: DataFrame, params=K.HISTORY_PARAMS) ->
     river_c = _jaccard_pairs(st.where(F.col("river_name").isNotNull()), "station_name", "river_name",
                              rivers, "b_river", "b_river", 0.4)
     name_c = _jaccard_pairs(st, "station_name", "station_name", rivers, "b_river", "b_river", 0.25)
-    # bounded side: distinct baseline states (administrative list) -> broadcast theta join
+    # distinct baseline states (an administrative list): broadcast only after a size check
     states = b.select("b_state").distinct().where(F.col("b_state").isNotNull())
     state_c = st.where(F.col("state_lower") != "").join(
-        F.broadcast(states), F.lower(F.col("b_state")).contains(F.col("state_lower"))).select("station_name", "b_state")
+        broadcast_if_small(states), F.lower(F.col("b_state")).contains(F.col("state_lower"))).select("station_name", "b_state")
     rows_river = river_c.join(b, "b_river")
     c1 = rows_river.join(state_c, ["station_name", "b_state"]).withColumn("level", F.lit(1))
     c2 = rows_river.withColumn("level", F.lit(2))
