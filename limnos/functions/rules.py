@@ -261,13 +261,32 @@ def prediction_note(n) -> Column:
             .otherwise(F.lit("Low confidence: two or more core parameters are missing.")))
 
 
+def _sql_of(x) -> str:
+    if isinstance(x, str):
+        return f"`{x}`"
+    raise TypeError("pass a column name")
+
+
+def _fmt_expr(x: str, places: int, trim: bool) -> str:
+    scale = 10 ** places
+    n = f"floor(abs({x}) * {scale}.0D + 0.5D)"
+    frac = f"lpad(cast(({n} % {scale}) AS string), {places}, '0')"
+    if trim:
+        frac = f"coalesce(nullif(regexp_replace({frac}, '0+$', ''), ''), '0')"
+    body = f"concat(cast(cast({n} / {scale} AS bigint) AS string), '.', {frac})"
+    return (f"CASE WHEN {x} IS NULL THEN CAST(NULL AS string) "
+            f"WHEN {x} < 0 AND {n} > 0 THEN concat('-', {body}) ELSE {body} END")
+
+
 def fmt2(x) -> Column:
     """Two-decimal text through integer arithmetic: floor(|x|*100 + 0.5).
 
     Engine-independent (no decimal-vs-binary tie rules); used wherever a
-    number is rendered into explanation text.
+    number is rendered into explanation text.  Built as one SQL expression
+    (a single JVM call) for a column name, or as Column algebra otherwise.
     """
-    x = _c(x)
+    if isinstance(x, str):
+        return F.expr(_fmt_expr(_sql_of(x), 2, trim=False))
     n = F.floor(F.abs(x) * 100.0 + 0.5)
     body = F.concat((n / 100).cast("bigint").cast("string"), F.lit("."),
                     F.lpad((n % 100).cast("string"), 2, "0"))
@@ -277,7 +296,8 @@ def fmt2(x) -> Column:
 
 def fmt_short(x, places: int = 4) -> Column:
     """Shortest text of a value with at most ``places`` decimals ('9.8', '10.0', '0.0002')."""
-    x = _c(x)
+    if isinstance(x, str):
+        return F.expr(_fmt_expr(_sql_of(x), places, trim=True))
     s = 10 ** places
     n = F.floor(F.abs(x) * float(s) + 0.5)
     frac = F.regexp_replace(F.lpad((n % s).cast("string"), places, "0"), "0+$", "")

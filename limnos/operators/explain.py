@@ -16,9 +16,9 @@ def rule_explanation() -> Column:
     do, bod, ph = F.col("dissolved_oxygen"), F.col("bod"), F.col("ph")
     lbl, risk = F.col("available_compliance_label"), F.coalesce(F.col("risk_category"), F.lit("Unknown"))
     reasons = F.array_compact(F.array(
-        F.when(do < 5, F.concat(F.lit("DO is "), R.fmt2(do), F.lit(" mg/L (below 5)"))),
-        F.when(bod > 3, F.concat(F.lit("BOD is "), R.fmt2(bod), F.lit(" mg/L (above 3)"))),
-        F.when((ph < 6.5) | (ph > 8.5), F.concat(F.lit("pH is "), R.fmt2(ph), F.lit(" (outside 6.5-8.5)")))))
+        F.when(do < 5, F.concat(F.lit("DO is "), R.fmt2("dissolved_oxygen"), F.lit(" mg/L (below 5)"))),
+        F.when(bod > 3, F.concat(F.lit("BOD is "), R.fmt2("bod"), F.lit(" mg/L (above 3)"))),
+        F.when((ph < 6.5) | (ph > 8.5), F.concat(F.lit("pH is "), R.fmt2("ph"), F.lit(" (outside 6.5-8.5)")))))
     return (F.when(F.size(reasons) > 0, F.concat(F.lit("Non-compliant because "), F.array_join(reasons, "; "),
                                                   F.lit(". Risk category: "), risk, F.lit(".")))
             .when(lbl == "Compliant", F.concat(

@@ -130,25 +130,26 @@ def live_alerts(pred: DataFrame, as_of: Column) -> DataFrame:
     ts = F.col("latest_timestamp")
     prob = F.col("live_ml_non_compliance_probability")
     ts_text = F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    ph_t, do_t, bod_t = R.fmt_short("ph"), R.fmt_short("dissolved_oxygen"), R.fmt_short("bod")
     alerts = F.array_compact(F.array(
         F.when(ts < as_of - F.expr("INTERVAL 24 HOURS"), _alert(
             "Live Stale Data Alert", F.lit("Warning"), "timestamp", ts_text,
             F.lit("Live data is older than 24 hours."), "Check station connectivity and API status.")),
         F.when(ph < K.PH_MIN, _alert(
             "Live pH Acidic Alert", F.when(ph >= 6.0, F.lit("Warning")).otherwise(F.lit("High")), "ph",
-            R.fmt_short(ph), F.concat(F.lit("pH is "), R.fmt_short(ph), F.lit(", below safe minimum of 6.5.")),
+            ph_t, F.concat(F.lit("pH is "), ph_t, F.lit(", below safe minimum of 6.5.")),
             "Inspect nearby discharge source.")),
         F.when(ph > K.PH_MAX, _alert(
             "Live pH Alkaline Alert", F.when(ph <= 9.0, F.lit("Warning")).otherwise(F.lit("High")), "ph",
-            R.fmt_short(ph), F.concat(F.lit("pH is "), R.fmt_short(ph), F.lit(", above safe maximum of 8.5.")),
+            ph_t, F.concat(F.lit("pH is "), ph_t, F.lit(", above safe maximum of 8.5.")),
             "Inspect nearby discharge source.")),
         F.when(do < K.DO_MIN, _alert(
             "Live DO Alert", F.when(do >= 3, F.lit("High")).otherwise(F.lit("Severe")), "dissolved_oxygen",
-            R.fmt_short(do), F.concat(F.lit("DO is "), R.fmt_short(do), F.lit(", below required minimum of 5 mg/L.")),
+            do_t, F.concat(F.lit("DO is "), do_t, F.lit(", below required minimum of 5 mg/L.")),
             "Escalate for field verification.")),
         F.when(bod > K.BOD_MAX, _alert(
             "Live BOD Alert", F.when(bod <= 6, F.lit("High")).otherwise(F.lit("Severe")), "bod",
-            R.fmt_short(bod), F.concat(F.lit("BOD is "), R.fmt_short(bod), F.lit(", above required maximum of 3 mg/L.")),
+            bod_t, F.concat(F.lit("BOD is "), bod_t, F.lit(", above required maximum of 3 mg/L.")),
             "Escalate for field verification.")),
         F.when((n > 0) & (n < 3), _alert(
             "Live Missing Core Parameter Alert", F.lit("Info"), "core_parameters", F.col("missing_core_parameters"),
@@ -156,7 +157,7 @@ def live_alerts(pred: DataFrame, as_of: Column) -> DataFrame:
             "Fetch missing DO/BOD live feeds if available.")),
         F.when(F.col("live_ml_predicted_compliance_label") == "Non-Compliant", _alert(
             "Live ML Non-Compliance Alert", F.when(prob > 0.8, F.lit("High")).otherwise(F.lit("Warning")),
-            "ML Model", F.coalesce(R.fmt2(prob), F.lit("Unknown")),
+            "ML Model", F.coalesce(R.fmt2("live_ml_non_compliance_probability"), F.lit("Unknown")),
             F.lit("Machine learning model predicts non-compliance based on available features."),
             "Repeat sampling to confirm compliance.")),
     ))
@@ -203,13 +204,14 @@ def data_age(ts: Column, as_of: Column) -> list[Column]:
 def live_explanations(pred: DataFrame, drivers: str = "BOD, dissolved_oxygen, pH, temperature, conductivity") -> DataFrame:
     """xp_live: rule, model, missing-data and final explanation text per station."""
     ph, do, bod = F.col("ph"), F.col("dissolved_oxygen"), F.col("bod")
+    ph_t, do_t, bod_t = R.fmt_short("ph"), R.fmt_short("dissolved_oxygen"), R.fmt_short("bod")
     parts = F.array_compact(F.array(
-        F.when((ph >= 6.5) & (ph <= 8.5), F.concat(F.lit("pH is "), R.fmt_short(ph), F.lit(", within the safe range 6.5-8.5.")))
-        .when(ph.isNotNull(), F.concat(F.lit("pH is "), R.fmt_short(ph), F.lit(", outside the safe range 6.5-8.5."))),
-        F.when(do >= 5, F.concat(F.lit("DO is "), R.fmt_short(do), F.lit(" mg/L, meeting the >=5 mg/L requirement.")))
-        .when(do.isNotNull(), F.concat(F.lit("DO is "), R.fmt_short(do), F.lit(" mg/L, violating the >=5 mg/L requirement."))),
-        F.when(bod <= 3, F.concat(F.lit("BOD is "), R.fmt_short(bod), F.lit(" mg/L, meeting the <=3 mg/L requirement.")))
-        .when(bod.isNotNull(), F.concat(F.lit("BOD is "), R.fmt_short(bod), F.lit(" mg/L, violating the <=3 mg/L requirement."))),
+        F.when((ph >= 6.5) & (ph <= 8.5), F.concat(F.lit("pH is "), ph_t, F.lit(", within the safe range 6.5-8.5.")))
+        .when(ph.isNotNull(), F.concat(F.lit("pH is "), ph_t, F.lit(", outside the safe range 6.5-8.5."))),
+        F.when(do >= 5, F.concat(F.lit("DO is "), do_t, F.lit(" mg/L, meeting the >=5 mg/L requirement.")))
+        .when(do.isNotNull(), F.concat(F.lit("DO is "), do_t, F.lit(" mg/L, violating the >=5 mg/L requirement."))),
+        F.when(bod <= 3, F.concat(F.lit("BOD is "), bod_t, F.lit(" mg/L, meeting the <=3 mg/L requirement.")))
+        .when(bod.isNotNull(), F.concat(F.lit("BOD is "), bod_t, F.lit(" mg/L, violating the <=3 mg/L requirement."))),
     ))
     rule = F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(F.lit("No core parameter rules could be evaluated."))
     label = F.col("live_ml_predicted_compliance_label")
