@@ -34,7 +34,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.autoBroadcastJoinThreshold", str(BROADCAST_LIMIT_BYTES))
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", str(BROADCAST_LIMIT_BYTES))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("LIMNOS_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("LIMNOS_DRIVER_MEMORY", "4g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
