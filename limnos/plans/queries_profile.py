@@ -147,12 +147,15 @@ def agg_src_contrib(spark, sf):
 
 @q
 def agg_param_nonnull(spark, sf):
-    nn = P.nonnull_counts(_l(spark, sf), P.PARAMS)
-    core = F.col("parameter").isin("dissolved_oxygen", "bod", "ph")
+    # the core flag is materialised once: repeating the same IN-list after the unpivot's
+    # Expand triggers a whole-stage-codegen compile failure (interpreted fallback)
+    nn = P.nonnull_counts(_l(spark, sf), P.PARAMS).withColumn(
+        "is_core_parameter", F.col("parameter").isin("dissolved_oxygen", "bod", "ph"))
+    core = F.col("is_core_parameter")
     return rounded(nn.select(
         "parameter", "non_null_count", (F.col("non_null_count") * 100.0 / F.col("_rows")).alias("non_null_pct"),
         F.when(core, F.lit("core")).otherwise(F.lit("auxiliary")).alias("parameter_group"),
-        core.alias("is_core_parameter"), (~core).alias("is_auxiliary_parameter"),
+        "is_core_parameter", (~core).alias("is_auxiliary_parameter"),
         (F.col("non_null_count") > 0).alias("include_in_future_ml_flag")))
 
 
