@@ -10,5 +10,10 @@ def op1_token_blocks(spark, sf):
     return token_blocks(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-Q = {f.__name__: f for f in (op1_token_blocks,)}
+def op5_bpe(spark, sf):
+    from .bpe import encode_decode
+    return encode_decode(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+Q = {f.__name__: f for f in (op1_token_blocks, op5_bpe)}
 SQL: dict[str, str] = {}

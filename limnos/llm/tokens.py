@@ -55,8 +55,10 @@ def separable(path: str) -> bool:
 
 
 def pieces(path: str) -> list[str]:
-    t = load(path)
-    return [t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))]
+    if ("pieces", path) not in _LOADED:
+        t = load(path)
+        _LOADED["pieces", path] = [t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))]
+    return _LOADED["pieces", path]
 
 
 def split_words(data, offsets):
