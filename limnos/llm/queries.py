@@ -15,5 +15,10 @@ def op5_bpe(spark, sf):
     return encode_decode(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-Q = {f.__name__: f for f in (op1_token_blocks, op5_bpe)}
+def op9_lattice(spark, sf):
+    from .lattice import score_texts
+    return score_texts(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+Q = {f.__name__: f for f in (op1_token_blocks, op5_bpe, op9_lattice)}
 SQL: dict[str, str] = {}
