@@ -110,7 +110,13 @@ def span_hashes(data, starts, ends, second: bool = False) -> np.ndarray:
 def number_words(data, starts, ends):
     """(hashes, first, inverse) of the distinct spans; two independent hashes must agree on every span."""
     h = span_hashes(data, starts, ends)
-    distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    order = np.argsort(h)
+    ranked = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    distinct, first = ranked[new], order[new]
+    inverse = np.empty(len(h), np.int64)
+    inverse[order] = np.cumsum(new) - 1
     again = span_hashes(data, starts, ends, second=True)
     if not np.array_equal(again[first][inverse], again):
         raise ValueError("two words of a chunk share a 64-bit hash")

@@ -10,6 +10,16 @@ def op1_token_blocks(spark, sf):
     return token_blocks(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op2_jaccard(spark, sf):
+    from .jaccard_join import jaccard_components
+    return jaccard_components(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def op4_suffix_match(spark, sf):
+    from .suffix_match import affected
+    return affected(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+
+
 def op5_bpe(spark, sf):
     from .bpe import encode_decode
     return encode_decode(table(spark, sf, "documents").select("doc_id", "text"))
@@ -20,5 +30,5 @@ def op9_lattice(spark, sf):
     return score_texts(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-Q = {f.__name__: f for f in (op1_token_blocks, op5_bpe, op9_lattice)}
+Q = {f.__name__: f for f in (op1_token_blocks, op2_jaccard, op4_suffix_match, op5_bpe, op9_lattice)}
 SQL: dict[str, str] = {}

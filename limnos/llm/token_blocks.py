@@ -151,7 +151,7 @@ def read_token_blocks(spark: SparkSession, path: str, keep_ids: bool = False) ->
     sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row a shard
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    segments = blocks.join(base, "shard").mapInArrow(_segments(keep_ids), _SEGMENT)
+    segments = blocks.join(F.broadcast(base), "shard").mapInArrow(_segments(keep_ids), _SEGMENT)
     joined = F.aggregate(F.array_sort(F.collect_list(F.struct("start", "part"))), F.lit(b""), lambda a, x: F.concat(a, x["part"]))
     out = segments.groupBy("shard", "doc").agg(
         F.max("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.max("crc").alias("crc"),
