@@ -15,6 +15,11 @@ def op2_jaccard(spark, sf):
     return jaccard_components(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op3_url_rules(spark, sf):
+    from .url_rules import judge
+    return judge(table(spark, sf, "pages"))
+
+
 def op4_suffix_match(spark, sf):
     from .suffix_match import affected
     return affected(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
@@ -30,5 +35,17 @@ def op9_lattice(spark, sf):
     return score_texts(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-Q = {f.__name__: f for f in (op1_token_blocks, op2_jaccard, op4_suffix_match, op5_bpe, op9_lattice)}
-SQL: dict[str, str] = {}
+Q = {f.__name__: f for f in (op1_token_blocks, op2_jaccard, op3_url_rules, op4_suffix_match, op5_bpe, op9_lattice)}
+#: The pages of the given tables have no redirect or canonical link, so a page without a rule is allowed.
+SQL = {
+    "op3_url_rules": r"""
+        WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+        p AS (SELECT page_id,
+                     translate(regexp_extract(url, '^(.*?)://([^/?#]*)([^?#]*)', 2, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(url, '^(.*?)://([^/?#]*)([^?#]*)', 3, 's') AS path FROM u),
+        r(h, q, rule, decision) AS (VALUES ('org', '/', 'org/', 'allow'), ('example.org', '/es/', 'example.org/es/', 'block'),
+            ('example.org', '/en/1', 'example.org/en/1', 'block'), ('com', '/fr/', 'com/fr/', 'allow'), ('com', '/de/', 'com/de/', 'block')),
+        f AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(decision, length(rule)) AS decision
+              FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id, host, path)
+        SELECT page_id, host, path, rule, coalesce(decision, 'allow') AS verdict FROM f""",
+}
