@@ -30,12 +30,17 @@ def op5_bpe(spark, sf):
     return encode_decode(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op8_secrets(spark, sf):
+    from .secret_scan import scan
+    return scan(table(spark, sf, "documents")).drop("found")
+
+
 def op9_lattice(spark, sf):
     from .lattice import score_texts
     return score_texts(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-Q = {f.__name__: f for f in (op1_token_blocks, op2_jaccard, op3_url_rules, op4_suffix_match, op5_bpe, op9_lattice)}
+Q = {f.__name__: f for f in (op1_token_blocks, op2_jaccard, op3_url_rules, op4_suffix_match, op5_bpe, op8_secrets, op9_lattice)}
 #: The pages of the given tables have no redirect or canonical link, so a page without a rule is allowed.
 SQL = {
     "op3_url_rules": r"""
