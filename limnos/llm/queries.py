@@ -40,7 +40,12 @@ def op9_lattice(spark, sf):
     return score_texts(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-Q = {f.__name__: f for f in (op1_token_blocks, op2_jaccard, op3_url_rules, op4_suffix_match, op5_bpe, op8_secrets, op9_lattice)}
+def op10_quality(spark, sf):
+    from .quality import classify
+    return classify(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
+
+
+Q = {f.__name__: f for f in (op1_token_blocks, op2_jaccard, op3_url_rules, op4_suffix_match, op5_bpe, op8_secrets, op9_lattice, op10_quality)}
 #: The pages of the given tables have no redirect or canonical link, so a page without a rule is allowed.
 SQL = {
     "op3_url_rules": r"""
