@@ -35,6 +35,11 @@ def op6_posting_lists(spark, sf):
     return nearest(table(spark, sf, "embeddings"))
 
 
+def op7_edit_counts(spark, sf):
+    from .edit_counts import count_edited, revisions
+    return count_edited(revisions(table(spark, sf, "documents"))).drop("leaf_chars", "leaf_tokens")
+
+
 def op8_secrets(spark, sf):
     from .secret_scan import scan
     return scan(table(spark, sf, "documents")).drop("found")
@@ -50,7 +55,7 @@ def op10_quality(spark, sf):
     return classify(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
 
 
-Q = {f.__name__: f for f in (op1_token_blocks, op2_jaccard, op3_url_rules, op4_suffix_match, op5_bpe, op6_posting_lists, op8_secrets, op9_lattice, op10_quality)}
+Q = {f.__name__: f for f in (op1_token_blocks, op2_jaccard, op3_url_rules, op4_suffix_match, op5_bpe, op6_posting_lists, op7_edit_counts, op8_secrets, op9_lattice, op10_quality)}
 #: The pages of the given tables have no redirect or canonical link, so a page without a rule is allowed.
 SQL = {
     "op3_url_rules": r"""
