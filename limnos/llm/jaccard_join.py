@@ -15,7 +15,8 @@ The distance of two documents is 1 - Jaccard similarity of their sets of word
 4. Triangle-inequality windows replicate boundary documents: a document farther
    than twice the radius from a pivot has no link into its core; one in the
    shell, between one and two radii, can only link to core members whose
-   distance to the pivot differs by at most the radius.  Those pairs are checked.
+   distance to the pivot differs by at most the radius.  Those pairs are checked
+   if they are not in one component already.
 5. The documents outside the core are the next region of their shingle: they
    join recursively with a new pivot until no region has two of them.
 
@@ -34,10 +35,12 @@ columns other than ``doc_id`` and ``text`` are not read.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -204,12 +207,18 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _window(region: DataFrame, other: DataFrame, percent: int, condition) -> DataFrame:
-    """Pairs of two parts of the same pivot's region that the triangle inequality and the sizes leave."""
-    a = region.select("p", *[F.col(c).alias(f"a{c}") for c in ("x", "n", "com", "d")])
-    b = other.select("p", *[F.col(c).alias(f"b{c}") for c in ("x", "n", "com", "d")])
+    """Pairs of two parts of the same pivot's region, of unlike components, that may link.
+
+    Two bounds of the intersection leave them: by the sizes, and, where both distances to the pivot are known, by
+    what each shares with the pivot and outside it; the triangle inequality is the second bound without sizes."""
+    a = region.select("p", *[F.col(c).alias(f"a{c}") for c in ("x", "n", "com", "d", "inter", "component")])
+    b = other.select("p", *[F.col(c).alias(f"b{c}") for c in ("x", "n", "com", "d", "inter", "component")])
     radius = (100 - percent) / 100 + 1e-9
     near = F.coalesce(F.abs(F.col("ad") - F.col("bd")) <= radius, F.lit(True))
-    on = (a["p"] == b["p"]) & condition(F.col("ax"), F.col("bx")) & near & _may_reach(F.col("an"), F.col("acom"), F.col("bn"), F.col("bcom"), percent)
+    shared = F.least("ainter", "binter") + F.least(F.col("acom") - F.col("ainter"), F.col("bcom") - F.col("binter"))
+    enough = F.coalesce(100 * shared >= percent * (F.col("an") + F.col("bn") - shared), F.lit(True))
+    on = ((a["p"] == b["p"]) & condition(F.col("ax"), F.col("bx")) & (F.col("acomponent") != F.col("bcomponent")) & near & enough
+          & _may_reach(F.col("an"), F.col("acom"), F.col("bn"), F.col("bcom"), percent))
     return a.join(b, on).select(F.col("ax").alias("a"), F.col("bx").alias("b"))
 
 
@@ -240,9 +249,11 @@ def links(prefixes: DataFrame, docs: DataFrame, stage: Stage, words: int, percen
         measured = stage.keep(_measure(pairs, sets).where(_similar(shell)), f"distances-{k}")
         core = measured.where(_similar(percent))
         found.append(core.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        placed = measured.select(F.col("a").alias("x"), F.col("b").alias("p"), _similar(percent).alias("core"),
+        placed = measured.select(F.col("a").alias("x"), F.col("b").alias("p"), _similar(percent).alias("core"), F.col("inter").cast("long").alias("inter"),
                                  (1 - F.col("inter") / (F.col("an") + F.col("bn") - F.col("inter"))).alias("d"))
-        region = stage.keep(region.select("x", "n", "com", F.col("p.x").alias("p")).join(placed, ["x", "p"], "left"), f"placed-{k}")
+        component = connected_components(_union(found), stage, f"region-components-{k}").select(F.col("id").alias("x"), "component")
+        region = region.select("x", "n", "com", F.col("p.x").alias("p")).join(placed, ["x", "p"], "left").join(component, "x", "left")
+        region = stage.keep(region.withColumn("component", F.coalesce("component", "x")), f"placed-{k}")
         inside, outside = region.where("core"), region.where("not coalesce(core, false)")
         checks = _window(outside.where("d is not null"), inside, percent, lambda x, y: x != y)
         if k == rounds - 1:  # the last regions are compared pair by pair within the windows
@@ -253,10 +264,11 @@ def links(prefixes: DataFrame, docs: DataFrame, stage: Stage, words: int, percen
         members = stage.keep(flat.join(inside.select("x", "p"), ["x", "p"], "left_anti").select("x", "n", "com", "s"), f"members-{k}")
         if members.isEmpty():
             break
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
+    return _union(found)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.union, parts)
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: int = 2) -> DataFrame:
@@ -278,3 +290,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     full, none = sets.where("n > 0"), sets.where("n = 0")
     out = full.join(named, ["n", "fp1", "fp2"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
     return out.union(none.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The documents with the smallest doc_id of their component, in all their columns; of rows that repeat such a
+    doc_id one stays, rows without doc_id stay."""
+    found = jaccard_components(docs, **options)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(c) for c in docs.columns])
+    rank = "_rank" + "_" * max(map(len, docs.columns), default=0)  # a name that no column has
+    numbered = kept.where("doc_id is not null").withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
+    return numbered.where(F.col(rank) == 1).drop(rank).union(docs.where("doc_id is null"))
