@@ -26,6 +26,7 @@ from .store import partitions
 from .tokens import encode_words, load, pieces, separable, split_words, tokenizer_path
 
 _FOUND = "block long, crc long, idx binary, size binary, ids binary"
+_KEPT = {"ids": (pa.list_(pa.int32()), "array<int>"), "decoded": (pa.string(), "string")}
 _ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -41,7 +42,7 @@ def _encode_bucket(path: str):
     return work
 
 
-def _assemble(path: str, keep: bool):
+def _assemble(path: str, keep: tuple):
     def work(doc: dict, words: list[dict]) -> pa.Table:
         piece = np.asarray(pieces(path), object)  # the id-to-piece table
         count = sum(len(W.unpack(w["idx"], "<u4")) for w in words)
@@ -63,24 +64,26 @@ def _assemble(path: str, keep: bool):
             ids = b"".join([raw[k] for k in code])
             decoded = " ".join([t for k in code if (t := text[k]) is not None])
             row = (doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-            out.append(row + (np.frombuffer(ids, "<u4").astype(np.int64).tolist(), decoded) if keep else row)
+            out.append(row + tuple(np.frombuffer(ids, "<i4") if name == "ids" else decoded for name in keep))
             at += n
-        columns = list(zip(*out)) if out else [[]] * (6 if keep else 4)
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.string()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names[:len(columns)])
+        columns = list(zip(*out)) if out else [[]] * (4 + len(keep))
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[_KEPT[name][0] for name in keep]]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)
     return work
 
 
-def encode_decode(docs: DataFrame, tokenizer: str | None = None, keep: bool = False, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text of every whole text; with keep, `ids` and `decoded` too."""
+def encode_decode(docs: DataFrame, tokenizer: str | None = None, keep: tuple = (), buckets: int | None = None) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text of every whole text.
+
+    keep: further columns, of `ids` (array<int>) and `decoded`."""
     path = tokenizer_path(tokenizer)
     if not separable(path):
         raise ValueError(f"{path} does not cut text at white space")
     docs = W.flagged(docs)
     buckets = buckets or partitions(docs.sparkSession)
     found = W.by_bucket(W.word_rows(docs, split_words, buckets), buckets, _encode_bucket(path), _FOUND)
-    return W.by_block(W.doc_rows(docs, split_words), found, _assemble(path, keep), _ENCODED + (", ids array<long>, decoded string" if keep else ""))
+    return W.by_block(W.doc_rows(docs, split_words), found, _assemble(path, keep), ", ".join([_ENCODED, *[f"{name} {_KEPT[name][1]}" for name in keep]]))
 
 
 def piece_table(spark, tokenizer: str | None = None) -> DataFrame:

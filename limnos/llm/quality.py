@@ -211,19 +211,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     return shared, fit_network(x, y)
 
 
-def score(docs: DataFrame, model, keep: bool = False) -> DataFrame:
-    """doc_id and score (0 to 1) of every whole text; with keep, all columns of `docs` and the score as `_score`."""
+def score(docs: DataFrame, model) -> DataFrame:
+    """doc_id and score (0 to 1) of every whole text."""
     shared, network = model
-    columns = docs if keep else docs.select("doc_id", "text")
 
     def run(batches):
         for rows, offsets, data in chunks(batches, limit=1 << 20):
             p = pa.array(network.probability(features(*word_rows(offsets, data), shared.value)), pa.float64())
-            yield rows.append_column("_score", p) if keep else pa.RecordBatch.from_arrays([rows.column("doc_id"), p], names=["doc_id", "score"])
-    if not keep:
-        return columns.mapInArrow(run, "doc_id long, score double")
-    from pyspark.sql import types as T
-    return columns.mapInArrow(run, T.StructType(docs.schema.fields + [T.StructField("_score", T.DoubleType())]))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), p], names=["doc_id", "score"])
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` whose text scores `threshold` or more, in all their columns."""
+    shared, network = model
+
+    def run(batches):
+        for rows, offsets, data in chunks(batches, limit=1 << 20):
+            yield rows.filter(pa.array(network.probability(features(*word_rows(offsets, data), shared.value)) >= threshold))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

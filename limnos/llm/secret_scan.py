@@ -84,8 +84,9 @@ def find_spans(offsets, data) -> list[tuple[int, int, int, int, int, int]]:
 
 
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.int64())])
-_FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("owner", pa.string()), ("repository", pa.string()), ("found", pa.list_(_SPAN))])
-_FOUND_SQL = "row long, doc_id long, owner string, repository string, found array<struct<kind:int,start:long,end:long,hash:long>>"
+_FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("owner", pa.string()), ("repository", pa.string()), ("text_hash", pa.int64()),
+                    ("found", pa.list_(_SPAN))])
+_FOUND_SQL = "row long, doc_id long, owner string, repository string, text_hash long, found array<struct<kind:int,start:long,end:long,hash:long>>"
 
 
 def _scan(batches):
@@ -102,7 +103,7 @@ def _scan(batches):
                 found[d].append(dict(kind=kind, start=a, end=b, hash=x))
         ids = np.arange(row, row + rows.num_rows)
         row += rows.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(ids), rows.column("doc_id"), rows.column("owner"), rows.column("repository"), pa.array(found, _FOUND.types[4])], schema=_FOUND)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), rows.column("doc_id"), rows.column("owner"), rows.column("repository"), rows.column("text_hash"), pa.array(found, _FOUND.types[5])], schema=_FOUND)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -120,30 +121,64 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_example, and `found`,
-    its spans as (start, kind, end, live).
+_NONE = "cast(array() as array<struct<start:bigint,kind:int,end:bigint,live:boolean>>)"
+
+
+def told_spans(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+    """doc_id, text_hash and `found`, the spans as (start, kind, end, live), of every document.
 
     owner, repository: expressions over the documents' columns; default source, and source with lang."""
     stage = Stage(docs.sparkSession, "secrets")
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", F.col("source"), F.col("lang")) if repository is None else repository
-    rows = docs.select("doc_id", "text", owner.cast("string").alias("owner"), repository.cast("string").alias("repository"))
+    rows = docs.select("doc_id", "text", owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), F.xxhash64("text").alias("text_hash"))
     found = stage.keep(rows.mapInArrow(_scan, _FOUND_SQL), "found")
     owners = stage.keep(ownership(found), "owners")
     each = found.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*")
     told = each.join(owners, "hash").withColumn("live", F.col("owners") < example_owners).where("kind < 3 or live")
     spans = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("spans"))
-    none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,live:boolean>>)")
-    some = (found.where(F.size("found") > 0).select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", none).alias("found"))
-            .union(found.where(F.size("found") == 0).select("doc_id", none)))
+    some = found.where(F.size("found") > 0).select("row", "doc_id", "text_hash").join(spans, "row", "left")
+    return (some.select("doc_id", "text_hash", F.coalesce("spans", F.expr(_NONE)).alias("found"))
+            .union(found.where(F.size("found") == 0).select("doc_id", "text_hash", F.expr(_NONE))))
+
+
+def scan(docs: DataFrame, **options) -> DataFrame:
+    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_example and `found`."""
+    told = told_spans(docs, **options)
 
     def count(test):
         return F.size(F.filter("found", test)).cast("long")
 
     def of_kind(kind):
         return count(lambda s: s["kind"] == kind)
-    return some.select(
+    return told.select(
         "doc_id", *[of_kind(k).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(_joined(F.filter("found", lambda s: s["kind"] < 3)), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"),
         of_kind(3).alias("n_owned"), count(lambda s: s["live"]).alias("n_live"), count(lambda s: ~s["live"]).alias("n_example"), "found")
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
+    """`docs` with `mark` in the place of every live span (overlapping ones as one), and n_chars, where it is a
+    column, as the length of the new text; copied examples stay."""
+    live = F.transform(F.filter("found", lambda s: s["live"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    spots = told_spans(docs, **options).select("doc_id", "text_hash", live.alias("live")).where(F.size("live") > 0).dropDuplicates(["doc_id", "text_hash"])
+    spots = spots.select(F.struct("doc_id", "text_hash").alias("at"), "live")
+    whole = docs.select(F.struct(*docs.columns).alias("d"))
+    joined = whole.join(spots, (F.xxhash64("d.text") == F.col("at.text_hash")) & F.col("d.doc_id").eqNullSafe(F.col("at.doc_id")), "left").select("d", "live")
+    # pieces of text between the merged spans: walk them in order, remembering the end of the last one
+    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("end"))
+
+    def step(a, s):
+        gap = F.substring(F.col("d.text"), (a["end"] + 1).cast("int"), (s["start"] - a["end"]).cast("int"))
+        return F.when(s["start"] >= a["end"], F.struct(F.concat(a["text"], gap, F.lit(mark)).alias("text"), s["end"].alias("end"))).otherwise(
+            F.struct(a["text"].alias("text"), F.greatest(a["end"], s["end"]).alias("end")))
+    new = F.aggregate("live", start, step, lambda a: F.concat(a["text"], F.substring(F.col("d.text"), (a["end"] + 1).cast("int"), F.length("d.text"))))
+    out = joined.select("d", F.when(F.col("live").isNotNull(), new).alias("new"))
+
+    def column(c):
+        if c == "text":
+            return F.coalesce("new", "d.text").alias(c)
+        if c == "n_chars":
+            return F.coalesce(F.length("new").cast(docs.schema[c].dataType), "d.n_chars").alias(c)
+        return F.col(f"d.`{c}`").alias(c)
+    return out.select(*[column(c) for c in docs.columns])

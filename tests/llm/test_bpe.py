@@ -10,7 +10,7 @@ from .helpers import TEXTS, documents, rows
 
 def test_equals_library(spark):
     t = T.load(T.tokenizer_path())
-    got = rows(bpe.encode_decode(documents(spark), keep=True))
+    got = rows(bpe.encode_decode(documents(spark), keep=("ids", "decoded")))
     assert len(got) == len(TEXTS)
     for k, text in enumerate(TEXTS):
         ids, r = t.encode(text or "", add_special_tokens=False).ids, got[3 * k]
