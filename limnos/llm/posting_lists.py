@@ -5,8 +5,10 @@ can need).  Centroids come from balanced bisection of a bounded sample, so dense
 regions get more of them and lists stay even.  Every vector is put into all lists
 whose centroid is nearly as near as the nearest (boundary replication).  A query
 finds centroids by walking an in-memory neighbour graph and keeps the lists
-within a ratio of the nearest distance.  Lists and their queries meet in blocks
-of bounded size; a block's scores are one matrix product in double precision.
+within a ratio of the nearest distance.  Neighbouring lists are stored together
+in blocks of bounded size, which a query reads whole; a block's scores are one
+matrix product in double precision, of which a query's best leave the block if
+they reach what it already finds in the sample.
 
 Nearness is the largest inner product.  Vectors get one more component that
 makes all of them equally long, so that the nearest in distance has the largest
@@ -35,7 +37,8 @@ SAMPLE, LIST_SIZE, MOST_LISTS = 16_384, 256, 4_096
 REPLICAS, REPLICA_RATIO = 8, 1.15
 #: Lists that a query reads: those within this ratio of the nearest distance, `LEAST_LISTS` at least.
 SEARCH_RATIO, LEAST_LISTS = 1.13, 8
-BLOCK = 4_096
+#: Entries, or queries, of a block.
+BLOCK = 16_384
 _DEGREE, _ENTRIES = 24, 32
 
 
@@ -44,23 +47,24 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def balanced_centroids(x: np.ndarray, lists: int, seed: int = 6) -> np.ndarray:
-    """Centroids of `lists` parts of about equal size: the largest part is halved along its main direction."""
+    """Centroids of `lists` parts of about equal size, by halving along the main direction; neighbours in the
+    tree are neighbours in the order."""
     r = np.random.default_rng(seed)
-    parts = [np.arange(len(x))]
-    while len(parts) < lists:
-        parts.sort(key=len)
-        part = parts.pop()
-        if len(part) < 2:
-            parts.append(part)
-            break
+    leaves, open_ = [], [(np.arange(len(x)), lists)]
+    while open_:
+        part, n = open_.pop()
+        if n == 1 or len(part) < 2:
+            leaves.append(part)
+            continue
         y = x[part] - x[part].mean(axis=0)
         direction = r.normal(size=x.shape[1])
         for _ in range(6):
             direction = y.T @ (y @ direction)
             direction /= max(np.linalg.norm(direction), 1e-300)
         order = np.argsort(y @ direction, kind="stable")
-        parts += [part[order[:len(part) // 2]], part[order[len(part) // 2:]]]
-    c = np.stack([x[p].mean(axis=0) for p in parts])
+        cut = min(max(1, len(part) * (n // 2) // n), len(part) - 1)
+        open_ += [(part[order[cut:]], n - n // 2), (part[order[:cut]], n // 2)]
+    c = np.stack([x[p].mean(axis=0) for p in leaves])
     for _ in range(2):  # two rounds of refinement; empty parts keep their centroid
         near = np.concatenate([distances(x[a:a + 4096], c).argmin(axis=1) for a in range(0, len(x), 4096)])
         n = np.bincount(near, minlength=len(c))
@@ -74,7 +78,7 @@ class Index:
     """Centroids, their neighbour graph, and the length that all vectors are filled up to."""
 
     def __init__(self, sample: np.ndarray, lists: int, norm: float):
-        self.norm = norm
+        self.norm, self.sample = norm, sample
         self.centroids = balanced_centroids(self.longer(sample), lists)
         n = len(self.centroids)
         near = np.concatenate([np.argsort(distances(self.centroids[a:a + 512], self.centroids), axis=1)[:, 1:_DEGREE + 1] for a in range(0, n, 512)])
@@ -90,6 +94,12 @@ class Index:
     def longer(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(self.norm**2 - (x * x).sum(axis=1), 0))[:, None]])
 
+    def at_least(self, q: np.ndarray, top: int) -> np.ndarray:
+        """A score that the `top` best entries of each query reach, as that many of the sample do."""
+        if len(self.sample) < top:
+            return np.full(len(q), -np.inf)
+        return -np.partition(-(q @ self.sample.T), top - 1, axis=1)[:, top - 1] - 1e-9
+
     def replicas(self, x: np.ndarray):
         """(row, list) of all lists of each vector."""
         d = distances(self.longer(x), self.centroids)
@@ -129,30 +139,74 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
 
 
-def _spread(shared, dim: int, queries: bool, step: int = 512):
-    """Rows of (list, key, ...) for every list of each vector; the other columns go along."""
+class Blocks:
+    """Lists put together with their neighbours into blocks of bounded size; a longer list is a block in several parts."""
+
+    def __init__(self, sizes: dict, lists: int, most: int):
+        n = np.asarray([sizes.get(k, 0) for k in range(lists)], np.int64)
+        self.parts = np.maximum(1, -(-n // most))
+        self.block, now, held = np.zeros(lists, np.int64), 0, 0
+        for k in range(lists):
+            if held and held + n[k] > most:
+                now, held = now + 1, 0
+            self.block[k], held = now, held + n[k]
+        self.block_parts = np.ones(now + 1, np.int64)
+        np.maximum.at(self.block_parts, self.block, self.parts)
+
+
+def _put(shared, blocks, dim: int, step: int = 512):
+    """A row of (block, part, ids, vector) for every block of each entry."""
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                row, lists = shared.value.replicas(_matrix(part.column("vector"), dim))
+                pair = np.unique(row * len(blocks.block_parts) + blocks.block[lists])
+                row, block = pair // len(blocks.block_parts), pair % len(blocks.block_parts)
+                piece = np.asarray(part.column("key").to_numpy())[row] % blocks.block_parts[block]
+                out = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(piece.astype(np.int32)), out.column("ids"), out.column("vector")],
+                                                 names=["block", "i", "ids", "vector"])
+    return run
+
+
+def _lists(shared, dim: int, step: int = 512):
+    """The lists of each entry, to count them."""
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                _, lists = shared.value.replicas(_matrix(batch.slice(a, step).column("vector"), dim))
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32))], names=["list"])
+    return run
+
+
+def _look(shared, blocks, dim: int, top: int, step: int = 512):
+    """A row of (block, part, key, least, vector) for every part of the blocks that each query reads."""
     def run(batches):
-        index = shared.value
         for batch in batches:
             for a in range(0, batch.num_rows, step):
                 part = batch.slice(a, step)
                 x = _matrix(part.column("vector"), dim)
-                row, lists = index.search(x) if queries else index.replicas(x)
+                row, lists = shared.value.search(x)
+                pair = np.unique(row * len(blocks.block_parts) + blocks.block[lists])
+                row, block = pair // len(blocks.block_parts), pair % len(blocks.block_parts)
+                n = blocks.block_parts[block]
+                piece = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                row, block = np.repeat(row, n), np.repeat(block, n)
                 out = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *out.columns], names=["list", *out.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(piece.astype(np.int32)), out.column("key"),
+                                                  pa.array(shared.value.at_least(x, top)[row]), out.column("vector")], names=["block", "i", "key", "least", "vector"])
     return run
 
 
-def best_of_block(query_keys, q: np.ndarray, ids, v: np.ndarray, top: int, step: int = 256):
-    """(query key, entry, score) of the `top` entries of each query: largest scores first, ties to the smaller id."""
-    first = np.asarray([i[0] for i in ids])
+def best_of_block(query_keys, q: np.ndarray, floor: np.ndarray, first: np.ndarray, v: np.ndarray, top: int, step: int = 256):
+    """(query key, entry, score) of the `top` entries of each query that reach its floor: largest scores first, ties to the smaller id."""
     out = []
     for a in range(0, len(q), step):
         s = q[a:a + step] @ v.T
+        least = floor[a:a + step]
         if s.shape[1] > top:
-            least = -np.partition(-s, top - 1, axis=1)[:, top - 1]
-        else:
-            least = np.full(len(s), -np.inf)
+            least = np.maximum(least, -np.partition(-s, top - 1, axis=1)[:, top - 1])
         row, col = np.nonzero(s >= least[:, None])
         order = np.lexsort((first[col], -s[row, col], row))
         row, col = row[order], col[order]
@@ -169,9 +223,10 @@ def _block(dim: int, top: int):
         if not queries.num_rows or not entries.num_rows:
             return schema.empty_table()
         ids = entries.column("ids").to_pylist()
-        found = best_of_block(queries.column("key").to_pylist(), _matrix(queries.column("vector"), dim), ids, _matrix(entries.column("vector"), dim), top)
+        found = best_of_block(queries.column("key").to_pylist(), _matrix(queries.column("vector"), dim), queries.column("least").to_numpy(),
+                              np.asarray([i[0] for i in ids]), _matrix(entries.column("vector"), dim), top)
         rows = [(query, i, score) for query, k, score in found for i in ids[k]]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema) if rows else schema.empty_table()
     return run
 
 
@@ -217,18 +272,17 @@ def nearest(vectors: DataFrame, is_query: Column | None = None, top: int = TOP,
 
     asked = rows.where(is_query).withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64("vector", F.lit(1)))
     queries = stage.keep(asked.groupBy("h1", "h2").agg(F.min("vec_id").alias("key"), F.first("vector").alias("vector")), "queries")
-    put = entries.select("key", "vector", "ids").mapInArrow(_spread(shared, dim, False), "list int, key long, vector array<float>, ids array<long>")
-    look = queries.select("key", "vector").mapInArrow(_spread(shared, dim, True), "list int, key long, vector array<float>")
-
-    # blocks of bounded size: a long list is cut, its queries go to every part, and the other way round
-    parts = (put.groupBy("list").agg(F.count(F.lit(1)).alias("n")).join(look.groupBy("list").agg(F.count(F.lit(1)).alias("m")), "list")
-             .select("list", F.ceil(F.col("n") / block).cast("int").alias("n"), F.ceil(F.col("m") / block).cast("int").alias("m")))
-    parts = F.broadcast(stage.keep(parts, "parts"))  # a row a list
-    own, every = F.pmod(F.xxhash64("key"), F.col("n")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    put = put.join(parts, "list").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    look = look.join(parts, "list").withColumn("j", F.pmod(F.xxhash64("key"), F.col("m")).cast("int")).withColumn("i", every)
-    left, right = look.select("list", "i", "j", "key", "vector"), put.select("list", "i", "j", "ids", "vector")
-    found = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInArrow(_block(dim, top + 1), "query long, vec_id long, score double")
+    # neighbouring lists form blocks of bounded size; the sizes are a number a list, MOST_LISTS at most
+    sizes = {r[0]: r[1] for r in entries.select("vector").mapInArrow(_lists(shared, dim), "list int").groupBy("list").count().collect()}
+    blocks = Blocks(sizes, len(shared.value.centroids), block)
+    put = entries.select("key", "vector", "ids").mapInArrow(_put(shared, blocks, dim), "block int, i int, ids array<long>, vector array<float>")
+    look = queries.select("key", "vector").mapInArrow(_look(shared, blocks, dim, top + 1), "block int, i int, key long, least double, vector array<float>")
+    asking = stage.keep(look.groupBy("block").agg(F.count(F.lit(1)).alias("m")).select("block", F.ceil(F.col("m") / block).cast("int").alias("m")), "asking")
+    asking = F.broadcast(asking)  # a row a block
+    put = put.join(asking, "block").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    look = look.join(asking, "block").withColumn("j", F.pmod(F.xxhash64("key"), F.col("m")).cast("int"))
+    left, right = look.select("block", "i", "j", "key", "least", "vector"), put.select("block", "i", "j", "ids", "vector")
+    found = left.groupBy("block", "i", "j").cogroup(right.groupBy("block", "i", "j")).applyInArrow(_block(dim, top + 1), "query long, vec_id long, score double")
 
     found = found.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     order = [F.desc("score"), F.asc("vec_id")]
@@ -247,9 +301,9 @@ def recall(found: DataFrame, vectors: DataFrame, query_ids: list[int], top: int
 
     def run(batches):
         for batch in batches:
-            ids = [[i] for i in batch.column("vec_id").to_pylist()]
-            best = best_of_block(keys, q, ids, _matrix(batch.column("vector"), dim), top + 1)
-            yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in best], pa.int64()), pa.array([ids[b[1]][0] for b in best], pa.int64()), pa.array([b[2] for b in best], pa.float64())], names=["query_id", "vec_id", "score"])
+            ids = np.asarray(batch.column("vec_id").to_pylist(), np.int64)
+            best = best_of_block(keys, q, np.full(len(q), -np.inf), ids, _matrix(batch.column("vector"), dim), top + 1)
+            yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in best], pa.int64()), pa.array([int(ids[b[1]]) for b in best], pa.int64()), pa.array([b[2] for b in best], pa.float64())], names=["query_id", "vec_id", "score"])
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     true = (rows.mapInArrow(run, "query_id long, vec_id long, score double").where("vec_id <> query_id")
             .withColumn("r", F.row_number().over(window)).where(F.col("r") <= top).select("query_id", "vec_id"))
