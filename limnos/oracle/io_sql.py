@@ -15,7 +15,14 @@ SELECT CAST(station_id AS VARCHAR) AS station_id, station_name AS "Station Name"
   electric_conductivity_umho_cm AS "Electric Conductivity (umho/cm)", class AS "Class", source_file FROM raw""",
     "snk_tables": LIVE.split(", feed AS (")[0] + """
 SELECT station_id, sampling_date, available_compliance_label, risk_score, predicted_non_compliant, month
-FROM predictions WHERE month = 'August'""",
+FROM predictions""",
     "st_ingest": LIVE + "SELECT event_id, station_id, parameter, value_numeric, is_numeric_value FROM rl",
     "st_latest": LSQL["win_latest"],
+    "st_alerts": LSQL["alr_live"],
+    "st_stale_stream": LIVE + """
+, t AS (SELECT DISTINCT station_id, timestamp FROM rl),
+n AS (SELECT station_id, timestamp, lead(timestamp) OVER (PARTITION BY station_id ORDER BY timestamp) AS next_timestamp FROM t)
+SELECT station_id, timestamp AS latest_timestamp, next_timestamp, 'Live Stale Data Alert' AS alert_type, 'Warning' AS severity,
+  'Live data is older than 24 hours.' AS reason
+FROM n WHERE coalesce(next_timestamp, (SELECT max(timestamp) FROM t)) > timestamp + INTERVAL 24 HOURS""",
 }

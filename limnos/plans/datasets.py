@@ -6,8 +6,9 @@ input location as parquet tables under the shared checkpoint folder
 (``spark.checkpoint.dir``) and read back by every downstream query: this cuts
 the lineage (a lost executor never forces a recompute from raw events),
 lets later filters prune by ``source_file`` partition, and keeps each query's
-plan to its own work.  The storage key includes a hash of the binding code,
-so a change to the binding derives a fresh table instead of reusing a stale one.
+plan to its own work.  The storage key has a hash of the binding code and of the
+input files (names, sizes, times), so a changed binding or a grown input derives
+a fresh table instead of reusing a stale one.
 """
 
 from __future__ import annotations
@@ -31,8 +32,13 @@ def _tag(sf: str) -> str:
     return re.sub(r"[^A-Za-z0-9.]+", "_", sf.strip("/"))
 
 
+def input_key(spark: SparkSession, sf: str) -> str:
+    """Changes whenever a file of the tables that the bindings read does."""
+    return FS.input_key(spark, [f"{sf.rstrip('/')}/{t}.parquet" for t in bindings.TABLES])
+
+
 def materialized(spark: SparkSession, sf: str, name: str, build, partition_by: str | None = None) -> DataFrame:
-    path = FS.scratch_path(spark, "tables", _tag(sf), f"{name}-{_CODE_KEY}")
+    path = FS.scratch_path(spark, "tables", _tag(sf), f"{name}-{_CODE_KEY}-{input_key(spark, sf)}")
 
     def write(p):
         w = build().write.mode("overwrite")

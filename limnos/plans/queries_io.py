@@ -9,9 +9,6 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import functions as F
-
-from ..operators import live as LV
 from ..sources import bindings as B
 from ..sources import files as FS
 from ..streaming import live as ST
@@ -30,12 +27,12 @@ def _tag(sf):
 
 
 def _json_drop(spark, sf):
-    path = FS.scratch_path(spark, "stage", _tag(sf), "live_json_v2")
+    path = FS.scratch_path(spark, "stage", _tag(sf), f"live_json-{D.input_key(spark, sf)}")
     return FS.stage_once(spark, path, lambda p: FS.write_json_drop(B.live_feed(spark, sf), p))
 
 
 def _csv_dir(spark, sf):
-    path = FS.scratch_path(spark, "stage", _tag(sf), "raw_csv_v2")
+    path = FS.scratch_path(spark, "stage", _tag(sf), f"raw_csv-{D.input_key(spark, sf)}")
     return FS.stage_once(spark, path, lambda p: FS.write_csv_dir(B.raw_uploads(spark, sf), p))
 
 
@@ -60,42 +57,31 @@ def snk_tables(spark, sf):
     pred = D.predictions(spark, sf).select("station_id", "sampling_date", "month", "available_compliance_label",
                                            "risk_score", "predicted_non_compliant")
     FS.write_partitioned(pred, path, "month")
-    # partition pruning: only the month=August folder is listed and read
-    return spark.read.parquet(path).where(F.col("month") == "August")
+    return spark.read.parquet(path)
 
 
 def _stream(spark, sf):
     out = FS.scratch_path(spark, "stream", _tag(sf), uuid.uuid4().hex[:12])
-    return ST.run_latest_state(spark, _json_drop(spark, sf), out, max_files=10)
+    return ST.run_live(spark, _json_drop(spark, sf), out, max_files=10)
 
 
 @q
 def st_ingest(spark, sf):
-    paths = _stream(spark, sf)
-    return spark.read.parquet(paths["readings"]).select("event_id", "station_id", "parameter", "value_numeric",
-                                                        "is_numeric_value")
+    return ST.readings(spark, _stream(spark, sf)).select("event_id", "station_id", "parameter", "value_numeric",
+                                                         "is_numeric_value")
 
 
 @q
 def st_latest(spark, sf):
-    paths = _stream(spark, sf)
-    return ST.current_state(spark, paths["changelog"]).select(
+    return ST.current_state(spark, _stream(spark, sf)).select(
         "station_id", "parameter", "latest_timestamp", "latest_value", "latest_value_text")
 
 
 @q
 def st_alerts(spark, sf):
-    paths = _stream(spark, sf)
-    return ST.current_alerts(spark, paths["alerts"])
-
-
-def batch_alerts(spark, sf):
-    r = LV.ingest(B.live_feed(spark, sf))
-    return LV.live_alerts(LV.live_predictions(LV.live_state(r)), r.select(F.max("timestamp")).scalar())
+    return ST.current_alerts(spark, _stream(spark, sf))
 
 
 @q
 def st_stale_stream(spark, sf):
-    out = FS.scratch_path(spark, "stream", _tag(sf), uuid.uuid4().hex[:12])
-    path = ST.stale_alerts_stream(spark, _json_drop(spark, sf), out, max_files=5)
-    return spark.read.schema(ST.STALE_OUT).parquet(path)
+    return ST.current_stale(spark, _stream(spark, sf))

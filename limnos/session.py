@@ -9,6 +9,7 @@ and only fills in a checkpoint directory when the cluster has not named one.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,31 +44,24 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint directory named by the cluster (spark.checkpoint.dir).
+    """Return the shared folder that the cluster names in spark.checkpoint.dir, set as the context's checkpoint folder.
 
-    Only when it is unset (tests, a laptop) a scratch directory is created and
-    registered; on a cluster the shared folder configured there is used as is.
+    Where it is unset, a local session (tests, a laptop) gets a scratch folder of its own; a cluster has to name one.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
-        spark.sparkContext.setCheckpointDir(conf_dir)
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            context.setCheckpointDir(conf_dir)
         return conf_dir
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="limnos-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    context.setCheckpointDir(local)
     return local
 
 
-def cut_lineage(df):
-    """Reliable checkpoint (survives executor loss); never a local checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 BROADCAST_MAX_ROWS = 100_000
 
 

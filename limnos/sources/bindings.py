@@ -27,6 +27,8 @@ from .tables import table
 # FIXED VALUES: event_type -> parameter of the sensor binding
 EVENT_PARAMETER = [("error", "dissolved_oxygen"), ("click", "bod"), ("view", "ph"),
                    ("purchase", "temperature"), ("signup", "conductivity")]
+#: The given tables that the bindings read.
+TABLES = ["events", "supplier", "nation", "region", "part", "lineitem"]
 SAMPLE_PARAMS = ["dissolved_oxygen", "bod", "ph", "temperature", "conductivity"]
 
 

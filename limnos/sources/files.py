@@ -6,6 +6,7 @@ All paths live under the shared checkpoint folder the cluster names in
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,11 +79,42 @@ def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(
-        jvm.org.apache.hadoop.fs.Path(posixpath.join(path, "_SUCCESS")))
+    fs, p = _fs(spark, posixpath.join(path, "_SUCCESS"))
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def epochs(spark: SparkSession, path: str) -> list[int]:
+    """Finished `epoch=N` folders of a table, in order."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("epoch=") and path_exists(spark, posixpath.join(path, n)))
+
+
+def input_key(spark: SparkSession, paths) -> str:
+    """A digest of the files under the paths (names, sizes, times): a table derived from them is fresh while it is the same."""
+    found = []
+    for path in sorted(paths):
+        fs, p = _fs(spark, path)
+        if not fs.exists(p):
+            continue
+        listing = fs.listFiles(p, True)
+        while listing.hasNext():
+            s = listing.next()
+            found.append(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()[:12]
 
 
 def stage_once(spark: SparkSession, path: str, writer) -> str:

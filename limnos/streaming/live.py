@@ -2,164 +2,163 @@
 
 readStream(JSON drop dir, declared schema)
   -> st_ingest projection (canonical parameter, numeric value)
-  -> watermark + dropDuplicatesWithinWatermark(station, parameter, timestamp)
   -> foreachBatch:
-       * changelog: per (station, parameter) latest value / text / metadata of the
-         micro batch with their ordering keys, written to `epoch=<batchId>` with
-         overwrite, so a re-executed batch (lost executor, restart from the
-         checkpoint) rewrites the same folder: idempotent.
-       * alerts for the stations that changed in this batch: their state is the
-         merge of the changelog rows of those stations only (no reading history
-         is re-read), then the batch operators run unchanged.
-The current state is the latest row per key over the changelog (late, older
-readings lose by (timestamp, event_id)).
-
-``stale_alerts_stream`` is the keyed-state staleness rule: one state per
-station holding its newest reading time and an event-time timeout 24 h later;
-when the watermark passes it the station emits a stale alert.
+       * readings log: the batch's readings, one folder per epoch;
+       * state: latest value / text / metadata per (station, parameter) with
+         their ordering keys, merged with the state of the epoch before and
+         written as this epoch's whole state;
+       * day bounds: first and last reading time per (station, day), merged
+         the same way;
+       * alerts: the batch operator over the whole state, as of the newest
+         event time seen.
+
+Nothing depends on the order or the size of the batches: there is no watermark,
+so a late reading is never discarded, and every merge is a maximum or minimum
+over (timestamp, event_id) keys.  An epoch's folders are overwritten when it is
+executed again, and read only the epoch before, so a restart gives the same
+tables.  State and bounds grow with stations and station-days, not with the
+number of batches; folders of epochs that no restart can need are removed.
 """
 
 from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import live as LV
 from ..sources import files
 
 META = ["station_no", "station_name", "state", "latitude", "longitude"]
+READING_KEY = ["station_id", "parameter", "timestamp"]
+STALE_AFTER = "INTERVAL 24 HOURS"
 
 
-def ingest_stream(spark: SparkSession, drop_dir: str, max_files: int = 10, delay: str = "24 hours") -> DataFrame:
+def ingest_stream(spark: SparkSession, drop_dir: str, max_files: int = 10) -> DataFrame:
     raw = (spark.readStream.schema(files.LIVE_SCHEMA).option("maxFilesPerTrigger", max_files)
            .option("timestampNTZFormat", files.TS_FORMAT).option("recursiveFileLookup", True).json(drop_dir))
-    # watermarks need an instant type: event_time is the reading time as TIMESTAMP
-    return (LV.ingest(raw).withColumn("event_time", F.col("timestamp").cast("timestamp"))
-            .withWatermark("event_time", delay)
-            .dropDuplicatesWithinWatermark(["station_id", "parameter", "timestamp"]))
+    return LV.ingest(raw)
 
 
 def _key():
     return F.struct("timestamp", "event_id")
 
 
-def _batch_latest(batch: DataFrame) -> DataFrame:
+def batch_latest(batch: DataFrame) -> DataFrame:
     """Per-key latest inside one micro batch, keeping the ordering keys for later merges."""
     vkey = F.when(F.col("value_numeric").isNotNull(), _key())
     tkey = F.when(F.col("value").isNotNull(), _key())
     return batch.groupBy("station_id", "parameter").agg(
-        F.max("timestamp").alias("latest_timestamp"),
-        F.max_by("event_id", _key()).alias("latest_event_id"),
-        F.max_by("value_numeric", vkey).alias("latest_value"),
-        F.max_by(F.struct("timestamp", "event_id"), vkey).alias("value_key"),
-        F.max_by("value", tkey).alias("latest_value_text"),
-        F.max_by(F.struct("timestamp", "event_id"), tkey).alias("text_key"),
+        F.max(_key()).alias("row_key"),
+        F.max_by("value_numeric", vkey).alias("latest_value"), F.max(vkey).alias("value_key"),
+        F.max_by("value", tkey).alias("latest_value_text"), F.max(tkey).alias("text_key"),
         *[F.max_by(c, F.when(F.col(c).isNotNull(), _key())).alias(c) for c in META],
-        *[F.max_by(F.struct("timestamp", "event_id"), F.when(F.col(c).isNotNull(), _key())).alias(f"{c}_key")
-          for c in META])
-
-
-def merge_changelog(ch: DataFrame) -> DataFrame:
-    """Latest per (station, parameter) over all changelog epochs."""
-    row_key = F.struct("latest_timestamp", "latest_event_id")
-    return ch.groupBy("station_id", "parameter").agg(
-        F.max("latest_timestamp").alias("latest_timestamp"),
-        F.max_by("latest_value", "value_key").alias("latest_value"),
-        F.max_by("latest_value_text", "text_key").alias("latest_value_text"),
-        F.max_by("station_name", row_key).alias("station_name"),
-        *[F.max_by(c, f"{c}_key").alias(f"_m_{c}") for c in META],
-        *[F.max(f"{c}_key").alias(f"_k_{c}") for c in META])
-
-
-def state_from_changelog(ch: DataFrame) -> DataFrame:
-    """Live station state (as LV.live_state) from changelog rows."""
-    merged = merge_changelog(ch)
-    latest = merged.select("station_id", "parameter", "latest_timestamp", "latest_value", "latest_value_text")
-    meta = merged.groupBy("station_id").agg(
-        *[F.max_by(f"_m_{c}", f"_k_{c}").alias(c) for c in META], F.max("latest_timestamp").alias("latest_timestamp"))
+        *[F.max(F.when(F.col(c).isNotNull(), _key())).alias(f"{c}_key") for c in META])
+
+
+def merge_latest(parts: DataFrame) -> DataFrame:
+    """One row per (station, parameter): each column from the part with the newest key."""
+    return parts.groupBy("station_id", "parameter").agg(
+        F.max("row_key").alias("row_key"),
+        F.max_by("latest_value", "value_key").alias("latest_value"), F.max("value_key").alias("value_key"),
+        F.max_by("latest_value_text", "text_key").alias("latest_value_text"), F.max("text_key").alias("text_key"),
+        *[F.max_by(c, f"{c}_key").alias(c) for c in META], *[F.max(f"{c}_key").alias(f"{c}_key") for c in META])
+
+
+def day_bounds(batch: DataFrame) -> DataFrame:
+    return batch.groupBy("station_id", F.to_date("timestamp").alias("day")).agg(
+        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+
+
+def merge_bounds(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("station_id", "day").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def station_state(state: DataFrame) -> DataFrame:
+    """Live station state (as LV.live_state) from the merged latest rows."""
+    latest = state.select("station_id", "parameter", F.col("row_key.timestamp").alias("latest_timestamp"),
+                          "latest_value", "latest_value_text")
+    meta = state.groupBy("station_id").agg(
+        *[F.max_by(c, f"{c}_key").alias(c) for c in META], F.max("row_key.timestamp").alias("latest_timestamp"))
     return LV.assemble_state(latest, meta)
 
 
-def run_latest_state(spark: SparkSession, drop_dir: str, out_dir: str, max_files: int = 10,
-                     with_alerts: bool = True) -> dict:
-    """Process everything in the drop dir (availableNow) and return output paths."""
-    changelog = posixpath.join(out_dir, "latest_changelog")
-    readings_log = posixpath.join(out_dir, "readings")
-    alerts_path = posixpath.join(out_dir, "alerts")
-    ckpt = posixpath.join(out_dir, "_checkpoint")
+def alerts_of(state: DataFrame) -> DataFrame:
+    """All alerts of a state as of its newest event time."""
+    as_of = state.select(F.max("row_key.timestamp")).scalar()
+    return LV.live_alerts(LV.live_predictions(station_state(state)), as_of)
+
+
+def _epoch(path: str, epoch: int) -> str:
+    return posixpath.join(path, f"epoch={epoch}")
+
+
+def _merged(spark: SparkSession, path: str, epoch: int, new: DataFrame, merge) -> DataFrame:
+    """Merge with the newest epoch before this one and write it as this epoch's table."""
+    older = [e for e in files.epochs(spark, path) if e < epoch]
+    both = new if not older else new.unionByName(spark.read.schema(new.schema).parquet(_epoch(path, older[-1])))
+    merge(both).select(*new.columns).write.mode("overwrite").parquet(_epoch(path, epoch))
+    for e in older[:-1]:  # the last one is kept: this epoch may be executed again
+        files.remove(spark, _epoch(path, e))
+    return spark.read.schema(new.schema).parquet(_epoch(path, epoch))
+
+
+def run_live(spark: SparkSession, drop_dir: str, out_dir: str, max_files: int = 10) -> dict:
+    """Process everything in the drop dir (availableNow) and return the tables' paths."""
+    paths = {name: posixpath.join(out_dir, name) for name in ("readings", "state", "bounds", "alerts")}
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
         try:
-            (_batch_latest(batch).withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
-             .parquet(posixpath.join(changelog, f"epoch={epoch}")))
-            (batch.drop("event_time").withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
-             .parquet(posixpath.join(readings_log, f"epoch={epoch}")))
-            if with_alerts:
-                changed = batch.select("station_id").distinct()
-                ch = spark.read.parquet(changelog).join(changed, "station_id", "left_semi")
-                state = LV.live_predictions(state_from_changelog(ch))
-                as_of = ch.select(F.max("latest_timestamp")).scalar()
-                (LV.live_alerts(state, as_of).withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
-                 .parquet(posixpath.join(alerts_path, f"epoch={epoch}")))
+            batch.dropDuplicates(READING_KEY).write.mode("overwrite").parquet(_epoch(paths["readings"], epoch))
+            state = _merged(spark, paths["state"], epoch, batch_latest(batch), merge_latest)
+            _merged(spark, paths["bounds"], epoch, day_bounds(batch), merge_bounds)
+            alerts_of(state).write.mode("overwrite").parquet(_epoch(paths["alerts"], epoch))
+            for e in files.epochs(spark, paths["alerts"]):
+                if e < epoch - 1:
+                    files.remove(spark, _epoch(paths["alerts"], e))
         finally:
             batch.unpersist()
 
     q = (ingest_stream(spark, drop_dir, max_files).writeStream.foreachBatch(per_batch)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+         .option("checkpointLocation", posixpath.join(out_dir, "_checkpoint")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return {"changelog": changelog, "readings": readings_log, "alerts": alerts_path}
-
-
-def current_state(spark: SparkSession, changelog: str) -> DataFrame:
-    return merge_changelog(spark.read.parquet(changelog))
-
-
-def current_alerts(spark: SparkSession, alerts_path: str) -> DataFrame:
-    """Alerts of each station from the last batch that recomputed it."""
-    a = spark.read.parquet(alerts_path)
-    last = a.groupBy("station_id").agg(F.max("epoch").alias("epoch"))
-    return a.join(last, ["station_id", "epoch"]).drop("epoch")
-
-
-STALE_OUT = "station_id long, latest_timestamp timestamp, alert_type string, severity string, reason string"
-STALE_STATE = "latest_ms long"
-
-
-def _stale_fn(key, pdfs, state):
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState  # noqa: F401
-    station = key[0]
-    if state.hasTimedOut:
-        (latest_ms,) = state.get
-        state.remove()
-        yield pd.DataFrame({"station_id": [station], "latest_timestamp": [pd.Timestamp(latest_ms, unit="ms")],
-                            "alert_type": ["Live Stale Data Alert"], "severity": ["Warning"],
-                            "reason": ["Live data is older than 24 hours."]})
-        return
-    newest = None
-    for pdf in pdfs:
-        m = pd.to_datetime(pdf["event_time"]).max()
-        newest = m if newest is None or m > newest else newest
-    latest_ms = int(newest.value // 1_000_000)
-    if state.exists:
-        latest_ms = max(latest_ms, state.get[0])
-    state.update((latest_ms,))
-    state.setTimeoutTimestamp(latest_ms + 24 * 3600 * 1000)
-    yield pd.DataFrame({c: [] for c in ["station_id", "latest_timestamp", "alert_type", "severity", "reason"]})
-
-
-def stale_alerts_stream(spark: SparkSession, drop_dir: str, out_dir: str, max_files: int = 10) -> str:
-    """st_stale (stream): keyed state per station with an event-time timeout 24 h after its newest reading."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    path = posixpath.join(out_dir, "stale")
-    s = ingest_stream(spark, drop_dir, max_files, delay="1 hour").select("station_id", "event_time")
-    out = s.groupBy("station_id").applyInPandasWithState(
-        _stale_fn, STALE_OUT, STALE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    q = (out.writeStream.format("parquet").option("path", path)
-         .option("checkpointLocation", posixpath.join(out_dir, "_stale_checkpoint"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return path
+    return paths
+
+
+def _last(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(_epoch(path, files.epochs(spark, path)[-1]))
+
+
+def readings(spark: SparkSession, paths: dict) -> DataFrame:
+    """All readings of the log; one that was delivered again in a later batch counts once (its smallest event_id)."""
+    log = spark.read.parquet(paths["readings"]).drop("epoch")
+    rest = [c for c in log.columns if c not in READING_KEY]
+    return (log.groupBy(*READING_KEY).agg(F.min_by(F.struct(*rest), "event_id").alias("r"))
+            .select(*[F.col(c) if c in READING_KEY else F.col(f"r.{c}").alias(c) for c in log.columns]))
+
+
+def current_state(spark: SparkSession, paths: dict) -> DataFrame:
+    return _last(spark, paths["state"]).withColumn("latest_timestamp", F.col("row_key.timestamp"))
+
+
+def current_alerts(spark: SparkSession, paths: dict) -> DataFrame:
+    """Alerts of the newest epoch; every epoch has those of all stations."""
+    return _last(spark, paths["alerts"])
+
+
+def stale_episodes(bounds: DataFrame) -> DataFrame:
+    """st_stale (stream): a row per station and silence of more than 24 hours; next_timestamp is null while it lasts.
+
+    Readings of one day are less than 24 hours apart, so a silence lies between two day bounds."""
+    as_of = bounds.select(F.max("last")).scalar()
+    w = Window.partitionBy("station_id").orderBy("day")
+    following = bounds.select("station_id", F.col("last").alias("latest_timestamp"), F.lead("first").over(w).alias("next_timestamp"))
+    return (following.where(F.coalesce("next_timestamp", as_of) > F.col("latest_timestamp") + F.expr(STALE_AFTER))
+            .select("station_id", "latest_timestamp", "next_timestamp", F.lit("Live Stale Data Alert").alias("alert_type"),
+                    F.lit("Warning").alias("severity"), F.lit("Live data is older than 24 hours.").alias("reason")))
+
+
+def current_stale(spark: SparkSession, paths: dict) -> DataFrame:
+    return stale_episodes(_last(spark, paths["bounds"]))
