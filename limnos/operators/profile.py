@@ -4,9 +4,9 @@ Design: every profile is ONE aggregate pass with many expressions (no
 per-column groupBy loop), followed by ``unpivot`` when a long table is
 wanted.  Group keys are low-cardinality (source, state, basin, label), so
 map-side partial aggregation shrinks each task to a handful of rows before
-the shuffle.  Exact percentiles use Spark's ``percentile`` whose buffer is a
-value->count map: its size is bounded by the distinct values of a
-measurement (finite instrument precision), not by the row count.
+the shuffle.  Exact percentiles are read off exact ranks of the distinct values
+(``exact_percentiles``): values are range-bucketed and ranked inside buckets, so
+no group's values ever sit in one buffer.
 """
 
 from __future__ import annotations
@@ -95,32 +95,34 @@ def nonnull_counts(df: DataFrame, cols, keys=()) -> DataFrame:
     return wide.unpivot(list(keys) + ["_rows"], list(cols), "parameter", "non_null_count")
 
 
+def _values(df: DataFrame, cols, keys=()) -> DataFrame:
+    """(keys, parameter, v) of the non-null values of the columns."""
+    return df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("parameter"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")
+    ).select(*keys, "x.*").where(F.col("v").isNotNull())
+
+
 def describe(df: DataFrame, cols) -> DataFrame:
     """agg_describe: mean, median, std, min, max, bias-corrected skewness per column."""
     parts = []
     for c in cols:
         n = F.count(c)
         parts.append(F.struct(
-            F.lit(c).alias("parameter"), n.alias("count"), exact_mean(c).alias("mean"),
-            F.median(c).alias("median"), F.stddev_samp(c).alias("std"),
+            F.lit(c).alias("parameter"), n.alias("count"), exact_mean(c).alias("mean"), F.stddev_samp(c).alias("std"),
             F.min(c).alias("min"), F.max(c).alias("max"),
             F.when(n > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew")).alias(c))
-    wide = df.agg(*parts)
-    return wide.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("s")).select("s.*")
+    long = df.agg(*parts).select(F.explode(F.array(*[F.col(c) for c in cols])).alias("s")).select("s.*")
+    medians = exact_percentiles(_values(df, cols), "parameter", "v", {"median": 0.5}).select("parameter", "median")
+    # one row per column on both sides
+    return long.join(F.broadcast(medians), "parameter", "left").select("parameter", "count", "mean", "median", "std", "min", "max", "skew")
 
 
 def iqr_outliers(df: DataFrame, cols) -> DataFrame:
     """agg_iqr_outliers: 1.5 IQR bounds per column, outlier count and %."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in cols])
-    bounds = q.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("parameter"), F.col(c)[0].alias("q1"), F.col(c)[1].alias("q3"))
-        for c in cols])).alias("b")).select("b.*")
-    bounds = bounds.select("parameter", "q1", "q3",
-                           (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_bound"),
-                           (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper_bound"))
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("parameter"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")
-    ).select("x.*").where(F.col("v").isNotNull())
+    long = _values(df, cols)
+    bounds = exact_percentiles(long, "parameter", "v", {"q1": 0.25, "q3": 0.75}).select(
+        "parameter", "q1", "q3", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_bound"),
+        (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper_bound"))
     # bounds: one row per column -> a proven-size broadcast
     j = long.join(F.broadcast(bounds), "parameter")
     return j.groupBy("parameter", "q1", "q3", "lower_bound", "upper_bound").agg(
@@ -129,15 +131,15 @@ def iqr_outliers(df: DataFrame, cols) -> DataFrame:
                                  (F.col("outliers") * 100.0 / F.col("_n")).alias("outlier_pct"))
 
 
-def five_number(df: DataFrame, cols, by: str) -> DataFrame:
-    """agg_five_number: min, q1, median, q3, max per column and group."""
-    long = df.select(by, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("parameter"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")
-    ).select(by, "x.*").where(F.col("v").isNotNull())
-    p = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long.groupBy(by, "parameter").agg(F.min("v").alias("min"), p.alias("_p"), F.max("v").alias("max")) \
-        .select(by, "parameter", "min", F.col("_p")[0].alias("q1"), F.col("_p")[1].alias("median"),
-                F.col("_p")[2].alias("q3"), "max")
+def five_number(df: DataFrame, cols, by: str, log1p: bool = False) -> DataFrame:
+    """agg_five_number: min, q1, median, q3, max per column and group; log1p: of log(1 + value), values above -1 only."""
+    long = _values(df, cols, (by,))
+    if log1p:
+        long = long.where("v > -1").withColumn("v", F.log1p("v"))
+    long = long.withColumn("k", F.struct(by, "parameter"))
+    ends = long.groupBy("k").agg(F.min("v").alias("min"), F.max("v").alias("max"))
+    p = exact_percentiles(long, "k", "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("_n")
+    return ends.join(p, "k").select("k.*", "min", "q1", "median", "q3", "max")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
@@ -166,23 +168,20 @@ def pearson(df: DataFrame, cols) -> DataFrame:
         for a, b in pairs])).alias("p")).select("p.*")
 
 
-def rank_long(df: DataFrame, group: str, col: str, buckets: int = 256, sums=()) -> DataFrame:
-    """Exact average (tie-corrected) rank of every DISTINCT value of ``col`` within each ``group``,
-    without a global window.
-
-    Per group, values are range-bucketed by approximate quantile splits
-    (``percentile_approx``: a bounded sketch per group, joined as a small
-    table); a value always lands in one bucket, so ties never straddle buckets
-    and the ranks stay exact.  Ranks inside a bucket come from a window
-    partitioned by (group, bucket); bucket offsets from a running sum over
-    <= ``buckets`` rows per group.
+def _cumulative(df: DataFrame, group: str, col: str, buckets: int, sums=()) -> DataFrame:
+    """Distinct values with their count `_c` and the count `_cum` of values up to and with them, per group.
+
+    Values are range-bucketed by approximate quantile splits (``percentile_approx``: a bounded sketch per
+    group, joined as a small table); a value always lands in one bucket, so ties never straddle buckets and
+    the counts stay exact.  They are summed by a window inside (group, bucket), and over at most ``buckets``
+    rows per group.
     """
     v = F.col(col)
     counts = df.where(v.isNotNull()).groupBy(group, col).agg(
         _n().alias("_c"), *[F.sum(x).alias(f"_s_{x}") for x in sums])
     qs = [i / buckets for i in range(1, buckets)]
     bounds = counts.groupBy(group).agg(F.percentile_approx(col, qs, 10000).alias("_bounds"))
-    # bounds: one row per group (bounded) -> broadcast
+    # groups are parameters, basins, rivers of a top list: few rows of at most `buckets` numbers each
     c2 = counts.join(F.broadcast(bounds), group).withColumn(
         "_bk", F.size(F.filter("_bounds", lambda b: b < v))).drop("_bounds")
     off = (c2.groupBy(group, "_bk").agg(F.sum("_c").alias("_bt"))
@@ -190,9 +189,31 @@ def rank_long(df: DataFrame, group: str, col: str, buckets: int = 256, sums=())
                Window.partitionBy(group).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)),
                F.lit(0)).alias("_off")))
     w = Window.partitionBy(group, "_bk").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    return (c2.join(F.broadcast(off), [group, "_bk"])
-            .withColumn("_rank", F.col("_off") + F.sum("_c").over(w) - (F.col("_c") - 1) / 2.0)
-            .drop("_bk", "_off"))
+    return c2.join(F.broadcast(off), [group, "_bk"]).withColumn("_cum", F.col("_off") + F.sum("_c").over(w)).drop("_bk", "_off")
+
+
+def rank_long(df: DataFrame, group: str, col: str, buckets: int = 256, sums=()) -> DataFrame:
+    """Exact average (tie-corrected) rank of every DISTINCT value of ``col`` within each ``group``,
+    without a global window."""
+    return (_cumulative(df, group, col, buckets, sums)
+            .withColumn("_rank", F.col("_cum") - (F.col("_c") - 1) / 2.0).drop("_cum"))
+
+
+def exact_percentiles(df: DataFrame, group: str, col: str, points: dict, buckets: int = 256) -> DataFrame:
+    """Exact percentiles (linear between neighbours) of ``col`` per ``group``: (group, _n, a column per point).
+
+    The value at place k of the sorted rows is the distinct value whose counts reach over k."""
+    cum = _cumulative(df, group, col, buckets)
+    n = df.where(F.col(col).isNotNull()).groupBy(group).agg(_n().alias("_n"))
+    j = cum.join(F.broadcast(n), group)
+    first, last = F.col("_cum") - F.col("_c"), F.col("_cum") - 1
+    place = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in points.items()}
+
+    def at(k):
+        return F.max(F.when((first <= k) & (k <= last), F.col(col)))
+    out = j.groupBy(group, "_n").agg(*[a for name, p in place.items() for a in (at(F.floor(p)).alias(f"_lo_{name}"), at(F.ceil(p)).alias(f"_hi_{name}"))])
+    return out.select(group, "_n", *[
+        (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (p - F.floor(p))).alias(name) for name, p in place.items()])
 
 
 def rank_table(df: DataFrame, col: str, buckets: int = 256, sums=()) -> DataFrame:
@@ -201,12 +222,6 @@ def rank_table(df: DataFrame, col: str, buckets: int = 256, sums=()) -> DataFram
     return rank_long(g, "_g", col, buckets, sums).drop("_g")
 
 
-def average_ranks(df: DataFrame, col: str, key: str) -> DataFrame:
-    """Average rank of each row's value (joined back from the distinct-value rank table)."""
-    ranks = rank_table(df, col).select(col, F.col("_rank").alias(f"{col}_rank"))
-    return df.select(key, col).join(ranks, col, "left").select(key, f"{col}_rank")
-
-
 def spearman(df: DataFrame, cols, key: str) -> DataFrame:
     """agg_spearman: Pearson correlation of average ranks over rows with all values present.
 
@@ -232,6 +247,9 @@ def baseline(df: DataFrame, params=PARAMS, top_k: int = 50) -> DataFrame:
     kept = df.join(F.broadcast(top), "river_name", "left_semi")
     long = kept.unpivot(["state_name", "river_name"], list(params), "parameter", "value") \
         .where(F.col("value").isNotNull())
-    return long.groupBy("state_name", "river_name", "parameter").agg(
-        _n().alias("count"), exact_mean("value").alias("mean"), F.median("value").alias("median"),
+    keyed = long.withColumn("k", F.struct("state_name", "river_name", "parameter"))
+    stats = keyed.groupBy("k").agg(
+        _n().alias("count"), exact_mean("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    medians = exact_percentiles(keyed, "k", "value", {"median": 0.5})
+    return stats.join(medians, "k").select("k.*", "count", "mean", "median", "std", "min", "max")

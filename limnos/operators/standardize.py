@@ -9,10 +9,12 @@ aggregate + ``unpivot``, so the planner sees a single projection per table.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import vocabulary as V
 from ..functions import cleaning as C
 from ..functions import text as T
 
@@ -47,18 +49,10 @@ NUMERIC = ["dissolved_oxygen", "bod", "ph", "temperature", "conductivity", "nitr
 
 
 def snake_names(columns) -> list[str]:
-    """std_coalesce names: lower, non-alnum -> `_`, squeeze, strip; repeats numbered `_1`, `_2`."""
-    seen: dict[str, int] = {}
-    out = []
-    for c in columns:
-        s = re.sub(r"_+", "_", re.sub(r"[^a-zA-Z0-9]", "_", str(c).strip().lower())).strip("_")
-        if s not in seen:
-            seen[s] = 1
-            out.append(s)
-        else:
-            out.append(f"{s}_{seen[s]}")
-            seen[s] += 1
-    return out
+    """std_coalesce names: the runs of letters and digits joined by `_`; the k-th repeat of a name ends with `_k`."""
+    names = ["_".join(re.findall("[a-z0-9]+", str(c).lower())) for c in columns]
+    repeats = [names[:k].count(n) for k, n in enumerate(names)]
+    return [f"{n}_{r}" if r else n for n, r in zip(names, repeats)]
 
 
 def coalesce_plan(columns) -> dict[str, list[str]]:
@@ -88,79 +82,91 @@ def clean_numeric(df: DataFrame, cols=NUMERIC) -> DataFrame:
     return df.select(*[C.clean_basic(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-# FIXED VALUES: alias table (alnum-only lower names) for the columns the binding produces;
-# the table is a parameter of the mapper, not a closed list.
-ALIASES = {
-    "dissolved_oxygen": ("core", ["do", "domgl", "dissolvedoxygen", "dissolvedoxygenmgl", "dissolvedoxygenmin"]),
-    "bod": ("core", ["bod", "bodmgl", "biochemicaloxygendemand"]),
-    "ph": ("core", ["ph", "phvalue"]),
-    "conductivity": ("physical", ["conductivity", "electricconductivityumhocm", "ec"]),
-    "station_name": ("metadata", ["stationname", "monitoringlocation", "location"]),
-    "river_name": ("metadata", ["nameofwaterbody", "rivername", "waterbodyname"]),
-    "sampling_date": ("metadata", ["date", "samplingdate"]),
-    "temperature": ("physical", ["temperature", "temp"]),
-}
-METALS = ["arsenic", "cadmium", "chromium", "copper", "iron", "lead", "manganese", "mercury", "nickel",
-          "zinc", "boron"]
-
-
-def map_column(name: str):
-    """std_alias_map: (canonical, method, confidence, group) for one raw column name, or None."""
-    a = re.sub(r"[^a-zA-Z0-9]", "", str(name).lower())
-    if a == "class":
-        return None
-    for canon, (group, aliases) in ALIASES.items():
-        if a in aliases:
-            return canon, "Alias Match", "High", group
-    if a.endswith("mgl"):
-        for m in METALS:
-            if a.startswith(m):
-                return m, "Suffix Match", "Medium", "chemical"
-    if a.startswith("temperature"):
-        return "temperature", "Prefix Match", "Medium", "physical"
-    return None
-
-
-def alias_audit(raw: DataFrame, data_cols) -> DataFrame:
-    """Mapping audit: per source x mapped column non-null count and min/max example values
-    (bounded examples: two algebraic aggregates instead of a per-group value list)."""
-    spark = raw.sparkSession
-    snake = snake_names(raw.columns)
-    meta = []
-    for orig, sn in zip(raw.columns, snake):
-        if orig not in data_cols:
-            continue
-        m = map_column(orig)
-        if m:
-            meta.append((orig, sn, m[0], m[1], m[2], m[3]))
-    # one aggregate for every column: count + min + max, then unpivot into rows
-    aggs = []
-    for orig, *_ in meta:
-        aggs += [F.count(F.col(f"`{orig}`")).alias(f"n::{orig}"), F.min(F.col(f"`{orig}`")).alias(f"lo::{orig}"),
-                 F.max(F.col(f"`{orig}`")).alias(f"hi::{orig}")]
-    wide = raw.groupBy("source_file").agg(*aggs)
-    long = wide.select("source_file", F.explode(F.array(*[
-        F.struct(F.lit(orig).alias("original_column"), F.col(f"`n::{orig}`").alias("non_null_count"),
-                 F.array_join(F.array_distinct(F.array_compact(F.array(F.col(f"`lo::{orig}`"), F.col(f"`hi::{orig}`")))),
-                              " | ").alias("example_values"))
-        for orig, *_ in meta])).alias("x")).select("source_file", "x.*")
-    # mapping metadata: one row per raw column (bounded by the schema) -> broadcast
+@dataclass(frozen=True)
+class Rule:
+    """Column names whose letters and digits match `pattern` are `canonical`; of several, the one of least rank holds."""
+
+    rank: int
+    pattern: str
+    canonical: str | None
+    method: str
+    confidence: str
+    group: str
+
+
+def mapping_rules(vocabulary=V.VOCABULARY) -> list[Rule]:
+    """The rule table of a vocabulary: ignored names, aliases, metals with their unit, beginnings."""
+    group_of = {c: g for g, names in vocabulary.items() for c in names}
+    table = [(name, None, "Ignored class variable", "None") for name in V.IGNORED]
+    table += [("|".join(map(re.escape, aliases)), c, "Alias Match", "High") for names in vocabulary.values() for c, aliases in names.items()]
+    table += [(f"{m}.*{V.METAL_UNIT}", m, "Suffix Match", "Medium") for m in V.METALS]
+    table += [(f"{begin}.*", c, "Prefix Match", "Medium") for begin, c in V.BEGINNINGS.items()]
+    return [Rule(rank, pattern, c, method, confidence, group_of.get(c, "")) for rank, (pattern, c, method, confidence) in enumerate(table)]
+
+
+def resolve_columns(columns, vocabulary=V.VOCABULARY) -> dict[str, Rule | None]:
+    """std_alias_map: the rule of each raw column name, or None; the whole schema against the whole table."""
+    rules = mapping_rules(vocabulary)
+    key = {c: "".join(re.findall("[a-z0-9]", str(c).lower())) for c in columns}
+    return {c: min((r for r in rules if re.fullmatch(r.pattern, key[c])), key=lambda r: r.rank, default=None) for c in columns}
+
+
+def _column_profile(raw: DataFrame, columns) -> DataFrame:
+    """source_file, column, rows, non-null count, and the three smallest distinct values: one aggregate over all
+    (source, column, value) triples, each merged before the shuffle."""
+    each = raw.select("source_file", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])).alias("x"))
+    counts = each.groupBy("source_file", "x.column", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    smallest = Window.partitionBy("source_file", "column").orderBy(F.col("value").asc_nulls_last())
+    ranked = counts.withColumn("r", F.row_number().over(smallest))
+    first = ranked.where("r <= 3").groupBy("source_file", "column").agg(
+        F.array_join(F.array_sort(F.collect_list("value")), " | ").alias("example_values"))
+    total = counts.groupBy("source_file", "column").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null_count"))
+    return total.join(first, ["source_file", "column"])
+
+
+def alias_audit(raw: DataFrame, data_cols, vocabulary=V.VOCABULARY) -> DataFrame:
+    """Mapping audit: per source x mapped column non-null count and example values."""
+    spark, snake = raw.sparkSession, dict(zip(raw.columns, snake_names(raw.columns)))
+    found = {c: r for c, r in resolve_columns(data_cols, vocabulary).items() if r is not None and r.canonical}
+    meta = [(c, snake[c], r.canonical, r.method, r.confidence, r.group) for c, r in found.items()]
+    # one row per raw column (bounded by the schema) -> broadcast
     m = spark.createDataFrame(meta, "original_column string, normalized_column string, canonical_column string, "
                                     "mapping_method string, mapping_confidence string, parameter_group string")
-    return long.join(F.broadcast(m), "original_column").select(
+    profile = _column_profile(raw, list(found)).withColumnRenamed("column", "original_column")
+    return profile.join(F.broadcast(m), "original_column").select(
         "source_file", "original_column", "normalized_column", "canonical_column", "mapping_method",
         "mapping_confidence", "parameter_group", "non_null_count", "example_values", F.lit("").alias("notes"))
 
 
-DQ_NUMERIC = ["dissolved_oxygen", "bod", "ph", "temperature", "conductivity"]
+def unmapped_columns(raw: DataFrame, data_cols, vocabulary=V.VOCABULARY) -> DataFrame:
+    """Per source the columns that no rule reads, and why."""
+    snake = dict(zip(raw.columns, snake_names(raw.columns)))
+    rest = [(c, r) for c, r in resolve_columns(data_cols, vocabulary).items() if r is None or not r.canonical]
+    rows = F.array(*[F.struct(F.lit(c).alias("original_column"), F.lit(snake[c]).alias("normalized_column"),
+                              F.lit(r.method if r else "No match found").alias("reason")) for c, r in rest])
+    return raw.select("source_file").distinct().select("source_file", F.explode(rows).alias("x")).select("source_file", "x.*")
+
+
+def map_canonical(raw: DataFrame, keep=("source_file",), vocabulary=V.VOCABULARY) -> DataFrame:
+    """The expanded canonical table: one column per mapped name, the first non-null of its raw columns."""
+    sources: dict[str, list[str]] = {}
+    for c, r in resolve_columns([c for c in raw.columns if c not in keep], vocabulary).items():
+        if r is not None and r.canonical:
+            sources.setdefault(r.canonical, []).append(c)
+    return raw.select(*keep, *[F.coalesce(*[F.col(f"`{c}`") for c in cols]).alias(canon) for canon, cols in sources.items()])
+
+
+DQ_NUMERIC = V.NUMERIC
 
 
 def quality_flags(std: DataFrame, key=("source_file", "station_id", "sampling_date")) -> DataFrame:
     """dq_flags: one row per issue (a row can raise several) via explode of an array of structs."""
-    flags = []
-    for c in DQ_NUMERIC:
+    flags, numeric = [], [c for c in DQ_NUMERIC if c in std.columns]
+    for c in numeric:
         std = C.add_censored(std, c, f"_v_{c}", f"_f_{c}")
-    for c in DQ_NUMERIC:
+    for c in numeric:
         v, fl = F.col(f"_v_{c}"), F.col(f"_f_{c}")
         flags.append(F.when(fl.startswith("Converted <"), F.struct(
             F.lit(c).alias("column"), F.col(c).alias("value"), fl.alias("flag_type"),
@@ -184,19 +190,10 @@ def quality_flags(std: DataFrame, key=("source_file", "station_id", "sampling_da
 
 
 def raw_inventory(raw: DataFrame, data_cols) -> DataFrame:
-    """src_raw_inventory: per source x column non-null count, %, bounded examples (min / max)."""
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for c in data_cols:
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"n::{c}"), F.min(F.col(f"`{c}`")).alias(f"lo::{c}"),
-                 F.max(F.col(f"`{c}`")).alias(f"hi::{c}")]
-    wide = raw.groupBy("source_file").agg(*aggs)
-    return wide.select("source_file", "_rows", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"`n::{c}`").alias("non_null_count"),
-                 F.array_join(F.array_distinct(F.array_compact(F.array(F.col(f"`lo::{c}`"), F.col(f"`hi::{c}`")))),
-                              " | ").alias("sample_values"))
-        for c in data_cols])).alias("x")).select(
-        "source_file", "x.column", "x.non_null_count",
-        (F.col("x.non_null_count") * 100.0 / F.col("_rows")).alias("non_null_pct"), "x.sample_values")
+    """src_raw_inventory: per source x column non-null count, %, and the three smallest distinct values."""
+    return _column_profile(raw, list(data_cols)).select(
+        "source_file", "column", "non_null_count", (F.col("non_null_count") * 100.0 / F.col("rows")).alias("non_null_pct"),
+        F.col("example_values").alias("sample_values"))
 
 
 def standardize(raw: DataFrame) -> DataFrame:
@@ -215,21 +212,19 @@ FALSE_POSITIVE_CHECKS = [
 
 
 def false_positive_audit(audit: DataFrame, standardized_columns) -> DataFrame:
-    """Pass / Fail per mapping rule from the audit table (one aggregate per rule over a small table)."""
+    """Pass / Fail per mapping rule: every rule's hits in one aggregate over the audit table."""
+    def hits(evidence, bad):
+        return F.when((F.col("canonical_column") == evidence) & F.lower("original_column").isin(*bad), F.col("original_column"))
+    found = audit.agg(*[F.array_sort(F.collect_set(hits(evidence, bad))).alias(name) for name, evidence, bad in FALSE_POSITIVE_CHECKS])
     rows = []
-    for name, evidence, bad in FALSE_POSITIVE_CHECKS:
-        bad_maps = audit.where((F.col("canonical_column") == evidence) &
-                               F.lower("original_column").isin(*bad))
-        n = bad_maps.select(F.countDistinct("original_column")).scalar()
-        cols = bad_maps.select(F.array_join(F.array_sort(F.collect_set("original_column")), ", ")).scalar()
-        rows.append(F.struct(F.lit(name).alias("test_name"),
-                             F.when(n == 0, "Pass").otherwise("Fail").alias("pass_fail"),
+    for name, _, _ in FALSE_POSITIVE_CHECKS:
+        n = F.size(name)
+        rows.append(F.struct(F.lit(name).alias("test_name"), F.when(n == 0, "Pass").otherwise("Fail").alias("pass_fail"),
                              F.when(n == 0, F.lit("No false positives detected"))
                              .otherwise(F.concat(F.lit("Found false positives: "), n.cast("string"))).alias("evidence"),
-                             F.when(n == 0, F.lit("None")).otherwise(cols).alias("affected_columns_if_any")))
+                             F.when(n == 0, F.lit("None")).otherwise(F.array_join(name, ", ")).alias("affected_columns_if_any")))
     used = "class" in standardized_columns
-    rows.append(F.struct(F.lit("use_based_class_not_target").alias("test_name"),
-                         F.lit("Fail" if used else "Pass").alias("pass_fail"),
+    rows.append(F.struct(F.lit("use_based_class_not_target").alias("test_name"), F.lit("Fail" if used else "Pass").alias("pass_fail"),
                          F.lit("class not found or use_based_class not treated as ML target").alias("evidence"),
                          F.lit("use_based_class" if used else "None").alias("affected_columns_if_any")))
-    return audit.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return found.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -109,12 +109,10 @@ MAPPED = [
     ("Name of Water Body", "name_of_water_body", "river_name", "Alias Match", "High", "metadata"),
     ("Date", "date", "sampling_date", "Alias Match", "High", "metadata"),
     ("DO (mg/L)", "do_mg_l", "dissolved_oxygen", "Alias Match", "High", "core"),
-    ("Dissolved Oxygen Min", "dissolved_oxygen_min", "dissolved_oxygen", "Alias Match", "High", "core"),
     ("BOD (mg/L)", "bod_mg_l", "bod", "Alias Match", "High", "core"),
     ("pH Value", "ph_value", "ph", "Alias Match", "High", "core"),
     ("PH-Value", "ph_value_1", "ph", "Alias Match", "High", "core"),
     ("Temperature (C)", "temperature_c", "temperature", "Prefix Match", "Medium", "physical"),
-    ("Electric Conductivity (umho/cm)", "electric_conductivity_umho_cm", "conductivity", "Alias Match", "High", "physical"),
 ]
 INVENTORY = [("Station Name", "station_name"), ("Monitoring Location", "monitoring_location"),
              ("Name of Water Body", "name_of_water_body"), ("Date", "date"), ("DO (mg/L)", "do_mg_l"),
@@ -125,8 +123,13 @@ INVENTORY = [("Station Name", "station_name"), ("Monitoring Location", "monitori
 
 
 def _examples(col):
-    return (f"CASE WHEN min({col}) IS NULL THEN '' WHEN min({col}) = max({col}) THEN min({col}) "
-            f"ELSE min({col}) || ' | ' || max({col}) END")
+    return f"coalesce(array_to_string(list_sort(list(DISTINCT {col}) FILTER (WHERE {col} IS NOT NULL))[1:3], ' | '), '')"
+
+
+UNMAPPED = [("Dissolved Oxygen Min", "dissolved_oxygen_min", "No match found"),
+            ("Dissolved Oxygen Normalized", "dissolved_oxygen_normalized", "No match found"),
+            ("Electric Conductivity (umho/cm)", "electric_conductivity_umho_cm", "No match found"),
+            ("Class", "class", "Ignored class variable")]
 
 
 ANNUAL = """
@@ -176,6 +179,10 @@ FROM (SELECT *, coalesce((lower(trim(river_name)) IN ('river', 'creek', 'sea', '
         f"'{m}' AS mapping_method, '{cf}' AS mapping_confidence, '{g}' AS parameter_group, count({s}) AS non_null_count, "
         f"{_examples(s)} AS example_values, '' AS notes FROM raw GROUP BY source_file"
         for o, s, c, m, cf, g in MAPPED),
+    "std_unmapped": RAW + " UNION ALL ".join(
+        f"SELECT DISTINCT source_file, '{o}' AS original_column, '{n}' AS normalized_column, '{r}' AS reason FROM raw" for o, n, r in UNMAPPED),
+    "std_alias_table": RAW + """SELECT source_file, coalesce(station_name, monitoring_location) AS station_name, name_of_water_body AS river_name,
+  date AS sampling_date, do_mg_l AS dissolved_oxygen, bod_mg_l AS bod, coalesce(ph_value, ph_value_1) AS ph, temperature_c AS temperature FROM raw""",
     "src_raw_inventory": RAW + " UNION ALL ".join(
         f"SELECT source_file, '{o}' AS \"column\", count({s}) AS non_null_count, "
         f"round(count({s}) * 100.0e0 / count(*), 6) AS non_null_pct, {_examples(s)} AS sample_values FROM raw GROUP BY source_file"

@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import profile as P
 from ..operators import standardize as S
 from ..sources import bindings as B
+from . import datasets as D
 from .out import rounded
 
 Q = {}
@@ -30,6 +32,16 @@ def std_alias_map(spark, sf):
     return S.alias_audit(B.raw_uploads(spark, sf), DATA_COLS)
 
 
+@q
+def std_unmapped(spark, sf):
+    return S.unmapped_columns(B.raw_uploads(spark, sf), DATA_COLS)
+
+
+@q
+def std_alias_table(spark, sf):
+    return S.map_canonical(B.raw_uploads(spark, sf).drop("station_id"))
+
+
 @q
 def src_raw_inventory(spark, sf):
     return rounded(S.raw_inventory(B.raw_uploads(spark, sf), DATA_COLS))
@@ -56,19 +68,29 @@ IMPUTE = ["price_min", "price_max", "tax_min", "tax_max"]
 
 
 def imputed(spark, sf):
-    """imp_group_median: median per (basin, year), then the global median (two-level fill)."""
+    """imp_group_median: median per (basin, year), then the global median (two-level fill).
+
+    Medians are read off exact ranks of distinct values, so no group is one buffer."""
     a = B.annual_geo(spark, sf)
-    g = a.groupBy("river_basin", "year").agg(*[F.median(c).alias(f"_g_{c}") for c in IMPUTE])
-    glob = {c: a.select(F.median(c)).scalar() for c in IMPUTE}
-    j = a.join(g, ["river_basin", "year"], "left")
+    each = a.select("river_basin", "year", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in IMPUTE])).alias("x")).select("river_basin", "year", "x.*").where("v is not null")
+    key = each.select(F.struct("river_basin", "year", "column").alias("k"), "v").union(
+        each.select(F.struct(F.lit(None).cast("string"), F.lit(None).cast("int"), "column").alias("k"), "v"))
+    m = P.exact_percentiles(key, "k", "v", {"median": 0.5}).select("k.*", "median")
+    wide = m.groupBy("river_basin", "year").pivot("column", IMPUTE).agg(F.first("median"))
+    group = wide.where("year is not null").select("river_basin", "year", *[F.col(c).alias(f"_g_{c}") for c in IMPUTE])
+    whole = wide.where("year is null").agg(F.first(F.struct(*IMPUTE))).scalar()
+    j = a.join(group, ["river_basin", "year"], "left")
     return j.select("station_code", "year", "river_basin", "quantity_min", "quantity_max", "discount_min",
-                    "discount_max", *[F.coalesce(F.col(c), F.col(f"_g_{c}"), glob[c]).alias(c) for c in IMPUTE])
+                    "discount_max", *[F.coalesce(F.col(c), F.col(f"_g_{c}"), whole[c]).alias(c) for c in IMPUTE])
 
 
 def means(spark, sf):
-    d = imputed(spark, sf)
-    return d.select("station_code", "year", *[((F.col(f"{p}_min") + F.col(f"{p}_max")) / 2).alias(f"{p}_mean")
-                                              for p in PAIRS])
+    """mean_of_minmax, written once for the scalers."""
+    def build():
+        return imputed(spark, sf).select("station_code", "year", *[
+            ((F.col(f"{p}_min") + F.col(f"{p}_max")) / 2).alias(f"{p}_mean") for p in PAIRS])
+    return D.materialized(spark, sf, "annual_means", build)
 
 
 @q
@@ -81,24 +103,22 @@ def mean_of_minmax(spark, sf):
     return rounded(means(spark, sf))
 
 
+def _scaled(spark, sf, suffix, statistics, scale):
+    """One aggregate has the statistics of all columns; its single row is a scalar subquery."""
+    m, cols = means(spark, sf), [f"{p}_mean" for p in PAIRS]
+    row = m.agg(F.struct(*[f(c).alias(f"{c}_{k}") for c in cols for k, f in enumerate(statistics)]).alias("s")).scalar()
+    return rounded(m.select("station_code", "year", *[
+        scale(F.col(c), *[row[f"{c}_{k}"] for k in range(len(statistics))]).alias(f"{c}_{suffix}") for c in cols]))
+
+
 @q
 def scl_minmax(spark, sf):
-    m = means(spark, sf)
-    cols = [f"{p}_mean" for p in PAIRS]
-    lo = {c: m.select(F.min(c)).scalar() for c in cols}
-    hi = {c: m.select(F.max(c)).scalar() for c in cols}
-    return rounded(m.select("station_code", "year", *[
-        F.try_divide(F.col(c) - lo[c], hi[c] - lo[c]).alias(f"{c}_minmax") for c in cols]))
+    return _scaled(spark, sf, "minmax", (F.min, F.max), lambda v, lo, hi: F.try_divide(v - lo, hi - lo))
 
 
 @q
 def scl_zscore(spark, sf):
-    m = means(spark, sf)
-    cols = [f"{p}_mean" for p in PAIRS]
-    mu = {c: m.select(F.avg(c)).scalar() for c in cols}
-    sd = {c: m.select(F.stddev_pop(c)).scalar() for c in cols}
-    return rounded(m.select("station_code", "year", *[
-        F.try_divide(F.col(c) - mu[c], sd[c]).alias(f"{c}_zscore") for c in cols]))
+    return _scaled(spark, sf, "zscore", (F.avg, F.stddev_pop), lambda v, mu, sd: F.try_divide(v - mu, sd))
 
 
 @q
