@@ -15,7 +15,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,29 +47,54 @@ def with_target(df: DataFrame, confident_only: bool = False) -> DataFrame:
     return d.withColumn("target", (F.col("available_compliance_label") == "Non-Compliant").cast("int"))
 
 
-def leakage_verdict(col: str, variant: str) -> tuple[str, str]:
-    c = col.lower()
-    if variant in ("Core Regulatory Model", "Extended Clean Model") and c in CORE:
-        return "Accepted", "Allowed canonical parameter"
-    for kw in LEAKAGE_KEYWORDS:
-        if kw in c:
-            return "Rejected (Leakage)", f"Contains leakage keyword: '{kw}'"
-    return "Accepted", "Clean"
+# canonical parameters that two variants may use although their names are keywords
+EXEMPT = [(v, f) for v in ("Core Regulatory Model", "Extended Clean Model") for f in CORE]
+
+
+def leakage_verdicts(names: DataFrame, present, keywords=LEAKAGE_KEYWORDS, exempt=EXEMPT) -> DataFrame:
+    """(variant, feature) with action and reason.
+
+    The keyword table is ranked; a feature's verdict is its lowest-ranked keyword.  Exempt pairs are rows,
+    joined to the candidates; features without a column are rejected."""
+    spark = names.sparkSession
+    allowed = spark.createDataFrame(exempt, "variant string, feature string").withColumn("_exempt", F.lit(True))
+    table = F.array(*[F.lit(k) for k in keywords])
+    hit = F.get(F.filter(table, lambda k: F.contains(F.lower("feature"), k)), 0)
+    d = names.join(F.broadcast(allowed), ["variant", "feature"], "left").withColumn("_hit", hit)  # rows of a schema
+    there, ok = F.col("feature").isin(*present), F.coalesce("_exempt", F.lit(False))
+    return d.select(
+        "variant", "feature",
+        F.when(~there, "Rejected").when(ok | F.col("_hit").isNull(), "Accepted").otherwise("Rejected (Leakage)").alias("action"),
+        F.when(~there, "Not in dataframe").when(ok, "Allowed canonical parameter").when(F.col("_hit").isNull(), "Clean")
+        .otherwise(F.concat(F.lit("Contains leakage keyword: '"), "_hit", F.lit("'"))).alias("reason"))
+
+
+def candidates(spark, extra=(), variants=None) -> DataFrame:
+    rows = [(v, f) for v, feats in (variants or VARIANTS).items() for f in list(feats) + list(extra)]
+    return spark.createDataFrame(rows, "variant string, feature string")
+
+
+def guarded(df: DataFrame, variant: str, features) -> list[str]:
+    """The features that the guard accepts for a variant: what is trained on."""
+    names = candidates(df.sparkSession, variants={variant: features})
+    ok = {r.feature for r in leakage_verdicts(names, df.columns).where("action = 'Accepted'").collect()}  # a schema's rows
+    return [f for f in features if f in ok]
+
+
+def variant_table(df: DataFrame, extra=()) -> DataFrame:
+    """Yes / No per feature and variant: which variants train on it."""
+    v = leakage_verdicts(candidates(df.sparkSession, extra), df.columns)
+    return (v.groupBy("feature").pivot("variant", list(VARIANTS)).agg(F.max(F.when(F.col("action") == "Accepted", "Yes").otherwise("No")))
+            .fillna("No"))
 
 
 def leak_audit(df: DataFrame, extra_candidates=()) -> DataFrame:
     """ml_leak_guard: name verdict per (variant, feature) joined with a data check
     (non-null rate and |correlation| with the target) computed in ONE aggregate."""
     spark = df.sparkSession
-    rows = []
-    for variant, feats in VARIANTS.items():
-        for f in list(feats) + list(extra_candidates):
-            if f not in df.columns:
-                rows.append((variant, f, "Rejected", "Not in dataframe"))
-            else:
-                rows.append((variant, f, *leakage_verdict(f, variant)))
-    names = spark.createDataFrame(rows, "variant string, feature string, action string, reason string")
-    numeric = sorted({f for _, f, a, _ in rows if a != "Rejected" and f not in CATEGORICAL and f in df.columns})
+    names = leakage_verdicts(candidates(spark, extra_candidates), df.columns)
+    offered = {f for feats in VARIANTS.values() for f in feats} | set(extra_candidates)
+    numeric = sorted(f for f in offered if f not in CATEGORICAL and f in df.columns)
     n = F.count(F.lit(1))
     aggs = []
     for f in numeric:
@@ -116,22 +143,36 @@ def readiness(df: DataFrame, expected) -> DataFrame:
 # Splits (arithmetic hashes shared by every engine)
 # ---------------------------------------------------------------------------
 
-def row_hash() -> Column:
-    return (F.col("station_id") * 7919 + F.dayofmonth("sampling_date") * 104729 + 42) % 100
+HASHES = 1000
 
 
-def group_hash() -> Column:
-    return (F.col("station_id") * 7919 + 42) % 100
+def row_hash() -> Column:
+    day = F.datediff("sampling_date", F.lit("1970-01-01").cast("date"))
+    return (F.col("station_id") * 7919 + day * 104729 + 42) % HASHES
 
 
 def split_random(df: DataFrame, test_pct: int = 20) -> DataFrame:
-    """ml_split_random: per-row hash bucket; independent of the class, so stratified in expectation."""
-    return df.withColumn("split", F.when(row_hash() < 100 - test_pct, F.lit("train")).otherwise(F.lit("test")))
+    """ml_split_random: stratified; of each class the rows with the smallest hashes train, as many hash values
+    as hold at most the train share of the class (at most HASHES rows a class are joined back)."""
+    d = df.withColumn("_h", row_hash())
+    w = Window.partitionBy("target").orderBy("_h")
+    count = d.groupBy("target", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    train = count.select("target", "_h", F.sum("_n").over(w).alias("_cum"), F.sum("_n").over(Window.partitionBy("target")).alias("_all")) \
+        .where(F.col("_cum") * 100 <= F.col("_all") * (100 - test_pct)).select("target", "_h", F.lit("train").alias("_s"))
+    return d.join(F.broadcast(train), ["target", "_h"], "left").select(*df.columns, F.coalesce("_s", F.lit("test")).alias("split"))
+
+
+def group_column(df: DataFrame, most: int = 5) -> str:
+    """What splits by group: the station, else the river, else the source, the first with more than `most` values."""
+    n = df.agg(F.countDistinct("station_name").alias("s"), F.countDistinct("river_name").alias("r")).first()
+    return "station_name" if n.s > most else "river_name" if n.r > most else "source_file"
 
 
 def split_group(df: DataFrame, test_pct: int = 20) -> DataFrame:
-    """ml_split_group: the group (station) decides, so no station is on both sides."""
-    return df.withColumn("split", F.when(group_hash() < test_pct, F.lit("test")).otherwise(F.lit("train")))
+    """ml_split_group: the group decides, so no group is on both sides."""
+    g = F.coalesce(F.col(group_column(df)), F.lit("Unknown"))
+    h = F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long") % 100
+    return df.withColumn("split", F.when(h < test_pct, F.lit("test")).otherwise(F.lit("train")))
 
 
 # ---------------------------------------------------------------------------
@@ -198,25 +239,51 @@ def balanced_weights(df: DataFrame, label: str = "target") -> DataFrame:
     return df.join(F.broadcast(w), label)
 
 
-def estimator(name: str, features_col: str, restricted: bool = False):
+FREE_DEPTH = 30  # the deepest that Spark's trees grow
+
+
+def estimator(name: str, features_col: str, restricted: bool = False, max_depth: int = 7):
+    tree = dict(featuresCol=features_col, labelCol="target", weightCol="w", seed=42,
+                maxDepth=5 if restricted else max_depth, minInstancesPerNode=10 if restricted else 1)
     if name == "LogisticRegression":
-        return LogisticRegression(featuresCol=features_col, labelCol="target", weightCol="w", maxIter=100)
+        return LogisticRegression(featuresCol=features_col, labelCol="target", weightCol="w", maxIter=2000)
     if name == "DecisionTree":
-        return DecisionTreeClassifier(featuresCol=features_col, labelCol="target", weightCol="w",
-                                      maxDepth=5 if restricted else 7, minInstancesPerNode=10 if restricted else 1,
-                                      seed=42)
+        return DecisionTreeClassifier(**tree)
     if name == "RandomForest":
-        return RandomForestClassifier(featuresCol=features_col, labelCol="target", weightCol="w", numTrees=100,
-                                      maxDepth=5 if restricted else 7, minInstancesPerNode=10 if restricted else 1,
-                                      seed=42)
+        return RandomForestClassifier(numTrees=100, **tree)
     if name == "GBT":
-        return GBTClassifier(featuresCol=features_col, labelCol="target", maxIter=20, maxDepth=5, seed=42)
+        return GBTClassifier(featuresCol=features_col, labelCol="target", maxIter=100, maxDepth=5, seed=42)
     raise ValueError(name)
 
 
-def fit(train: DataFrame, features, model: str, restricted: bool = False) -> PipelineModel:
+def fit(train: DataFrame, features, model: str, restricted: bool = False, max_depth: int = 7) -> PipelineModel:
     stages, fcol = preprocess(features, train.columns, scale=(model == "LogisticRegression"))
-    return Pipeline(stages=stages + [estimator(model, fcol, restricted)]).fit(balanced_weights(train))
+    return Pipeline(stages=stages + [estimator(model, fcol, restricted, max_depth)]).fit(balanced_weights(train))
+
+
+def grid(name: str, est):
+    """The parameter grid of a model. FIXED VALUES."""
+    g = ParamGridBuilder()
+    if name == "LogisticRegression":  # inverse strengths 0.1, 1, 10
+        g = g.addGrid(est.regParam, [10.0, 1.0, 0.1])
+    if name == "RandomForest":
+        g = g.addGrid(est.numTrees, [50, 100]).addGrid(est.maxDepth, [5, 10, FREE_DEPTH]).addGrid(est.minInstancesPerNode, [1, 5, 10])
+    if name == "GBT":
+        g = g.addGrid(est.maxDepth, [3, 5, 7]).addGrid(est.stepSize, [0.01, 0.1])
+    return g.build()
+
+
+def tune(train: DataFrame, features, name: str, folds: int = 3, parallelism: int = 4) -> DataFrame:
+    """ml_tune: mean cross-validated F1 of the positive class of every point of the model's grid."""
+    df = balanced_weights(train)
+    stages, fcol = preprocess(features, df.columns, scale=(name == "LogisticRegression"))
+    est = estimator(name, fcol)
+    points = grid(name, est)
+    ev = MulticlassClassificationEvaluator(labelCol="target", metricName="fMeasureByLabel", metricLabel=1.0)
+    cv = CrossValidator(estimator=Pipeline(stages=stages + [est]), estimatorParamMaps=points, evaluator=ev, numFolds=folds, seed=42,
+                        parallelism=parallelism).fit(df)
+    rows = [(name, ", ".join(sorted(f"{p.name}={v}" for p, v in point.items())), float(f1)) for point, f1 in zip(points, cv.avgMetrics)]
+    return train.sparkSession.createDataFrame(rows, "model string, parameters string, mean_cv_f1 double")
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -228,12 +295,15 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
             .withColumn("ml_prediction_status", F.lit("Success")))
 
 
-def evaluate(df: DataFrame, variant: str, features, split: str, models, restricted: bool = False) -> DataFrame:
-    """Train each model on the split's train side and evaluate on its test side."""
+def evaluate(df: DataFrame, variant: str, features, split: str, models, restricted: bool = False, guard: str | None = None,
+             max_depth: int = 7) -> DataFrame:
+    """Train each model on the split's train side, with the features that the leakage guard accepts, and evaluate on its test side.
+
+    guard: the variant whose rules hold; default `variant`."""
     spark = df.sparkSession
     split_df = split_random(df) if split == "Random" else split_group(df)
     train, test = split_df.where("split = 'train'"), split_df.where("split = 'test'")
-    feats = [f for f in features if f in df.columns]
+    feats = guarded(df, guard or variant, features)
     out = []
     for m in models:
         if m == "Dummy":
@@ -242,39 +312,57 @@ def evaluate(df: DataFrame, variant: str, features, split: str, models, restrict
             scored = test.withColumn("prediction", majority.cast("double")).withColumn(
                 "score", train.select(F.avg("target")).scalar())
         else:
-            scored = score(fit(train, feats, m, restricted), test)
+            scored = score(fit(train, feats, m, restricted, max_depth), test)
         out.append(metrics(scored).select(F.lit(variant).alias("variant"), F.lit(split).alias("split_type"),
                                           F.lit(m).alias("model"), "*"))
     return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "variant string")
 
 
+def report_gates(leaks: Column, contaminated: Column, shuffled_accuracy: Column, shuffled_auc: Column, group_accuracy: Column, aux_accuracy: Column) -> list[Column]:
+    """ml_report: (verdict, reasons) of the five audits."""
+    reasons = F.array_compact(F.array(
+        F.when(leaks > 0, F.lit("leakage columns in training features")),
+        F.when(contaminated > 0, F.lit("train/test contamination")),
+        F.when((shuffled_accuracy > 0.6) | (shuffled_auc > 0.6), F.lit("shuffled labels predicted above 0.6")),
+        F.when(group_accuracy < 0.55, F.lit("group balanced accuracy < 0.55")),
+        F.when(aux_accuracy > 0.98, F.lit("auxiliary balanced accuracy > 0.98"))))
+    return [F.when(F.size(reasons) == 0, F.lit("PASS")).otherwise(F.lit("FAIL")).alias("verdict"), F.array_join(reasons, "; ").alias("fail_reasons")]
+
+
 # ---------------------------------------------------------------------------
 # Permutation-based audits and explanations
 # ---------------------------------------------------------------------------
 
-def permute_within_buckets(df: DataFrame, col: str, seed: int, buckets: int = 4096) -> DataFrame:
-    """Shuffle one column: inside each hash bucket, row k receives the value of the row ranked k by a
-    second hash.  Buckets bound every sort; bucket membership is independent of the data."""
-    b = F.pmod(F.xxhash64(F.lit(seed), "station_id", "sampling_date"), F.lit(buckets))
-    h1 = F.xxhash64(F.lit(seed + 1), "station_id", "sampling_date")
-    h2 = F.xxhash64(F.lit(seed + 2), "station_id", "sampling_date")
-    d = df.withColumn("_b", b).withColumn("_h1", h1).withColumn("_h2", h2)
-    w1 = Window.partitionBy("_b").orderBy("_h1", "station_id", "sampling_date")
-    w2 = Window.partitionBy("_b").orderBy("_h2", "station_id", "sampling_date")
+BUCKET_ROWS = 50_000
+
+
+def permute_within_buckets(df: DataFrame, col: str, seed: int, keys=()) -> DataFrame:
+    """Shuffle one column: inside each hash bucket (of each combination of `keys`), row k receives the value of
+    the row ranked k by a second hash.  Buckets hold about BUCKET_ROWS rows whatever the input."""
+    buckets = max(1, df.count() // BUCKET_ROWS)
+    row = [*keys, "station_id", "sampling_date"]
+    b = F.pmod(F.xxhash64(F.lit(seed), *row), F.lit(buckets))
+    d = df.withColumn("_b", b).withColumn("_h1", F.xxhash64(F.lit(seed + 1), *row)).withColumn("_h2", F.xxhash64(F.lit(seed + 2), *row))
+    w1 = Window.partitionBy(*keys, "_b").orderBy("_h1", "station_id", "sampling_date")
+    w2 = Window.partitionBy(*keys, "_b").orderBy("_h2", "station_id", "sampling_date")
     left = d.withColumn("_k", F.row_number().over(w1)).drop(col)
-    right = d.select("_b", F.row_number().over(w2).alias("_k"), F.col(col))
-    return left.join(right, ["_b", "_k"]).drop("_b", "_k", "_h1", "_h2")
+    right = d.select(*keys, "_b", F.row_number().over(w2).alias("_k"), F.col(col))
+    return left.join(right, [*keys, "_b", "_k"]).drop("_b", "_k", "_h1", "_h2")
 
 
-def permutation_importance(model: PipelineModel, test: DataFrame, features, repeats: int = 5) -> DataFrame:
-    """xp_perm_imp: F1 drop per feature over repeats; every permuted copy is unioned and scored in one pass."""
+def permutation_importance(model: PipelineModel, test: DataFrame, features, repeats: int = 10) -> DataFrame:
+    """xp_perm_imp: F1 drop per feature over repeats: rows explode into (feature, repeat) copies, whose feature
+    values are shuffled in one pass and scored in one transform."""
     base = metrics(score(model, test)).select("f1").scalar()
-    copies = [permute_within_buckets(test, f, seed=17 * (i + 1)).withColumn("_feature", F.lit(f))
-              .withColumn("_rep", F.lit(i)) for f in features for i in range(repeats)]
-    allc = reduce(lambda a, b: a.unionByName(b), copies)
-    s = score(model, allc)
+    copies = test.select("station_id", "sampling_date", "target", *features, F.explode(F.array(*[
+        F.struct(F.lit(f).alias("f"), F.lit(i).alias("r"), F.col(f).cast("double").alias("v"))
+        for f in features for i in range(repeats)])).alias("_x")).select("*", "_x.*").drop("_x")
+    mixed = permute_within_buckets(copies, "v", seed=17, keys=("f", "r"))
+    mixed = mixed.select("f", "r", "target", "station_id", "sampling_date",
+                         *[F.when(F.col("f") == x, F.col("v")).otherwise(F.col(x)).alias(x) for x in features])
+    s = score(model, mixed)
     y, p = F.col("target"), F.col("prediction")
-    per = s.groupBy("_feature", "_rep").agg(
+    per = s.groupBy(F.col("f").alias("_feature"), F.col("r").alias("_rep")).agg(
         F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 1)).alias("fp"),
         F.count_if((y == 1) & (p == 0)).alias("fn"))
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
@@ -283,7 +371,7 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features, repe
     drops = per.select("_feature", (base - f1).alias("drop"))
     r = drops.groupBy(F.col("_feature").alias("feature")).agg(F.avg("drop").alias("importance_mean"),
                                                               F.stddev_pop("drop").alias("importance_std"))
-    return r.withColumn("rank", F.rank().over(Window.orderBy(F.col("importance_mean").desc(), "feature")))
+    return r.withColumn("rank", F.rank().over(Window.orderBy(F.col("importance_mean").desc(), "feature")))  # a row a feature
 
 
 def shapley_sampled(model: PipelineModel, rows: DataFrame, background: dict, features, perms: int = 8) -> DataFrame:
@@ -334,11 +422,11 @@ def shap_rows(attr: DataFrame, k: int = 2) -> DataFrame:
                       F.array_join(F.transform(neg, lambda s: s["f"]), ", ").alias("top_negative_drivers"))
 
 
-def lime_surrogate(model: PipelineModel, rows: DataFrame, features, key: str = "station_id",
+def lime_surrogate(model: PipelineModel, rows: DataFrame, features, center: dict, spread: dict, key: str = "station_id",
                    samples: int = 500, top: int = 5) -> DataFrame:
-    """xp_lime: local surrogate per row: explode x samples perturbations (deterministic hash noise),
-    score them in one transform, then a small weighted least squares per key in applyInPandas
-    (<= len(features) + 1 unknowns, so each group solve is tiny)."""
+    """xp_lime: local surrogate per row: explode x samples perturbations (a missing value is the training median;
+    deterministic hash noise of the training deviation is added), score them in one transform, then a small
+    weighted least squares per key in applyInPandas (<= len(features) + 1 unknowns, so each solve is tiny)."""
     import numpy as np
     import pandas as pd
 
@@ -346,9 +434,11 @@ def lime_surrogate(model: PipelineModel, rows: DataFrame, features, key: str = "
     x = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_s"))
     pert = []
     for i, f in enumerate(features):
-        u = (F.pmod(F.xxhash64(F.col(key), F.col("_s"), F.lit(i)), F.lit(10007)) / 10007.0) - 0.5
-        v = F.coalesce(F.col(f), F.lit(0.0))
-        pert.append(F.when(F.col("_s") == 0, v).otherwise(v * (1.0 + u)).alias(f))
+        # the sum of three uniform hashes, of deviation one
+        u = sum(F.pmod(F.xxhash64(F.col(key), F.col("_s"), F.lit(3 * i + k)), F.lit(10007)) / 10007.0 - 0.5 for k in range(3)) * 2.0
+        v = F.coalesce(F.col(f), F.lit(float(center[f])))
+        pert.append(F.when(F.col("_s") == 0, v).otherwise(v + u * float(spread[f])).alias(f))
+    width = np.asarray([float(spread[f]) or 1.0 for f in features])
     inst = x.select(key, "_s", *pert)
     s = score(model, inst).select(key, "_s", "score", *features)
 
@@ -358,37 +448,52 @@ def lime_surrogate(model: PipelineModel, rows: DataFrame, features, key: str = "
         X = pdf[feats].to_numpy(dtype=float)
         y = pdf["score"].to_numpy(dtype=float)
         x0 = X[pdf["_s"].to_numpy() == 0][0] if (pdf["_s"] == 0).any() else X.mean(axis=0)
-        scale = np.where(np.abs(x0) > 0, np.abs(x0), 1.0)
-        d2 = (((X - x0) / scale) ** 2).sum(axis=1)
-        w = np.exp(-d2 / 0.75 ** 2)
-        A = np.hstack([np.ones((len(X), 1)), (X - x0) / scale])
+        z = (X - x0) / width
+        w = np.exp(-(z ** 2).sum(axis=1) / (0.75 ** 2 * len(feats)))
+        A = np.hstack([np.ones((len(X), 1)), z])
         sw = np.sqrt(w)[:, None]
         coef, *_ = np.linalg.lstsq(A * sw, y * sw[:, 0], rcond=None)
         order = np.argsort(-np.abs(coef[1:]))[:top]
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(order),
                              "feature": [feats[j] for j in order],
                              "weight": [float(coef[1 + j]) for j in order],
+                             "direction": ["+" if coef[1 + j] > 0 else "-" for j in order],
                              "lime_rank": list(range(1, len(order) + 1)),
                              "lime_status": ["Success"] * len(order)})
 
     key_type = dict(rows.dtypes)[key]
     return s.groupBy(key).applyInPandas(
-        solve, schema=f"{key} {key_type}, feature string, weight double, lime_rank int, lime_status string")
+        solve, schema=f"{key} {key_type}, feature string, weight double, direction string, lime_rank int, lime_status string")
 
 
-def score_live(state: DataFrame, model: PipelineModel | None = None, features=None) -> DataFrame:
-    """ml_score_live: model scoring with a rule fallback when no model is available: stations with all
-    three core parameters get the strict rule label and are marked as fallback."""
+def score_live(state: DataFrame, model: PipelineModel | None = None, features=()) -> DataFrame:
+    """ml_score_live: model label, status and missing features per station; without a model, stations with all
+    three core parameters get the strict rule label, marked as fallback."""
+    missing = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in features])) if features else F.array().cast("array<string>")
+    gaps = [F.size(missing).alias("missing_feature_count"), F.array_join(missing, "|").alias("missing_features")]
     if model is not None:
-        out = score(model, state)
-        return out.withColumn("live_ml_fallback_used", F.lit(False))
+        out = score(model, state.select("*", *gaps))
+        return out.select("station_id", "core_parameter_count", "missing_feature_count", "missing_features",
+                          F.col("ml_predicted_compliance_label").alias("live_ml_predicted_compliance_label"),
+                          F.col("prediction").alias("live_ml_predicted_non_compliant"),
+                          F.col("score").alias("live_ml_non_compliance_probability"),
+                          F.col("ml_prediction_status").alias("live_ml_prediction_status"), F.lit(False).alias("live_ml_fallback_used"),
+                          F.lit(None).cast("string").alias("live_ml_fallback_reason"))
     n = F.col("core_parameter_count")
     strict = F.col("live_strict_compliance_label")
     return state.select(
-        "station_id", "core_parameter_count",
+        "station_id", "core_parameter_count", *gaps,
         F.when(n == 3, strict).otherwise(F.lit("Unknown")).alias("live_ml_predicted_compliance_label"),
         F.when(n == 3, (strict == "Non-Compliant").cast("double")).alias("live_ml_predicted_non_compliant"),
         F.lit("Failed").alias("live_ml_prediction_status"),
         (n == 3).alias("live_ml_fallback_used"),
         F.when(n == 3, F.lit("Fallback rule-based estimate used because ML inference failed."))
         .alias("live_ml_fallback_reason"))
+
+
+def route(df: DataFrame, mode: Column, models: dict) -> DataFrame:
+    """mode_route: each mode's rows go through its model (one transform a model), all other rows stay unscored."""
+    d = df.withColumn("prediction_mode", mode)
+    parts = [score(m, d.where(F.col("prediction_mode") == name)).select(*d.columns, "prediction", "score") for name, m in models.items()]
+    rest = d.where(~F.coalesce(F.col("prediction_mode").isin(*models), F.lit(False)))
+    return reduce(DataFrame.unionByName, parts + [rest.withColumn("prediction", F.lit(None).cast("double")).withColumn("score", F.lit(None).cast("double"))])

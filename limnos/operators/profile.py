@@ -81,7 +81,7 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
     return c.withColumn("pct", F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy()))
 
 
-def missing_values(df: DataFrame, cols) -> DataFrame:
+def missingvalues_of(df: DataFrame, cols) -> DataFrame:
     """agg_missing: missing count and % per column (one aggregate, then unpivot)."""
     wide = df.agg(_n().alias("_rows"), *[(_n() - F.count(c)).alias(c) for c in cols])
     long = wide.unpivot(["_rows"], list(cols), "column", "missing_count")
@@ -95,7 +95,7 @@ def nonnull_counts(df: DataFrame, cols, keys=()) -> DataFrame:
     return wide.unpivot(list(keys) + ["_rows"], list(cols), "parameter", "non_null_count")
 
 
-def _values(df: DataFrame, cols, keys=()) -> DataFrame:
+def values_of(df: DataFrame, cols, keys=()) -> DataFrame:
     """(keys, parameter, v) of the non-null values of the columns."""
     return df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(c).alias("parameter"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")
@@ -112,14 +112,14 @@ def describe(df: DataFrame, cols) -> DataFrame:
             F.min(c).alias("min"), F.max(c).alias("max"),
             F.when(n > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew")).alias(c))
     long = df.agg(*parts).select(F.explode(F.array(*[F.col(c) for c in cols])).alias("s")).select("s.*")
-    medians = exact_percentiles(_values(df, cols), "parameter", "v", {"median": 0.5}).select("parameter", "median")
+    medians = exact_percentiles(values_of(df, cols), "parameter", "v", {"median": 0.5}).select("parameter", "median")
     # one row per column on both sides
     return long.join(F.broadcast(medians), "parameter", "left").select("parameter", "count", "mean", "median", "std", "min", "max", "skew")
 
 
 def iqr_outliers(df: DataFrame, cols) -> DataFrame:
     """agg_iqr_outliers: 1.5 IQR bounds per column, outlier count and %."""
-    long = _values(df, cols)
+    long = values_of(df, cols)
     bounds = exact_percentiles(long, "parameter", "v", {"q1": 0.25, "q3": 0.75}).select(
         "parameter", "q1", "q3", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_bound"),
         (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper_bound"))
@@ -133,7 +133,7 @@ def iqr_outliers(df: DataFrame, cols) -> DataFrame:
 
 def five_number(df: DataFrame, cols, by: str, log1p: bool = False) -> DataFrame:
     """agg_five_number: min, q1, median, q3, max per column and group; log1p: of log(1 + value), values above -1 only."""
-    long = _values(df, cols, (by,))
+    long = values_of(df, cols, (by,))
     if log1p:
         long = long.where("v > -1").withColumn("v", F.log1p("v"))
     long = long.withColumn("k", F.struct(by, "parameter"))

@@ -1,6 +1,5 @@
 """Oracle SQL: ML slices, splits, metrics on the stand-in score, audits."""
 
-from ..operators import ml as ML
 from .cleaning_sql import context_sql, position_sql
 from .live_sql import LIVE, fmt_short_sql
 
@@ -8,14 +7,24 @@ FEAT = ["dissolved_oxygen", "bod", "ph", "temperature", "conductivity"]
 FEATS = ", ".join(FEAT)
 
 MF = LIVE + f"""
-, mf AS (
+, mf0 AS (
   SELECT *, CAST(available_compliance_label = 'Non-Compliant' AS INTEGER) AS target,
     {position_sql('station_name')} AS station_position_tag, {context_sql('station_name')} AS pollution_context_tag,
-    'Winter' AS season,
-    CASE WHEN (station_id * 7919 + day(sampling_date) * 104729 + 42) % 100 < 80 THEN 'train' ELSE 'test' END AS rsplit,
-    CASE WHEN (station_id * 7919 + 42) % 100 < 20 THEN 'test' ELSE 'train' END AS gsplit
+    CASE WHEN month(sampling_date) IN (3, 4, 5) THEN 'Summer' WHEN month(sampling_date) IN (6, 7, 8, 9) THEN 'Monsoon'
+      WHEN month(sampling_date) IN (10, 11) THEN 'Post-Monsoon' ELSE 'Winter' END AS season,
+    (station_id * 7919 + datediff('day', DATE '1970-01-01', CAST(sampling_date AS DATE)) * 104729 + 42) % 1000 AS row_hash
   FROM predictions
   WHERE available_compliance_label IN ('Compliant_Based_On_Available_Parameters', 'Compliant', 'Non-Compliant')
+), hashes AS (
+  SELECT target, row_hash, sum(n) OVER (PARTITION BY target ORDER BY row_hash) AS upto, sum(n) OVER (PARTITION BY target) AS whole
+  FROM (SELECT target, row_hash, count(*) AS n FROM mf0 GROUP BY ALL)
+), grp AS (
+  SELECT CASE WHEN count(DISTINCT station_name) > 5 THEN 1 WHEN count(DISTINCT river_name) > 5 THEN 2 ELSE 3 END AS level FROM mf0
+), mf AS (
+  SELECT mf0.* EXCLUDE (row_hash), CASE WHEN upto * 100 <= whole * 80 THEN 'train' ELSE 'test' END AS rsplit,
+    CASE WHEN CAST('0x' || substr(md5(coalesce(CASE (SELECT level FROM grp) WHEN 1 THEN station_name WHEN 2 THEN river_name ELSE source_file END, 'Unknown')), 1, 8)
+      AS BIGINT) % 100 < 20 THEN 'test' ELSE 'train' END AS gsplit
+  FROM mf0 JOIN hashes USING (target, row_hash)
 )
 """
 
@@ -37,30 +46,34 @@ SELECT tp, fp, tn, fn, round((tp + tn) * 1.0e0 / nullif(tp + tn + fp + fn, 0), 6
         ", round((SELECT roc_auc FROM auc), 6) AS roc_auc" if with_auc else "") + " FROM m"
 
 
-def _leak_rows():
-    rows = []
-    for variant, feats in ML.VARIANTS.items():
-        for f in list(feats) + ["risk_score", "violation_count"]:
-            rows.append((variant, f))
-    return rows
+CORE = ["dissolved_oxygen", "bod", "ph"]
+AUX = ["temperature", "conductivity", "nitrate", "fecal_coliform", "total_coliform", "fecal_streptococci", "turbidity", "cod",
+       "total_dissolved_solids", "season", "station_position_tag", "pollution_context_tag", "river_name"]
+EXTRA = ["risk_score", "violation_count"]
+TEXT = {"season", "station_position_tag", "pollution_context_tag", "river_name"}
+_PRESENT = set(FEAT) | TEXT | set(EXTRA)
+_WORDS = ("compliance label target prediction predicted probability risk_score risk_category violation reason class use_based_class "
+          "dissolved_oxygen dissolved_o2 oxygen do_ _do bod b_o_d biochemical ph p_h hydrogen").split()
+_OFFERED = {"Core Regulatory Model": CORE + EXTRA, "Extended Clean Model": CORE + AUX + EXTRA, "True Auxiliary-Only Model": AUX + EXTRA}
 
 
-_PRESENT = set(FEAT) | {"season", "station_position_tag", "pollution_context_tag", "river_name", "risk_score",
-                        "violation_count"}
+def _values(rows):
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
-def _leak_values():
-    vals = []
-    for v, f in _leak_rows():
-        if f not in _PRESENT:
-            a, r = "Rejected", "Not in dataframe"
-        else:
-            a, r = ML.leakage_verdict(f, v)
-        vals.append(f"('{v}', '{f}', '{a}', '{r.replace(chr(39), chr(39) * 2)}')")
-    return ", ".join(vals)
-
+VERDICT = f"""
+, offered AS (SELECT * FROM (VALUES {_values([(v, f, int(f in _PRESENT)) for v, fs in _OFFERED.items() for f in fs])}) t(variant, feature, present))
+, words AS (SELECT * FROM (VALUES {_values(list(enumerate(_WORDS)))}) t(rank, word))
+, first_word AS (SELECT variant, feature, arg_min(word, rank) AS word FROM offered JOIN words ON contains(lower(feature), word) GROUP BY ALL)
+, verdict AS (SELECT o.variant, o.feature,
+    CASE WHEN present = 0 THEN 'Rejected' WHEN own OR word IS NULL THEN 'Accepted' ELSE 'Rejected (Leakage)' END AS action,
+    CASE WHEN present = 0 THEN 'Not in dataframe' WHEN own THEN 'Allowed canonical parameter' WHEN word IS NULL THEN 'Clean'
+      ELSE 'Contains leakage keyword: ' || chr(39) || word || chr(39) END AS reason
+  FROM (SELECT *, feature IN ('dissolved_oxygen', 'bod', 'ph') AND variant <> 'True Auxiliary-Only Model' AS own FROM offered) o
+  LEFT JOIN first_word f ON f.variant = o.variant AND f.feature = o.feature)
+"""
 
-_NUMERIC = sorted({f for v, f in _leak_rows() if f in _PRESENT and f not in ML.CATEGORICAL})
+_NUMERIC = sorted({f for fs in _OFFERED.values() for f in fs if f in _PRESENT and f not in TEXT})
 
 
 def _corr(f):
@@ -69,7 +82,7 @@ def _corr(f):
     return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
 
 
-READY = ML.CORE + ML.AUX_ALL
+READY = CORE + AUX
 
 SQL = {
     "ml_target": MF + "SELECT station_id, sampling_date, target FROM mf",
@@ -77,8 +90,8 @@ SQL = {
     "ml_split_group": MF + "SELECT gsplit AS split, target, count(*) AS rows, count(DISTINCT station_id) AS stations FROM mf GROUP BY ALL",
     "ml_dummy": MF + """
 , maj AS (SELECT target AS majority_class FROM mf WHERE rsplit = 'train' GROUP BY target ORDER BY count(*) DESC, target LIMIT 1)
-, dm AS (SELECT target, CAST((SELECT majority_class FROM maj) AS DOUBLE) AS prediction FROM mf WHERE rsplit = 'test')
-""" + metrics_sql("dm", with_auc=False).replace("SELECT tp, fp", "SELECT (SELECT majority_class FROM maj) AS majority_class, tp, fp", 1),
+, dm AS (SELECT target, CAST((SELECT majority_class FROM maj) AS DOUBLE) AS prediction, 0.5e0 AS score FROM mf WHERE rsplit = 'test')
+""" + metrics_sql("dm").replace("SELECT tp, fp", "SELECT (SELECT majority_class FROM maj) AS majority_class, tp, fp", 1),
     "ml_metrics": MF + ", sc AS (SELECT target, CAST(predicted_non_compliant AS DOUBLE) AS prediction, ml_non_compliance_probability AS score FROM mf)"
     + metrics_sql("sc"),
     "ml_confusion": MF.split(", mf AS (")[0] + """
@@ -110,8 +123,10 @@ UNION ALL SELECT 'Total', count(*), round(min(ml_non_compliance_probability), 6)
          f"{fmt_short_sql(f'min({f})', 9) if f in FEAT else f'min({f})'} AS sample_value_raw FROM mf")
         if f in _PRESENT else
         (f"SELECT '{f}', false, CAST(0 AS BIGINT), 0.0e0, CAST(NULL AS VARCHAR)") for f in READY),
-    "ml_leak_guard": MF + f"""
-, names AS (SELECT * FROM (VALUES {_leak_values()}) t(variant, feature, action, reason))
+    "ml_variant_table": "WITH one AS (SELECT 1)" + VERDICT + "SELECT feature, " + ", ".join(
+        f"max(CASE WHEN variant = '{v}' AND action = 'Accepted' THEN 'Yes' ELSE 'No' END) AS \"{v}\"" for v in _OFFERED) + " FROM verdict GROUP BY feature",
+    "ml_leak_guard": MF + VERDICT + f"""
+, names AS (SELECT variant, feature, action, reason FROM verdict)
 , data AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, count({f}) * 1.0e0 / count(*) AS non_null_rate, {_corr(f)} AS target_correlation FROM mf" for f in _NUMERIC)})
 SELECT n.feature, n.variant, n.action, n.reason, round(d.non_null_rate, 6) AS non_null_rate,
   round(d.target_correlation, 6) AS target_correlation
@@ -128,6 +143,8 @@ SELECT (SELECT count(*) FROM d) AS total_rows,
     "jn_train_test_overlap": MF + f"SELECT {FEATS} FROM mf WHERE rsplit = 'train' INTERSECT SELECT {FEATS} FROM mf WHERE rsplit = 'test'",
     "ml_score_live": LIVE + """
 SELECT station_id, core_parameter_count,
+  CAST(""" + " + ".join(f"({f} IS NULL)::INT" for f in FEAT) + """ AS INTEGER) AS missing_feature_count,
+  concat_ws('|', """ + ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in FEAT) + """) AS missing_features,
   CASE WHEN core_parameter_count = 3 THEN live_strict_compliance_label ELSE 'Unknown' END AS live_ml_predicted_compliance_label,
   CASE WHEN core_parameter_count = 3 THEN CAST(live_strict_compliance_label = 'Non-Compliant' AS DOUBLE) END AS live_ml_predicted_non_compliant,
   'Failed' AS live_ml_prediction_status, core_parameter_count = 3 AS live_ml_fallback_used,

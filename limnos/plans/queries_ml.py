@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dates as DT
 from ..functions import text as T
 from ..operators import live as LV
 from ..operators import ml as ML
+from ..operators import profile as P
 from . import datasets as D
 from . import queries_live as QL
 from .out import rounded
@@ -25,12 +25,13 @@ def q(fn):
 
 
 def model_frame(spark, sf):
-    """Training frame: labelled samples + spatial tags + live-style season, target 1 = Non-Compliant."""
-    p = D.predictions(spark, sf)
-    p = p.withColumn("station_position_tag", T.position_tag("station_name")) \
-        .withColumn("pollution_context_tag", T.context_tag("station_name")) \
-        .withColumn("season", F.lit("Winter"))
-    return ML.with_target(p)
+    """Training frame: labelled samples + spatial tags + live-style season, target 1 = Non-Compliant (written once)."""
+    def build():
+        p = D.predictions(spark, sf)
+        return ML.with_target(p.withColumn("station_position_tag", T.position_tag("station_name"))
+                              .withColumn("pollution_context_tag", T.context_tag("station_name"))
+                              .withColumn("season", DT.season_live("sampling_date")))
+    return D.materialized(spark, sf, "model_frame", build)
 
 
 def stand_in_scored(spark, sf):
@@ -66,7 +67,7 @@ def ml_dummy(spark, sf):
     majority = train.groupBy("target").agg(F.count(F.lit(1)).alias("n")) \
         .orderBy(F.col("n").desc(), "target").limit(1).select("target").scalar()
     scored = test.withColumn("prediction", majority.cast("double")).withColumn("score", F.lit(0.5))
-    return rounded(ML.metrics(scored).select(majority.alias("majority_class"), "*").drop("roc_auc"))
+    return rounded(ML.metrics(scored).select(majority.alias("majority_class"), "*"))
 
 
 @q
@@ -166,10 +167,33 @@ def jn_train_test_overlap(spark, sf):
     return train.intersect(test)
 
 
+@q
+def ml_variant_table(spark, sf):
+    return ML.variant_table(model_frame(spark, sf), extra=("risk_score", "violation_count"))
+
+
 @q
 def ml_score_live(spark, sf):
+    """The branch without a model: the rule fallback."""
     state = LV.live_predictions(LV.live_state(QL.readings(spark, sf)))
-    return ML.score_live(state, model=None)
+    return ML.score_live(state, model=None, features=FEATURES)
+
+
+@q
+def ml_score_live_model(spark, sf):
+    model, _, _ = _trained(spark, sf)
+    return rounded(ML.score_live(LV.live_state(QL.readings(spark, sf)), model, FEATURES))
+
+
+@q
+def mode_route_model(spark, sf):
+    """Rows with all core values through the core model, rows with two of them through one of all parameters."""
+    df = model_frame(spark, sf)
+    train = ML.split_random(df).where("split = 'train'")
+    core, other = ML.fit(train, ML.CORE, "LogisticRegression"), ML.fit(train, FEATURES, "LogisticRegression")
+    n = sum(F.col(c).isNotNull().cast("int") for c in ML.CORE)
+    mode = F.when(n == 3, "full").when(n == 2, "partial").otherwise("rule")
+    return rounded(ML.route(df, mode, {"full": core, "partial": other}).select("station_id", "sampling_date", "prediction_mode", "prediction", "score"))
 
 
 # ---------------------------- training (rows-only checks) -----------------------------
@@ -183,7 +207,7 @@ def _variants():
 
 
 def _evaluate_model(spark, sf, model):
-    df = model_frame(spark, sf).cache()
+    df = model_frame(spark, sf)
     parts = [ML.evaluate(df, v, feats, split, [model]) for v, feats in _variants().items()
              for split in ("Random", "Group")]
     return rounded(reduce(DataFrame.unionByName, parts))
@@ -225,18 +249,10 @@ def ml_preprocess(spark, sf):
 
 @q
 def ml_tune(spark, sf):
-    df = ML.balanced_weights(ML.split_random(model_frame(spark, sf)).where("split = 'train'"))
-    feats = _variants()["True Auxiliary-Only Model"]
-    stages, fcol = ML.preprocess(feats, df.columns, scale=True)
-    lr = ML.estimator("LogisticRegression", fcol)
-    from pyspark.ml import Pipeline
-    pipe = Pipeline(stages=stages + [lr])
-    grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1, 1.0]).build()
-    ev = MulticlassClassificationEvaluator(labelCol="target", metricName="fMeasureByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=3, seed=42, parallelism=3)
-    m = cv.fit(df)
-    rows = [(float(p[lr.regParam]), float(s)) for p, s in zip(grid, m.avgMetrics)]
-    return spark.createDataFrame(rows, "reg_param double, mean_cv_f1 double")
+    """Tuning of the auxiliary model on the group split's train side; the boosted trees' grid is `ML.tune(..., "GBT")`."""
+    train = ML.split_group(model_frame(spark, sf)).where("split = 'train'")
+    feats = ML.guarded(train, "True Auxiliary-Only Model", _variants()["True Auxiliary-Only Model"])
+    return rounded(ML.tune(train, feats, "LogisticRegression").unionByName(ML.tune(train, feats, "RandomForest")))
 
 
 @q
@@ -244,52 +260,59 @@ def ml_shuffle_check(spark, sf):
     df = model_frame(spark, sf)
     shuffled = ML.permute_within_buckets(df, "target", seed=7)
     feats = _variants()["Extended Clean Model"]
-    m = ML.evaluate(shuffled, "Shuffled labels", feats, "Random", ["RandomForest"])
+    m = ML.evaluate(shuffled, "Shuffled labels", feats, "Random", ["RandomForest"], guard="Extended Clean Model")
     return rounded(m.withColumn("pass", (F.col("balanced_accuracy") < 0.6) & (F.col("roc_auc") < 0.6)))
 
 
+def _confident(spark, sf):
+    return ML.with_target(model_frame(spark, sf).drop("target"), confident_only=True)
+
+
 @q
 def ml_group_audit(spark, sf):
-    df = model_frame(spark, sf).cache()
-    feats = _variants()["Extended Clean Model"]
-    parts = [ML.evaluate(df, "DT free", feats, "Group", ["DecisionTree"]),
-             ML.evaluate(df, "DT restricted", feats, "Group", ["DecisionTree"], restricted=True),
-             ML.evaluate(df, "RF restricted", feats, "Group", ["RandomForest"], restricted=True)]
+    df, guard = _confident(spark, sf), "Extended Clean Model"
+    feats = _variants()[guard]
+    parts = [ML.evaluate(df, "DT free", feats, "Group", ["DecisionTree"], guard=guard, max_depth=ML.FREE_DEPTH),
+             ML.evaluate(df, "DT restricted", feats, "Group", ["DecisionTree"], restricted=True, guard=guard),
+             ML.evaluate(df, "RF restricted", feats, "Group", ["RandomForest"], restricted=True, guard=guard)]
     return rounded(reduce(DataFrame.unionByName, parts))
 
 
 @q
 def ml_ablation(spark, sf):
-    df = model_frame(spark, sf).cache()
-    feats = _variants()["True Auxiliary-Only Model"]
-    parts = [ML.evaluate(df, "Auxiliary ablation", feats, s, ["DecisionTree"], restricted=True)
+    df, guard = _confident(spark, sf), "True Auxiliary-Only Model"
+    parts = [ML.evaluate(df, "Auxiliary ablation", _variants()[guard], s, ["DecisionTree"], restricted=True, guard=guard)
              for s in ("Random", "Group")]
     return rounded(reduce(DataFrame.unionByName, parts))
 
 
 @q
 def ml_report(spark, sf):
-    df = model_frame(spark, sf).cache()
+    """Best model per variant and split, with the verdict of the five audits over all of them."""
+    df = model_frame(spark, sf)
     parts = [ML.evaluate(df, v, feats, split, ["Dummy", "DecisionTree"])
              for v, feats in _variants().items() for split in ("Random", "Group")]
-    m = reduce(DataFrame.unionByName, parts)
+    m = D.materialized(spark, sf, "report_metrics", lambda: reduce(DataFrame.unionByName, parts))
     best = m.groupBy("variant", "split_type").agg(
         F.max_by("model", F.struct("f1", "model")).alias("best_model"), F.max("f1").alias("best_f1"),
         F.max_by("balanced_accuracy", F.struct("f1", "model")).alias("best_balanced_accuracy"))
     piv = best.groupBy("variant").pivot("split_type", ["Random", "Group"]).agg(
         F.first("best_model").alias("model"), F.first("best_f1").alias("f1"),
         F.first("best_balanced_accuracy").alias("balanced_accuracy"))
-    reasons = F.array_compact(F.array(
-        F.when(F.col("Group_balanced_accuracy") < 0.55, F.lit("group balanced accuracy < 0.55")),
-        F.when((F.col("variant") == "True Auxiliary-Only Model") & (F.col("Random_f1") > 0.98),
-               F.lit("auxiliary F1 > 0.98"))))
-    return rounded(piv.select("*", (F.col("Random_f1") - F.col("Group_f1")).alias("random_group_gap"),
-                              F.when(F.size(reasons) == 0, F.lit("PASS")).otherwise(F.lit("FAIL")).alias("verdict"),
-                              F.array_join(reasons, "; ").alias("fail_reasons")))
+    shuffled = D.materialized(spark, sf, "shuffled_metrics", lambda: ml_shuffle_check(spark, sf))
+    trained = [(v, f) for v, feats in _variants().items() for f in ML.guarded(df, v, feats)]
+    leaks = ML.leakage_verdicts(spark.createDataFrame(trained, "variant string, feature string"), df.columns).where("action <> 'Accepted'")
+    tree = m.where("model = 'DecisionTree'")
+    gates = ML.report_gates(
+        leaks.select(F.count(F.lit(1))).scalar(), jn_train_test_overlap(spark, sf).select(F.count(F.lit(1))).scalar(),
+        shuffled.select(F.max("balanced_accuracy")).scalar(), shuffled.select(F.max("roc_auc")).scalar(),
+        tree.where("split_type = 'Group'").select(F.avg("balanced_accuracy")).scalar(),
+        tree.where("split_type = 'Random' and variant = 'True Auxiliary-Only Model'").select(F.max("balanced_accuracy")).scalar())
+    return rounded(piv.select("*", (F.col("Random_f1") - F.col("Group_f1")).alias("random_group_gap"), *gates))
 
 
 def _trained(spark, sf):
-    df = ML.split_random(model_frame(spark, sf)).cache()
+    df = ML.split_random(model_frame(spark, sf))
     train, test = df.where("split = 'train'"), df.where("split = 'test'")
     return ML.fit(train, FEATURES, "LogisticRegression"), train, test
 
@@ -305,12 +328,18 @@ def ml_score(spark, sf):
 @q
 def xp_perm_imp(spark, sf):
     model, _, test = _trained(spark, sf)
-    return rounded(ML.permutation_importance(model, test, FEATURES, repeats=3))
+    return rounded(ML.permutation_importance(model, test, FEATURES))
 
 
 def _background(train):
-    row = train.agg(*[F.median(f).alias(f) for f in FEATURES]).first()
-    return {f: float(row[f]) if row[f] is not None else 0.0 for f in FEATURES}
+    """Training median of each feature: a row a feature."""
+    m = P.exact_percentiles(P.values_of(train, FEATURES), "parameter", "v", {"median": 0.5}).select("parameter", "median")
+    return {f: 0.0 for f in FEATURES} | {r["parameter"]: float(r["median"]) for r in m.collect()}
+
+
+def _spread(train):
+    row = train.agg(*[F.coalesce(F.stddev_samp(f), F.lit(0.0)).alias(f) for f in FEATURES]).first()
+    return row.asDict()
 
 
 @q
@@ -329,6 +358,6 @@ def xp_shap_rows(spark, sf):
 
 @q
 def xp_lime(spark, sf):
-    model, _, _ = _trained(spark, sf)
+    model, train, _ = _trained(spark, sf)
     state = LV.live_state(QL.readings(spark, sf)).select("station_id", *FEATURES)
-    return rounded(ML.lime_surrogate(model, state, FEATURES, key="station_id", samples=200))
+    return rounded(ML.lime_surrogate(model, state, FEATURES, _background(train), _spread(train), key="station_id"))
