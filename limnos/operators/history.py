@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import rules as R
 from ..functions import text as T
-from ..session import broadcast_if_small
 
 
 def _mean(c: str) -> Column:
@@ -117,17 +116,25 @@ def hist_fuzzy(cur: DataFrame, baseline: DataFrame, params=K.HISTORY_PARAMS) ->
                     F.lower(F.trim(F.coalesce("state_name", F.lit("")))).alias("state_lower"))
     rivers = b.select("b_river").distinct()
     river_c = _jaccard_pairs(st.where(F.col("river_name").isNotNull()), "station_name", "river_name",
-                             rivers, "b_river", "b_river", 0.4)
-    name_c = _jaccard_pairs(st, "station_name", "station_name", rivers, "b_river", "b_river", 0.25)
-    # distinct baseline states (an administrative list): broadcast only after a size check
+                             rivers, "b_river", "b_river", 0.4).checkpoint()
+    # "the baseline's state contains the station's" as an equi-join: a state name has few substrings
     states = b.select("b_state").distinct().where(F.col("b_state").isNotNull())
-    state_c = st.where(F.col("state_lower") != "").join(
-        broadcast_if_small(states), F.lower(F.col("b_state")).contains(F.col("state_lower"))).select("station_name", "b_state")
-    rows_river = river_c.join(b, "b_river")
-    c1 = rows_river.join(state_c, ["station_name", "b_state"]).withColumn("level", F.lit(1))
-    c2 = rows_river.withColumn("level", F.lit(2))
+    n = F.length("b_state")
+    parts = states.select("b_state", F.explode(F.sequence(F.lit(1), n)).alias("i")).select(
+        "b_state", "i", F.explode(F.sequence(F.lit(1), n - F.col("i") + 1)).alias("k"))
+    parts = parts.select("b_state", F.substring(F.lower("b_state"), F.col("i"), F.col("k")).alias("state_lower")).distinct()
+    state_c = st.where(F.col("state_lower") != "").join(parts, "state_lower").select("station_name", "b_state").checkpoint()
+    # each level only for the stations that the levels before left
+    in_river = river_c.select("station_name").distinct()
+    both = river_c.join(b, "b_river").join(state_c, ["station_name", "b_state"])
+    c1 = both.withColumn("level", F.lit(1))
+    first = both.select("station_name").distinct().checkpoint()
+    c2 = river_c.join(first, "station_name", "left_anti").join(b, "b_river").withColumn("level", F.lit(2))
+    rest = st.join(in_river, "station_name", "left_anti")
+    name_c = _jaccard_pairs(rest, "station_name", "station_name", rivers, "b_river", "b_river", 0.25).checkpoint()
     c3 = name_c.join(b, "b_river").withColumn("level", F.lit(3))
-    c4 = state_c.join(b, "b_state").withColumn("level", F.lit(4))
+    c4 = (state_c.join(in_river, "station_name", "left_anti").join(name_c.select("station_name").distinct(), "station_name", "left_anti")
+          .join(b, "b_state").withColumn("level", F.lit(4)))
     cand = c1.unionByName(c2).unionByName(c3).unionByName(c4)
     best = cand.groupBy("station_name").agg(F.min("level").alias("level"))
     chosen = cand.join(best, ["station_name", "level"])

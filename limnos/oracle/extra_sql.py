@@ -142,7 +142,8 @@ SELECT n_nationkey, CASE n_nationkey WHEN 1 THEN 'Jammu & Kashmir' WHEN 12 THEN
   WHEN 28 THEN 'Andhra Pradesh' WHEN 29 THEN 'Karnataka' ELSE 'Unknown' END AS state_name FROM nation""",
     "src_infer_state": FILES + "SELECT station_id, file_name, inferred_state, parameter_group FROM inferred",
     "std_state_fill": FILES + """
-SELECT s.station_id, s.sampling_date, CASE WHEN i.inferred_state <> 'Unknown' THEN i.inferred_state END AS state
+SELECT s.station_id, s.sampling_date, coalesce(CASE WHEN s.station_id % 3 <> 0 THEN s.state_name END,
+  CASE WHEN i.inferred_state <> 'Unknown' THEN i.inferred_state END) AS state
 FROM samples s LEFT JOIN inferred i ON i.station_id = s.station_id""",
     "src_union": LIVE + """
 SELECT station_id, sampling_date, station_name, dissolved_oxygen, bod, ph, temperature, conductivity,

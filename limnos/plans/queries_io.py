@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 import uuid
 
+from pyspark.sql import functions as F
+
 from ..sources import bindings as B
 from ..sources import files as FS
 from ..streaming import live as ST
@@ -43,12 +45,17 @@ def src_live_json(spark, sf):
 
 @q
 def src_csv_dir(spark, sf):
-    return FS.read_csv_dir(spark, _csv_dir(spark, sf)).drop("file_path")
+    return FS.read_csv_dir(spark, _csv_dir(spark, sf)).drop("file_path", "_corrupt_record")
 
 
 @q
 def src_manifest(spark, sf):
-    return FS.manifest(spark, _csv_dir(spark, sf))
+    """The part files of a source as one upload: what does not depend on how Spark cut it."""
+    m = FS.manifest(spark, _csv_dir(spark, sf))
+    return m.groupBy("source_file").agg(
+        F.sum("row_count").alias("row_count"), F.max("column_count").alias("column_count"), F.max("detected_encoding").alias("detected_encoding"),
+        F.max("load_status").alias("load_status"), F.bool_or("duplicate_file_flag").alias("duplicate_file_flag"),
+        F.max("inferred_state_from_filename").alias("inferred_state_from_filename"), F.max("likely_parameter_group").alias("likely_parameter_group"))
 
 
 @q

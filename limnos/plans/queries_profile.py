@@ -200,13 +200,12 @@ def agg_long_valid(spark, sf):
 def agg_file_rank(spark, sf):
     nn = P.nonnull_counts(_l(spark, sf), P.PARAMS, keys=("source_file",))
     tot = nn.groupBy("source_file").agg(F.sum("non_null_count").alias("total_non_null"))
-    wd = Window.orderBy(F.col("total_non_null").desc(), "source_file")
-    wa = Window.orderBy(F.col("total_non_null").asc(), "source_file")
-    r = tot.select("*", F.row_number().over(wd).alias("_d"), F.row_number().over(wa).alias("_a"))
-    strong = r.where(F.col("_d") <= 3).select(F.lit("strongest").alias("rank_kind"), F.col("_d").alias("rank"),
-                                               "source_file", "total_non_null")
-    weak = r.where(F.col("_a") <= 3).select(F.lit("weakest").alias("rank_kind"), F.col("_a").alias("rank"),
-                                             "source_file", "total_non_null")
+
+    def ranked(kind, *order):  # the three rows of a distributed top-k, then their places
+        return tot.orderBy(*order).limit(3).select(
+            F.lit(kind).alias("rank_kind"), F.row_number().over(Window.orderBy(*order)).alias("rank"), "source_file", "total_non_null")
+    strong = ranked("strongest", F.col("total_non_null").desc(), F.col("source_file"))
+    weak = ranked("weakest", F.col("total_non_null").asc(), F.col("source_file"))
     return strong.unionByName(weak)
 
 

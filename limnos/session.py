@@ -60,14 +60,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     context.setCheckpointDir(local)
     return local
-
-
-BROADCAST_MAX_ROWS = 100_000
-
-
-def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """Broadcast a side only after checking its size (one tiny count job); otherwise leave the
-    join strategy to Catalyst / AQE (shuffle join, skew splitting)."""
-    from pyspark.sql import functions as F
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

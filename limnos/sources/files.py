@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
 from ..session import ensure_checkpoint_dir
 
 
@@ -31,12 +32,44 @@ def write_csv_dir(df: DataFrame, path: str, partition_by: str = "source_file") -
      .option("nullValue", NULL_MARK).option("emptyValue", '""').csv(path))
 
 
-def read_csv_dir(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """src_csv_dir: every column as string (no inference), the source from the folder name,
-    malformed lines kept in `_corrupt_record` (PERMISSIVE)."""
-    return (spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding)
-            .option("mode", "PERMISSIVE").option("nullValue", NULL_MARK).option("emptyValue", "").csv(path)
-            .withColumn("file_path", F.col("_metadata.file_path")))
+def _has_files(spark: SparkSession, path: str, ending: str) -> bool:
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return False
+    listing = fs.listFiles(p, True)
+    while listing.hasNext():
+        if listing.next().getPath().getName().endswith(ending):
+            return True
+    return False
+
+
+def _lines(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """(path, start, value): the lines of every file, with the place of their block in it."""
+    return (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+            .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value"))
+
+
+def read_csv_dir(spark: SparkSession, path: str, fallback: str | None = None, retry: str = "ISO-8859-1", multi_line: bool = False) -> DataFrame:
+    """src_csv_dir: every column as string (no inference), the source from the folder name; lines that do not
+    fit are kept in `_corrupt_record`.
+
+    Files with lines that are not UTF-8 are read again as `retry`.  Without CSV files in `path` the
+    `fallback` folder is read.  multi_line: quoted line breaks inside cells (files are then not split)."""
+    if fallback is not None and not _has_files(spark, path, ".csv"):
+        path = fallback
+    options = dict(header=True, mode="PERMISSIVE", nullValue=NULL_MARK, emptyValue="", multiLine=multi_line, columnNameOfCorruptRecord="_corrupt_record")
+    header = spark.read.options(**options).csv(path)
+    corrupt = T.StructField("_corrupt_record", T.StringType())
+    # the folder's column is found from the path; all others are text
+    schema = T.StructType([T.StructField(f.name, T.StringType()) for f in header.schema.fields] + [corrupt])
+    other = _lines(spark, path).where(~F.is_valid_utf8("value")).select("path").distinct()
+
+    def read(encoding):
+        return spark.read.schema(schema).options(**options, encoding=encoding).csv(path).withColumn("file_path", F.col("_metadata.file_path"))
+    if other.isEmpty():
+        return read("UTF-8")
+    named = other.withColumnRenamed("path", "file_path")
+    return read("UTF-8").join(named, "file_path", "left_anti").unionByName(read(retry).join(named, "file_path", "left_semi"))
 
 
 LIVE_SCHEMA = T.StructType([
@@ -62,16 +95,41 @@ def read_live_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """src_manifest: one row per file: name, size, SHA-256 of the content, row count."""
+    """src_manifest: one row per file: name, size, rows, columns, content hash, encoding, state and parameter
+    group from its name, whether an earlier file (by path) has the same content, and whether it could be read.
+
+    Files are read as lines; the content hash combines the hashes of all lines with their number, so no file
+    is ever held whole."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-             .load(path).select("path", "length", F.sha2("content", 256).alias("sha256")))
-    rows = (spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
-            .groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("row_count")))
-    return files.join(rows, "path", "left").select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), "path",
-        (F.col("length") / (1024.0 * 1024.0)).alias("file_size_mb"), "sha256",
-        F.coalesce("row_count", F.lit(0)).alias("row_count"),
-        F.lit("loaded").alias("load_status"))
+             .load(path).select("path", "length"))  # the content is not read
+    first = F.min(F.struct("start", "n", "value"))
+    content = (_lines(spark, path, glob).withColumn("n", F.monotonically_increasing_id()).groupBy("path").agg(
+        F.count(F.lit(1)).alias("lines"), first.alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.bit_xor(F.xxhash64("value")).alias("x"), F.sum(F.xxhash64("value").cast("decimal(20,0)")).alias("s")))
+    d = files.join(content, "path", "left")
+    name = F.element_at(F.split("path", "/"), -1)
+    source = F.regexp_extract("path", "source_file=([^/]+)/", 1)
+    d = d.select(
+        "path", name.alias("file_name"), F.when(source == "", name).otherwise(F.url_decode(source)).alias("source_file"),
+        (F.col("length") / (1024.0 * 1024.0)).alias("file_size_mb"),
+        F.greatest(F.coalesce("lines", F.lit(0)) - 1, F.lit(0)).alias("row_count"),
+        F.coalesce(F.regexp_count(F.regexp_replace("header.value", '"[^"]*"', "x"), F.lit(",")) + 1, F.lit(0)).alias("column_count"),
+        F.when(F.coalesce("utf8", F.lit(True)), "utf-8").otherwise("latin1").alias("detected_encoding"),
+        F.sha2(F.concat_ws(":", F.coalesce("lines", F.lit(0)).cast("string"), F.col("x").cast("string"), F.col("s").cast("string")), 256).alias("content_hash"),
+        F.when(F.col("lines").isNull(), "Failed").otherwise("Success").alias("load_status"))
+    earlier = d.groupBy("content_hash").agg(F.min("path").alias("_first"))
+    return d.join(earlier, "content_hash").select(
+        "file_name", "source_file", "path", "file_size_mb", "row_count", "column_count", "detected_encoding", "content_hash",
+        "load_status", (F.col("path") != F.col("_first")).alias("duplicate_file_flag"),
+        X.state_from_filename("source_file").alias("inferred_state_from_filename"),
+        X.group_from_filename("source_file").alias("likely_parameter_group"))
+
+
+def manifest_summary(files: DataFrame) -> DataFrame:
+    """Files found, failed, duplicate and new."""
+    failed, again = F.col("load_status") == "Failed", F.col("duplicate_file_flag")
+    return files.agg(F.count(F.lit(1)).alias("total_discovered"), F.count_if(failed).alias("failed_files"),
+                     F.count_if(again).alias("excluded_hash"), F.count_if(~failed & ~again).alias("new_files"))
 
 
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:
