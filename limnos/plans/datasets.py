@@ -20,7 +20,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import labels
+from ..operators import labels, live
 from ..sources import bindings
 from ..sources import files as FS
 from ..sources.tables import table
@@ -75,3 +75,13 @@ def live_feed(spark: SparkSession, sf: str) -> DataFrame:
     """DM8 raw live feed (materialised)."""
     df = materialized(spark, sf, "live_feed", lambda: bindings.live_feed(spark, sf))
     return df.select(*bindings.LIVE_COLUMNS)
+
+
+def raw_uploads(spark: SparkSession, sf: str) -> DataFrame:
+    """DM1 raw sheets of the uploads (materialised)."""
+    return materialized(spark, sf, "raw_uploads", lambda: bindings.raw_uploads(spark, sf))
+
+
+def live_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored live state of all stations (materialised: E3's hand-over to alerts and serving)."""
+    return materialized(spark, sf, "live_predictions", lambda: live.live_predictions(live.live_state(live.ingest(live_feed(spark, sf)))))

@@ -222,14 +222,13 @@ def sv_label_counts(spark, sf):
 
 @q
 def sv_live_summary(spark, sf):
-    r = QL.readings(spark, sf)
-    pred = LV.live_predictions(LV.live_state(r))
-    al = LV.live_alerts(pred, QL.as_of(r))
+    pred = D.live_predictions(spark, sf)
+    al = LV.live_alerts(pred, pred.select(F.max("latest_timestamp")).scalar())
     levels = ("Severe", "High", "Normal")
-    counts = al.agg(F.struct(*[F.count_if(F.col("severity") == x).alias(x) for x in levels])).scalar()  # one pass over the alerts
-    return pred.agg(F.count(F.lit(1)).alias("live_stations"),
-                    F.count_if(F.col("live_ml_predicted_compliance_label") == "Non-Compliant").alias("non_compliant_ml")) \
-        .select("*", *[counts[x].alias(f"{x.lower()}_alerts") for x in levels])
+    counts = al.agg(*[F.count_if(F.col("severity") == x).alias(f"{x.lower()}_alerts") for x in levels]).withColumn("_one", F.lit(1))
+    stations = pred.agg(F.count(F.lit(1)).alias("live_stations"),
+                        F.count_if(F.col("live_ml_predicted_compliance_label") == "Non-Compliant").alias("non_compliant_ml")).withColumn("_one", F.lit(1))
+    return stations.join(F.broadcast(counts), "_one").drop("_one")  # a row each
 
 
 @q

@@ -24,31 +24,31 @@ DATA_COLS = [c for c in B.RAW_COLUMNS if c != "source_file"]
 
 @q
 def std_coalesce(spark, sf):
-    return S.standardize(B.raw_uploads(spark, sf))
+    return S.standardize(D.raw_uploads(spark, sf))
 
 
 @q
 def std_alias_map(spark, sf):
-    return S.alias_audit(B.raw_uploads(spark, sf), DATA_COLS)
+    return S.alias_audit(D.raw_uploads(spark, sf), DATA_COLS)
 
 
 @q
 def std_unmapped(spark, sf):
-    return S.unmapped_columns(B.raw_uploads(spark, sf), DATA_COLS)
+    return S.unmapped_columns(D.raw_uploads(spark, sf), DATA_COLS)
 
 
 @q
 def std_alias_table(spark, sf):
-    return S.map_canonical(B.raw_uploads(spark, sf).drop("station_id"))
+    return S.map_canonical(D.raw_uploads(spark, sf).drop("station_id"))
 
 
 @q
 def src_raw_inventory(spark, sf):
-    return rounded(S.raw_inventory(B.raw_uploads(spark, sf), DATA_COLS))
+    return rounded(S.raw_inventory(D.raw_uploads(spark, sf), DATA_COLS))
 
 
 def _std_raw(spark, sf):
-    return S.standardize_columns(B.raw_uploads(spark, sf), keep=("source_file", "station_id"))
+    return S.standardize_columns(D.raw_uploads(spark, sf), keep=("source_file", "station_id"))
 
 
 @q
@@ -104,11 +104,12 @@ def mean_of_minmax(spark, sf):
 
 
 def _scaled(spark, sf, suffix, statistics, scale):
-    """One aggregate has the statistics of all columns; its single row is a scalar subquery."""
+    """One aggregate has the statistics of all columns; its single row is joined to every row by a constant key."""
     m, cols = means(spark, sf), [f"{p}_mean" for p in PAIRS]
-    row = m.agg(F.struct(*[f(c).alias(f"{c}_{k}") for c in cols for k, f in enumerate(statistics)]).alias("s")).scalar()
-    return rounded(m.select("station_code", "year", *[
-        scale(F.col(c), *[row[f"{c}_{k}"] for k in range(len(statistics))]).alias(f"{c}_{suffix}") for c in cols]))
+    row = m.agg(*[f(c).alias(f"_{c}_{k}") for c in cols for k, f in enumerate(statistics)]).withColumn("_one", F.lit(1))
+    j = m.withColumn("_one", F.lit(1)).join(F.broadcast(row), "_one")
+    return rounded(j.select("station_code", "year", *[
+        scale(F.col(c), *[F.col(f"_{c}_{k}") for k in range(len(statistics))]).alias(f"{c}_{suffix}") for c in cols]))
 
 
 @q
@@ -123,6 +124,6 @@ def scl_zscore(spark, sf):
 
 @q
 def std_mapping_checks(spark, sf):
-    raw = B.raw_uploads(spark, sf)
+    raw = D.raw_uploads(spark, sf)
     audit = S.alias_audit(raw, DATA_COLS)
     return S.false_positive_audit(audit, S.standardize(raw).columns)
