@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 PARAMS = ["dissolved_oxygen", "bod", "ph", "temperature", "conductivity"]
-AUX = [p for p in K.AUX8 if p in PARAMS]
+EXPANDED = K.CORE_PARAMS + K.AUX8
+LEAST_AUX = 3   # auxiliary parameters that make a row ready
 SAMPLE_COLUMNS = ["source_file", "station_id", "station_name", "river_name", "state_name", "basin",
                   "sampling_date", "month_no", "month", "year"] + PARAMS + ["n_readings"]
 

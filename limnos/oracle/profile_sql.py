@@ -6,7 +6,14 @@ from .cleaning_sql import DIRTY, station_base_sql, primary_sql
 PARAMS = ["dissolved_oxygen", "bod", "ph", "temperature", "conductivity"]
 COLS = ["source_file", "station_id", "station_name", "river_name", "state_name", "basin",
         "sampling_date", "month_no", "month", "year"] + PARAMS + ["n_readings"]
-AUXN = "((temperature IS NOT NULL)::INT + (conductivity IS NOT NULL)::INT)"
+LAB = ["nitrate", "fecal_coliform", "total_coliform", "turbidity", "cod", "total_dissolved_solids"]
+AUXN = "(" + " + ".join(f"({p} IS NOT NULL)::INT" for p in ["temperature", "conductivity"] + LAB) + ")"
+EXPANDED = WITH_BASE + """
+, lab AS (SELECT user_id AS station_id, CAST(ts AS DATE) AS sampling_date, """ + ", ".join(
+    f"avg(CASE WHEN event_id % 13 = {k} THEN value END) AS {p}" for k, p in enumerate(LAB)) + """ FROM events GROUP BY ALL)
+, expanded AS (SELECT l.*, """ + ", ".join(f"lab.{p}" for p in LAB) + """ FROM labelled_risk l
+  LEFT JOIN lab ON lab.station_id = l.station_id AND lab.sampling_date = l.sampling_date)
+"""
 
 SAFE = WITH_BASE + """
 , safe AS (
@@ -84,13 +91,13 @@ FROM labelled_risk GROUP BY ALL""",
     "agg_param_combo": WITH_BASE + """
 SELECT available_compliance_parameters, count(*) AS count, round(count(*) * 100.0e0 / sum(count(*)) OVER (), 6) AS pct
 FROM labelled_risk GROUP BY ALL""",
-    "agg_xcoverage": WITH_BASE + """
+    "agg_xcoverage": EXPANDED + """
 SELECT source_file, state_name, basin, count(*) AS rows, """ + ", ".join(
-        f"round(count({p}) * 100.0e0 / count(*), 6) AS {p}_pct" for p in PARAMS) + f""",
+        f"round(count({p}) * 100.0e0 / count(*), 6) AS {p}_pct" for p in PARAMS + LAB) + f""",
   round(count_if(core_parameter_count = 3) * 100.0e0 / count(*), 6) AS all_three_core_pct,
   round(count_if(core_parameter_count >= 2) * 100.0e0 / count(*), 6) AS at_least_two_core_pct,
-  round(count_if({AUXN} >= 2) * 100.0e0 / count(*), 6) AS all_aux_pct
-FROM labelled_risk GROUP BY ALL""",
+  round(count_if({AUXN} >= 3) * 100.0e0 / count(*), 6) AS at_least_three_aux_pct
+FROM expanded GROUP BY ALL""",
     "agg_cov_by": WITH_BASE + """
 SELECT 'state' AS dimension, state_name AS value, count(*) AS rows FROM labelled_risk GROUP BY ALL
 UNION ALL SELECT 'basin', basin, count(*) FROM labelled_risk GROUP BY ALL""",
@@ -105,15 +112,15 @@ SELECT state_name, river_name, parameter, count(*) AS count,
   round(median(value), 6) AS median, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min,
   round(max(value), 6) AS max
 FROM long GROUP BY ALL""",
-    "agg_aux_ready": WITH_BASE + f"""
+    "agg_aux_ready": EXPANDED + f"""
 SELECT count(*) AS total_rows, count_if(label_confidence IN ('High', 'Medium')) AS rows_with_valid_target,
-  count_if({AUXN} >= 2) AS rows_with_all_aux,
-  count_if(NOT (label_confidence IN ('High', 'Medium')) AND {AUXN} >= 2) AS rows_no_core_but_aux,
+  count_if({AUXN} >= 3) AS rows_with_3_aux,
+  count_if(NOT (label_confidence IN ('High', 'Medium')) AND {AUXN} >= 3) AS rows_no_core_but_aux,
   count(DISTINCT state_name) AS states_represented, count(DISTINCT river_name) AS rivers_represented,
   count(DISTINCT station_name) AS station_count,
   CASE WHEN count_if(label_confidence IN ('High', 'Medium')) < 1000 THEN 'baseline only'
     ELSE 'auxiliary-only model extension' END AS recommended_use
-FROM labelled_risk""",
+FROM expanded""",
     "agg_shape": WITH_BASE + """
 SELECT count(*) AS rows, count(DISTINCT source_file) AS files, count(DISTINCT state_name) AS states,
   count(DISTINCT basin) AS groups, count(DISTINCT station_name) AS stations, count(DISTINCT river_name) AS rivers
@@ -149,11 +156,11 @@ SELECT parameter, count(v) AS parsed_numeric_count, count_if(flag = 'Parse Error
   count_if(starts_with(flag, 'Below detection')) AS bdl_value_count, count_if(v < 0) AS negative_value_count,
   count_if((parameter = 'ph' AND (v < 0 OR v > 14)) OR (parameter = 'conductivity' AND v > 500000)) AS extreme_value_count
 FROM parsed GROUP BY parameter""",
-    "agg_conf_cov": WITH_BASE + f"""
-SELECT 'rows with all DO+BOD+pH' AS metric, count_if(core_parameter_count = 3) AS count FROM labelled_risk
-UNION ALL SELECT 'rows with >=2 core parameters', count_if(core_parameter_count >= 2) FROM labelled_risk
-UNION ALL SELECT 'rows with >=1 core parameter', count_if(core_parameter_count >= 1) FROM labelled_risk
-UNION ALL SELECT 'rows with all auxiliary parameters', count_if({AUXN} >= 2) FROM labelled_risk""",
+    "agg_conf_cov": EXPANDED + f"""
+SELECT 'rows with all DO+BOD+pH' AS metric, count_if(core_parameter_count = 3) AS count FROM expanded
+UNION ALL SELECT 'rows with >=2 core parameters', count_if(core_parameter_count >= 2) FROM expanded
+UNION ALL SELECT 'rows with >=1 core parameter', count_if(core_parameter_count >= 1) FROM expanded
+UNION ALL SELECT 'rows with >=3 auxiliary parameters', count_if({AUXN} >= 3) FROM expanded""",
     "agg_long_valid": WITH_BASE + """
 , long AS (""" + " UNION ALL ".join(
         f"SELECT source_file, '{p}' AS parameter, {p} AS value FROM labelled_risk" for p in PARAMS) + """)

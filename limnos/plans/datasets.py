@@ -85,3 +85,9 @@ def raw_uploads(spark: SparkSession, sf: str) -> DataFrame:
 def live_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Scored live state of all stations (materialised: E3's hand-over to alerts and serving)."""
     return materialized(spark, sf, "live_predictions", lambda: live.live_predictions(live.live_state(live.ingest(live_feed(spark, sf)))))
+
+
+def expanded(spark: SparkSession, sf: str) -> DataFrame:
+    """DM3 labelled samples with the laboratory parameters (materialised)."""
+    return materialized(spark, sf, "expanded", lambda: labelled(spark, sf).join(
+        bindings.lab_samples(spark, sf), ["station_id", "sampling_date"], "left"))

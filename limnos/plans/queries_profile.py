@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import profile as P
@@ -70,20 +71,20 @@ def agg_param_combo(spark, sf):
     return rounded(P.class_balance(_l(spark, sf), "available_compliance_parameters"))
 
 
-def _aux_count():
-    return R.present_count(*P.AUX)
+def _aux_ready():
+    return R.present_count(*K.AUX8) >= P.LEAST_AUX
 
 
 @q
 def agg_xcoverage(spark, sf):
-    l = _l(spark, sf)
+    l = D.expanded(spark, sf)
     n = F.count(F.lit(1))
     return rounded(l.groupBy("source_file", "state_name", "basin").agg(
         n.alias("rows"),
-        *[P.pct(F.count(p), n).alias(f"{p}_pct") for p in P.PARAMS],
+        *[P.pct(F.count(p), n).alias(f"{p}_pct") for p in P.EXPANDED],
         P.pct(F.count_if(F.col("core_parameter_count") == 3), n).alias("all_three_core_pct"),
         P.pct(F.count_if(F.col("core_parameter_count") >= 2), n).alias("at_least_two_core_pct"),
-        P.pct(F.count_if(_aux_count() >= len(P.AUX)), n).alias("all_aux_pct")))
+        P.pct(F.count_if(_aux_ready()), n).alias("at_least_three_aux_pct")))
 
 
 @q
@@ -109,11 +110,11 @@ def agg_baseline(spark, sf):
 
 @q
 def agg_aux_ready(spark, sf):
-    l = _l(spark, sf)
+    l = D.expanded(spark, sf)
     target = F.col("label_confidence").isin("High", "Medium")
-    aux = _aux_count() >= len(P.AUX)
+    aux = _aux_ready()
     r = l.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(target).alias("rows_with_valid_target"),
-              F.count_if(aux).alias("rows_with_all_aux"), F.count_if(~target & aux).alias("rows_no_core_but_aux"),
+              F.count_if(aux).alias("rows_with_3_aux"), F.count_if(~target & aux).alias("rows_no_core_but_aux"),
               F.countDistinct("state_name").alias("states_represented"),
               F.countDistinct("river_name").alias("rivers_represented"),
               F.countDistinct("station_name").alias("station_count"))
@@ -176,12 +177,12 @@ def agg_numeric_valid(spark, sf):
 
 @q
 def agg_conf_cov(spark, sf):
-    l = _l(spark, sf)
+    l = D.expanded(spark, sf)
     n = F.col("core_parameter_count")
     wide = l.agg(F.count_if(n == 3).alias("rows with all DO+BOD+pH"),
                  F.count_if(n >= 2).alias("rows with >=2 core parameters"),
                  F.count_if(n >= 1).alias("rows with >=1 core parameter"),
-                 F.count_if(_aux_count() >= len(P.AUX)).alias("rows with all auxiliary parameters"))
+                 F.count_if(_aux_ready()).alias("rows with >=3 auxiliary parameters"))
     return wide.unpivot([], wide.columns, "metric", "count")
 
 

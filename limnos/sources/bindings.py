@@ -85,6 +85,17 @@ def daily_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(*aggs, F.count(F.lit(1)).alias("n_readings")))
 
 
+#: Laboratory parameters of the expanded samples: events by event_id mod 13.
+LAB_PARAMS = ["nitrate", "fecal_coliform", "total_coliform", "turbidity", "cod", "total_dissolved_solids"]
+
+
+def lab_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per station and day with the mean of each laboratory parameter that was measured."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    aggs = [F.round(F.avg(F.when(F.col("event_id") % 13 == k, F.col("value"))), 9).alias(p) for k, p in enumerate(LAB_PARAMS)]
+    return ev.groupBy(F.col("user_id").alias("station_id"), F.to_date("ts").alias("sampling_date")).agg(*aggs)
+
+
 def station_names(station_id: Column, river: Column) -> Column:
     """Station name template by station_id mod 6; pairs 6k / 6k+1 share a base."""
     town = F.concat(F.lit("Town "), (station_id / 6).cast("bigint").cast("string"))
