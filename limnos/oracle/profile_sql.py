@@ -207,6 +207,21 @@ SELECT station_id, sampling_date, s.use_class, round(class_weight, 6) AS class_w
 FROM safe s JOIN c ON c.use_class = s.use_class JOIN b ON b.is_safe = s.is_safe""",
     "lbl_rule_match": SAFE + """
 SELECT is_safe, CAST(violation_count = 0 AS INTEGER) AS rule_is_safe, count(*) AS count FROM safe GROUP BY ALL""",
+    "lbl_rule_match_rate": SAFE + """
+SELECT count(*) AS rows, round(avg(CAST(is_safe = CAST(violation_count = 0 AS INTEGER) AS INTEGER)), 6) AS match_rate FROM safe""",
+    "agg_spatial_rates": SAFE + """
+, long AS (SELECT 'primary_position' AS dimension, CAST(primary_position AS VARCHAR) AS value, is_safe FROM pair_flags
+  UNION ALL SELECT 'station_group', CAST(station_group AS VARCHAR), is_safe FROM pair_flags
+  UNION ALL SELECT 'has_us_ds_pair', CAST(has_us_ds_pair AS VARCHAR), is_safe FROM pair_flags)
+SELECT dimension, value, count(*) AS rows, round(avg(is_safe), 6) AS safe_rate FROM long WHERE value IS NOT NULL
+  AND dimension IN (SELECT dimension FROM long GROUP BY dimension HAVING count(DISTINCT value) < 25) GROUP BY ALL""",
+    "agg_five_number_log": WITH_BASE + """
+, long AS (""" + " UNION ALL ".join(
+        f"SELECT available_compliance_label, '{p}' AS parameter, ln(1 + {p}) AS v FROM labelled_risk WHERE {p} > -1"
+        for p in PARAMS) + """)
+SELECT available_compliance_label, parameter, round(min(v), 6) AS min, round(quantile_cont(v, 0.25), 6) AS q1,
+  round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, round(max(v), 6) AS max
+FROM long GROUP BY ALL""",
     "agg_describe": WITH_BASE + " UNION ALL ".join(
         f"SELECT '{p}' AS parameter, count({p}) AS count, "
         f"round(CAST(sum(CAST({p} AS DECIMAL(38, 9))) AS DOUBLE) / count({p}), 6) AS mean, round(median({p}), 6) AS median, "

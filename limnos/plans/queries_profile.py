@@ -287,6 +287,30 @@ def lbl_rule_match(spark, sf):
     return s.groupBy("is_safe", "rule_is_safe").agg(F.count(F.lit(1)).alias("count"))
 
 
+@q
+def lbl_rule_match_rate(spark, sf):
+    s = _safe(_l(spark, sf))
+    same = F.col("is_safe") == (F.col("violation_count") == 0).cast("int")
+    return rounded(s.agg(F.count(F.lit(1)).alias("rows"), F.avg(same.cast("int")).alias("match_rate")))
+
+
+@q
+def agg_spatial_rates(spark, sf):
+    """Safe rate by position, station group and pair flag; dimensions of 25 values or more are left out."""
+    s = SP.pair_flags(_safe(_l(spark, sf)))
+    dims = ["primary_position", "station_group", "has_us_ds_pair"]
+    long = s.select("is_safe", F.explode(F.array(*[
+        F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims])).alias("x")).select("is_safe", "x.*")
+    by = long.where("value is not null").groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("rows"), F.avg("is_safe").alias("safe_rate"))
+    few = by.groupBy("dimension").agg(F.count(F.lit(1)).alias("n")).where("n < 25").select("dimension")  # a row a dimension
+    return rounded(by.join(F.broadcast(few), "dimension"))
+
+
+@q
+def agg_five_number_log(spark, sf):
+    return rounded(P.five_number(_l(spark, sf), P.PARAMS, "available_compliance_label", log1p=True))
+
+
 @q
 def agg_describe(spark, sf):
     return rounded(P.describe(_l(spark, sf), P.PARAMS))
