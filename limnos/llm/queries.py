@@ -22,7 +22,7 @@ def op3_url_rules(spark, sf):
 
 def op4_suffix_match(spark, sf):
     from .suffix_match import affected
-    return affected(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    return affected(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")).drop("longest")
 
 
 def op5_bpe(spark, sf):
@@ -57,7 +57,24 @@ def op10_quality(spark, sf):
 
 Q = {f.__name__: f for f in (op1_token_blocks, op2_jaccard, op3_url_rules, op4_suffix_match, op5_bpe, op6_posting_lists, op7_edit_counts, op8_secrets, op9_lattice, op10_quality)}
 #: The pages of the given tables have no redirect or canonical link, so a page without a rule is allowed.
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 SQL = {
+    "op4_suffix_match": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        sized AS (SELECT item_id, w, least(10, len(w)) AS size FROM i WHERE len(w) > 0),
+        windows AS (SELECT DISTINCT item_id, size, array_to_string(w[k:k + size - 1], ' ') AS words
+                    FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS k FROM sized)),
+        sizes AS (SELECT DISTINCT size FROM windows),
+        places AS (SELECT doc_id, size, p, array_to_string(w[p:p + size - 1], ' ') AS words
+                   FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, sizes WHERE len(w) >= size)),
+        hits AS (SELECT doc_id, size, p, item_id FROM places JOIN windows USING (size, words)),
+        covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS q FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+                  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered ON covered.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
     "op3_url_rules": r"""
         WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
         p AS (SELECT page_id,
