@@ -29,7 +29,6 @@ TREND_HIGH_SCORE = 51.0
 
 # --- FIXED VALUES: parameter vocabularies -----------------------------------
 CORE_PARAMS = ["dissolved_oxygen", "bod", "ph"]
-CORE_SHORT = {"dissolved_oxygen": "DO", "bod": "BOD", "ph": "pH"}
 LIVE_PARAMS = ["dissolved_oxygen", "bod", "ph", "temperature", "conductivity",
                "nitrate", "fecal_coliform", "total_coliform", "fecal_streptococci",
                "turbidity", "cod", "total_dissolved_solids"]
@@ -50,10 +49,7 @@ HOTSPOT_PRIORITY = {"Persistent Hotspot": 4, "Recurring Risk": 3,
                     "Intermittent Risk": 2, "Insufficient Monitoring": 1,
                     "Stable / Low Risk": 0}
 
-# --- FIXED VALUES: operational alert triggers, in trigger order ---------------
-ALERT_TRIGGERS = ["Regulatory Violation", "ML Non-Compliance", "Severe Risk Score",
-                  "High Risk Score", "Persistent Hotspot", "Increasing Risk",
-                  "Low Confidence Data"]
+# --- FIXED VALUES: actions of operational alerts ----------------------------
 ALERT_ACTIONS = {
     "Severe": "Escalate for immediate field inspection and source tracking.",
     "Regulatory Violation": "Inspect nearby discharge source and issue warning.",
@@ -81,20 +77,13 @@ CONTEXT_RULES = [
     (r"\b(well|groundwater|piezometer|tubewell)\b", "Groundwater"),
 ]
 CONTEXT_DEFAULT = "Riverine / General"
-SPATIAL_WORDS = ["UPSTREAM", "DOWNSTREAM", "BEFORE", "AFTER", "CONFLUENCE", "DISCHARGE"]
 
-# Missing-value tokens of the censored numeric parser
+# --- FIXED VALUES: missing-value tokens of the numeric parsers
 CENSORED_MISSING = ["bdl", "below detection limit", "na", "-", "nil", "nd",
                     "not detectable", "", "null"]
 BASIC_MISSING = ["nd", "na", "none", "null", ""]
 
-# Season vocabularies
-SEASON4 = {12: "Winter", 1: "Winter", 2: "Winter", 3: "Pre-Monsoon", 4: "Pre-Monsoon",
-           5: "Pre-Monsoon", 6: "Monsoon", 7: "Monsoon", 8: "Monsoon", 9: "Monsoon",
-           10: "Post-Monsoon", 11: "Post-Monsoon"}
-TREND_MONTHS = ["July", "August", "September"]
-
-# Live parameter canonical names: lower-cased, trimmed raw name -> canonical
+# --- FIXED VALUES: live parameter names, lower-cased and trimmed -> canonical
 LIVE_PARAM_ALIASES = [
     ("ph", "ph"), ("p_h", "ph"),
     ("do", "dissolved_oxygen"), ("dissolved oxygen", "dissolved_oxygen"),

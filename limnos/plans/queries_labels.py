@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 
-from ..functions import rules as R
 from ..operators import labels
 from . import datasets as D
 
