@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .kernels import chunks
 from .store import Stage, partitions
-from .tokens import WordTable, encode_chunk, separable, tokenizer_path
+from .tokens import encode_chunk, separable, tokenizer_path, word_table
 
 BLOCK_IDS = 1 << 16
 SCHEMA = ("shard int, block long, first long, n_ids int, bits int, crc long, planes array<binary>, "
@@ -88,7 +88,7 @@ class _Shard:
 
 def _encode(path: str, end_id: int, block: int, bits: int, level: int):
     def run(batches):
-        shard, table = _Shard(TaskContext.get().partitionId(), block, bits, level), WordTable(path)
+        shard, table = _Shard(TaskContext.get().partitionId(), block, bits, level), word_table(path)
         for rows, offsets, data in chunks(batches):
             flat, n = encode_chunk(table, offsets, data)
             shard.add(np.insert(flat, np.cumsum(n), end_id).astype(np.uint32), n + 1, rows.column("doc_id").to_pylist())

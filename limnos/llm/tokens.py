@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
@@ -21,6 +22,8 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 _LOADED: dict = {}
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
+#: Letters whose lower case is one letter, in composed form.
+_LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: ASCII punctuation at which a word may be cut; not the apostrophe (contractions) nor the bar (special tokens).
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'|"]] = True
@@ -79,28 +82,28 @@ def split_words(data, offsets):
 def encode_words(tokenizer, words: list[bytes], group: int = 2000) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ids per word) of words, each encoded by the library.
 
-    Words of a-z only go in lines of `group` words: such a word is one pre-token, so it ends where an id
-    with the vocabulary's word-end mark stands.  All others are encoded one by one."""
+    Words of Latin letters only go in lines of `group` words: such a word is one pre-token, so it ends where an
+    id with the vocabulary's word-end mark stands.  All others are encoded one by one."""
     ends = _word_end_flags(tokenizer)
-    plain = np.fromiter((w.isalpha() and w.isascii() for w in words), bool, len(words))
-    sizes, parts = np.zeros(len(words), np.int64), [None, None]
+    text = b"\n".join(words).decode("utf-8").split("\n") if words else []
+    plain = np.fromiter(map(bool, map(_LATIN.fullmatch, text)), bool, len(text))
+    sizes = np.zeros(len(text), np.int64)
     picked = np.flatnonzero(plain).tolist()
-    lines = [b" ".join([words[k] for k in picked[a:a + group]]).decode() for a in range(0, len(picked), group)]
+    lines = [" ".join([text[k] for k in picked[a:a + group]]) for a in range(0, len(picked), group)]
     flat = [np.asarray(e.ids, np.uint32) for a in range(0, len(lines), 64) for e in tokenizer.encode_batch_fast(lines[a:a + 64], add_special_tokens=False)]
-    parts[0] = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-    stops = np.flatnonzero(ends[parts[0]]) + 1
-    if len(stops) != len(picked) or (len(stops) and stops[-1] != len(parts[0])):
+    joined = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+    stops = np.flatnonzero(ends[joined]) + 1
+    if len(stops) != len(picked) or (len(stops) and stops[-1] != len(joined)):
         raise ValueError("the vocabulary does not mark word ends")
     sizes[plain] = np.diff(np.concatenate(([0], stops)))
-    rest = [words[k].decode("utf-8") for k in np.flatnonzero(~plain).tolist()]
+    rest = [text[k] for k in np.flatnonzero(~plain).tolist()]
     flat = [np.asarray(e.ids, np.uint32) for a in range(0, len(rest), 20_000) for e in tokenizer.encode_batch_fast(rest[a:a + 20_000], add_special_tokens=False)]
     sizes[~plain] = np.asarray([len(x) for x in flat], np.int64)
-    parts[1] = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-    at = np.zeros(len(words), np.int64)
-    for part, mask in zip(parts, (plain, ~plain)):
+    at = np.zeros(len(text), np.int64)
+    for mask in (plain, ~plain):
         at[mask] = np.cumsum(sizes[mask]) - sizes[mask]
-    at[~plain] += len(parts[0])
-    ids, _ = ragged_take(np.concatenate(parts), at, sizes, np.arange(len(words)))
+    at[~plain] += len(joined)
+    ids, _ = ragged_take(np.concatenate([joined, *flat]), at, sizes, np.arange(len(text)))
     return ids, sizes
 
 
@@ -138,6 +141,13 @@ class WordTable:
         return np.searchsorted(self.known, distinct)[inverse]
 
 
+def word_table(path: str) -> WordTable:
+    """The worker process's table, kept from task to task."""
+    if ("table", path) not in _LOADED:
+        _LOADED["table", path] = WordTable(path)
+    return _LOADED["table", path]
+
+
 def encode_chunk(table: WordTable, offsets, data):
     """(ids of all documents of the chunk, ids per document)."""
     lowered, starts, ends = split_words(data, offsets)
