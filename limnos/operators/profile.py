@@ -170,7 +170,7 @@ def pearson(df: DataFrame, cols) -> DataFrame:
 
 
 def _cumulative(df: DataFrame, group: str, col: str, buckets: int, sums=()) -> DataFrame:
-    """Distinct values with their count `_c` and the count `_cum` of values up to and with them, per group.
+    """Distinct values with their count `_c`, the count `_cum` of values up to and with them, and `_n` of all, per group.
 
     Values are range-bucketed by approximate quantile splits (``percentile_approx``: a bounded sketch per
     group, joined as a small table); a value always lands in one bucket, so ties never straddle buckets and
@@ -183,12 +183,15 @@ def _cumulative(df: DataFrame, group: str, col: str, buckets: int, sums=()) -> D
     qs = [i / buckets for i in range(1, buckets)]
     bounds = counts.groupBy(group).agg(F.percentile_approx(col, qs, 10000).alias("_bounds"))
     # groups are parameters, basins, rivers of a top list: few rows of at most `buckets` numbers each
-    c2 = counts.join(F.broadcast(bounds), group).withColumn(
-        "_bk", F.size(F.filter("_bounds", lambda b: b < v))).drop("_bounds")
+    c2 = counts.join(F.broadcast(bounds), group).withColumn("_bk", F.lit(0))
+    for step in [1 << k for k in range(buckets.bit_length() - 1, -1, -1)]:  # how many bounds are below, by halving
+        below = F.get("_bounds", F.col("_bk") + (step - 1)) < v
+        c2 = c2.withColumn("_bk", F.col("_bk") + F.when(below, step).otherwise(0))
+    c2 = c2.drop("_bounds")
     off = (c2.groupBy(group, "_bk").agg(F.sum("_c").alias("_bt"))
            .select(group, "_bk", F.coalesce(F.sum("_bt").over(
                Window.partitionBy(group).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)),
-               F.lit(0)).alias("_off")))
+               F.lit(0)).alias("_off"), F.sum("_bt").over(Window.partitionBy(group)).alias("_n")))
     w = Window.partitionBy(group, "_bk").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
     return c2.join(F.broadcast(off), [group, "_bk"]).withColumn("_cum", F.col("_off") + F.sum("_c").over(w)).drop("_bk", "_off")
 
@@ -197,16 +200,14 @@ def rank_long(df: DataFrame, group: str, col: str, buckets: int = 256, sums=())
     """Exact average (tie-corrected) rank of every DISTINCT value of ``col`` within each ``group``,
     without a global window."""
     return (_cumulative(df, group, col, buckets, sums)
-            .withColumn("_rank", F.col("_cum") - (F.col("_c") - 1) / 2.0).drop("_cum"))
+            .withColumn("_rank", F.col("_cum") - (F.col("_c") - 1) / 2.0).drop("_cum", "_n"))
 
 
-def exact_percentiles(df: DataFrame, group: str, col: str, points: dict, buckets: int = 256) -> DataFrame:
+def exact_percentiles(df: DataFrame, group: str, col: str, points: dict, buckets: int = 64) -> DataFrame:
     """Exact percentiles (linear between neighbours) of ``col`` per ``group``: (group, _n, a column per point).
 
     The value at place k of the sorted rows is the distinct value whose counts reach over k."""
-    cum = _cumulative(df, group, col, buckets)
-    n = df.where(F.col(col).isNotNull()).groupBy(group).agg(_n().alias("_n"))
-    j = cum.join(F.broadcast(n), group)
+    j = _cumulative(df, group, col, buckets)
     first, last = F.col("_cum") - F.col("_c"), F.col("_cum") - 1
     place = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in points.items()}
 
