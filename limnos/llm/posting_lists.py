@@ -8,7 +8,9 @@ finds centroids by walking an in-memory neighbour graph and keeps the lists
 within a ratio of the nearest distance.  Neighbouring lists are stored together
 in blocks of bounded size, which a query reads whole; a block's scores are one
 matrix product in double precision, of which a query's best leave the block if
-they reach what it already finds in the sample.
+they reach what it finds among the sample's vectors in the blocks that it reads.
+A query whose lists hold fewer entries than a result needs reads the next nearest
+lists too, so every query has `top` rows or all candidates.
 
 Nearness is the largest inner product.  Vectors get one more component that
 makes all of them equally long, so that the nearest in distance has the largest
@@ -94,19 +96,16 @@ class Index:
     def longer(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(self.norm**2 - (x * x).sum(axis=1), 0))[:, None]])
 
-    def at_least(self, q: np.ndarray, top: int) -> np.ndarray:
-        """A score that the `top` best entries of each query reach, as that many of the sample do."""
-        if len(self.sample) < top:
-            return np.full(len(q), -np.inf)
-        return -np.partition(-(q @ self.sample.T), top - 1, axis=1)[:, top - 1] - 1e-9
-
     def replicas(self, x: np.ndarray):
-        """(row, list) of all lists of each vector."""
-        d = distances(self.longer(x), self.centroids)
-        order = np.argsort(d, axis=1)[:, :REPLICAS]
-        near = np.take_along_axis(d, order, axis=1)
+        """(row, list, rank) of all lists of each vector, the nearest with rank 0; the same lists in whatever batch
+        the vector comes, as the last distances are taken row by row."""
+        x = self.longer(x)
+        order = np.sort(np.argsort(distances(x, self.centroids), axis=1)[:, :REPLICAS + 4], axis=1)
+        d = np.linalg.norm(x[:, None] - self.centroids[order], axis=2)
+        by = np.argsort(d, axis=1, kind="stable")[:, :REPLICAS]
+        near, order = np.take_along_axis(d, by, axis=1), np.take_along_axis(order, by, axis=1)
         row, k = np.nonzero(near <= REPLICA_RATIO * near[:, :1] + 1e-12)
-        return row, order[row, k]
+        return row, order[row, k], k
 
     def search(self, q: np.ndarray):
         """(row, list) of the lists that each query reads: a walk over the graph from fixed entries, on to the
@@ -142,8 +141,10 @@ def _matrix(column, dim: int) -> np.ndarray:
 class Blocks:
     """Lists put together with their neighbours into blocks of bounded size; a longer list is a block in several parts."""
 
-    def __init__(self, sizes: dict, lists: int, most: int):
-        n = np.asarray([sizes.get(k, 0) for k in range(lists)], np.int64)
+    def __init__(self, sizes: dict, index: Index, most: int):
+        """sizes: (entries, entries whose nearest list it is) of each list."""
+        lists = len(index.centroids)
+        n, nearest = np.asarray([sizes.get(k, (0, 0)) for k in range(lists)], np.int64).T
         self.parts = np.maximum(1, -(-n // most))
         self.block, now, held = np.zeros(lists, np.int64), 0, 0
         for k in range(lists):
@@ -152,6 +153,39 @@ class Blocks:
             self.block[k], held = now, held + n[k]
         self.block_parts = np.ones(now + 1, np.int64)
         np.maximum.at(self.block_parts, self.block, self.parts)
+        self.entries = np.zeros(now + 1, np.int64)  # each entry once
+        np.add.at(self.entries, self.block, nearest)
+        self.places = np.full((len(index.sample), REPLICAS), -1, np.int32)  # blocks of the sample's vectors
+        for a in range(0, len(index.sample), 512):
+            row, lists, rank = index.replicas(index.sample[a:a + 512])
+            self.places[a + row, rank] = self.block[lists]
+
+    def read(self, index: Index, q: np.ndarray, top: int) -> np.ndarray:
+        """Which blocks each query reads: those of the lists that it finds, and of the next nearest lists until they
+        hold `top` entries."""
+        row, lists = index.search(q)
+        read = np.zeros((len(q), len(self.entries)), bool)
+        read[row, self.block[lists]] = True
+        least = min(top, int(self.entries.sum()))
+        for k in np.flatnonzero(read @ self.entries < least):
+            for near in np.argsort(distances(np.append(q[k], 0)[None], index.centroids)[0], kind="stable"):
+                read[k, self.block[near]] = True
+                if read[k] @ self.entries >= least:
+                    break
+        return read
+
+    def at_least(self, index: Index, q: np.ndarray, read: np.ndarray, top: int) -> np.ndarray:
+        """A score that the `top` best entries of the blocks that each query reads reach, as that many of the
+        sample's vectors in them do; less what sums of products in another order may differ by."""
+        if len(index.sample) < top:
+            return np.full(len(q), -np.inf)
+        seen = np.zeros((len(q), len(index.sample)), bool)
+        for block in self.places.T:
+            held = np.flatnonzero(block >= 0)
+            seen[:, held] |= read[:, block[held]]
+        s = np.where(seen, q @ index.sample.T, -np.inf)
+        rounding = 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * index.norm
+        return -np.partition(-s, top - 1, axis=1)[:, top - 1] - rounding
 
 
 def _put(shared, blocks, dim: int, step: int = 512):
@@ -160,7 +194,7 @@ def _put(shared, blocks, dim: int, step: int = 512):
         for batch in batches:
             for a in range(0, batch.num_rows, step):
                 part = batch.slice(a, step)
-                row, lists = shared.value.replicas(_matrix(part.column("vector"), dim))
+                row, lists, _ = shared.value.replicas(_matrix(part.column("vector"), dim))
                 pair = np.unique(row * len(blocks.block_parts) + blocks.block[lists])
                 row, block = pair // len(blocks.block_parts), pair % len(blocks.block_parts)
                 piece = np.asarray(part.column("key").to_numpy())[row] % blocks.block_parts[block]
@@ -171,12 +205,12 @@ def _put(shared, blocks, dim: int, step: int = 512):
 
 
 def _lists(shared, dim: int, step: int = 512):
-    """The lists of each entry, to count them."""
+    """The lists of each entry, and which is the nearest, to count them."""
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, step):
-                _, lists = shared.value.replicas(_matrix(batch.slice(a, step).column("vector"), dim))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32))], names=["list"])
+                _, lists, rank = shared.value.replicas(_matrix(batch.slice(a, step).column("vector"), dim))
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array((rank == 0).astype(np.int32))], names=["list", "nearest"])
     return run
 
 
@@ -187,15 +221,14 @@ def _look(shared, blocks, dim: int, top: int, step: int = 512):
             for a in range(0, batch.num_rows, step):
                 part = batch.slice(a, step)
                 x = _matrix(part.column("vector"), dim)
-                row, lists = shared.value.search(x)
-                pair = np.unique(row * len(blocks.block_parts) + blocks.block[lists])
-                row, block = pair // len(blocks.block_parts), pair % len(blocks.block_parts)
+                read = blocks.read(shared.value, x, top)
+                row, block = np.nonzero(read)
                 n = blocks.block_parts[block]
                 piece = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 row, block = np.repeat(row, n), np.repeat(block, n)
                 out = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(piece.astype(np.int32)), out.column("key"),
-                                                  pa.array(shared.value.at_least(x, top)[row]), out.column("vector")], names=["block", "i", "key", "least", "vector"])
+                                                  pa.array(blocks.at_least(shared.value, x, read, top)[row]), out.column("vector")], names=["block", "i", "key", "least", "vector"])
     return run
 
 
@@ -273,8 +306,9 @@ def nearest(vectors: DataFrame, is_query: Column | None = None, top: int = TOP,
     asked = rows.where(is_query).withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64("vector", F.lit(1)))
     queries = stage.keep(asked.groupBy("h1", "h2").agg(F.min("vec_id").alias("key"), F.first("vector").alias("vector")), "queries")
     # neighbouring lists form blocks of bounded size; the sizes are a number a list, MOST_LISTS at most
-    sizes = {r[0]: r[1] for r in entries.select("vector").mapInArrow(_lists(shared, dim), "list int").groupBy("list").count().collect()}
-    blocks = Blocks(sizes, len(shared.value.centroids), block)
+    placed = entries.select("vector").mapInArrow(_lists(shared, dim), "list int, nearest int")
+    sizes = {r[0]: (r[1], r[2]) for r in placed.groupBy("list").agg(F.count(F.lit(1)), F.sum("nearest")).collect()}
+    blocks = Blocks(sizes, shared.value, block)
     put = entries.select("key", "vector", "ids").mapInArrow(_put(shared, blocks, dim), "block int, i int, ids array<long>, vector array<float>")
     look = queries.select("key", "vector").mapInArrow(_look(shared, blocks, dim, top + 1), "block int, i int, key long, least double, vector array<float>")
     asking = stage.keep(look.groupBy("block").agg(F.count(F.lit(1)).alias("m")).select("block", F.ceil(F.col("m") / block).cast("int").alias("m")), "asking")
