@@ -11,18 +11,21 @@ The distance of two documents is 1 - Jaccard similarity of their sets of word
 3. Pivots create Voronoi regions: of the documents that share a prefix shingle,
    the most central one (fewest rare shingles) is the pivot, and each of them
    measures its exact distance to it.  Within the radius a document is in the
-   pivot's core.  All of a core is one component and is not compared pairwise.
+   pivot's core.
 4. Triangle-inequality windows replicate boundary documents: a document farther
    than twice the radius from a pivot has no link into its core; one in the
    shell, between one and two radii, can only link to core members whose
-   distance to the pivot differs by at most the radius.  Those pairs are checked
-   if they are not in one component already.
+   distance to the pivot differs by at most the radius.  Those pairs and the
+   pairs within a core are checked; in larger regions tile by tile, where a
+   document goes along once a tile and not once a pair.
 5. The documents outside the core are the next region of their shingle: they
    join recursively with a new pivot until no region has two of them.
 
-Every linked pair of different sets is in one component: both meet in the region
-of a shared prefix shingle, where either the pivot's core holds both, or the
-window check compares them, or both go on to the next region together.
+Every linked pair of different sets is found: both meet in the region of a shared
+prefix shingle, where either one is the pivot, or a check compares them, or both
+go on to the next region together.  Components alone need fewer links: with
+`every` false, pairs that one component already holds are left out, all of a core
+among them.
 
 Results for odd input: null and empty texts have no shingles and link with
 nothing (component is their own doc_id); texts of fewer words are one shingle of
@@ -52,6 +55,8 @@ WORDS = 5
 PERCENT = 80
 #: A code is the upper 32 bits of a shingle's hash; a cell of the class table holds 2**7 neighbouring codes.
 BUCKET_BITS, CELL_BITS = 8, 25
+#: Documents, and shingles, of one side of a tile; regions of up to a sixteenth of it are compared by joins.
+TILE, TILE_SHINGLES = 512, 500_000
 _WEIGHTS = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) | U64(1)
 
 
@@ -207,7 +212,7 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _window(region: DataFrame, other: DataFrame, percent: int, condition) -> DataFrame:
-    """Pairs of two parts of the same pivot's region, of unlike components, that may link.
+    """Pairs of two parts of the same pivot's region, of unlike components (if known), that may link.
 
     Two bounds of the intersection leave them: by the sizes, and, where both distances to the pivot are known, by
     what each shares with the pivot and outside it; the triangle inequality is the second bound without sizes."""
@@ -217,11 +222,73 @@ def _window(region: DataFrame, other: DataFrame, percent: int, condition) -> Dat
     near = F.coalesce(F.abs(F.col("ad") - F.col("bd")) <= radius, F.lit(True))
     shared = F.least("ainter", "binter") + F.least(F.col("acom") - F.col("ainter"), F.col("bcom") - F.col("binter"))
     enough = F.coalesce(100 * shared >= percent * (F.col("an") + F.col("bn") - shared), F.lit(True))
-    on = ((a["p"] == b["p"]) & condition(F.col("ax"), F.col("bx")) & (F.col("acomponent") != F.col("bcomponent")) & near & enough
+    on = ((a["p"] == b["p"]) & condition(F.col("ax"), F.col("bx")) & F.coalesce(F.col("acomponent") != F.col("bcomponent"), F.lit(True)) & near & enough
           & _may_reach(F.col("an"), F.col("acom"), F.col("bn"), F.col("bcom"), percent))
     return a.join(b, on).select(F.col("ax").alias("a"), F.col("bx").alias("b"))
 
 
+_PAIRS = "a long, b long, an int, bn int, inter int"
+
+
+def _overlaps(doc: np.ndarray, shingles: np.ndarray, n: int, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of `n` sets, by products of the shingles that two of them have."""
+    _, column, count = np.unique(shingles, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    doc, column = doc[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    out = np.zeros((n, n), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (first, first + width))
+        has = np.zeros((n, width), np.float32)
+        has[doc[a:b], column[a:b] - first] = 1
+        out += has @ has.T
+    return out.astype(np.int64)
+
+
+def _tile(percent: int, last: bool):
+    """The linked pairs of a tile's documents; of those of two sides, the pairs across."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("an", pa.int32()), ("bn", pa.int32()), ("inter", pa.int32())])
+    radius = (100 - percent) / 100 + 1e-9
+
+    def run(key, members):
+        x, n, com, side = (members.column(c).to_numpy() for c in ("x", "n", "com", "i"))
+        core = members.column("core").to_numpy(zero_copy_only=False).astype(bool)
+        inter, d = (members.column(c).cast(pa.float64()).to_numpy() for c in ("inter", "d"))  # nan: far from the pivot
+        far = np.isnan(d)
+        pair = x[:, None] < x
+        if key[1].as_py() != key[2].as_py():
+            pair &= side[:, None] != side
+        pair &= ~(core[:, None] & far | far[:, None] & core)
+        if not last:
+            pair &= core[:, None] | core  # the others meet again in the next region
+        total, known = n[:, None] + n, ~(far[:, None] | far)
+        pair &= ~known | (np.abs(d[:, None] - d) <= radius)
+        most = np.minimum(np.minimum(com, n)[:, None], np.minimum(com, n))
+        pair &= 100 * most >= percent * (total - most)
+        most = np.minimum(inter[:, None], inter) + np.minimum((com - inter)[:, None], com - inter)
+        pair &= ~known | (100 * most >= percent * (total - most))
+        rows = np.flatnonzero(pair.any(axis=0) | pair.any(axis=1))
+        if not len(rows):
+            return schema.empty_table()
+        sets = members.column("sh").combine_chunks().take(pa.array(rows))
+        both = _overlaps(np.repeat(np.arange(len(rows)), n[rows]), sets.flatten().to_numpy(), len(rows))
+        linked = pair[np.ix_(rows, rows)] & (100 * both >= percent * (total[np.ix_(rows, rows)] - both))
+        a, b = np.nonzero(linked)
+        return pa.table([pa.array(c, t) for c, t in zip((x[rows[a]], x[rows[b]], n[rows[a]], n[rows[b]], both[a, b]), schema.types)], schema=schema)
+    return run
+
+
+def _tiles(region: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, last: bool, tile: int) -> DataFrame:
+    """The links inside the regions of `sizes` (p, k sides)."""
+    dealt = region.join(sizes, "p").withColumn("i", F.pmod(F.xxhash64("x"), F.col("k")).cast("int"))
+    if not last:
+        dealt = dealt.where("d is not null")
+    dealt = dealt.join(sets.select(F.col("id").alias("x"), "sh"), "x").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    spread = dealt.select("p", F.least("i", "o").alias("t"), F.greatest("i", "o").alias("u"), "x", "n", "com", "inter", "d", F.coalesce("core", F.lit(False)).alias("core"), "i", "sh")
+    return spread.groupBy("p", "t", "u").applyInArrow(_tile(percent, last), _PAIRS)
+
+
 def class_table(codes: DataFrame) -> dict:
     """The frequency classes of all shingle codes: 2**CELL_BITS cells whatever the input, compressed."""
     parts = (codes.where("bucket is not null").select("bucket", "codes", "counts").repartition(min(1 << BUCKET_BITS, partitions(codes.sparkSession)), "bucket")
@@ -229,17 +296,24 @@ def class_table(codes: DataFrame) -> dict:
     return {r.bucket: bytes(r.classes) for r in parts.collect()}
 
 
-def links(prefixes: DataFrame, docs: DataFrame, stage: Stage, words: int, percent: int, rounds: int) -> DataFrame:
-    """(src, dst) links of representatives: enough of them that linked documents are connected, and no others.
+def links(prefixes: DataFrame, docs: DataFrame, stage: Stage, words: int, percent: int, rounds: int, every: bool = True, tile: int = TILE) -> DataFrame:
+    """(a, b, an, bn, inter) of the linked representatives a < b: all of them, once, or if not `every`, enough of
+    them (with repeats) that linked documents are connected.
 
     prefixes: (doc_id, n, com, prefix)."""
     shell = 2 * percent - 100  # similarity at twice the radius
-    spread = prefixes.select(F.col("doc_id").alias("x"), "n", "com", F.explode("prefix").alias("s"))
+    spread = prefixes.where(100 * F.col("com") >= percent * F.col("n"))  # others share too little with all documents together
+    spread = spread.select(F.col("doc_id").alias("x"), "n", "com", F.explode("prefix").alias("s"))
     shared = spread.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("s")
     members = stage.keep(spread.join(shared, "s"), "members")
     active = members.select(F.col("x").alias("doc_id")).distinct()
     sets = stage.keep(docs.join(active, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, sh array<long>").dropDuplicates(["id"]), "sets")
     found = []
+
+    def add(pairs):
+        turned = F.col("a") > F.col("b")
+        found.append(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("bn")).otherwise(F.col("an")).alias("an"),
+                                  F.when(turned, F.col("an")).otherwise(F.col("bn")).alias("bn"), "inter"))
     for k in range(rounds):
         # the pivot of a shingle: the document with the fewest shingles of its own
         pivots = members.groupBy("s").agg(F.min(F.struct((F.col("n") - F.col("com")).alias("own"), "x", "n", "com")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -247,55 +321,93 @@ def links(prefixes: DataFrame, docs: DataFrame, stage: Stage, words: int, percen
         region = near.select("x", "n", "com", "p").distinct()
         pairs = region.where(_may_reach(F.col("n"), F.col("com"), F.col("p.n"), F.col("p.com"), shell)).select(F.col("x").alias("a"), F.col("p.x").alias("b"))
         measured = stage.keep(_measure(pairs, sets).where(_similar(shell)), f"distances-{k}")
-        core = measured.where(_similar(percent))
-        found.append(core.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        add(measured.where(_similar(percent)))
         placed = measured.select(F.col("a").alias("x"), F.col("b").alias("p"), _similar(percent).alias("core"), F.col("inter").cast("long").alias("inter"),
                                  (1 - F.col("inter") / (F.col("an") + F.col("bn") - F.col("inter"))).alias("d"))
-        component = connected_components(_union(found), stage, f"region-components-{k}").select(F.col("id").alias("x"), "component")
-        region = region.select("x", "n", "com", F.col("p.x").alias("p")).join(placed, ["x", "p"], "left").join(component, "x", "left")
-        region = stage.keep(region.withColumn("component", F.coalesce("component", "x")), f"placed-{k}")
-        inside, outside = region.where("core"), region.where("not coalesce(core, false)")
-        checks = _window(outside.where("d is not null"), inside, percent, lambda x, y: x != y)
-        if k == rounds - 1:  # the last regions are compared pair by pair within the windows
+        region = region.select("x", "n", "com", F.col("p.x").alias("p")).join(placed, ["x", "p"], "left")
+        if every:
+            region = region.withColumn("component", F.lit(None).cast("long"))
+        else:
+            component = connected_components(_edges(found), stage, f"region-components-{k}").select(F.col("id").alias("x"), "component")
+            region = region.join(component, "x", "left").withColumn("component", F.coalesce("component", "x"))
+        region = stage.keep(region, f"placed-{k}")
+        inside, last = region.where("core"), k == rounds - 1
+        few = region
+        if every:
+            sizes = region.groupBy("p").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+            sizes = stage.keep(sizes.where(F.col("c") > tile // 16).select("p", F.ceil(F.greatest(F.col("c") / tile, F.col("w") / TILE_SHINGLES)).cast("int").alias("k")), f"tiled-{k}")
+            add(stage.keep(_tiles(region, sizes, sets, percent, last, tile), f"tiles-{k}"))
+            few = region.join(sizes, "p", "left_anti")
+        core, outside = few.where("core"), few.where("not coalesce(core, false)")
+        checks = _window(outside.where("d is not null"), core, percent, lambda x, y: x != y)
+        if every:
+            checks = checks.union(_window(core, core, percent, lambda x, y: x < y))
+        if last:  # the last regions are compared pair by pair within the windows
             checks = checks.union(_window(outside, outside, percent, lambda x, y: x < y))
-        checked = stage.keep(_measure(checks.distinct(), sets).where(_similar(percent)), f"checked-{k}")
-        found.append(checked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        checks = checks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        add(stage.keep(_measure(checks, sets).where(_similar(percent)), f"checked-{k}"))
         flat = near.select("s", "x", "n", "com", F.col("p.x").alias("p"))
         members = stage.keep(flat.join(inside.select("x", "p"), ["x", "p"], "left_anti").select("x", "n", "com", "s"), f"members-{k}")
         if members.isEmpty():
             break
-    return _union(found)
+    return stage.keep(_union(found).dropDuplicates(["a", "b"]), "links") if every else _union(found)
+
+
+def _edges(found: list[DataFrame]) -> DataFrame:
+    return _union(found).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.union, parts)
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id of an equal set) and component_id of every document.
-
-    percent: the least similarity of linked sets, above 50.  rounds: how often regions are joined recursively
-    before the last ones are compared pair by pair."""
-    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
-    stage = Stage(spark, "jaccard")
+def _prepared(docs: DataFrame, stage: Stage, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(set size and fingerprint of each document, classes of equal sets, prefixes of their representatives)."""
+    spark = docs.sparkSession
     profile = stage.keep(docs.mapInArrow(_profile(words), "doc_id long, n long, fp1 long, fp2 long, bucket int, codes binary, counts binary"), "profile")
     sets = profile.where("bucket is null").select("doc_id", "n", "fp1", "fp2")
     classes = stage.keep(sets.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("class_id")), "classes")
     blobs = spark.sparkContext.broadcast(class_table(profile))
     prefixes = docs.mapInArrow(_prefixes(words, percent, blobs), "doc_id long, n long, com long, prefix array<long>")
-    prefixes = stage.keep(prefixes.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "prefixes")
-    component = stage.keep(connected_components(links(prefixes, docs, stage, words, percent, rounds), stage), "component")
+    return sets, classes, stage.keep(prefixes.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "prefixes")
+
+
+def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: int = 2, tile: int = TILE) -> DataFrame:
+    """(a, b, an, bn, inter) of every linked pair of class representatives a < b: their doc_ids, set sizes and
+    shared shingles."""
+    docs = docs.select("doc_id", "text")
+    stage = Stage(docs.sparkSession, "jaccard")
+    return links(_prepared(docs, stage, words, percent)[2], docs, stage, words, percent, rounds, tile=tile)
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: int = 2, every: bool = True) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest doc_id of an equal set) and component_id of every document, and n_links,
+    the number of classes that its class links to.
+
+    percent: the least similarity of linked sets, above 50.  rounds: how often regions are joined recursively
+    before the last ones are compared pair by pair.  every: find every link; if false, only those that the
+    components need, without n_links."""
+    docs = docs.select("doc_id", "text")
+    stage = Stage(docs.sparkSession, "jaccard")
+    sets, classes, prefixes = _prepared(docs, stage, words, percent)
+    found = links(prefixes, docs, stage, words, percent, rounds, every)
+    component = stage.keep(connected_components(_edges([found]), stage), "component")
+    if every:
+        degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+        component = component.join(degree, "id")
+    counted = ["n_links"] if every else []
+    zero = F.when(F.col("class_id").isNotNull(), F.lit(0).cast("long"))
     named = stage.keep(classes.join(component, classes["class_id"] == component["id"], "left")
-                       .select("n", "fp1", "fp2", "class_id", F.coalesce("component", "class_id").alias("component_id")), "named")
+                       .select("n", "fp1", "fp2", "class_id", F.coalesce("component", "class_id").alias("component_id"), *[F.coalesce(c, zero).alias(c) for c in counted]), "named")
     full, none = sets.where("n > 0"), sets.where("n = 0")
-    out = full.join(named, ["n", "fp1", "fp2"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
-    return out.union(none.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
+    out = full.join(named, ["n", "fp1", "fp2"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id", *counted)
+    return out.union(none.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in counted]))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents with the smallest doc_id of their component, in all their columns; of rows that repeat such a
     doc_id one stays, rows without doc_id stay."""
-    found = jaccard_components(docs, **options)
+    found = jaccard_components(docs, every=False, **options)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(c) for c in docs.columns])
     rank = "_rank" + "_" * max(map(len, docs.columns), default=0)  # a name that no column has

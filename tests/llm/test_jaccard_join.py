@@ -68,3 +68,28 @@ def test_prefix_size_is_exact():
     for n in range(1, 400):
         least = -(-80 * n // 100)  # the fewest shingles that a linked set shares
         assert J.prefix_size(n) + least == n + 1
+
+
+@pytest.mark.parametrize("rounds,tile", [(2, J.TILE), (1, 16), (2, 48)])
+def test_every_link_between_different_texts(spark, rounds, tile):
+    r, texts = random.Random(9), corpus(4)
+    base = [f"b{k}" for k in range(150)]
+    for _ in range(70):  # a large group of near copies, most of them linked to each other
+        copy = list(base)
+        for _ in range(r.randrange(1, 5)):
+            copy[r.randrange(150)] = f"e{r.randrange(9)}"
+        texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    first = {}
+    for k, x in enumerate(sets):
+        first.setdefault(frozenset(x), 3 * k)
+    want = {(a, b): len(x & y) for x, a in first.items() for y, b in first.items() if a < b and x and y and 100 * len(x & y) >= 80 * len(x | y)}
+    found = J.jaccard_links(documents(spark, texts), rounds=rounds, tile=tile).collect()
+    assert len(found) == len(want) > 500 and {(l.a, l.b): l.inter for l in found} == want
+    assert all((l.an, l.bn) == (len(sets[l.a // 3]), len(sets[l.b // 3])) for l in found)
+    if tile == J.TILE:
+        got = rows(J.jaccard_components(documents(spark, texts)))
+        for k, x in enumerate(sets):
+            assert got[3 * k]["n_links"] == sum(first[frozenset(x)] in pair for pair in want)
+        less = rows(J.jaccard_components(documents(spark, texts), every=False))
+        assert all(less[k]["component_id"] == got[k]["component_id"] and "n_links" not in less[k] for k in got)
