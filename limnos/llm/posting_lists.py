@@ -41,7 +41,8 @@ REPLICAS, REPLICA_RATIO = 8, 1.15
 SEARCH_RATIO, LEAST_LISTS = 1.13, 8
 #: Entries, or queries, of a block.
 BLOCK = 16_384
-_DEGREE, _ENTRIES = 24, 32
+#: Nearest neighbours of a centroid in the graph; a walk enters it once in so many centroids of the tree's order.
+_DEGREE, _ENTRY_STEP = 24, 16
 
 
 def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -88,10 +89,16 @@ class Index:
         for k, row in enumerate(near.tolist()):  # both ways
             for j in row:
                 linked[j].add(k)
+        for k in range(n):  # neighbours in the tree's order, and farther ones: the graph is connected
+            step = 1
+            while k + step < n:
+                linked[k].add(k + step)
+                linked[k + step].add(k)
+                step *= 4
         self.size = np.asarray([len(s) for s in linked])
         self.at = np.cumsum(self.size) - self.size
         self.next = np.asarray([j for s in linked for j in sorted(s)], np.int64)
-        self.entries = np.unique(np.linspace(0, n - 1, min(n, _ENTRIES)).astype(np.int64))
+        self.entries = np.unique(np.append(np.arange(0, n, _ENTRY_STEP), n - 1))  # one in every larger part of the tree
 
     def longer(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(self.norm**2 - (x * x).sum(axis=1), 0))[:, None]])

@@ -86,3 +86,46 @@ def test_few_entries_in_the_lists_read():
         assert (held.sum(axis=1) >= min(top, 90)).all()
         floor = blocks.at_least(index, x, read, 21)
         assert all((x[held[k]] @ x[k] >= floor[k]).sum() >= 21 for k in range(90))
+
+
+def skewed(n, seed=7):
+    """Tight clusters of very uneven sizes, far from each other."""
+    r = np.random.default_rng(seed)
+    centre = r.normal(size=(40, 24)) * 4
+    share = 1 / np.arange(1, 41) ** 1.2
+    return centre[r.choice(40, n, p=share / share.sum())] + r.normal(size=(n, 24)) * 0.5
+
+
+def test_graph_is_connected_and_reaches_every_cluster():
+    x = skewed(8000)
+    index = P.Index(x, 2000, float(np.linalg.norm(x, axis=1).max()))
+    seen, todo = {0}, [0]
+    while todo:
+        k = todo.pop()
+        new = set(index.next[index.at[k]:index.at[k] + index.size[k]].tolist()) - seen
+        seen |= new
+        todo += new
+    assert len(seen) == len(index.centroids)
+    q = x[::20]
+    nearest = P.distances(np.hstack([q, np.zeros((len(q), 1))]), index.centroids).argmin(axis=1)
+    found = set(zip(*(c.tolist() for c in index.search(q))))
+    assert np.mean([(k, j) in found for k, j in enumerate(nearest.tolist())]) > 0.99
+
+
+def test_recall_of_skewed_clusters_in_small_blocks(spark):
+    v = skewed(6000)
+    df = table(spark, list(enumerate(v))).cache()
+    x = v.astype(np.float32).astype(float)
+    index = P.Index(x, 93, float(np.linalg.norm(x, axis=1).max()))
+    sizes = {}
+    for _, k, rank in zip(*index.replicas(x)):
+        n, nearest = sizes.get(k, (0, 0))
+        sizes[k] = n + 1, nearest + (rank == 0)
+    blocks = P.Blocks(sizes, index, 128)
+    read = blocks.read(index, x[::20], 21)
+    share = (read @ blocks.entries).mean() / len(v)
+    found = P.nearest(df, list_size=64, block=128).cache()
+    recall = P.recall(found, df, list(range(0, 6000, 20)))
+    print(f"share of entries read {share:.3f}, recall {recall:.4f}")
+    assert share < 0.5 and recall > 0.9
+    assert found.count() == 20 * 300
