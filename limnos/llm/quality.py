@@ -2,14 +2,15 @@
 
 Tokens (letters, digits, punctuation, in their case) hash to a fixed number of
 word rows.  Each row has a sparse random index vector; its word vector is the
-sum of the index vectors of the words within two places, over the training
-texts, scaled to length one and added to its own index vector.  A document is
+sum of the index vectors of the words within two places, over the texts of all
+documents, labelled or not, scaled to length one and added to its own index vector.  A document is
 the mean and the spread of its words' vectors and three counts.  A two-layer
 numpy network is trained on those, and a temperature fitted on a part that the
 training did not see calibrates its probabilities.
 
-The classifier is fitted on at most `sample` labelled rows, those with the
-smallest hash of their doc_id; its vectors and weights have a fixed size.
+The network is fitted on at most `sample` labelled rows, those with the
+smallest hash of their doc_id; the vectors, summed over every task's texts, and
+its weights have a fixed size.
 Scoring reads every whole text, in its own task, without a shuffle.
 
 Results for odd input: null and empty texts are documents without words and get
@@ -193,11 +194,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """(word vectors, network) from the labelled rows that are not held out."""
+    """(word vectors of all texts, network from the labelled rows that are not held out)."""
     spark = docs.sparkSession
     stage = Stage(spark, "quality")
     rows = stage.keep(training_rows(docs, labels, sample).repartition(16, "doc_id"), "sample")
-    sums = rows.select("text").mapInArrow(_contexts, "part int, sums binary").groupBy("part").applyInArrow(_add, "part int, sums binary").collect()
+    sums = docs.select("text").mapInArrow(_contexts, "part int, sums binary").groupBy("part").applyInArrow(_add, "part int, sums binary").collect()
     context = np.zeros((ROWS, DIM))
     for part, blob in sums:
         context[part * _GROUP:(part + 1) * _GROUP] = np.frombuffer(blob, "<i8").reshape(_GROUP, DIM)

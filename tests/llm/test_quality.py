@@ -48,3 +48,14 @@ def test_odd_rows(spark):
     assert {r.score for r in Q.classify(docs.limit(3), labels.limit(0)).collect()} == {0.5}
     odd = spark.createDataFrame([(None, 1), (5, None), (9, 1), (9, 1)], "doc_id long, quality int")
     assert {r.score for r in Q.classify(docs.limit(30), odd).collect()} == {1.0}
+
+
+def test_word_vectors_come_from_all_texts(spark):
+    docs, labels = corpus(spark, 80)
+    more = spark.createDataFrame([(1000, "unlabelled zebra crossing"), (1001, None), (None, "zebra crossing")], "doc_id long, text string")
+    got = Q.fit(docs.union(more), labels, sample=10)[0].value
+    texts = [r.text or "" for r in docs.union(more).collect()]
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0] + [len(b) for b in data])
+    want = Q.word_vectors(Q.context_sums(*Q.word_rows(offsets, np.frombuffer(b"".join(data), np.uint8))))
+    assert np.allclose(got, want)
