@@ -55,9 +55,19 @@ def op10_quality(spark, sf):
     return classify(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
 
 
-Q = {f.__name__: f for f in (op1_token_blocks, op2_jaccard, op3_url_rules, op4_suffix_match, op5_bpe, op6_posting_lists, op7_edit_counts, op8_secrets, op9_lattice, op10_quality)}
+def op13_merkle(spark, sf):
+    from .merkle import newline_audit
+    return newline_audit(table(spark, sf, "documents"))
+
+
+Q = {f.__name__: f for f in (op1_token_blocks, op2_jaccard, op3_url_rules, op4_suffix_match, op5_bpe, op6_posting_lists, op7_edit_counts, op8_secrets, op9_lattice, op10_quality, op13_merkle)}
 #: The pages of the given tables have no redirect or canonical link, so a page without a rule is allowed.
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {0})"
+#: crc32 of the decimal doc_id, byte by byte and bit by bit.
+_CRC = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda c, z: xor(c >> 1, (c & 1::UBIGINT) * 3988292384::UBIGINT)))"""
 SQL = {
     "op4_suffix_match": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -75,6 +85,30 @@ SQL = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered ON covered.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
+    "op13_merkle": f"""
+        WITH RECURSIVE leaves AS (SELECT doc_id, source, {_LEAF.format(_FIELD.format("text"))} AS leaf,
+                CASE WHEN text IS NOT NULL AND xor({_CRC}, 4294967295::UBIGINT) % 2 = 0
+                     THEN {_LEAF.format("strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '')")} END AS changed FROM documents),
+        placed AS (SELECT *, dense_rank() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS tree, count(*) OVER (PARTITION BY source) AS n,
+                row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k FROM leaves),
+        nodes AS (SELECT 0 AS level, tree, n, k, leaf AS d FROM placed
+            UNION ALL SELECT level + 1, tree, (n + 2) // 3, k // 3, sha256(string_agg(d, '' ORDER BY k)) FROM nodes WHERE n > 1 GROUP BY level, tree, n, k // 3),
+        subroots AS (SELECT tree, max(level) AS depth, arg_max(d, level) AS subroot FROM nodes WHERE n = 1 GROUP BY tree),
+        upper AS (SELECT 0 AS level, (SELECT count(*) FROM subroots) AS n, tree AS k, subroot AS d FROM subroots
+            UNION ALL SELECT level + 1, (n + 2) // 3, k // 3, sha256(string_agg(d, '' ORDER BY k)) FROM upper WHERE n > 1 GROUP BY level, n, k // 3),
+        sides AS (SELECT tree, level, k, n,
+                coalesce(string_agg(d, '') OVER (PARTITION BY tree, level, n, k // 3 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                coalesce(string_agg(d, '') OVER (PARTITION BY tree, level, n, k // 3 ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+                FROM (SELECT * FROM nodes UNION ALL SELECT level, -1, n, k, d FROM upper) WHERE n > 1),
+        climbs AS (SELECT doc_id, leaf, subroot, depth, p.tree, k, coalesce(changed, leaf) AS d, '' AS proof, 0 AS level FROM placed p JOIN subroots USING (tree)
+            UNION ALL SELECT doc_id, leaf, subroot, depth, c.tree, CASE WHEN c.level + 1 = depth THEN c.tree ELSE c.k // 3 END, sha256(l || d || r), proof || l || r, c.level + 1
+            FROM climbs c JOIN sides s ON s.tree = c.tree AND s.level = c.level AND s.k = c.k WHERE c.level < depth),
+        tops AS (SELECT doc_id, leaf, subroot, tree AS k, d, proof, 0 AS level FROM climbs WHERE level = depth
+            UNION ALL SELECT doc_id, leaf, subroot, t.k // 3, sha256(l || d || r), proof || l || r, t.level + 1
+            FROM tops t JOIN sides s ON s.tree = -1 AND s.level = t.level AND s.k = t.k),
+        root AS (SELECT d AS root FROM upper WHERE n = 1)
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, d AS folded_root, d = root AS verified
+        FROM tops, root WHERE tops.level = (SELECT max(level) FROM upper)""",
     "op3_url_rules": r"""
         WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
         p AS (SELECT page_id,
