@@ -55,12 +55,17 @@ def op10_quality(spark, sf):
     return classify(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
 
 
+def op12_simhash(spark, sf):
+    from .simhash import near_duplicates
+    return near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op13_merkle(spark, sf):
     from .merkle import newline_audit
     return newline_audit(table(spark, sf, "documents"))
 
 
-Q = {f.__name__: f for f in (op1_token_blocks, op2_jaccard, op3_url_rules, op4_suffix_match, op5_bpe, op6_posting_lists, op7_edit_counts, op8_secrets, op9_lattice, op10_quality, op13_merkle)}
+Q = {f.__name__: f for f in (op1_token_blocks, op2_jaccard, op3_url_rules, op4_suffix_match, op5_bpe, op6_posting_lists, op7_edit_counts, op8_secrets, op9_lattice, op10_quality, op12_simhash, op13_merkle)}
 #: The pages of the given tables have no redirect or canonical link, so a page without a rule is allowed.
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 _FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
