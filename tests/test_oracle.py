@@ -46,7 +46,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 SHARES = {"accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc", "mean_cv_f1", "live_ml_non_compliance_probability"}
 #: Queries whose result has a row for each row of a table, and that table.
-PER_ROW = {f"op{n}_": "documents" for n in (1, 2, 4, 5, 7, 8, 9, 10)} | {"op3_": "pages", "ml_score_live_model": None}
+PER_ROW = {f"op{n}_": "documents" for n in (1, 2, 4, 5, 7, 8, 9, 10, 12)} | {"op3_": "pages", "ml_score_live_model": None}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
