@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .kernels import LOWER, SPACES, U64, chunks, mix, span_hashes, word_spans, words_per_doc
+from .kernels import LOWER, SMALL_BYTES, SPACES, U64, chunks, mix, span_hashes, word_spans, words_per_doc
 from .store import Stage, partitions
 from .word_blocks import pack, unpack
 
@@ -60,18 +60,40 @@ TILE, TILE_SHINGLES = 512, 500_000
 _WEIGHTS = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) | U64(1)
 
 
+def _pieces(data, size: int):
+    """Cuts of a text at white space into pieces of about `size` bytes (or one longer word)."""
+    at, n = 0, len(data)
+    while at < n:
+        end = min(at + size, n)
+        while end < n and not SPACES[data[end]]:
+            gap = np.flatnonzero(SPACES[data[end:end + size]])
+            end = end + int(gap[0]) if len(gap) else min(end + size, n)
+        yield at, end
+        at = end
+
+
+def word_hashes(offsets, data, size: int = SMALL_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words per document); a word's hash does not depend on its place, so a long text is read in pieces."""
+    cuts = list(_pieces(data, size)) if len(offsets) == 2 and len(data) > size else [(0, len(data))]
+    hashes, counts = [], np.zeros(len(offsets) - 1, np.int64)
+    for a, b in cuts:
+        part, inside = LOWER[data[a:b]], np.asarray([0, b - a]) if len(cuts) > 1 else offsets
+        starts, ends = word_spans(part, inside, ~SPACES)
+        hashes.append(span_hashes(part, starts, ends))
+        counts += words_per_doc(starts, inside)
+    return np.concatenate([np.zeros(0, U64), *hashes]), counts
+
+
 def shingle_sets(offsets, data, words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document."""
-    data = LOWER[data]
-    starts, ends = word_spans(data, offsets, ~SPACES)
-    h = span_hashes(data, starts, ends)
+    h, counts = word_hashes(offsets, data)
     weight = _WEIGHTS[:words]
     total = np.zeros(max(len(h) - words + 1, 0), U64)
     for k in range(words):
         total += h[k:len(h) - words + 1 + k] * weight[k] if len(total) else total
     total = mix(total)
     out, at = [], 0
-    for n in words_per_doc(starts, offsets).tolist():
+    for n in counts.tolist():
         if n >= words:
             out.append(np.unique(total[at:at + n - words + 1]))
         elif n:
@@ -98,11 +120,11 @@ _PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int6
                       ("bucket", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
 
 
-def _profile(words: int, flush: int = 2_000_000):
+def _profile(words: int, flush: int = 500_000):
     """Set size and fingerprint of each document, and the code counts of the task in rows of a bucket."""
     def run(batches):
         held, size = [], 0
-        for rows, offsets, data in chunks(batches):
+        for rows, offsets, data in chunks(batches, limit=SMALL_BYTES):
             sets = shingle_sets(offsets, data, words)
             with np.errstate(over="ignore"):
                 fp1, fp2 = [_signed(s.sum(dtype=U64)) for s in sets], [_signed(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)) for s in sets]
@@ -168,7 +190,7 @@ def _prefixes(words: int, percent: int, blobs):
     documents without such a shingle give no row."""
     def run(batches):
         table = _class_table(blobs.value)
-        for rows, offsets, data in chunks(batches):
+        for rows, offsets, data in chunks(batches, limit=SMALL_BYTES):
             out = []
             for doc_id, s in zip(rows.column("doc_id").to_pylist(), shingle_sets(offsets, data, words)):
                 if doc_id is None or not len(s):
@@ -187,7 +209,7 @@ def _sets(words: int):
     schema = pa.schema([("id", pa.int64()), ("sh", pa.list_(pa.int64()))])
 
     def run(batches):
-        for rows, offsets, data in chunks(batches):
+        for rows, offsets, data in chunks(batches, limit=SMALL_BYTES):
             sets = shingle_sets(offsets, data, words)
             at = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             flat = pa.array(np.concatenate(sets).view(np.int64))

@@ -19,6 +19,8 @@ _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POWERS: dict = {}
 CHUNK_BYTES = 4 << 20
+#: Chunk of operators that hold more than text and hashes; its power tables are smaller, too.
+SMALL_BYTES = 1 << 20
 
 #: ASCII white space of the word definitions: space and U+0009 to U+000D.
 SPACES = np.zeros(256, bool)
@@ -78,7 +80,7 @@ def words_per_doc(starts, offsets) -> np.ndarray:
 def _powers(n: int):
     have = _POWERS.get("n", 0)
     if n > have:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(n, (CHUNK_BYTES if n > SMALL_BYTES + 1 else SMALL_BYTES) + 1)
         up, down = np.full(size, _BASE), np.full(size, _INVERSE)
         up[0] = down[0] = 1
         up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)

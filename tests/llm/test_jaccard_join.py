@@ -93,3 +93,22 @@ def test_every_link_between_different_texts(spark, rounds, tile):
             assert got[3 * k]["n_links"] == sum(first[frozenset(x)] in pair for pair in want)
         less = rows(J.jaccard_components(documents(spark, texts), every=False))
         assert all(less[k]["component_id"] == got[k]["component_id"] and "n_links" not in less[k] for k in got)
+
+
+def test_pieces_of_a_long_text():
+    """A text is hashed in pieces of any size with the same result, in memory that is a small multiple of the text."""
+    import tracemalloc
+
+    import numpy as np
+    text = ("Some words, é 日本語  and\tmore\n" * 9 + "x" * 300 + " end ").encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.asarray([0, len(text)])
+    whole, count = J.word_hashes(offsets, data)
+    for size in (1, 7, 64, 1000):
+        h, n = J.word_hashes(offsets, data, size)
+        assert np.array_equal(h, whole) and n.tolist() == count.tolist() == [len(text.split())]
+    data = np.frombuffer(b" ".join(b"w%d" % k for k in range(2_900_000)), np.uint8)
+    tracemalloc.start()
+    sets = J.shingle_sets(np.asarray([0, len(data)]), data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data) > 20e6 and len(sets[0]) > 2_000_000 and peak < 10 * len(data)
