@@ -3,10 +3,12 @@
 Every whole text is scanned for assignments, access keys and hex strings, and
 for bare tokens that look generated (digits among letters).  The hashes of all
 found values are counted over the corpus by distinct owners and repositories,
-in two aggregations that merge before they shuffle.  A value of many owners is a
-copied example; a value of few owners looks live.  Live bare tokens join the
-spans of their documents; examples do not.  Spans found by the patterns always
-stay and are told apart as live or example.
+in two aggregations that merge before they shuffle.  A value is a copied example
+if it occurs with `example_owners` owners or more, or in `example_repositories`
+repositories or more, whoever owns them: a credential in use stays with its owner
+and in a few of its repositories.  All other values look live.  Live bare tokens
+join the spans of their documents; examples do not.  Spans found by the patterns
+always stay and are told apart as live or example.
 
 Offsets are code points, ends exclusive.  No secret leaves the scan: only its
 64-bit hash is stored.
@@ -35,8 +37,8 @@ _ASSIGN = re.compile(rb"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww]
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _WORDS = (b"passw", b"secret", b"token", b"api")
 LEAST = {"assign": 12, "access": 18, "hex": 16, "owned": 20}
-#: A value of so many owners is a copied example.
-EXAMPLE_OWNERS = 3
+#: A value of so many owners, or in so many repositories, is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
 
 
 def _bytes(chars: str) -> np.ndarray:
@@ -57,6 +59,21 @@ def _occurrences(raw: bytes, word: bytes):
         k = raw.find(word, k + 1)
 
 
+def _long_runs(data, offsets, chars, least: int):
+    starts, ends = word_spans(data, offsets, chars)
+    keep = ends - starts >= least
+    return starts[keep], ends[keep]
+
+
+def _touched(spans, starts, ends) -> np.ndarray:
+    """Whether any of the spans overlaps each run: of those that begin before its end, the farthest end decides."""
+    if not spans:
+        return np.zeros(len(starts), bool)
+    at = np.asarray(sorted((s[2], s[3]) for s in spans), np.int64)
+    before = np.searchsorted(at[:, 0], ends) - 1
+    return (before >= 0) & (np.maximum.accumulate(at[:, 1])[before] > starts)
+
+
 def find_spans(offsets, data) -> list[tuple[int, int, int, int, int, int]]:
     """(document, kind, start, end, value start, value end) in bytes of the chunk; bare tokens do not touch a base span."""
     raw, lowered, out = data.tobytes(), LOWER[data].tobytes(), []
@@ -69,17 +86,19 @@ def find_spans(offsets, data) -> list[tuple[int, int, int, int, int, int]]:
         for m in _ACCESS.finditer(raw, int(offsets[d]), int(offsets[d + 1])):
             if m.end() - m.start() >= LEAST["access"]:
                 out.append((d, 1, m.start(), m.end(), m.start(), m.end()))
-    for kind, chars in ((2, _HEX), (3, _BARE)):
-        starts, ends = word_spans(data, offsets, chars)
-        keep = np.flatnonzero(ends - starts >= LEAST[KINDS[kind]])
-        for a, b in zip(starts[keep].tolist(), ends[keep].tolist()):
-            d = int(np.searchsorted(offsets, a, "right")) - 1
-            if kind == 2:
-                out.append((d, 2, a, b, a, b))
-                continue
-            token = data[a:b]
-            if _DIGITS[token].sum() >= 2 and _LETTERS[token].sum() >= 2 and not any(x[0] == d and x[2] < b and a < x[3] for x in out if x[1] < 3):
-                out.append((d, 3, a, b, a, b))
+    starts, ends = _long_runs(data, offsets, _HEX, LEAST["hex"])
+    docs = np.searchsorted(offsets, starts, "right") - 1
+    out += [(d, 2, a, b, a, b) for d, a, b in zip(docs.tolist(), starts.tolist(), ends.tolist())]
+    starts, ends = _long_runs(data, offsets, _BARE, LEAST["owned"])
+    if len(starts):
+        inside = np.ravel(np.column_stack((starts, ends - 1)))  # the last character is counted on its own
+
+        def count(chars):
+            has = chars[data].astype(np.int32)
+            return np.add.reduceat(has, inside)[::2] + has[ends - 1]
+        keep = (count(_DIGITS) >= 2) & (count(_LETTERS) >= 2) & ~_touched(out, starts, ends)
+        docs = np.searchsorted(offsets, starts, "right") - 1
+        out += [(d, 3, a, b, a, b) for d, a, b in zip(docs[keep].tolist(), starts[keep].tolist(), ends[keep].tolist())]
     return sorted(out)
 
 
@@ -124,7 +143,8 @@ def _joined(spans: Column) -> Column:
 _NONE = "cast(array() as array<struct<start:bigint,kind:int,end:bigint,live:boolean>>)"
 
 
-def told_spans(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def told_spans(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, example_owners: int = EXAMPLE_OWNERS,
+               example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """doc_id, text_hash and `found`, the spans as (start, kind, end, live), of every document.
 
     owner, repository: expressions over the documents' columns; default source, and source with lang."""
@@ -135,7 +155,7 @@ def told_spans(docs: DataFrame, owner: Column | None = None, repository: Column
     found = stage.keep(rows.mapInArrow(_scan, _FOUND_SQL), "found")
     owners = stage.keep(ownership(found), "owners")
     each = found.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*")
-    told = each.join(owners, "hash").withColumn("live", F.col("owners") < example_owners).where("kind < 3 or live")
+    told = each.join(owners, "hash").withColumn("live", (F.col("owners") < example_owners) & (F.col("repositories") < example_repositories)).where("kind < 3 or live")
     spans = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("spans"))
     some = found.where(F.size("found") > 0).select("row", "doc_id", "text_hash").join(spans, "row", "left")
     return (some.select("doc_id", "text_hash", F.coalesce("spans", F.expr(_NONE)).alias("found"))

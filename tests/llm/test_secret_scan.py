@@ -70,3 +70,40 @@ def test_empty(spark, test):
     _, df = table(spark)
     got = S.scan(df.where(test)).collect()
     assert [r.spans for r in got] == [""] * len(got) and len(got) == (test != "false")
+
+
+def test_repositories_make_an_example_too(spark):
+    """One owner's value in ten repositories is a copied example, in nine it is not."""
+    values = {"Ab12Cd34Ef56Gh78Ij90": 10, "Zx81kQpwL0vRt7YuBn3m": 9}
+    data = [(100 * k + r, f"see {v} here", "one", f"r{r}") for k, (v, n) in enumerate(values.items()) for r in range(n)]
+    got = rows(S.scan(spark.createDataFrame(data, "doc_id long, text string, source string, lang string")))
+    assert {got[r]["spans"] for r in range(10)} == {""} and {got[100 + r]["spans"] for r in range(9)} == {"owned:4:24"}
+
+
+def test_ownership_counts_equal_brute_force(spark):
+    import random
+    r, tokens = random.Random(2), [f"Tk{k:02d}aB34Cd56Ef78Gh9{k % 10}" for k in range(40)]
+    data = [(d, " ".join(r.sample(tokens, r.randrange(4))), r.choice(["a", "b", "c", "d", None]), r.choice(["x", "y", "z", None])) for d in range(120)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, lang string").repartition(4)
+    got = rows(S.scan(df, example_repositories=6))
+    where = {t: ({s for _, x, s, _ in data if t in x.split()}, {(s, g) for _, x, s, g in data if t in x.split()}) for t in tokens}
+    for d, text, _, _ in data:
+        live = [t for t in text.split() if len(where[t][0]) < 3 and len({s and (s, g) or g for s, g in where[t][1]}) < 6]
+        at = sorted((text.index(t), text.index(t) + len(t)) for t in live)
+        assert got[d]["spans"] == ",".join(f"owned:{a}:{b}" for a, b in at)
+
+
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 20)), max_size=8), st.lists(st.tuples(st.integers(0, 60), st.integers(1, 20)), max_size=8))
+@settings(max_examples=150, deadline=None)
+def test_touched(spans, runs):
+    spans, runs = [(0, 0, a, a + n) for a, n in spans], [(a, a + n) for a, n in runs]
+    got = S._touched(spans, np.asarray([a for a, _ in runs], np.int64), np.asarray([b for _, b in runs], np.int64))
+    assert got.tolist() == [any(s[2] < b and a < s[3] for s in spans) for a, b in runs]
+
+
+def test_time_of_a_long_text_of_hex_words():
+    import time
+    data = np.frombuffer(b" ".join(b"%016x" % (k * 0x9E3779B97F4A7C15 % 2**64) for k in range(240_000)), np.uint8)
+    began = time.process_time()
+    assert len(S.find_spans(np.asarray([0, len(data)]), data)) >= 240_000 and len(data) > 4_000_000
+    assert time.process_time() - began < 5
