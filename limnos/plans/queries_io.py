@@ -6,6 +6,7 @@ checkpoint folder; the queries then read them back through the file sources.
 
 from __future__ import annotations
 
+import posixpath
 import re
 import uuid
 
@@ -43,9 +44,28 @@ def src_live_json(spark, sf):
     return FS.read_live_json(spark, _json_drop(spark, sf))
 
 
+def _upload_headers(columns):
+    """Headers of the three uploads: the whole sheet; two columns swapped and a missing class; fewer columns, in
+    another order, and a new one."""
+    rest = [c for c in columns if c not in ("source_file", "BOD (mg/L)", "DO (mg/L)", "Class", "PH-Value")]
+    swapped = ["BOD (mg/L)", *rest, "PH-Value", "DO (mg/L)"]
+    new = [*reversed(rest), "DO (mg/L)", "BOD (mg/L)", "Class", F.concat(F.lit("lab "), F.col("station_id")).alias("Laboratory")]
+    return {"upload_july.csv": [c for c in columns if c != "source_file"], "upload_august.csv": swapped, "upload_september.csv": new}
+
+
+def _uploads(spark, sf):
+    """The uploads in one folder, each with a header of its own."""
+    path = FS.scratch_path(spark, "stage", _tag(sf), f"uploads-{D.input_key(spark, sf)}")
+    raw = B.raw_uploads(spark, sf)
+    FS.stage_once(spark, posixpath.join(path, "upload_september"), lambda _: FS.write_uploads(raw, path, _upload_headers(raw.columns)))
+    return path
+
+
 @q
 def src_csv_dir(spark, sf):
-    return FS.read_csv_dir(spark, _csv_dir(spark, sf)).drop("file_path", "_corrupt_record")
+    d = FS.read_csv_dir(spark, _uploads(spark, sf))
+    # the folder above the part files is the upload
+    return d.withColumn("source_file", F.url_decode(F.regexp_extract("file_path", "source_file=([^/]+)/", 1))).drop("file_path")
 
 
 @q

@@ -116,6 +116,45 @@ def test_csv_sources(spark, tmp_path):
     assert (s.total_discovered, s.failed_files, s.excluded_hash, s.new_files) == (3, 0, 1, 2)
 
 
+def test_csv_files_with_headers_of_their_own(spark, tmp_path):
+    """Swapped, missing, additional, quoted and repeated columns; an empty file and one with a header alone."""
+    (tmp_path / "in").mkdir()
+    for name, text in {"a.csv": "station,ph,do\nA,7.1,6.0\n", "b.csv": "station,do,ph\nB,5.5,8.2\n", "c.csv": 'do,"note, long",station\n1.5,"x, y",C\n',
+                       "d.csv": "station,ph,ph\nD,1,2\n", "e.csv": "", "f.csv": "only,header\n", "g.csv": "station,ph,do\nG,1,2,3\n", "h.csv": "\ufeffSTATION,ph\nH,9\n"}.items():
+        (tmp_path / "in" / name).write_text(text, encoding="utf-8")
+    (tmp_path / "in" / "i.csv").write_bytes("station,é\nI,ü\n".encode("latin1"))
+    d = FS.read_csv_dir(spark, str(tmp_path / "in"))
+    got = {r.station: (r.ph, r["do"], r["note, long"], r["ph.1"], r["é"], r._corrupt_record, r.file_path[-5:]) for r in d.collect()}
+    assert got == {"A": ("7.1", "6.0", None, None, None, None, "a.csv"), "B": ("8.2", "5.5", None, None, None, None, "b.csv"),
+                   "C": (None, "1.5", "x, y", None, None, None, "c.csv"), "D": ("1", None, None, "2", None, None, "d.csv"),
+                   "G": ("1", "2", None, None, None, "G,1,2,3", "g.csv"), "H": ("9", None, None, None, None, None, "h.csv"),
+                   "I": (None, None, None, None, "ü", None, "i.csv")}
+    assert FS.csv_headers(spark, str(tmp_path / "in")).count() == 7  # one scan a header, not a file
+    (tmp_path / "none").mkdir()
+    assert FS.read_csv_dir(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_content_hash_of_a_split_file(spark, tmp_path):
+    """Equal files agree however they are cut, files with permuted lines differ, unreadable ones are Failed."""
+    (tmp_path / "in").mkdir()
+    lines = [f"{k},{k * k}" for k in range(5000)]
+    for name, rows in {"a.csv": lines, "b.csv": lines, "c.csv": lines[:7] + lines[8:9] + lines[7:8] + lines[9:]}.items():
+        (tmp_path / "in" / name).write_text("\n".join(["x,y", *rows]) + "\n")
+    (tmp_path / "in" / "bad.csv.gz").write_bytes(b"\x1f\x8b\x08 no archive")
+    (tmp_path / "in" / "empty.csv").write_text("")
+    seen = []
+    for size in ("128m", "4k", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            seen.append({r.file_name: r for r in FS.manifest(spark, str(tmp_path / "in"), "*.csv*").collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for m in seen:
+        assert m["a.csv"].content_hash == m["b.csv"].content_hash == seen[0]["a.csv"].content_hash != m["c.csv"].content_hash == seen[0]["c.csv"].content_hash
+        assert [m[n].row_count for n in ("a.csv", "c.csv")] == [5000, 5000] and m["b.csv"].duplicate_file_flag and not m["c.csv"].duplicate_file_flag
+        assert {n: m[n].load_status for n in m} == {"a.csv": "Success", "b.csv": "Success", "c.csv": "Success", "bad.csv.gz": "Failed", "empty.csv": "Failed"}
+
+
 def test_answers_follow_a_grown_input(spark, tmp_path):
     import __spark_entry__ as E
     from limnos.sources.bindings import TABLES
