@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..sources import bindings as B
 from ..sources import files as FS
 from ..streaming import live as ST
+from ..streaming import stale as SL
 from . import datasets as D
 
 Q = {}
@@ -111,4 +112,5 @@ def st_alerts(spark, sf):
 
 @q
 def st_stale_stream(spark, sf):
-    return ST.current_stale(spark, _stream(spark, sf))
+    out = FS.scratch_path(spark, "stream", _tag(sf), uuid.uuid4().hex[:12])
+    return SL.current_stale(spark, SL.run_stale(spark, _json_drop(spark, sf), out, max_files=10))

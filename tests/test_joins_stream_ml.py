@@ -109,3 +109,45 @@ def test_stream_equals_batch_in_any_order(spark, writers, max_files, reverse):
     times = r.select("station_id", "timestamp").distinct().toPandas().sort_values(["station_id", "timestamp"])
     gap = times.groupby("station_id")["timestamp"].shift(-1).fillna(times["timestamp"].max()) - times["timestamp"]
     assert len(stale) == int((gap > pd.Timedelta(hours=24)).sum()) > 0
+
+
+def _drop(spark, drop, rows):
+    """One file of (event_id, station, hours) readings; its name has the delivery's number."""
+    from limnos.sources import files as FS
+    from limnos.sources.files import LIVE_SCHEMA
+    start = pd.Timestamp("2024-03-01 00:30:00")
+    data = [(k, s, None, None, None, None, None, "pH", (start + pd.Timedelta(hours=h)).to_pydatetime(), "7.0", None) for k, (s, h) in enumerate(rows)]
+    spark.createDataFrame(data, LIVE_SCHEMA).coalesce(1).write.mode("append").option("timestampNTZFormat", FS.TS_FORMAT).json(drop)
+
+
+def _silences(rows):
+    """Silences of all readings, as (station, from hour, to hour or None)."""
+    out, now = set(), max(h for _, h in rows)
+    for s in {s for s, _ in rows}:
+        times = sorted({h for x, h in rows if x == s})
+        out |= {(s, a, b) for a, b in zip(times, times[1:]) if b - a > 24}
+        out |= {(s, times[-1], None)} if now - times[-1] > 24 else set()
+    return out
+
+
+def test_timers_open_and_late_readings_withdraw(spark):
+    """After each delivery, with a restart from the checkpoint in between, the alerts are those of all readings so far."""
+    from limnos.sources import files as FS
+    from limnos.streaming import stale as SL
+    drop, out = FS.scratch_path(spark, "test", uuid.uuid4().hex), FS.scratch_path(spark, "test", uuid.uuid4().hex)
+    start, seen = pd.Timestamp("2024-03-01 00:30:00"), []
+    deliveries = [
+        [(1, 0), (2, 0), (3, 5)],
+        [(2, 40), (3, 20)],                          # station 1 is silent since 0; 2 has a closed silence, 3 none yet
+        [(1, 10), (3, 60)],                          # a late reading moves the open silence of 1; 3 has a closed one
+        [(2, 20), (1, 30)],                          # late readings withdraw the silence of 2 and split that of 1
+        [(1, 100), (4, 2), (4, 90), (3, 41)],        # new station with readings of the past; part of 3's silence is filled
+        [(2, 41), (2, 64), (2, 88), (1, 30), (1, 53.75), (1, 77)],
+    ]
+    for rows in deliveries:
+        _drop(spark, drop, rows)
+        seen += rows
+        log = SL.run_stale(spark, drop, out)
+        got = {(r.station_id, r.latest_timestamp, r.next_timestamp) for r in SL.current_stale(spark, log).collect()}
+        at = lambda h: None if h is None else (start + pd.Timedelta(hours=h)).to_pydatetime()
+        assert got == {(s, at(a), at(b)) for s, a, b in _silences(seen)}, rows
