@@ -83,7 +83,11 @@ def live_state(readings: DataFrame) -> DataFrame:
 
 def assemble_state(latest: DataFrame, meta: DataFrame) -> DataFrame:
     """Live station state from per-parameter latest values and per-station metadata."""
-    state = meta.join(live_wide(latest), "station_id", "left")
+    return completed(meta.join(live_wide(latest), "station_id", "left"))
+
+
+def completed(state: DataFrame) -> DataFrame:
+    """Season and availability of stations with their latest values."""
     return state.select("*", DT.season_live("latest_timestamp").alias("season"), *core_conf_columns())
 
 

@@ -6,15 +6,16 @@ input location as parquet tables under the shared checkpoint folder
 (``spark.checkpoint.dir``) and read back by every downstream query: this cuts
 the lineage (a lost executor never forces a recompute from raw events),
 lets later filters prune by ``source_file`` partition, and keeps each query's
-plan to its own work.  The storage key has a hash of the binding code and of the
-input files (names, sizes, times), so a changed binding or a grown input derives
-a fresh table instead of reusing a stale one.
+plan to its own work.  The storage key has a hash of all modules that can feed a
+table and of the input files (names, sizes, times), so changed code or a grown
+input derives a fresh table instead of reusing a stale one.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import inspect
+import pathlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +25,21 @@ from ..operators import labels, live
 from ..sources import bindings
 from ..sources import files as FS
 from ..sources.tables import table
+from ..sources.versions import VersionedTable
 
-_CODE_KEY = hashlib.md5(inspect.getsource(bindings).encode()).hexdigest()[:10]
+#: What a hand-over table may be made by: everything but oracles, streams and parts that no table reads.
+CODE = ("*.py", "functions/*.py", "operators/*.py", "sources/*.py", "plans/*.py")
+
+
+def code_key(root: pathlib.Path) -> str:
+    """Changes whenever a module that can feed a hand-over table does."""
+    found = sorted({p for pattern in CODE for p in root.glob(pattern)})
+    return hashlib.md5("\n".join(f"{p.relative_to(root)} {p.read_text(encoding='utf-8')}" for p in found).encode()).hexdigest()[:10]
+
+
+@functools.cache
+def _code_key() -> str:
+    return code_key(pathlib.Path(__file__).resolve().parents[1])
 
 
 def _tag(sf: str) -> str:
@@ -38,15 +52,26 @@ def input_key(spark: SparkSession, sf: str) -> str:
 
 
 def materialized(spark: SparkSession, sf: str, name: str, build, partition_by: str | None = None) -> DataFrame:
-    path = FS.scratch_path(spark, "tables", _tag(sf), f"{name}-{_CODE_KEY}-{input_key(spark, sf)}")
-
-    def write(p):
-        w = build().write.mode("overwrite")
-        if partition_by:
-            w = w.partitionBy(partition_by)
-        w.parquet(p)
-    FS.stage_once(spark, path, write)
-    return spark.read.parquet(path)
+    """The table `name` of this code and input; it is written to a staged folder and published whole, and of two
+    sessions that write it at once the first one's is taken."""
+    table = VersionedTable(spark, FS.scratch_path(spark, "tables", _tag(sf), f"{name}-{_code_key()}-{input_key(spark, sf)}"))
+    folder = table.current()
+    if folder is None:
+        def write(path):
+            w = build().write
+            (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+        folder = table.publish(table.stage(write), first_only=True)
+        _forget(spark, sf, name)
+    return spark.read.parquet(folder)
+
+
+def _forget(spark: SparkSession, sf: str, name: str, keep: int = 3) -> None:
+    """Remove the tables of this name that older code or input made, but for the last ones."""
+    base = FS.scratch_path(spark, "tables", _tag(sf))
+    fs, p = FS._fs(spark, base)
+    made = sorted((s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(p) if re.fullmatch(re.escape(name) + "-[0-9a-f]{10}-[0-9a-f]{12}", s.getPath().getName()))
+    for _, old in made[:-keep]:
+        FS.remove(spark, f"{base}/{old}")
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:

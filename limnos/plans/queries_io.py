@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources import bindings as B
 from ..sources import files as FS
+from ..sources.versions import VersionedTable
 from ..streaming import live as ST
 from ..streaming import stale as SL
 from . import datasets as D
@@ -81,33 +82,33 @@ def src_manifest(spark, sf):
 
 @q
 def snk_tables(spark, sf):
-    path = FS.scratch_path(spark, "sink", _tag(sf), f"predictions-{uuid.uuid4().hex[:8]}")
+    """The prediction table, published as a version of one table a data set; readers of the one before keep theirs."""
+    path = FS.scratch_path(spark, "sink", _tag(sf), "predictions")
     pred = D.predictions(spark, sf).select("station_id", "sampling_date", "month", "available_compliance_label",
                                            "risk_score", "predicted_non_compliant")
-    FS.write_partitioned(pred, path, "month")
-    return spark.read.parquet(path)
+    return VersionedTable(spark, path).write(pred, partition_by="month")
 
 
-def _stream(spark, sf):
+def _stream(spark, sf, part):
     out = FS.scratch_path(spark, "stream", _tag(sf), uuid.uuid4().hex[:12])
-    return ST.run_live(spark, _json_drop(spark, sf), out, max_files=10)
+    return ST.run_live(spark, _json_drop(spark, sf), out, max_files=10, parts=(part,))
 
 
 @q
 def st_ingest(spark, sf):
-    return ST.readings(spark, _stream(spark, sf)).select("event_id", "station_id", "parameter", "value_numeric",
+    return ST.readings(spark, _stream(spark, sf, "readings")).select("event_id", "station_id", "parameter", "value_numeric",
                                                          "is_numeric_value")
 
 
 @q
 def st_latest(spark, sf):
-    return ST.current_state(spark, _stream(spark, sf)).select(
+    return ST.current_state(spark, _stream(spark, sf, "state")).select(
         "station_id", "parameter", "latest_timestamp", "latest_value", "latest_value_text")
 
 
 @q
 def st_alerts(spark, sf):
-    return ST.current_alerts(spark, _stream(spark, sf))
+    return ST.current_alerts(spark, _stream(spark, sf, "stations"))
 
 
 @q

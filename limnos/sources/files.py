@@ -191,11 +191,6 @@ def manifest_summary(files: DataFrame) -> DataFrame:
                      F.count_if(again).alias("excluded_hash"), F.count_if(~failed & ~again).alias("new_files"))
 
 
-def write_partitioned(df: DataFrame, path: str, by: str) -> None:
-    """snk_tables: parquet partitioned by a low-cardinality key (partition pruning on read)."""
-    df.write.mode("overwrite").partitionBy(by).parquet(path)
-
-
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -211,15 +206,6 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def epochs(spark: SparkSession, path: str) -> list[int]:
-    """Finished `epoch=N` folders of a table, in order."""
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("epoch=") and path_exists(spark, posixpath.join(path, n)))
-
-
 def input_key(spark: SparkSession, paths) -> str:
     """A digest of the files under the paths (names, sizes, times): a table derived from them is fresh while it is the same."""
     found = []

@@ -1,38 +1,57 @@
 """Live feed as Structured Streaming.
 
 readStream(JSON drop dir, declared schema)
-  -> st_ingest projection (canonical parameter, numeric value)
-  -> foreachBatch:
-       * readings log: the batch's readings, one folder per epoch;
-       * state: latest value / text / metadata per (station, parameter) with
-         their ordering keys, merged with the state of the epoch before and
-         written as this epoch's whole state;
-       * day bounds: first and last reading time per (station, day), merged
-         the same way;
-       * alerts: the batch operator over the whole state, as of the newest
-         event time seen.
-
-Nothing depends on the order or the size of the batches: there is no watermark,
-so a late reading is never discarded, and every merge is a maximum or minimum
-over (timestamp, event_id) keys.  An epoch's folders are overwritten when it is
-executed again, and read only the epoch before, so a restart gives the same
-tables.  State and bounds grow with stations and station-days, not with the
-number of batches; folders of epochs that no restart can need are removed.
+  -> st_ingest projection (canonical parameter, numeric value), and from it
+       * readings: a log of each batch's readings, one folder per epoch; of a
+         reading that a batch has twice the one with the smallest event_id;
+       * latest: a streaming aggregation by (station, parameter) in update mode;
+       * stations: one by station, with the latest value of every parameter and
+         the metadata, scored as it changes.
+
+The aggregations keep their state in Spark's state store, which writes the changes
+of a batch.  Their output, too, is only what changed: it is appended to a change
+log (`sources/versions.py`) whose newest row a key is the table.  So a batch costs
+what it brings, and alerts are derived from the scored row of a station, which is
+rewritten when one of its readings came; only their age test has a clock, the newest
+event time, and is evaluated when they are read.
+
+Nothing depends on the order or the size of the batches: there is no watermark, so
+a late reading is never discarded, and every aggregate is a maximum over (timestamp,
+event_id) keys.  An epoch's folder is overwritten when it is executed again.
+Silences are found by timers (`streaming/stale.py`).
 """
 
 from __future__ import annotations
 
+import contextlib
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..operators import live as LV
 from ..sources import files
+from ..sources.versions import ChangeLog
 
 META = ["station_no", "station_name", "state", "latitude", "longitude"]
 READING_KEY = ["station_id", "parameter", "timestamp"]
-STALE_AFTER = "INTERVAL 24 HOURS"
+#: State beyond the heap, and a state checkpoint of what a batch changed.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+               "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+
+
+@contextlib.contextmanager
+def state_store(spark: SparkSession):
+    """The state store's settings while a query starts; the session's own are put back."""
+    held = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def ingest_stream(spark: SparkSession, drop_dir: str, max_files: int = 10) -> DataFrame:
@@ -45,120 +64,67 @@ def _key():
     return F.struct("timestamp", "event_id")
 
 
-def batch_latest(batch: DataFrame) -> DataFrame:
-    """Per-key latest inside one micro batch, keeping the ordering keys for later merges."""
-    vkey = F.when(F.col("value_numeric").isNotNull(), _key())
-    tkey = F.when(F.col("value").isNotNull(), _key())
-    return batch.groupBy("station_id", "parameter").agg(
-        F.max(_key()).alias("row_key"),
-        F.max_by("value_numeric", vkey).alias("latest_value"), F.max(vkey).alias("value_key"),
-        F.max_by("value", tkey).alias("latest_value_text"), F.max(tkey).alias("text_key"),
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), _key())).alias(c) for c in META],
-        *[F.max(F.when(F.col(c).isNotNull(), _key())).alias(f"{c}_key") for c in META])
-
-
-def merge_latest(parts: DataFrame) -> DataFrame:
-    """One row per (station, parameter): each column from the part with the newest key."""
-    return parts.groupBy("station_id", "parameter").agg(
-        F.max("row_key").alias("row_key"),
-        F.max_by("latest_value", "value_key").alias("latest_value"), F.max("value_key").alias("value_key"),
-        F.max_by("latest_value_text", "text_key").alias("latest_value_text"), F.max("text_key").alias("text_key"),
-        *[F.max_by(c, f"{c}_key").alias(c) for c in META], *[F.max(f"{c}_key").alias(f"{c}_key") for c in META])
-
-
-def day_bounds(batch: DataFrame) -> DataFrame:
-    return batch.groupBy("station_id", F.to_date("timestamp").alias("day")).agg(
-        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
-
-
-def merge_bounds(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("station_id", "day").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+def _newest(value: str, condition=None):
+    """Latest non-null `value` (of the rows that meet the condition)."""
+    there = F.col(value).isNotNull() if condition is None else condition & F.col(value).isNotNull()
+    return F.max_by(value, F.when(there, _key()))
 
 
-def station_state(state: DataFrame) -> DataFrame:
-    """Live station state (as LV.live_state) from the merged latest rows."""
-    latest = state.select("station_id", "parameter", F.col("row_key.timestamp").alias("latest_timestamp"),
-                          "latest_value", "latest_value_text")
-    meta = state.groupBy("station_id").agg(
-        *[F.max_by(c, f"{c}_key").alias(c) for c in META], F.max("row_key.timestamp").alias("latest_timestamp"))
-    return LV.assemble_state(latest, meta)
+def latest_rows(readings: DataFrame) -> DataFrame:
+    """Latest value and text of every station and parameter."""
+    return readings.groupBy("station_id", "parameter").agg(
+        F.max("timestamp").alias("latest_timestamp"), _newest("value_numeric").alias("latest_value"), _newest("value").alias("latest_value_text"))
 
 
-def alerts_of(state: DataFrame) -> DataFrame:
-    """All alerts of a state as of its newest event time."""
-    as_of = state.select(F.max("row_key.timestamp")).scalar()
-    return LV.live_alerts(LV.live_predictions(station_state(state)), as_of)
+def station_rows(readings: DataFrame) -> DataFrame:
+    """Latest value of every known parameter and metadata of each station."""
+    return readings.groupBy("station_id").agg(
+        *[_newest(c).alias(c) for c in META], F.max("timestamp").alias("latest_timestamp"),
+        *[_newest("value_numeric", F.col("parameter") == p).alias(p) for p in K.LIVE_PARAMS])
 
 
-def _epoch(path: str, epoch: int) -> str:
-    return posixpath.join(path, f"epoch={epoch}")
+def scored(stations: DataFrame) -> DataFrame:
+    return LV.live_predictions(LV.completed(stations))
 
 
-def _merged(spark: SparkSession, path: str, epoch: int, new: DataFrame, merge) -> DataFrame:
-    """Merge with the newest epoch before this one and write it as this epoch's table."""
-    older = [e for e in files.epochs(spark, path) if e < epoch]
-    both = new if not older else new.unionByName(spark.read.schema(new.schema).parquet(_epoch(path, older[-1])))
-    merge(both).select(*new.columns).write.mode("overwrite").parquet(_epoch(path, epoch))
-    for e in older[:-1]:  # the last one is kept: this epoch may be executed again
-        files.remove(spark, _epoch(path, e))
-    return spark.read.schema(new.schema).parquet(_epoch(path, epoch))
+def once(batch: DataFrame) -> DataFrame:
+    """One row of each (station, parameter, timestamp): the one with the smallest event_id."""
+    rest = [c for c in batch.columns if c not in READING_KEY]
+    return (batch.groupBy(*READING_KEY).agg(F.min_by(F.struct(*rest), "event_id").alias("r"))
+            .select(*[F.col(c) if c in READING_KEY else F.col(f"r.{c}").alias(c) for c in batch.columns]))
 
 
-def run_live(spark: SparkSession, drop_dir: str, out_dir: str, max_files: int = 10) -> dict:
-    """Process everything in the drop dir (availableNow) and return the tables' paths."""
-    paths = {name: posixpath.join(out_dir, name) for name in ("readings", "state", "bounds", "alerts")}
+def logs(spark: SparkSession, out_dir: str) -> dict[str, ChangeLog]:
+    return {"state": ChangeLog(spark, posixpath.join(out_dir, "state"), ["station_id", "parameter"]),
+            "stations": ChangeLog(spark, posixpath.join(out_dir, "stations"), ["station_id"])}
 
-    def per_batch(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
-        try:
-            batch.dropDuplicates(READING_KEY).write.mode("overwrite").parquet(_epoch(paths["readings"], epoch))
-            state = _merged(spark, paths["state"], epoch, batch_latest(batch), merge_latest)
-            _merged(spark, paths["bounds"], epoch, day_bounds(batch), merge_bounds)
-            alerts_of(state).write.mode("overwrite").parquet(_epoch(paths["alerts"], epoch))
-            for e in files.epochs(spark, paths["alerts"]):
-                if e < epoch - 1:
-                    files.remove(spark, _epoch(paths["alerts"], e))
-        finally:
-            batch.unpersist()
 
-    q = (ingest_stream(spark, drop_dir, max_files).writeStream.foreachBatch(per_batch)
-         .option("checkpointLocation", posixpath.join(out_dir, "_checkpoint")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return paths
-
-
-def _last(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(_epoch(path, files.epochs(spark, path)[-1]))
+def run_live(spark: SparkSession, drop_dir: str, out_dir: str, max_files: int = 10, parts=("readings", "state", "stations")) -> dict:
+    """Process everything in the drop dir (availableNow) with the wanted parts and return the tables' paths."""
+    feed, changed = ingest_stream(spark, drop_dir, max_files), logs(spark, out_dir)
+    readings = posixpath.join(out_dir, "readings")
+    jobs = {"readings": (feed, lambda batch, epoch: once(batch).write.mode("overwrite").parquet(posixpath.join(readings, f"epoch={epoch}"))),
+            "state": (latest_rows(feed), lambda batch, epoch: changed["state"].append(batch, epoch)),
+            "stations": (station_rows(feed), lambda batch, epoch: changed["stations"].append(scored(batch), epoch))}
+    for name in parts:
+        stream, work = jobs[name]
+        with state_store(spark):
+            q = (stream.writeStream.outputMode("append" if name == "readings" else "update").foreachBatch(work)
+                 .option("checkpointLocation", posixpath.join(out_dir, f"_{name}_checkpoint")).trigger(availableNow=True).start())
+        q.awaitTermination()
+    return {"readings": readings, "out": out_dir}
 
 
 def readings(spark: SparkSession, paths: dict) -> DataFrame:
     """All readings of the log; one that was delivered again in a later batch counts once (its smallest event_id)."""
-    log = spark.read.parquet(paths["readings"]).drop("epoch")
-    rest = [c for c in log.columns if c not in READING_KEY]
-    return (log.groupBy(*READING_KEY).agg(F.min_by(F.struct(*rest), "event_id").alias("r"))
-            .select(*[F.col(c) if c in READING_KEY else F.col(f"r.{c}").alias(c) for c in log.columns]))
+    return once(spark.read.parquet(paths["readings"]).drop("epoch"))
 
 
 def current_state(spark: SparkSession, paths: dict) -> DataFrame:
-    return _last(spark, paths["state"]).withColumn("latest_timestamp", F.col("row_key.timestamp"))
+    return logs(spark, paths["out"])["state"].read()
 
 
 def current_alerts(spark: SparkSession, paths: dict) -> DataFrame:
-    """Alerts of the newest epoch; every epoch has those of all stations."""
-    return _last(spark, paths["alerts"])
-
-
-def stale_episodes(bounds: DataFrame) -> DataFrame:
-    """st_stale (stream): a row per station and silence of more than 24 hours; next_timestamp is null while it lasts.
-
-    Readings of one day are less than 24 hours apart, so a silence lies between two day bounds."""
-    as_of = bounds.select(F.max("last")).scalar()
-    w = Window.partitionBy("station_id").orderBy("day")
-    following = bounds.select("station_id", F.col("last").alias("latest_timestamp"), F.lead("first").over(w).alias("next_timestamp"))
-    return (following.where(F.coalesce("next_timestamp", as_of) > F.col("latest_timestamp") + F.expr(STALE_AFTER))
-            .select("station_id", "latest_timestamp", "next_timestamp", F.lit("Live Stale Data Alert").alias("alert_type"),
-                    F.lit("Warning").alias("severity"), F.lit("Live data is older than 24 hours.").alias("reason")))
-
-
-def current_stale(spark: SparkSession, paths: dict) -> DataFrame:
-    return stale_episodes(_last(spark, paths["bounds"]))
+    """Alerts of all stations as of the newest event time, from their scored rows."""
+    stations = logs(spark, paths["out"])["stations"].read()
+    return LV.live_alerts(stations, stations.select(F.max("latest_timestamp")).scalar())

@@ -24,11 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..sources import files
-from .live import ingest_stream
+from .live import ingest_stream, state_store
 
 DAY_MICROS = 24 * 3600 * 10**6
 CHANGES = "station_id long, latest long, next long, live boolean, version long"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Silences(StatefulProcessor):
@@ -122,16 +121,9 @@ def run_stale(spark: SparkSession, drop_dir: str, out_dir: str, max_files: int =
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(posixpath.join(log, f"epoch={epoch}"))
-    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # timers and maps need it
-    try:
+    with state_store(spark):  # timers and maps need it
         q = (changes(ingest_stream(spark, drop_dir, max_files)).writeStream.outputMode("update").foreachBatch(per_batch)
              .option("checkpointLocation", posixpath.join(out_dir, "_stale_checkpoint")).trigger(availableNow=True).start())
-    finally:
-        if held is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
     q.awaitTermination()
     return log
 

@@ -79,9 +79,11 @@ def test_metrics_and_auc(spark):
 def _tables(spark, drop, max_files):
     from limnos.sources import files as FS
     from limnos.streaming import live as ST
+    from limnos.streaming import stale as SL
     paths = ST.run_live(spark, drop, FS.scratch_path(spark, "test", uuid.uuid4().hex), max_files=max_files)
     state = ST.current_state(spark, paths).select("station_id", "parameter", "latest_timestamp", "latest_value", "latest_value_text")
-    parts = (ST.readings(spark, paths).select("event_id"), state, ST.current_alerts(spark, paths), ST.current_stale(spark, paths))
+    stale = SL.current_stale(spark, SL.run_stale(spark, drop, paths["out"], max_files=max_files))
+    parts = (ST.readings(spark, paths).select("event_id"), state, ST.current_alerts(spark, paths), stale)
     return [sorted(map(str, p.collect())) for p in parts]
 
 
@@ -151,3 +153,77 @@ def test_timers_open_and_late_readings_withdraw(spark):
         got = {(r.station_id, r.latest_timestamp, r.next_timestamp) for r in SL.current_stale(spark, log).collect()}
         at = lambda h: None if h is None else (start + pd.Timedelta(hours=h)).to_pydatetime()
         assert got == {(s, at(a), at(b)) for s, a, b in _silences(seen)}, rows
+
+
+def test_changes_of_a_batch_follow_the_batch(spark):
+    """After a large delivery a small one writes a small epoch; an epoch written again changes nothing; bases take over."""
+    from limnos.sources import files as FS
+    from limnos.sources.versions import ChangeLog
+    from limnos.streaming import live as ST
+    drop, out = FS.scratch_path(spark, "test", uuid.uuid4().hex), FS.scratch_path(spark, "test", uuid.uuid4().hex)
+    seen = [(s, h) for s in range(300) for h in (0, 7)]
+    _drop(spark, drop, seen)
+    paths = ST.run_live(spark, drop, out, parts=("state", "stations"))
+    for k in range(3):
+        new = [(5, 10 + k), (7, 3)]
+        seen += new
+        _drop(spark, drop, new)
+        ST.run_live(spark, drop, out, parts=("state", "stations"))
+    log = ST.logs(spark, out)["state"]
+    assert [spark.read.parquet(log._at("epoch", e)).count() for e in log._folders("epoch")] == [300, 2, 2, 2] and log._folders("base") == []
+    start = pd.Timestamp("2024-03-01 00:30:00")
+    newest = {s: max(h for x, h in seen if x == s) for s, _ in seen}
+    rows = ST.current_state(spark, paths).collect()
+    assert {r.station_id: r.latest_timestamp for r in rows} == {s: start + pd.Timedelta(hours=h) for s, h in newest.items()} and len(rows) == 300
+    last = log._folders("epoch")[-1]
+    before = sorted(map(str, rows))
+    same = spark.read.parquet(log._at("epoch", last)).drop("_epoch")
+    log.append(spark.createDataFrame(same.collect(), same.schema), last)
+    log.most = 1
+    log.compact(last)  # all but the last epoch become a base
+    assert log._folders("base") == [last - 1] and log._folders("epoch") == [last]
+    log.append(log.read().limit(0), 0)  # an epoch that the base has
+    assert sorted(map(str, ST.current_state(spark, paths).collect())) == before
+    small = ChangeLog(spark, FS.scratch_path(spark, "test", uuid.uuid4().hex), ["k"], least=0)
+    for e in range(12):  # as many rows as there are keys, again and again: merged into bases, nothing lost
+        small.append(spark.range(50).select(F.col("id").alias("k"), (F.col("id") + e).alias("v")).where(f"k % 4 = {e % 4}"), e)
+    assert {r.k: r.v for r in small.read().collect()} == {k: k + 8 + k % 4 for k in range(50)}
+    assert len(small._folders("base")) <= 2 and len(small._folders("epoch")) < 12
+
+
+def test_versioned_table(spark):
+    """A reader has one whole version while others are written; old versions and stagings go; the first of two writers wins."""
+    from limnos.sources import files as FS
+    from limnos.sources.versions import VersionedTable, _names
+    path = FS.scratch_path(spark, "test", uuid.uuid4().hex)
+    table = VersionedTable(spark, path)
+    assert table.current() is None
+    table.write(spark.range(10).withColumn("p", F.col("id") % 2), partition_by="p")
+    reader = table.read()
+    staged = table.stage(lambda p: spark.range(20).write.parquet(p))
+    assert table.read().count() == reader.count() == 10  # staged, not published
+    table.publish(staged)
+    assert table.read().count() == 20 and reader.count() == 10  # the version before is still there
+    for n in (30, 40):
+        table.write(spark.range(n))
+    assert table.read().count() == 40 and [v for v, _ in table.versions()] == [3, 4]
+    assert sum(n.startswith("data.") for n in _names(spark, path)) == 2
+    first = VersionedTable(spark, FS.scratch_path(spark, "test", uuid.uuid4().hex))
+    a, b = (first.stage(lambda p, n=n: spark.range(n).write.parquet(p)) for n in (1, 2))
+    assert first.publish(a, first_only=True) == first.publish(b, first_only=True) == a and first.read().count() == 1
+    assert sum(n.startswith("data.") for n in _names(spark, first.path)) == 1
+
+
+def test_changed_code_gives_new_tables(tmp_path):
+    import pathlib
+    import shutil
+
+    import limnos
+    from limnos.plans import datasets as D
+    root = pathlib.Path(limnos.__file__).parent
+    shutil.copytree(root, tmp_path / "limnos", ignore=shutil.ignore_patterns("__pycache__", "llm"))
+    assert D.code_key(tmp_path / "limnos") == D.code_key(root) == D._code_key()
+    for name in ("constants.py", "operators/labels.py", "functions/rules.py", "operators/ml.py", "plans/queries_ml.py"):
+        before = D.code_key(tmp_path / "limnos")
+        (tmp_path / "limnos" / name).write_text((root / name).read_text() + "\nX = 1\n")
+        assert D.code_key(tmp_path / "limnos") != before
