@@ -466,34 +466,33 @@ def lime_surrogate(model: PipelineModel, rows: DataFrame, features, center: dict
         solve, schema=f"{key} {key_type}, feature string, weight double, direction string, lime_rank int, lime_status string")
 
 
-def score_live(state: DataFrame, model: PipelineModel | None = None, features=()) -> DataFrame:
-    """ml_score_live: model label, status and missing features per station; without a model, stations with all
-    three core parameters get the strict rule label, marked as fallback."""
-    missing = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in features])) if features else F.array().cast("array<string>")
-    gaps = [F.size(missing).alias("missing_feature_count"), F.array_join(missing, "|").alias("missing_features")]
-    if model is not None:
-        out = score(model, state.select("*", *gaps))
-        return out.select("station_id", "core_parameter_count", "missing_feature_count", "missing_features",
-                          F.col("ml_predicted_compliance_label").alias("live_ml_predicted_compliance_label"),
-                          F.col("prediction").alias("live_ml_predicted_non_compliant"),
-                          F.col("score").alias("live_ml_non_compliance_probability"),
-                          F.col("ml_prediction_status").alias("live_ml_prediction_status"), F.lit(False).alias("live_ml_fallback_used"),
-                          F.lit(None).cast("string").alias("live_ml_fallback_reason"))
-    n = F.col("core_parameter_count")
-    strict = F.col("live_strict_compliance_label")
-    return state.select(
-        "station_id", "core_parameter_count", *gaps,
-        F.when(n == 3, strict).otherwise(F.lit("Unknown")).alias("live_ml_predicted_compliance_label"),
-        F.when(n == 3, (strict == "Non-Compliant").cast("double")).alias("live_ml_predicted_non_compliant"),
-        F.lit("Failed").alias("live_ml_prediction_status"),
-        (n == 3).alias("live_ml_fallback_used"),
-        F.when(n == 3, F.lit("Fallback rule-based estimate used because ML inference failed."))
-        .alias("live_ml_fallback_reason"))
+def score_live(state: DataFrame, model=None, features=()) -> DataFrame:
+    """ml_score_live: model label, status and missing features per station.
+
+    model: a stored model (`registry.StoredModel`).  Where it failed, or without one, stations with all three core
+    parameters get the strict rule label, marked as fallback; the others stay Unknown."""
+    features = list(features) or (model.features if model is not None else [])
+    have = [f for f in features if f in state.columns]
+    missing = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) if f in have else F.lit(f) for f in features])) if features else F.array().cast("array<string>")
+    d = state.select("*", F.size(missing).alias("missing_feature_count"), F.array_join(missing, "|").alias("missing_features"))
+    if model is None:
+        d = d.withColumns({"prediction": F.lit(None).cast("double"), "score": F.lit(None).cast("double"), "ml_predicted_compliance_label": F.lit("Unknown"), "ml_prediction_status": F.lit("Failed")})
+    else:
+        d = model.score(d)
+    strict, failed = F.col("live_strict_compliance_label"), F.col("ml_prediction_status") == "Failed"
+    fallback = failed & (F.col("core_parameter_count") == 3)
+    return d.select(
+        "station_id", "core_parameter_count", "missing_feature_count", "missing_features",
+        F.when(fallback, strict).otherwise(F.col("ml_predicted_compliance_label")).alias("live_ml_predicted_compliance_label"),
+        F.when(fallback, (strict == "Non-Compliant").cast("double")).otherwise(F.col("prediction")).alias("live_ml_predicted_non_compliant"),
+        *([] if model is None else [F.col("score").alias("live_ml_non_compliance_probability")]),
+        F.col("ml_prediction_status").alias("live_ml_prediction_status"), fallback.alias("live_ml_fallback_used"),
+        F.when(fallback, F.lit("Fallback rule-based estimate used because ML inference failed.")).alias("live_ml_fallback_reason"))
 
 
 def route(df: DataFrame, mode: Column, models: dict) -> DataFrame:
-    """mode_route: each mode's rows go through its model (one transform a model), all other rows stay unscored."""
+    """mode_route: each mode's rows go through its stored model (one transform a model), all other rows stay unscored."""
     d = df.withColumn("prediction_mode", mode)
-    parts = [score(m, d.where(F.col("prediction_mode") == name)).select(*d.columns, "prediction", "score") for name, m in models.items()]
+    parts = [m.score(d.where(F.col("prediction_mode") == name)).select(*d.columns, "prediction", "score") for name, m in models.items()]
     rest = d.where(~F.coalesce(F.col("prediction_mode").isin(*models), F.lit(False)))
     return reduce(DataFrame.unionByName, parts + [rest.withColumn("prediction", F.lit(None).cast("double")).withColumn("score", F.lit(None).cast("double"))])

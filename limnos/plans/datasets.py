@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import labels, live
+from ..operators.registry import ModelStore
 from ..sources import bindings
 from ..sources import files as FS
 from ..sources.tables import table
@@ -74,6 +75,15 @@ def _forget(spark: SparkSession, sf: str, name: str, keep: int = 3) -> None:
         FS.remove(spark, f"{base}/{old}")
 
 
+def fingerprint(spark: SparkSession, sf: str) -> str:
+    """Key of what is derived from this input by this code."""
+    return f"{_code_key()}-{input_key(spark, sf)}"
+
+
+def models(spark: SparkSession, sf: str) -> ModelStore:
+    return ModelStore(spark, FS.scratch_path(spark, "models", _tag(sf)))
+
+
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """DM2 canonical samples (materialised, partitioned by source file)."""
     df = materialized(spark, sf, "samples", lambda: bindings.samples(spark, sf), partition_by="source_file")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as DT
+from ..functions import rules as R
 from ..functions import text as T
+from ..operators import explain as X
 from ..operators import live as LV
 from ..operators import ml as ML
 from ..operators import profile as P
@@ -181,19 +183,17 @@ def ml_score_live(spark, sf):
 
 @q
 def ml_score_live_model(spark, sf):
-    model, _, _ = _trained(spark, sf)
-    return rounded(ML.score_live(LV.live_state(QL.readings(spark, sf)), model, FEATURES))
+    state = LV.live_state(QL.readings(spark, sf))
+    return rounded(ML.score_live(state.select("*", *R.live_label_columns()), stored(spark, sf, "all"), FEATURES))
 
 
 @q
 def mode_route_model(spark, sf):
-    """Rows with all core values through the core model, rows with two of them through one of all parameters."""
-    df = model_frame(spark, sf)
-    train = ML.split_random(df).where("split = 'train'")
-    core, other = ML.fit(train, ML.CORE, "LogisticRegression"), ML.fit(train, FEATURES, "LogisticRegression")
-    n = sum(F.col(c).isNotNull().cast("int") for c in ML.CORE)
-    mode = F.when(n == 3, "full").when(n == 2, "partial").otherwise("rule")
-    return rounded(ML.route(df, mode, {"full": core, "partial": other}).select("station_id", "sampling_date", "prediction_mode", "prediction", "score"))
+    """Rows with all core values through the core model, others with an auxiliary value through the auxiliary-only
+    model; the rule is that of `mode_route`, and the rest stay unscored."""
+    rows = D.labelled(spark, sf)
+    models = {"Core Rule + ML Model": stored(spark, sf, "core"), "Auxiliary-Only ML Model": stored(spark, sf, "auxiliary")}
+    return rounded(ML.route(rows, X.prediction_mode(), models).select("station_id", "sampling_date", "prediction_mode", "prediction", "score"))
 
 
 # ---------------------------- training (rows-only checks) -----------------------------
@@ -311,18 +311,25 @@ def ml_report(spark, sf):
     return rounded(piv.select("*", (F.col("Random_f1") - F.col("Group_f1")).alias("random_group_gap"), *gates))
 
 
+AUXILIARY = ["temperature", "conductivity"]
+MODELS = {"all": FEATURES, "core": ML.CORE, "auxiliary": AUXILIARY}
+
+
+def stored(spark, sf, name):
+    """The saved model of these features; it is trained once for a data set and this code."""
+    features = MODELS[name]
+    return D.models(spark, sf).trained(name, D.fingerprint(spark, sf), features, lambda: ML.split_random(model_frame(spark, sf)).where("split = 'train'"))
+
+
 def _trained(spark, sf):
     df = ML.split_random(model_frame(spark, sf))
-    train, test = df.where("split = 'train'"), df.where("split = 'test'")
-    return ML.fit(train, FEATURES, "LogisticRegression"), train, test
+    return stored(spark, sf, "all").pipeline, df.where("split = 'train'"), df.where("split = 'test'")
 
 
 @q
 def ml_score(spark, sf):
-    model, _, _ = _trained(spark, sf)
-    s = ML.score(model, D.predictions(spark, sf))
-    return rounded(s.select("station_id", "sampling_date", "prediction", "score", "ml_predicted_compliance_label",
-                            "ml_prediction_status"))
+    s = stored(spark, sf, "all").score(D.predictions(spark, sf).drop("prediction", "score", "ml_predicted_compliance_label", "ml_prediction_status"))
+    return rounded(s.select("station_id", "sampling_date", "prediction", "score", "ml_predicted_compliance_label", "ml_prediction_status"))
 
 
 @q

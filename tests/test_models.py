@@ -39,6 +39,43 @@ def test_shapley_values_sum_to_the_score(trained):
         assert total[r.station_id, r.sampling_date] == pytest.approx(r["score"] - start, abs=1e-9)
 
 
+def test_stored_models(trained, tmp_path, monkeypatch):
+    """What is loaded scores like what was saved, without training; a changed schema fails row by row, with the rule as fallback."""
+    from limnos.operators.registry import ModelStore
+    df, model = trained
+    spark, store = df.sparkSession, ModelStore(df.sparkSession, str(tmp_path / "models"))
+    assert store.load("ab", "f1") is None and store.registry().count() == 0
+    first = store.trained("ab", "f1", FEATURES, lambda: df)
+    monkeypatch.setattr(ML, "fit", lambda *a, **k: pytest.fail("scoring trains"))
+    again = store.trained("ab", "f1", FEATURES, lambda: df)
+    assert again.features == FEATURES and again.problems(df) == [] and first.estimator == "LogisticRegressionModel"
+    want = {r.station_id: r.score for r in ML.score(model, df).collect()}
+    got = {r.station_id: r for r in again.score(df).collect()}
+    assert all(got[k].score == pytest.approx(v) and got[k].ml_prediction_status == "Success" for k, v in want.items())
+    assert {r.name: r.fingerprint for r in store.registry().collect()} == {"ab": "f1"}
+    assert again.problems(df.drop("b").withColumn("a", F.col("a").cast("string"))) == ["a: string instead of number", "b: no column"]
+    state = spark.createDataFrame([(1, 3, "Non-Compliant", 1.0, 0.0), (2, 2, "Unknown", 1.0, None), (3, 3, "Compliant", None, None)],
+                                  "station_id long, core_parameter_count int, live_strict_compliance_label string, a double, b double")
+    live = {r.station_id: r for r in ML.score_live(state, again).collect()}
+    assert [live[k].live_ml_prediction_status for k in (1, 2, 3)] == ["Success", "Success", "Failed"] and live[2].missing_features == "b"
+    assert live[3].live_ml_fallback_used and live[3].live_ml_predicted_compliance_label == "Compliant" and not live[1].live_ml_fallback_used
+    broken = {r.station_id: r for r in ML.score_live(state.drop("b"), again).collect()}
+    assert {r.live_ml_prediction_status for r in broken.values()} == {"Failed"}
+    assert [broken[k].live_ml_predicted_compliance_label for k in (1, 2, 3)] == ["Non-Compliant", "Unknown", "Compliant"]
+    assert [broken[k].live_ml_fallback_used for k in (1, 2, 3)] == [True, False, True]
+
+
+def test_every_row_is_routed_once(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SMOKE
+    q = E.queries()
+    modes = {(r.station_id, r.sampling_date): r.prediction_mode for r in q["mode_route"](spark, SMOKE).collect()}
+    routed = q["mode_route_model"](spark, SMOKE).collect()
+    assert len(routed) == len(modes) and all(modes[r.station_id, r.sampling_date] == r.prediction_mode for r in routed)
+    assert all((r.score is None) == (r.prediction_mode == "Insufficient Data") for r in routed)
+    assert {r.prediction_mode for r in routed} >= {"Core Rule + ML Model", "Auxiliary-Only ML Model"}
+
+
 def test_surrogate_has_the_signs_of_the_model(trained):
     df, model = trained
     rows = ML.lime_surrogate(model, df.limit(12), FEATURES, {"a": 0.0, "b": 0.0}, {"a": 1.0, "b": 2.0}, samples=200).collect()
