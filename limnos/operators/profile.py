@@ -203,19 +203,50 @@ def rank_long(df: DataFrame, group: str, col: str, buckets: int = 256, sums=())
             .withColumn("_rank", F.col("_cum") - (F.col("_c") - 1) / 2.0).drop("_cum", "_n"))
 
 
-def exact_percentiles(df: DataFrame, group: str, col: str, points: dict, buckets: int = 64) -> DataFrame:
+#: Up to so many values of a group are counted one by one; more are first narrowed down.  ACCURACY is that of the sketch.
+FEW_VALUES, ACCURACY = 100_000, 10_000
+
+
+def percentile_candidates(df: DataFrame, group: str, col: str, points: dict, few: int = FEW_VALUES, accuracy: int = ACCURACY) -> DataFrame:
+    """(group, _n, _place, _v, _c): counts of the values that can be a wanted percentile, and of each gap between them.
+
+    The first read finds, for each group, its count and a bracket around every wanted place by a bounded sketch (rank
+    error 1/accuracy, bracket five times as wide).  The second counts the values inside the brackets one by one and
+    those of each gap as one (_v is null), both merged before the shuffle."""
+    v, names = F.col(col), list(points)
+    margin = 5.0 / accuracy
+    ends = [min(max(float(points[p]) + side, 0.0), 1.0) for p in names for side in (-margin, margin)]
+    rows = df.where(v.isNotNull()).select(group, col)
+    about = rows.groupBy(group).agg(_n().alias("_n"), F.min(col).alias("_min"), F.max(col).alias("_max"), F.percentile_approx(col, ends, accuracy).alias("_ends"))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(len(ends) - 1)), lambda k: F.when(k % 2 == 0, F.col("_min")).otherwise(F.col("_max")))
+    about = about.select(group, "_n", F.when(F.col("_n") <= few, whole).otherwise(F.col("_ends")).alias("_ends"))
+    lows, highs = [F.get("_ends", F.lit(2 * k)) for k in range(len(names))], [F.get("_ends", F.lit(2 * k + 1)) for k in range(len(names))]
+    # bounds below a value number the brackets and gaps in their order
+    place = reduce(lambda a, b: a + b, [(x <= v).cast("int") for x in lows] + [(x < v).cast("int") for x in highs])
+    inside = reduce(lambda a, b: a | b, [(lo <= v) & (v <= hi) for lo, hi in zip(lows, highs)])
+    return rows.join(about, group).groupBy(group, "_n", place.alias("_place"), F.when(inside, v).alias("_v")).agg(_n().alias("_c"))
+
+
+def exact_percentiles(df: DataFrame, group: str, col: str, points: dict, few: int = FEW_VALUES, accuracy: int = ACCURACY) -> DataFrame:
     """Exact percentiles (linear between neighbours) of ``col`` per ``group``: (group, _n, a column per point).
 
-    The value at place k of the sorted rows is the distinct value whose counts reach over k."""
-    j = _cumulative(df, group, col, buckets)
+    Selection in two reads: what is put in order are the candidates, a thousandth of a large group or a small one
+    (`few` values).  A place outside its bracket is an error, never a wrong value.  The value at place k of the sorted
+    rows is the one whose counts reach over k."""
+    counts = percentile_candidates(df, group, col, points, few, accuracy)
+    w = Window.partitionBy(group).orderBy("_place", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    j = counts.withColumn("_cum", F.sum("_c").over(w))
     first, last = F.col("_cum") - F.col("_c"), F.col("_cum") - 1
-    place = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in points.items()}
+    at = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in points.items()}
 
-    def at(k):
-        return F.max(F.when((first <= k) & (k <= last), F.col(col)))
-    out = j.groupBy(group, "_n").agg(*[a for name, p in place.items() for a in (at(F.floor(p)).alias(f"_lo_{name}"), at(F.ceil(p)).alias(f"_hi_{name}"))])
+    def value(k):
+        return F.max(F.when((first <= k) & (k <= last), F.col("_v")))
+    out = j.groupBy(group, "_n").agg(*[a for name, p in at.items() for a in (value(F.floor(p)).alias(f"_lo_{name}"), value(F.ceil(p)).alias(f"_hi_{name}"))])
+
+    def found(c):
+        return F.coalesce(F.col(c), F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double"))
     return out.select(group, "_n", *[
-        (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (p - F.floor(p))).alias(name) for name, p in place.items()])
+        (found(f"_lo_{name}") + (found(f"_hi_{name}") - found(f"_lo_{name}")) * (p - F.floor(p))).alias(name) for name, p in at.items()])
 
 
 def rank_table(df: DataFrame, col: str, buckets: int = 256, sums=()) -> DataFrame:

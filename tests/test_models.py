@@ -118,14 +118,28 @@ def test_report_gates(spark, values, reasons):
     assert (r.verdict, r.fail_reasons) == ("FAIL" if reasons else "PASS", reasons)
 
 
-def test_exact_percentiles(spark):
+@pytest.mark.parametrize("few,accuracy", [(100_000, 10_000), (0, 200), (300, 1000)])
+def test_exact_percentiles(spark, few, accuracy):
+    """Small groups whole, large ones through brackets; ties, one value, two values, heavy repeats."""
     import numpy as np
     r = random.Random(1)
-    rows = [(g, round(r.gauss(0, 5), 1)) for g in "xyz" for _ in range(r.choice([1, 2, 333]))] + [("x", None)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    for row in P.exact_percentiles(df, "g", "v", {"q1": 0.25, "median": 0.5, "top": 1.0}, buckets=7).collect():
+    sizes = {"a": 1, "b": 2, "c": 333, "d": 20_000, "e": 5000}
+    rows = [(g, round(r.gauss(0, 5), 1 if g == "e" else 6)) for g, n in sizes.items() for _ in range(n) if not (few == 0 and n < 3000)] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    points = {"q1": 0.25, "median": 0.5, "q3": 0.75, "top": 1.0, "low": 0.0}
+    got = P.exact_percentiles(df, "g", "v", points, few=few, accuracy=accuracy).collect()
+    assert {x.g for x in got} == {g for g, v in rows if v is not None}
+    for row in got:
         v = [x for g, x in rows if g == row.g and x is not None]
-        assert (row.q1, row.median, row.top) == pytest.approx((np.quantile(v, 0.25), np.quantile(v, 0.5), max(v)))
+        assert row._n == len(v) and [row[p] for p in points] == pytest.approx([np.quantile(v, q) for q in points.values()])
+
+
+def test_percentiles_order_few_values(spark):
+    """No window over all values of a large group: brackets leave a small part of them."""
+    n = 200_000
+    df = spark.range(n).select(F.lit("x").alias("g"), (F.xxhash64("id") / 1e10).alias("v"))
+    found = P.percentile_candidates(df, "g", "v", {"median": 0.5}, few=1000)
+    assert found.count() < n / 500 and found.agg(F.sum("_c")).first()[0] == n
 
 
 def test_column_rules():
