@@ -48,6 +48,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import LOWER, SMALL_BYTES, SPACES, U64, chunks, mix, span_hashes, word_spans, words_per_doc
+from .simhash import _roots
 from .store import Stage, partitions
 from .word_blocks import pack, unpack
 
@@ -250,6 +251,7 @@ def _window(region: DataFrame, other: DataFrame, percent: int, condition) -> Dat
 
 
 _PAIRS = "a long, b long, an int, bn int, inter int"
+_LISTS = "x long, partners array<long>, root long"
 
 
 def _overlaps(doc: np.ndarray, shingles: np.ndarray, n: int, width: int = 4096) -> np.ndarray:
@@ -268,9 +270,12 @@ def _overlaps(doc: np.ndarray, shingles: np.ndarray, n: int, width: int = 4096)
     return out.astype(np.int64)
 
 
-def _tile(percent: int, last: bool):
-    """The linked pairs of a tile's documents; of those of two sides, the pairs across."""
+def _tile(percent: int, last: bool, lists: bool):
+    """The linked pairs of a tile's documents; of those of two sides, the pairs across.
+
+    lists: give them as adjacency lists, a row a document with its partners and its root in the tile's components."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("an", pa.int32()), ("bn", pa.int32()), ("inter", pa.int32())])
+    list_schema = pa.schema([("x", pa.int64()), ("partners", pa.list_(pa.int64())), ("root", pa.int64())])
     radius = (100 - percent) / 100 + 1e-9
 
     def run(key, members):
@@ -292,23 +297,35 @@ def _tile(percent: int, last: bool):
         pair &= ~known | (100 * most >= percent * (total - most))
         rows = np.flatnonzero(pair.any(axis=0) | pair.any(axis=1))
         if not len(rows):
-            return schema.empty_table()
+            return (list_schema if lists else schema).empty_table()
         sets = members.column("sh").combine_chunks().take(pa.array(rows))
         both = _overlaps(np.repeat(np.arange(len(rows)), n[rows]), sets.flatten().to_numpy(), len(rows))
         linked = pair[np.ix_(rows, rows)] & (100 * both >= percent * (total[np.ix_(rows, rows)] - both))
         a, b = np.nonzero(linked)
+        if lists:
+            own, partner = np.concatenate((a, b)), np.concatenate((b, a))
+            order = np.argsort(own, kind="stable")
+            own, partner = own[order], partner[order]
+            cut = np.flatnonzero(np.diff(own, prepend=-1))
+            ends = np.append(cut, len(own)).astype(np.int32)
+            ids = x[rows]
+            by_id = np.argsort(ids)
+            place = np.empty(len(ids), np.int64)
+            place[by_id] = np.arange(len(ids))
+            root = ids[by_id][_roots(len(ids), place[a], place[b])][place]  # the smallest id that the tile's links reach
+            return pa.table([pa.array(ids[own[cut]]), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[partner])), pa.array(root[own[cut]])], schema=list_schema)
         return pa.table([pa.array(c, t) for c, t in zip((x[rows[a]], x[rows[b]], n[rows[a]], n[rows[b]], both[a, b]), schema.types)], schema=schema)
     return run
 
 
-def _tiles(region: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, last: bool, tile: int) -> DataFrame:
-    """The links inside the regions of `sizes` (p, k sides)."""
+def _tiles(region: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, last: bool, tile: int, lists: bool) -> DataFrame:
+    """The links inside the regions of `sizes` (p, k sides), as pairs or as adjacency lists."""
     dealt = region.join(sizes, "p").withColumn("i", F.pmod(F.xxhash64("x"), F.col("k")).cast("int"))
     if not last:
         dealt = dealt.where("d is not null")
     dealt = dealt.join(sets.select(F.col("id").alias("x"), "sh"), "x").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     spread = dealt.select("p", F.least("i", "o").alias("t"), F.greatest("i", "o").alias("u"), "x", "n", "com", "inter", "d", F.coalesce("core", F.lit(False)).alias("core"), "i", "sh")
-    return spread.groupBy("p", "t", "u").applyInArrow(_tile(percent, last), _PAIRS)
+    return spread.groupBy("p", "t", "u").applyInArrow(_tile(percent, last, lists), _LISTS if lists else _PAIRS)
 
 
 def class_table(codes: DataFrame) -> dict:
@@ -318,10 +335,13 @@ def class_table(codes: DataFrame) -> dict:
     return {r.bucket: bytes(r.classes) for r in parts.collect()}
 
 
-def links(prefixes: DataFrame, docs: DataFrame, stage: Stage, words: int, percent: int, rounds: int, every: bool = True, tile: int = TILE) -> DataFrame:
+def links(prefixes: DataFrame, docs: DataFrame, stage: Stage, words: int, percent: int, rounds: int, every: bool = True, tile: int = TILE,
+          lists: list | None = None) -> DataFrame:
     """(a, b, an, bn, inter) of the linked representatives a < b: all of them, once, or if not `every`, enough of
     them (with repeats) that linked documents are connected.
 
+    lists: gets the links of large regions as adjacency lists (x, partners, root) instead.
+
     prefixes: (doc_id, n, com, prefix)."""
     shell = 2 * percent - 100  # similarity at twice the radius
     spread = prefixes.where(100 * F.col("com") >= percent * F.col("n"))  # others share too little with all documents together
@@ -358,7 +378,11 @@ def links(prefixes: DataFrame, docs: DataFrame, stage: Stage, words: int, percen
         if every:
             sizes = region.groupBy("p").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
             sizes = stage.keep(sizes.where(F.col("c") > tile // 16).select("p", F.ceil(F.greatest(F.col("c") / tile, F.col("w") / TILE_SHINGLES)).cast("int").alias("k")), f"tiled-{k}")
-            add(stage.keep(_tiles(region, sizes, sets, percent, last, tile), f"tiles-{k}"))
+            tiled = stage.keep(_tiles(region, sizes, sets, percent, last, tile, lists is not None), f"tiles-{k}")
+            if lists is None:
+                add(tiled)
+            else:
+                lists.append(tiled)
             few = region.join(sizes, "p", "left_anti")
         core, outside = few.where("core"), few.where("not coalesce(core, false)")
         checks = _window(outside.where("d is not null"), core, percent, lambda x, y: x != y)
@@ -412,10 +436,15 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     docs = docs.select("doc_id", "text")
     stage = Stage(docs.sparkSession, "jaccard")
     sets, classes, prefixes = _prepared(docs, stage, words, percent)
-    found = links(prefixes, docs, stage, words, percent, rounds, every)
-    component = stage.keep(connected_components(_edges([found]), stage), "component")
+    lists: list[DataFrame] = []
+    found = links(prefixes, docs, stage, words, percent, rounds, every, lists=lists if every else None)
+    edges = functools.reduce(DataFrame.union, [x.select(F.col("x").alias("src"), F.col("root").alias("dst")) for x in lists], _edges([found]))
+    component = stage.keep(connected_components(edges, stage), "component")
     if every:
-        degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+        partners = [x.select(F.col("x").alias("id"), "partners") for x in lists]
+        partners = _union([found.select(F.col("a").alias("id"), F.array("b").alias("partners")), found.select(F.col("b").alias("id"), F.array("a").alias("partners")), *partners])
+        # a pair can be found in several regions: partners count once
+        degree = partners.groupBy("id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("partners")))).cast("long").alias("n_links"))
         component = component.join(degree, "id")
     counted = ["n_links"] if every else []
     zero = F.when(F.col("class_id").isNotNull(), F.lit(0).cast("long"))
