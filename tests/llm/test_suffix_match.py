@@ -27,7 +27,8 @@ def brute(text, items):
                 if w[at:at + size] == i[k:k + size]:
                     hit.update(range(at, at + size))
                     found.add(item_id)
-    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)
+    named = sorted(str(i) for i in found if i is not None)  # items without id are searched, and count as one
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(named).encode()).hexdigest(), bool(hit)
 
 
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.integers(1, 12))
@@ -53,13 +54,15 @@ def test_equals_brute_force(spark, seed):
             t[(x := r.randrange(len(t) + 1)):x] = part[a:a + r.choice([5, 10, 30])]
         texts.append(" ".join(t).upper().replace(" ", ", "))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got, kept = rows(S.affected(documents(spark, texts), bench)), rows(S.clean(documents(spark, texts), bench))
-    named = [i for i in items if i[0] is not None]
-    for k, t in enumerate(texts):
-        r_ = got[3 * k]
-        want = brute(t, named)
-        assert (r_["n_words"], r_["n_hit"], r_["n_items"], r_["items_sha256"], r_["contaminated"]) == want
-        assert (3 * k in kept) != want[-1]
+    texts.append(items[3][1] + " and one two")
+    want = [brute(t, items) for t in texts]
+    assert want[-1][2] >= 3  # two items of one text, and one without id
+    for most in (S.PART_WORDS, 40):  # one part; several
+        got, kept = rows(S.affected(documents(spark, texts), bench, most=most)), rows(S.clean(documents(spark, texts), bench, most=most))
+        for k, w in enumerate(want):
+            r_ = got[3 * k]
+            assert (r_["n_words"], r_["n_hit"], r_["n_items"], r_["items_sha256"], r_["contaminated"]) == w
+            assert (3 * k in kept) != w[-1]
 
 
 def test_longest_matches_and_empty(spark):
@@ -69,5 +72,21 @@ def test_longest_matches_and_empty(spark):
     assert [tuple(s) for s in S.search(docs, bench).first().spans] == [(9, 2, 3, 17)]
     assert not S.affected(docs, bench.limit(0)).first().contaminated
     assert S.affected(docs.limit(0), bench).count() == 0
-    with pytest.raises(ValueError):
-        S.load_benchmark(bench, most=2)
+    assert S.affected(docs.limit(0), bench, most=12).count() == 0
+    assert not S.affected(docs, bench.limit(0), most=12).first().contaminated
+
+
+def test_places_within_items_and_pieces(spark):
+    word = lambda a, b: " ".join(f"q{k}" for k in range(a, b))
+    bench = spark.createDataFrame([(7, "a b c"), (9, word(0, 100)), (None, word(200, 240))], "item_id long, text string").coalesce(1)
+    docs = spark.createDataFrame([(1, "x " + word(5, 90)), (2, word(205, 230)), (3, word(95, 100)), (4, None)], "doc_id long, text string")
+
+    def found(most):
+        return {r.doc_id: (r.n_hit, [tuple(s) for s in r.spans], [tuple(c) for c in r.covered]) for r in S.search(docs, bench, most=most).collect()}
+    want = {1: (85, [(9, 1, 5, 85)], [(1, 86)]), 2: (25, [(None, 0, 5, 25)], [(0, 25)]), 3: (0, [], []), 4: (0, [], [])}
+    assert found(S.PART_WORDS) == want
+    pieces = found(20)  # 11 windows a piece: the same words, spans cut where a part ends
+    assert {d: v[0] for d, v in pieces.items()} == {d: v[0] for d, v in want.items()}
+    assert [s[2] - s[1] for s in pieces[1][1]] == [4] * len(pieces[1][1]) and min(s[3] for s in pieces[1][1]) >= 10
+    sizes = [len(b.text) for b in S.parts(bench, most=20)]
+    assert max(sizes) <= 20 and sum(len(b.at) for b in S.parts(bench, most=20)) == 1 + 91 + 31
