@@ -5,21 +5,24 @@ The reference loops over stations and rescans the baseline per station
 
 * exact: three equi-joins (river+state, river, state) and a per-station
   ``min(level)``; no row of one side is compared with every row of the other.
-* fuzzy: an inverted token index.  Station and baseline names are tokenised
-  (stopwords dropped first, so no stopword becomes a hot join key), exploded,
-  equi-joined on the token, and the overlap count per (station, river) gives
-  the exact Jaccard |A n B| / (|A| + |B| - |A n B|).  Pairs sharing no token have
-  Jaccard 0 and can never pass a positive threshold, so nothing is lost.
-* "state contains" is a theta predicate; it is evaluated against the DISTINCT
-  baseline states only (bounded by the administrative state list) which is
-  broadcast, so its cost is stations x states, never stations x baseline rows.
+* fuzzy: a prefix-filtered set-similarity join over the distinct names.  The
+  tokens of a name are put in order from rare to common; two sets over the
+  threshold share a token of both prefixes, which are short and rare, and their
+  sizes are close.  Only pairs that pass both filters are verified exactly.  A
+  common token ("river") is in a prefix only where a name has nothing rarer.
+* "the baseline's state contains the station's" is an equi-join with the
+  substrings of the distinct state names.
+* the level of a match is decided on keys (station, river, state); the baseline's
+  rows are joined to the keys of the best level only.
 
 Every per-station collection is bounded by the number of parameters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -92,20 +95,31 @@ def hist_exact(cur: DataFrame, baseline: DataFrame, params=K.HISTORY_PARAMS) ->
         F.array_join("_c", "; ").alias("historical_context"))
 
 
-def _tok(df: DataFrame, key: str, text_col: str, out: str) -> DataFrame:
-    t = F.array_distinct(T.tokens(text_col))
-    return df.select(key, t.alias("_t")).select(key, F.size("_t").alias(f"n_{out}"),
-                                                  F.explode("_t").alias("tok"))
+def _prefixes(sets: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
+    """(text, toks, n, tok): a row for each of the first n - floor(threshold * n) tokens in the order from rare to common.
+
+    Over the threshold two sets share more than threshold * n of a set's n tokens, so not all of them are behind the prefix."""
+    each = sets.select("text", F.explode("toks").alias("tok")).join(order, "tok")
+    ranked = each.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("_r"))  # tokens of one name
+    n = F.size("_r")
+    toks = F.transform("_r", lambda r: r["tok"])
+    return ranked.select("text", toks.alias("toks"), n.alias("n"), F.explode(F.slice(toks, F.lit(1), (n - F.floor(threshold * n)).cast("int"))).alias("tok"))
+
 
+def similar_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(l_text, l_toks, r_text, r_toks) of the distinct (text) values on both sides whose prefixes meet and whose sizes allow it."""
+    sides = [d.select("text").where("text is not null").distinct().select("text", F.array_distinct(T.tokens("text")).alias("toks")) for d in (left, right)]
+    order = reduce(DataFrame.unionByName, [d.select(F.explode("toks").alias("tok")) for d in sides]).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    a, b = (_prefixes(d, order, threshold).select("tok", *[F.col(c).alias(f"{side}_{c}") for c in ("text", "toks", "n")]) for d, side in zip(sides, "lr"))
+    close = (F.col("l_n") > threshold * F.col("r_n")) & (F.col("r_n") > threshold * F.col("l_n"))
+    return a.join(b, "tok").where(close).select("l_text", "l_toks", "r_text", "r_toks").distinct()
 
-def _jaccard_pairs(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str,
-                   threshold: float) -> DataFrame:
-    """Exact Jaccard > threshold through an inverted index on tokens (equi-join on the token)."""
-    a = _tok(left, lkey, ltext, "a")
-    b = _tok(right, rkey, rtext, "b")
-    ov = a.join(b, "tok").groupBy(lkey, rkey).agg(F.count(F.lit(1)).alias("ov"),
-                                                  F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    return ov.where(F.col("ov") / (F.col("n_a") + F.col("n_b") - F.col("ov")) > threshold).select(lkey, rkey)
+
+def similar_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(l_text, r_text): pairs of names, column `text` of both sides, with token sets of Jaccard > threshold (exact)."""
+    shared = F.size(F.array_intersect("l_toks", "r_toks"))
+    return similar_candidates(left, right, threshold).where(
+        shared / (F.size("l_toks") + F.size("r_toks") - shared) > threshold).select("l_text", "r_text")
 
 
 def hist_fuzzy(cur: DataFrame, baseline: DataFrame, params=K.HISTORY_PARAMS) -> DataFrame:
@@ -114,30 +128,32 @@ def hist_fuzzy(cur: DataFrame, baseline: DataFrame, params=K.HISTORY_PARAMS) ->
     b = _bkeys(baseline)
     st = cur.select("station_name", "river_name", "state_name",
                     F.lower(F.trim(F.coalesce("state_name", F.lit("")))).alias("state_lower"))
-    rivers = b.select("b_river").distinct()
-    river_c = _jaccard_pairs(st.where(F.col("river_name").isNotNull()), "station_name", "river_name",
-                             rivers, "b_river", "b_river", 0.4).checkpoint()
+    rivers = b.select(F.col("b_river").alias("text"))
+
+    def like(column, threshold):
+        pairs = similar_texts(st.select(F.col(column).alias("text")), rivers, threshold)
+        return st.join(pairs, F.col(column) == F.col("l_text")).select("station_name", F.col("r_text").alias("b_river")).distinct()
     # "the baseline's state contains the station's" as an equi-join: a state name has few substrings
     states = b.select("b_state").distinct().where(F.col("b_state").isNotNull())
     n = F.length("b_state")
     parts = states.select("b_state", F.explode(F.sequence(F.lit(1), n)).alias("i")).select(
         "b_state", "i", F.explode(F.sequence(F.lit(1), n - F.col("i") + 1)).alias("k"))
     parts = parts.select("b_state", F.substring(F.lower("b_state"), F.col("i"), F.col("k")).alias("state_lower")).distinct()
-    state_c = st.where(F.col("state_lower") != "").join(parts, "state_lower").select("station_name", "b_state").checkpoint()
-    # each level only for the stations that the levels before left
-    in_river = river_c.select("station_name").distinct()
-    both = river_c.join(b, "b_river").join(state_c, ["station_name", "b_state"])
-    c1 = both.withColumn("level", F.lit(1))
-    first = both.select("station_name").distinct().checkpoint()
-    c2 = river_c.join(first, "station_name", "left_anti").join(b, "b_river").withColumn("level", F.lit(2))
-    rest = st.join(in_river, "station_name", "left_anti")
-    name_c = _jaccard_pairs(rest, "station_name", "station_name", rivers, "b_river", "b_river", 0.25).checkpoint()
-    c3 = name_c.join(b, "b_river").withColumn("level", F.lit(3))
-    c4 = (state_c.join(in_river, "station_name", "left_anti").join(name_c.select("station_name").distinct(), "station_name", "left_anti")
-          .join(b, "b_state").withColumn("level", F.lit(4)))
-    cand = c1.unionByName(c2).unionByName(c3).unionByName(c4)
-    best = cand.groupBy("station_name").agg(F.min("level").alias("level"))
-    chosen = cand.join(best, ["station_name", "level"])
+    state_c = st.where(F.col("state_lower") != "").join(parts, "state_lower").select("station_name", "b_state")
+    river_states = b.select("b_river", "b_state").distinct()
+    by_river = like("river_name", 0.4).join(river_states, "b_river").join(state_c.withColumn("_in", F.lit(True)), ["station_name", "b_state"], "left").select(
+        "station_name", "b_river", "b_state", F.when(F.col("_in"), 1).otherwise(2).alias("level"))
+    no_name = F.lit(None).cast("string")
+    by_name = like("station_name", 0.25).select("station_name", "b_river", no_name.alias("b_state"), F.lit(3).alias("level"))
+    by_state = state_c.select("station_name", no_name.alias("b_river"), "b_state", F.lit(4).alias("level"))
+    keys = by_river.unionByName(by_name).unionByName(by_state)
+    # keys of a station: rivers and states of the baseline, a top list
+    kept = keys.withColumn("_best", F.min("level").over(Window.partitionBy("station_name"))).where("level = _best").drop("_best")
+    best = keys.groupBy("station_name").agg(F.min("level").alias("level"))
+    k = kept.select("station_name", "level", F.col("b_river").alias("_river"), F.col("b_state").alias("_state"))
+    chosen = reduce(DataFrame.unionByName, [k.where(which).join(b, on).drop("_river", "_state") for which, on in (
+        ("level <= 2", (F.col("_river") == F.col("b_river")) & F.col("_state").eqNullSafe(F.col("b_state"))),
+        ("level = 3", F.col("_river") == F.col("b_river")), ("level = 4", F.col("_state") == F.col("b_state")))])
     agg = chosen.groupBy("station_name", "level", "parameter").agg(
         _mean("median").alias("med"), _mean("min").alias("mn"), _mean("max").alias("mx"))
     j = _current_long(cur, params).join(agg, ["station_name", "parameter"])

@@ -111,19 +111,50 @@ def resolve_columns(columns, vocabulary=V.VOCABULARY) -> dict[str, Rule | None]:
     return {c: min((r for r in rules if re.fullmatch(r.pattern, key[c])), key=lambda r: r.rank, default=None) for c in columns}
 
 
-def _column_profile(raw: DataFrame, columns) -> DataFrame:
-    """source_file, column, rows, non-null count, and the three smallest distinct values: one aggregate over all
-    (source, column, value) triples, each merged before the shuffle."""
-    each = raw.select("source_file", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])).alias("x"))
-    counts = each.groupBy("source_file", "x.column", "x.value").agg(F.count(F.lit(1)).alias("n"))
-    smallest = Window.partitionBy("source_file", "column").orderBy(F.col("value").asc_nulls_last())
-    ranked = counts.withColumn("r", F.row_number().over(smallest))
-    first = ranked.where("r <= 3").groupBy("source_file", "column").agg(
-        F.array_join(F.array_sort(F.collect_list("value")), " | ").alias("example_values"))
-    total = counts.groupBy("source_file", "column").agg(
-        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null_count"))
-    return total.join(first, ["source_file", "column"])
+#: (source, column) pairs that a task profiles before it gives out what it has.
+_PROFILED = 50_000
+
+
+def _partial_profile(columns, k: int):
+    """Of each source and column of a task: a row with the counts and up to k rows with the smallest distinct values."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def out(found):
+        rows = [(s, c, v, r, n) for (s, c), (rows_, n_, least) in found.items() for v, r, n in [(None, rows_, n_)] + [(x, 0, 0) for x in least]]
+        cols = list(zip(*rows)) or [()] * 5
+        kinds = [pa.string()] * 3 + [pa.int64()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, kinds)], ["source_file", "column", "value", "rows", "non_null_count"])
+
+    def run(batches):
+        found = {}
+        for batch in batches:
+            for source in pc.unique(batch.column("source_file")).to_pylist():
+                part = batch.filter(pc.is_null(batch.column("source_file")) if source is None else pc.fill_null(pc.equal(batch.column("source_file"), source), False))
+                for place, c in enumerate(columns):
+                    values = part.column(place + 1)
+                    rows, n, least = found.get((source, c), (0, 0, []))
+                    new = pc.drop_null(pc.unique(values))
+                    new = new.take(pc.array_sort_indices(new)[:k]).to_pylist()
+                    found[source, c] = (rows + len(values), n + len(values) - values.null_count, sorted({*least, *new})[:k])
+            if len(found) > _PROFILED:
+                yield out(found)
+                found = {}
+        yield out(found)
+    return run
+
+
+def _column_profile(raw: DataFrame, columns, k: int) -> DataFrame:
+    """source_file, column, rows, non-null count, and the k smallest distinct values.
+
+    A task gives out k values a source and column at the most, so the shuffle does not grow with the distinct values."""
+    flat = raw.select("source_file", *[F.col(f"`{c}`").cast("string").alias(f"_{i}") for i, c in enumerate(columns)])
+    parts = flat.mapInArrow(_partial_profile(list(columns), k), "source_file string, column string, value string, rows long, non_null_count long")
+    each = parts.groupBy("source_file", "column", "value").agg(F.sum("rows").alias("rows"), F.sum("non_null_count").alias("non_null_count"))
+    r = F.row_number().over(Window.partitionBy("source_file", "column").orderBy(F.col("value").asc_nulls_last()))
+    return each.withColumn("r", r).groupBy("source_file", "column").agg(
+        F.sum("rows").alias("rows"), F.sum("non_null_count").alias("non_null_count"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= k, F.col("value")))), " | ").alias("example_values"))
 
 
 def alias_audit(raw: DataFrame, data_cols, vocabulary=V.VOCABULARY) -> DataFrame:
@@ -134,7 +165,7 @@ def alias_audit(raw: DataFrame, data_cols, vocabulary=V.VOCABULARY) -> DataFrame
     # one row per raw column (bounded by the schema) -> broadcast
     m = spark.createDataFrame(meta, "original_column string, normalized_column string, canonical_column string, "
                                     "mapping_method string, mapping_confidence string, parameter_group string")
-    profile = _column_profile(raw, list(found)).withColumnRenamed("column", "original_column")
+    profile = _column_profile(raw, list(found), 3).withColumnRenamed("column", "original_column")
     return profile.join(F.broadcast(m), "original_column").select(
         "source_file", "original_column", "normalized_column", "canonical_column", "mapping_method",
         "mapping_confidence", "parameter_group", "non_null_count", "example_values", F.lit("").alias("notes"))
@@ -190,8 +221,8 @@ def quality_flags(std: DataFrame, key=("source_file", "station_id", "sampling_da
 
 
 def raw_inventory(raw: DataFrame, data_cols) -> DataFrame:
-    """src_raw_inventory: per source x column non-null count, %, and the three smallest distinct values."""
-    return _column_profile(raw, list(data_cols)).select(
+    """src_raw_inventory: per source x column non-null count, %, and the five smallest distinct values."""
+    return _column_profile(raw, list(data_cols), 5).select(
         "source_file", "column", "non_null_count", (F.col("non_null_count") * 100.0 / F.col("rows")).alias("non_null_pct"),
         F.col("example_values").alias("sample_values"))
 

@@ -2,7 +2,6 @@
 
 from .base import WITH_BASE
 from .live_sql import LIVE, _ANY, _SEL, fmt2_sql
-from .monitoring_sql import MON
 
 FEAT = ["dissolved_oxygen", "bod", "ph", "temperature", "conductivity"]
 ALLCOLS = ["source_file", "station_id", "station_name", "river_name", "state_name", "basin", "sampling_date", "month_no",
@@ -162,12 +161,6 @@ SELECT doc_id, content_sha256 FROM (
   FROM documents WHERE source IS NULL OR source <> 'known_upload') WHERE r = 1""",
     "sv_filter": WITH_BASE + """
 SELECT station_id, sampling_date, risk_category FROM predictions WHERE month = 'August' AND risk_category = 'High Risk'""",
-    "sv_overview": MON + """
-SELECT count(*) AS total_rows, count(DISTINCT station_name) AS stations_monitored,
-  (SELECT count(*) FROM hot WHERE hotspot_status = 'Persistent Hotspot') AS persistent_hotspots,
-  (SELECT count(*) FROM alerts) AS total_alerts,
-  (SELECT count(*) FROM alerts WHERE severity IN ('High', 'Severe')) AS high_severe_alerts
-FROM predictions""",
     "sv_readings": WITH_BASE + """
 SELECT station_id, sampling_date, ml_non_compliance_probability, risk_score FROM predictions
 ORDER BY ml_non_compliance_probability DESC NULLS LAST, risk_score DESC NULLS LAST, sampling_date DESC""",
@@ -189,23 +182,6 @@ SELECT count(*) AS stations_detected, count(ph) AS ph_records_count, count(disso
   (SELECT count(DISTINCT parameter) FROM rl) AS parameters_detected,
   (SELECT count(*) FROM la) AS alerts_generated
 FROM lp""",
-    "sv_checks": WITH_BASE + f"""
-, a AS (SELECT count(*) AS rows, count_if(lower(trim(river_name)) IN ('river', 'creek', 'sea', 'nala', 'nalla', 'dam',
-          'lake', 'pond', 'well')) AS generic FROM predictions)
-SELECT 'Operational' AS category, 'At least 600 rows' AS "check", CASE WHEN rows >= 600 THEN 'PASS' ELSE 'FAIL' END AS status,
-  'Rows: ' || CAST(rows AS VARCHAR) AS details FROM a
-UNION ALL SELECT 'Operational', 'Column station_name exists', 'PASS', '' FROM a
-UNION ALL SELECT 'Operational', 'Column river_name exists', 'PASS', '' FROM a
-UNION ALL SELECT 'Operational', 'Column ml_predicted_compliance_label exists', 'PASS', '' FROM a
-UNION ALL SELECT 'Operational', 'Column ml_non_compliance_probability exists', 'PASS', '' FROM a
-UNION ALL SELECT 'Operational', 'Generic river_name rate <= 6%', CASE WHEN generic * 100.0e0 / rows <= 6.0 THEN 'PASS' ELSE 'FAIL' END,
-  'Rate: ' || {fmt2_sql('(generic * 100.0e0 / rows)')} || '%' FROM a""",
-    "sv_station_detail": MON + f"""
-, st AS (SELECT station_name FROM top20 LIMIT 1)
-SELECT station_name, sampling_date, available_compliance_label, round(risk_score, 6) AS risk_score, risk_category,
-  {RULE_EXPL} AS rule_based_explanation,
-  (SELECT count(*) FROM alerts WHERE station_name = (SELECT station_name FROM st)) AS alert_count
-FROM predictions WHERE station_name = (SELECT station_name FROM st) ORDER BY sampling_date DESC LIMIT 1""",
 }
 SQL["set_distinct"] = SQL["set_distinct"].replace("ALL_COLUMNS_PLACEHOLDER", ", ".join(ALLCOLS))
 assert _ANY

@@ -181,6 +181,14 @@ def _rule_parts():
             "], lambda x: x IS NOT NULL)")
 
 
+FINAL_EXPL = f"""CASE WHEN core_parameter_count = 3 THEN 'Station ' || station_name || ' is classified ' || live_ml_predicted_compliance_label
+      || ' by rule and ML. ' || replace(live_violation_reasons, ' | ', ' and ')
+      || '. The prediction has high confidence because DO, BOD, and pH are available. Top model drivers are {_DRV}.'
+    WHEN core_parameter_count > 0 THEN 'Latest live data indicates ' || rule || ' However, '
+      || replace(missing_core_parameters, '|', ', ') || ' are missing, so full regulatory compliance cannot be confirmed. '
+      || 'The ML model provides a limited-confidence estimate because key regulatory features are unavailable.'
+    ELSE 'No core parameters (DO, BOD, pH) are available in the live feed. Cannot assess compliance.' END"""
+
 SQL = {
     "str_param_canon": LIVE + "SELECT event_id, parameter_raw_name, parameter FROM rl",
     "live_numeric_flag": LIVE + "SELECT event_id, value, value_numeric, is_numeric_value FROM rl",
@@ -227,12 +235,6 @@ SELECT station_id, station_name, latest_timestamp, rule AS live_rule_explanation
   CASE WHEN missing_core_parameters <> 'None' THEN 'Warning: ' || replace(missing_core_parameters, '|', ', ')
     || ' are missing from the live feed. Full DO/BOD/pH compliance cannot be determined from this live record.'
     ELSE 'No major missing core parameters for this station.' END AS live_missing_data_explanation,
-  CASE WHEN core_parameter_count = 3 THEN 'Station ' || station_name || ' is classified ' || live_ml_predicted_compliance_label
-      || ' by rule and ML. ' || replace(live_violation_reasons, ' | ', ' and ')
-      || '. The prediction has high confidence because DO, BOD, and pH are available. Top model drivers are {_DRV}.'
-    WHEN core_parameter_count > 0 THEN 'Latest live data indicates ' || rule || ' However, '
-      || replace(missing_core_parameters, '|', ', ') || ' are missing, so full regulatory compliance cannot be confirmed. '
-      || 'The ML model provides a limited-confidence estimate because key regulatory features are unavailable.'
-    ELSE 'No core parameters (DO, BOD, pH) are available in the live feed. Cannot assess compliance.' END AS live_final_explanation
+  {FINAL_EXPL} AS live_final_explanation
 FROM rx""",
 }

@@ -82,8 +82,41 @@ def _corr(f):
     return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
 
 
+def _data(features):
+    """Non-null rate, correlation and AUC with missing values as the lowest tie group, a row a numeric feature."""
+    return f"""
+, sf AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, coalesce(CAST({f} AS DOUBLE), '-Infinity'::DOUBLE) AS v, target FROM mf" for f in features)})
+, sr AS (SELECT feature, target, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0e0 AS r FROM sf)
+, sauc AS (SELECT feature, (sum(r * target) - sum(target) * (sum(target) + 1) / 2.0e0) / nullif(sum(target) * (count(*) - sum(target)), 0) AS auc
+           FROM sr GROUP BY feature)
+, data AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT '{f}' AS feature, count({f}) * 1.0e0 / count(*) AS non_null_rate, {_corr(f)} AS target_correlation FROM mf" for f in features)}) x
+           LEFT JOIN sauc USING (feature))
+"""
+
+
 READY = CORE + AUX
 
+#: Columns of the training table, the numeric ones first.
+_FRAME_NUMERIC = ["station_id", "month_no", "year"] + FEAT + [
+    "n_readings", "core_parameter_count", "violation_count", "risk_score", "ml_non_compliance_probability", "predicted_non_compliant", "target"]
+_FRAME = _FRAME_NUMERIC + [
+    "source_file", "station_name", "river_name", "state_name", "basin", "sampling_date", "month", "available_compliance_label",
+    "strict_compliance_label", "available_compliance_parameters", "missing_required_parameters", "label_confidence", "violation_reasons",
+    "risk_confidence", "risk_category", "ml_predicted_compliance_label", "ml_prediction_status", "ml_prediction_confidence_note",
+    "station_position_tag", "pollution_context_tag", "season"]
+_KNOWN = """strict_compliance_label available_compliance_label compliance_label is_compliant is_safe violation_reasons violation_count
+ risk_score risk_category label_confidence risk_confidence available_compliance_parameters missing_required_parameters class_weight
+ binary_class_weight compliance_label_encoded source_file _minmax _zscore _encoded""".split()
+_HIDDEN = "do dissolved oxygen bod biochemical ph p_h".split()
+_NOT_AUX = _HIDDEN + """minmax zscore scaled normalized encoded label risk score violation confidence available missing class_weight target
+ safe prediction predicted category""".split()
+_GENERAL = """compliance safe label target violation risk score category confidence class weight encoded minmax zscore scaled normalized
+ prediction predicted available missing""".split()
+
+
+def _has(words):
+    return f"len(list_filter({words}, lambda w: contains(feature, w))) > 0"
+
 SQL = {
     "ml_target": MF + "SELECT station_id, sampling_date, target FROM mf",
     "ml_split_random": MF + "SELECT rsplit AS split, target, count(*) AS rows FROM mf GROUP BY ALL",
@@ -127,10 +160,20 @@ UNION ALL SELECT 'Total', count(*), round(min(ml_non_compliance_probability), 6)
         f"max(CASE WHEN variant = '{v}' AND action = 'Accepted' THEN 'Yes' ELSE 'No' END) AS \"{v}\"" for v in _OFFERED) + " FROM verdict GROUP BY feature",
     "ml_leak_guard": MF + VERDICT + f"""
 , names AS (SELECT variant, feature, action, reason FROM verdict)
-, data AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, count({f}) * 1.0e0 / count(*) AS non_null_rate, {_corr(f)} AS target_correlation FROM mf" for f in _NUMERIC)})
+{_data(_NUMERIC)}
 SELECT n.feature, n.variant, n.action, n.reason, round(d.non_null_rate, 6) AS non_null_rate,
-  round(d.target_correlation, 6) AS target_correlation
+  round(d.target_correlation, 6) AS target_correlation, round(d.auc, 6) AS single_feature_auc
 FROM names n LEFT JOIN data d ON d.feature = n.feature""",
+    "ml_feature_audit": MF + _data(_FRAME_NUMERIC) + f"""
+, cols AS (SELECT unnest({_FRAME}) AS feature)
+, lists AS (SELECT 'Full Model' AS experiment, feature FROM cols WHERE NOT ({_has(_KNOWN)})
+  UNION ALL SELECT 'Ablation Model', feature FROM cols WHERE NOT ({_has(_KNOWN)}) AND feature NOT IN ('dissolved_oxygen', 'bod', 'ph')
+  UNION ALL SELECT 'True Auxiliary Model', feature FROM cols WHERE NOT ({_has(_NOT_AUX)}) AND ({_has(AUX)}))
+, warned AS (SELECT experiment, feature, CASE WHEN {_has(_GENERAL)} THEN 'General Leakage'
+    WHEN experiment <> 'Full Model' AND ({_has(_HIDDEN)}) THEN 'Hidden Core Leakage' END AS leakage_warning FROM lists)
+SELECT w.feature, experiment, leakage_warning, round(d.non_null_rate, 6) AS non_null_rate,
+  round(d.target_correlation, 6) AS target_correlation, round(d.auc, 6) AS single_feature_auc
+FROM warned w LEFT JOIN data d ON d.feature = w.feature WHERE leakage_warning IS NOT NULL""",
     "ml_dup_audit": MF + f"""
 , d AS (SELECT rsplit, target, {FEATS} FROM mf)
 SELECT (SELECT count(*) FROM d) AS total_rows,

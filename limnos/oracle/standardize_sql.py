@@ -122,8 +122,8 @@ INVENTORY = [("Station Name", "station_name"), ("Monitoring Location", "monitori
              ("Class", "class")]
 
 
-def _examples(col):
-    return f"coalesce(array_to_string(list_sort(list(DISTINCT {col}) FILTER (WHERE {col} IS NOT NULL))[1:3], ' | '), '')"
+def _examples(col, k=3):
+    return f"coalesce(array_to_string(list_sort(list(DISTINCT {col}) FILTER (WHERE {col} IS NOT NULL))[1:{k}], ' | '), '')"
 
 
 UNMAPPED = [("Dissolved Oxygen Min", "dissolved_oxygen_min", "No match found"),
@@ -185,7 +185,7 @@ FROM (SELECT *, coalesce((lower(trim(river_name)) IN ('river', 'creek', 'sea', '
   date AS sampling_date, do_mg_l AS dissolved_oxygen, bod_mg_l AS bod, coalesce(ph_value, ph_value_1) AS ph, temperature_c AS temperature FROM raw""",
     "src_raw_inventory": RAW + " UNION ALL ".join(
         f"SELECT source_file, '{o}' AS \"column\", count({s}) AS non_null_count, "
-        f"round(count({s}) * 100.0e0 / count(*), 6) AS non_null_pct, {_examples(s)} AS sample_values FROM raw GROUP BY source_file"
+        f"round(count({s}) * 100.0e0 / count(*), 6) AS non_null_pct, {_examples(s, 5)} AS sample_values FROM raw GROUP BY source_file"
         for o, s in INVENTORY),
     "dq_flags": RAW + _flags(),
     "dq_flag_summary": RAW + f"""

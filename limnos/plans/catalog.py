@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _QUERY_MODULES = ["queries_labels", "queries_cleaning", "queries_monitoring", "queries_profile", "queries_live", "queries_extra", "queries_history", "queries_standardize", "queries_io", "queries_ml"]
-_ORACLE_MODULES = ["labels_sql", "cleaning_sql", "monitoring_sql", "profile_sql", "live_sql", "extra_sql", "history_sql", "standardize_sql", "io_sql", "ml_sql"]
+_ORACLE_MODULES = ["labels_sql", "cleaning_sql", "monitoring_sql", "profile_sql", "live_sql", "extra_sql", "serving_sql", "history_sql", "standardize_sql", "io_sql", "ml_sql"]
 
 
 def all_queries() -> dict:

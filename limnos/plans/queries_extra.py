@@ -8,11 +8,14 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import explain as X
 from ..operators import live as LV
+from ..operators import ml as ML
 from ..operators import monitoring as M
 from ..operators import serving as SV
 from ..sources.tables import table
 from . import datasets as D
+from . import queries_history as QH
 from . import queries_live as QL
+from . import queries_ml as QM
 from .out import rounded
 
 Q = {}
@@ -194,17 +197,23 @@ def sv_filter(spark, sf):
     return SV.apply_filters(p, month="August", risk="High Risk").select("station_id", "sampling_date", "risk_category")
 
 
-@q
-def sv_overview(spark, sf):
+def _overview(spark, sf):
     p = D.predictions(spark, sf)
     hot = M.hotspot_summary(p)
     alerts = M.operational_alerts(M.membership(p, hot, M.station_trends(p)))
-    return p.agg(F.count(F.lit(1)).alias("total_rows"), F.countDistinct("station_name").alias("stations_monitored")) \
-        .select("*", hot.where(F.col("hotspot_status") == "Persistent Hotspot").select(F.count(F.lit(1))).scalar()
-                .alias("persistent_hotspots"),
-                alerts.select(F.count(F.lit(1))).scalar().alias("total_alerts"),
-                alerts.where(F.col("severity").isin("High", "Severe")).select(F.count(F.lit(1))).scalar()
-                .alias("high_severe_alerts"))
+    _, _, baseline = QH._inputs(spark, sf)
+    return SV.overview(p, hot, alerts, baseline, ML.metrics(QM.stand_in_scored(spark, sf)))
+
+
+@q
+def sv_overview(spark, sf):
+    return rounded(_overview(spark, sf))
+
+
+@q
+def sv_model_metrics(spark, sf):
+    """Metrics of the best trained model of each variant and split."""
+    return rounded(SV.best_models(QM.report_metrics(spark, sf)))
 
 
 @q
@@ -253,25 +262,21 @@ def sv_live_validation(spark, sf):
 
 @q
 def sv_checks(spark, sf):
-    p = D.predictions(spark, sf)
-    generic = F.lower(F.trim(F.col("river_name"))).isin("river", "creek", "sea", "nala", "nalla", "dam", "lake", "pond", "well")
-    a = p.agg(F.count(F.lit(1)).alias("rows"), F.count_if(generic).alias("generic"))
-    required = ["station_name", "river_name", "ml_predicted_compliance_label", "ml_non_compliance_probability"]
-    checks = [F.struct(F.lit("Operational").alias("category"), F.lit("At least 600 rows").alias("check"),
-                       F.when(F.col("rows") >= 600, "PASS").otherwise("FAIL").alias("status"),
-                       F.concat(F.lit("Rows: "), F.col("rows").cast("string")).alias("details"))]
-    checks += [F.struct(F.lit("Operational").alias("category"), F.lit(f"Column {c} exists").alias("check"),
-                        F.lit("PASS" if c in p.columns else "FAIL").alias("status"), F.lit("").alias("details"))
-               for c in required]
-    rate = F.col("generic") * 100.0 / F.col("rows")
-    checks.append(F.struct(F.lit("Operational").alias("category"), F.lit("Generic river_name rate <= 6%").alias("check"),
-                           F.when(rate <= 6.0, "PASS").otherwise("FAIL").alias("status"),
-                           F.concat(F.lit("Rate: "), R.fmt2(rate), F.lit("%")).alias("details")))
-    return a.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
+    """The outputs of the jobs, attributions and local explanations of the stored model included."""
+    shap = D.materialized(spark, sf, "shap_importance", lambda: QM.xp_shap(spark, sf))
+    lime = D.materialized(spark, sf, "live_lime_explanations", lambda: QM.xp_lime(spark, sf))
+    return SV.output_checks(D.predictions(spark, sf), _overview(spark, sf), QM.ml_pred_summary(spark, sf), shap, lime)
 
 
 @q
 def sv_station_detail(spark, sf):
+    pred = D.live_predictions(spark, sf)
+    al = LV.live_alerts(pred, pred.select(F.max("latest_timestamp")).scalar())
+    return rounded(SV.station_detail(pred, LV.live_explanations(pred), al))
+
+
+@q
+def sv_top_station(spark, sf):
     p = D.predictions(spark, sf)
     hot = M.hotspot_summary(p)
     station = M.top_hotspots(hot, 1).select("station_name").scalar()

@@ -139,6 +139,11 @@ def ml_leak_guard(spark, sf):
     return rounded(ML.leak_audit(model_frame(spark, sf), extra_candidates=("risk_score", "violation_count")))
 
 
+@q
+def ml_feature_audit(spark, sf):
+    return rounded(ML.feature_audit(model_frame(spark, sf)))
+
+
 def _dup_counts(df, features):
     feat = df.groupBy(*features).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("target").alias("k"))
     ft = df.groupBy(*features, "target").agg(F.count(F.lit(1)).alias("n"))
@@ -286,13 +291,18 @@ def ml_ablation(spark, sf):
     return rounded(reduce(DataFrame.unionByName, parts))
 
 
+def report_metrics(spark, sf):
+    """Metrics of the report's models by variant and split (written once)."""
+    df = model_frame(spark, sf)
+    return D.materialized(spark, sf, "report_metrics", lambda: reduce(DataFrame.unionByName, [
+        ML.evaluate(df, v, feats, split, ["Dummy", "DecisionTree"]) for v, feats in _variants().items() for split in ("Random", "Group")]))
+
+
 @q
 def ml_report(spark, sf):
     """Best model per variant and split, with the verdict of the five audits over all of them."""
     df = model_frame(spark, sf)
-    parts = [ML.evaluate(df, v, feats, split, ["Dummy", "DecisionTree"])
-             for v, feats in _variants().items() for split in ("Random", "Group")]
-    m = D.materialized(spark, sf, "report_metrics", lambda: reduce(DataFrame.unionByName, parts))
+    m = report_metrics(spark, sf)
     best = m.groupBy("variant", "split_type").agg(
         F.max_by("model", F.struct("f1", "model")).alias("best_model"), F.max("f1").alias("best_f1"),
         F.max_by("balanced_accuracy", F.struct("f1", "model")).alias("best_balanced_accuracy"))
