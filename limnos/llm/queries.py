@@ -36,8 +36,10 @@ def op6_posting_lists(spark, sf):
 
 
 def op7_edit_counts(spark, sf):
-    from .edit_counts import count_edited, revisions
-    return count_edited(revisions(table(spark, sf, "documents"))).drop("leaf_chars", "leaf_tokens")
+    from .edit_counts import count_edited, revisions, trees
+    from .store import Stage
+    stored = Stage(spark, "edit-counts").keep(trees(table(spark, sf, "documents")), "trees")
+    return count_edited(revisions(stored)).drop("leaf_chars", "leaf_tokens", "text_crc32")
 
 
 def op8_secrets(spark, sf):

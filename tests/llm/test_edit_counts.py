@@ -54,3 +54,49 @@ def test_edit_table(spark):
     got = rows(C.count_edited(C.with_edits(documents(spark), edits)))
     assert got[0]["after_sha256"] == hashlib.sha256(("Now " + TEXTS[0][3:]).encode()).hexdigest()
     assert got[6]["n_tokens_after"] == 1 and got[6]["n_chars_after"] == 3 and got[9]["n_edits"] == 0 and len(got) == len(TEXTS)
+
+
+def test_edits_of_a_stored_tree(spark):
+    count = C.counter(C.ranks_path())
+    df = documents(spark)
+    stored = C.trees(df)
+    first = rows(C.count_edited(C.revisions(stored), keep=True))
+    anew = rows(C.count_edited(C.revisions(df), keep=True))
+    for k, r in first.items():
+        assert r["built_chars"] == 0 and anew[k]["built_chars"] == len(TEXTS[k // 3] or "")
+        assert {c: v for c, v in r.items() if c != "built_chars"} == {c: v for c, v in anew[k].items() if c != "built_chars"}
+    # the table that comes back takes the next edits
+    after = C.count_edited(C.revisions(stored), keep=True).select("doc_id", "text", "leaf_chars", "leaf_tokens", "text_crc32")
+    for k, r in rows(C.count_edited(C.revisions(after), keep=True)).items():
+        assert r["built_chars"] == 0 and r["n_tokens"] == first[k]["n_tokens_after"]
+        assert r["n_tokens_after"] == len(count.encoding.encode_ordinary(r["text"])) and sum(r["leaf_chars"]) == len(r["text"])
+    assert C.trees(df.limit(0)).count() == 0
+
+
+def test_tree_of_another_text_is_built_anew(spark):
+    stored = C.trees(documents(spark)).withColumn("text", C.F.when(C.F.col("doc_id") == 0, "another text").otherwise(C.F.col("text")))
+    stored = stored.withColumn("leaf_tokens", C.F.when(C.F.col("doc_id") != 12, C.F.col("leaf_tokens"))).withColumn("edits", C.F.lit(None))
+    got = rows(C.count_edited(stored))
+    assert (got[0]["built_chars"], got[0]["n_tokens"]) == (12, 2) and got[12]["built_chars"] == len(TEXTS[4])
+    assert all(r["built_chars"] == 0 for k, r in got.items() if k not in (0, 12))
+
+
+@given(st.text(alphabet=ALPHABET, max_size=80), st.lists(st.tuples(st.integers(-1, 130), st.integers(0, 30), st.text(alphabet=ALPHABET, max_size=60)), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_replacements_are_cut_into_leaves(text, edits):
+    count = C.counter(C.ranks_path())
+    tree = C.build(text, count, 2)
+    for at, remove, insert in edits:
+        text, _ = C.apply_edit(text, tree, at, remove, insert, count, 2)
+        chars, tokens = tree.grown()
+        assert tree.total == sum(tokens) == len(count.encoding.encode_ordinary(text)) and sum(chars) == len(text)
+        tree = C.SegmentTree(chars or [0], tokens or [0])  # as it is stored and read
+
+
+def test_a_long_insertion_leaves_short_leaves():
+    count = C.counter(C.ranks_path())
+    words = " ".join(f"word{k}" for k in range(5_000))
+    new, tree, _, again = C.follow("a b c", [dict(seq=0, at=2, remove=0, insert=words + " ")], count)
+    assert max(tree.grown()[0]) < 16 * C.LEAF and again <= len(new)
+    newest, tree, _, again = C.follow(new, [dict(seq=0, at=20_000, remove=3, insert="x")], count, tree=tree)
+    assert again < 2_000 and tree.total == len(count.encoding.encode_ordinary(newest))
