@@ -16,8 +16,9 @@ Scoring reads every whole text, in its own task, without a shuffle.
 Results for odd input: null and empty texts are documents without words and get
 a score like any other; labels without text or with a null label are not used;
 without labelled rows of both classes the score is the share of label 1 (0.5
-without any); repeated rows are scored each; an empty table gives no rows;
-columns other than ``doc_id``, ``text`` and ``quality`` are not read.
+without any); repeated rows are scored each, and for learning the smallest label and
+the smallest text of a doc_id count, whatever the order of rows; an empty table gives
+no rows; columns other than ``doc_id``, ``text`` and ``quality`` are not read.
 """
 
 from __future__ import annotations
@@ -187,10 +188,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, quality) of at most `sample` labelled rows that are not held out: the smallest hashes of doc_id."""
-    marked = labels.select("doc_id", "quality").where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    """(doc_id, text, quality) of at most `sample` labelled rows that are not held out: the smallest hashes of doc_id.
+
+    Of labels that repeat a doc_id the smallest counts, of documents that do the smallest text (null only without another)."""
+    marked = labels.select("doc_id", "quality").where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))) \
+        .groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # bounded by `sample`
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by `sample`
+    return found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):

@@ -59,3 +59,18 @@ def test_word_vectors_come_from_all_texts(spark):
     offsets = np.cumsum([0] + [len(b) for b in data])
     want = Q.word_vectors(Q.context_sums(*Q.word_rows(offsets, np.frombuffer(b"".join(data), np.uint8))))
     assert np.allclose(got, want)
+
+
+def test_repeated_rows_in_any_order(spark):
+    r = random.Random(4)
+    docs = [(k, " ".join(r.choice(["good", "fine", "well"] if k % 2 else ["spam", "junk", "bad"]) for _ in range(12))) for k in range(120)]
+    docs += [(k, "other text " * 3) for k in range(0, 120, 5)] + [(k, None) for k in range(0, 120, 7)]
+    labels = [(k, k % 2) for k in range(120)] + [(k, 1 - k % 2) for k in range(0, 120, 3)]
+
+    def tables(step):
+        return (spark.createDataFrame(docs[::step], "doc_id long, text string").repartition(3), spark.createDataFrame(labels[::step], "doc_id long, quality int").repartition(5))
+    chosen = [sorted(map(tuple, Q.training_rows(*tables(step)).select("doc_id", "text", "quality").collect())) for step in (1, -1)]
+    assert chosen[0] == chosen[1] and len({k for k, *_ in chosen[0]}) == len(chosen[0])
+    by_id = {k: (t, q) for k, t, q in chosen[0]}
+    for k, (t, q) in by_id.items():
+        assert q == min(b for a, b in labels if a == k) and t == min(b for a, b in docs if a == k and b is not None)
