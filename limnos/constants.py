@@ -37,6 +37,10 @@ AUX8 = ["temperature", "conductivity", "nitrate", "fecal_coliform",
 HISTORY_PARAMS = ["dissolved_oxygen", "bod", "ph", "temperature",
                   "conductivity", "total_dissolved_solids"]
 
+# --- FIXED VALUES: what field staff note beside the measured values -----------
+FIELD_OBSERVATIONS = ["odour", "colour", "flow", "weather", "floating_matter", "human_activities",
+                      "visibility_effluent_discharge", "major_polluting_sources", "use_based_class"]
+
 # --- FIXED VALUES: label vocabularies ---------------------------------------
 LBL_INSUFFICIENT = "Insufficient_Data"
 LBL_NON_COMPLIANT = "Non-Compliant"

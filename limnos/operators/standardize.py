@@ -193,31 +193,24 @@ DQ_NUMERIC = V.NUMERIC
 
 
 def quality_flags(std: DataFrame, key=("source_file", "station_id", "sampling_date")) -> DataFrame:
-    """dq_flags: one row per issue (a row can raise several) via explode of an array of structs."""
-    flags, numeric = [], [c for c in DQ_NUMERIC if c in std.columns]
-    for c in numeric:
-        std = C.add_censored(std, c, f"_v_{c}", f"_f_{c}")
-    for c in numeric:
-        v, fl = F.col(f"_v_{c}"), F.col(f"_f_{c}")
-        flags.append(F.when(fl.startswith("Converted <"), F.struct(
-            F.lit(c).alias("column"), F.col(c).alias("value"), fl.alias("flag_type"),
-            F.lit("Kept and coerced").alias("action"))))
-        if c == "ph":
-            flags.append(F.when((v < 0) | (v > 14), F.struct(
-                F.lit(c).alias("column"), v.cast("string").alias("value"), F.lit("Extreme pH").alias("flag_type"),
-                F.lit("Kept but flagged").alias("action"))))
-        if c in ("bod", "dissolved_oxygen", "temperature"):
-            flags.append(F.when(v < 0, F.struct(
-                F.lit(c).alias("column"), v.cast("string").alias("value"), F.lit(f"Negative {c}").alias("flag_type"),
-                F.lit("Kept but flagged").alias("action"))))
-        if c == "conductivity":
-            flags.append(F.when(v > 500000, F.struct(
-                F.lit(c).alias("column"), v.cast("string").alias("value"),
-                F.lit("Extreme conductivity").alias("flag_type"), F.lit("Kept but flagged").alias("action"))))
-    flags.append(F.when(F.col("station_name").isNull() & F.col("river_name").isNull(), F.struct(
-        F.lit("location").alias("column"), F.lit("NA").alias("value"),
-        F.lit("Missing station and river").alias("flag_type"), F.lit("Kept but flagged").alias("action"))))
-    return std.select(*key, F.explode(F.array_compact(F.array(*flags))).alias("f")).select(*key, "f.*")
+    """dq_flags: one row per issue; a value can raise several, a missing value raises none.
+
+    Values are made long first, so the cleaning expression stands in the plan once however many columns are numeric."""
+    c, v, f = F.col("column"), F.col("_v"), F.col("_f")
+    nowhere = F.col("station_name").isNull() & F.col("river_name").isNull()
+    typed = [F.when(F.col(x).isNotNull(), F.struct(F.lit(x).alias("column"), F.col(x).alias("value"))) for x in DQ_NUMERIC if x in std.columns]
+    typed.append(F.when(nowhere, F.struct(F.lit("location").alias("column"), F.lit("NA").alias("value"))))
+    long = std.select(*key, F.explode(F.array_compact(F.array(*typed))).alias("x")).select(*key, "x.*")
+
+    def flag(when, value, kind, action="Kept but flagged"):
+        return F.when(when, F.struct(value.alias("value"), kind.alias("flag_type"), F.lit(action).alias("action")))
+    flags = F.array_compact(F.array(
+        flag((c != "location") & f.startswith("Converted <"), F.col("value"), f, "Kept and coerced"),
+        flag((c == "ph") & ((v < 0) | (v > 14)), v.cast("string"), F.lit("Extreme pH")),
+        flag(c.isin("bod", "dissolved_oxygen", "temperature") & (v < 0), v.cast("string"), F.concat(F.lit("Negative "), c)),
+        flag((c == "conductivity") & (v > 500000), v.cast("string"), F.lit("Extreme conductivity")),
+        flag(c == "location", F.col("value"), F.lit("Missing station and river"))))
+    return C.add_censored(long, "value", "_v", "_f").select(*key, "column", F.explode(flags).alias("f")).select(*key, "column", "f.*")
 
 
 def raw_inventory(raw: DataFrame, data_cols) -> DataFrame:

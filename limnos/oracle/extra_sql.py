@@ -2,6 +2,7 @@
 
 from .base import WITH_BASE
 from .live_sql import LIVE, _ANY, _SEL, fmt2_sql
+from .profile_sql import EXPANDED, LAB
 
 FEAT = ["dissolved_oxygen", "bod", "ph", "temperature", "conductivity"]
 ALLCOLS = ["source_file", "station_id", "station_name", "river_name", "state_name", "basin", "sampling_date", "month_no",
@@ -134,8 +135,8 @@ SELECT (SELECT CAST(sum(c - 1) AS BIGINT) FROM (SELECT count(*) AS c FROM t GROU
   (SELECT CAST(sum(c - 1) AS BIGINT) FROM (SELECT count(*) AS c FROM t GROUP BY {", ".join(FEAT)})) AS feature_duplicates,
   (SELECT CAST(sum(c - 1) AS BIGINT) FROM (SELECT count(*) AS c FROM t GROUP BY {", ".join(FEAT)}, target)) AS feature_target_duplicates,
   (SELECT count(*) FROM (SELECT count(DISTINCT target) AS k FROM t GROUP BY {", ".join(FEAT)}) WHERE k > 1) AS label_collisions""",
-    "upv_long": WITH_BASE + " UNION ALL ".join(
-        f"SELECT station_id, sampling_date, '{p}' AS parameter, {p} AS value FROM samples WHERE {p} IS NOT NULL" for p in FEAT),
+    "upv_long": EXPANDED + " UNION ALL ".join(
+        f"SELECT station_id, sampling_date, '{p}' AS parameter, {p} AS value FROM expanded WHERE {p} IS NOT NULL" for p in FEAT + LAB),
     "jn_state_code": """
 SELECT n_nationkey, CASE n_nationkey WHEN 1 THEN 'Jammu & Kashmir' WHEN 12 THEN 'Arunachal Pradesh' WHEN 18 THEN 'Assam'
   WHEN 28 THEN 'Andhra Pradesh' WHEN 29 THEN 'Karnataka' ELSE 'Unknown' END AS state_name FROM nation""",

@@ -1,7 +1,8 @@
 """Oracle SQL: profiles, coverage, EDA, pair flag, use class."""
 
 from .base import WITH_BASE
-from .cleaning_sql import DIRTY, station_base_sql, primary_sql
+from .cleaning_sql import station_base_sql, primary_sql
+from .standardize_sql import CANON, CANON_NUM
 
 PARAMS = ["dissolved_oxygen", "bod", "ph", "temperature", "conductivity"]
 COLS = ["source_file", "station_id", "station_name", "river_name", "state_name", "basin",
@@ -10,8 +11,10 @@ LAB = ["nitrate", "fecal_coliform", "total_coliform", "turbidity", "cod", "total
 AUXN = "(" + " + ".join(f"({p} IS NOT NULL)::INT" for p in ["temperature", "conductivity"] + LAB) + ")"
 EXPANDED = WITH_BASE + """
 , lab AS (SELECT user_id AS station_id, CAST(ts AS DATE) AS sampling_date, """ + ", ".join(
-    f"avg(CASE WHEN event_id % 13 = {k} THEN value END) AS {p}" for k, p in enumerate(LAB)) + """ FROM events GROUP BY ALL)
-, expanded AS (SELECT l.*, """ + ", ".join(f"lab.{p}" for p in LAB) + """ FROM labelled_risk l
+    f"round(avg(CASE WHEN event_id % 13 = {k} THEN value END), 9) AS {p}" for k, p in enumerate(LAB)) + """,
+  min(CASE event_id % 17 WHEN 3 THEN 'Clear' WHEN 5 THEN 'Rainy' END) AS weather, min(CASE WHEN event_id % 19 = 7 THEN 'Odour Free' END) AS odour
+FROM events GROUP BY ALL)
+, expanded AS (SELECT l.*, """ + ", ".join(f"lab.{p}" for p in LAB + ["weather", "odour"]) + """ FROM labelled_risk l
   LEFT JOIN lab ON lab.station_id = l.station_id AND lab.sampling_date = l.sampling_date)
 """
 
@@ -38,12 +41,12 @@ SAFE = WITH_BASE + """
 """
 
 
-def _nonnull_long(keys: str = "") -> str:
+def _nonnull_long(keys: str = "", params=PARAMS + LAB) -> str:
     k = keys + ", " if keys else ""
     g = f" GROUP BY {keys}" if keys else ""
     return " UNION ALL ".join(
-        f"SELECT {k}'{p}' AS parameter, count({p}) AS non_null_count, count(*) AS rows_ FROM labelled_risk{g}"
-        for p in PARAMS)
+        f"SELECT {k}'{p}' AS parameter, count({p}) AS non_null_count, count(*) AS rows_ FROM expanded{g}"
+        for p in params)
 
 
 def corr_sql(a: str, b: str, t: str) -> str:
@@ -101,12 +104,12 @@ FROM expanded GROUP BY ALL""",
     "agg_cov_by": WITH_BASE + """
 SELECT 'state' AS dimension, state_name AS value, count(*) AS rows FROM labelled_risk GROUP BY ALL
 UNION ALL SELECT 'basin', basin, count(*) FROM labelled_risk GROUP BY ALL""",
-    "agg_best_params": WITH_BASE + "SELECT parameter, non_null_count FROM (" + _nonnull_long() + ") ORDER BY non_null_count DESC, parameter",
-    "agg_baseline": WITH_BASE + """
+    "agg_best_params": EXPANDED + "SELECT parameter, non_null_count FROM (" + _nonnull_long() + ") ORDER BY non_null_count DESC, parameter",
+    "agg_baseline": EXPANDED + """
 , top_rivers AS (SELECT river_name FROM labelled_risk GROUP BY river_name ORDER BY count(*) DESC, river_name LIMIT 50)
 , long AS (""" + " UNION ALL ".join(
-        f"SELECT state_name, river_name, '{p}' AS parameter, {p} AS value FROM labelled_risk "
-        f"WHERE river_name IN (SELECT river_name FROM top_rivers) AND {p} IS NOT NULL" for p in PARAMS) + """)
+        f"SELECT state_name, river_name, '{p}' AS parameter, {p} AS value FROM expanded "
+        f"WHERE river_name IN (SELECT river_name FROM top_rivers) AND {p} IS NOT NULL" for p in PARAMS + LAB) + """)
 SELECT state_name, river_name, parameter, count(*) AS count,
   round(CAST(sum(CAST(value AS DECIMAL(38, 9))) AS DOUBLE) / count(value), 6) AS mean,
   round(median(value), 6) AS median, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min,
@@ -125,21 +128,23 @@ FROM expanded""",
 SELECT count(*) AS rows, count(DISTINCT source_file) AS files, count(DISTINCT state_name) AS states,
   count(DISTINCT basin) AS groups, count(DISTINCT station_name) AS stations, count(DISTINCT river_name) AS rivers
 FROM labelled_risk""",
-    "agg_src_contrib": WITH_BASE + """
+    "agg_src_contrib": EXPANDED + """
 , nn AS (""" + _nonnull_long("source_file") + """)
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY non_null_count DESC, parameter) AS r FROM nn)
 SELECT source_file, max(rows_) AS row_count, CAST(sum(non_null_count) AS BIGINT) AS non_null_parameter_count,
   round(max(rows_) * 100.0e0 / sum(max(rows_)) OVER (), 6) AS percentage_of_rows,
   string_agg(CASE WHEN r <= 5 THEN parameter END, ', ' ORDER BY r) AS top_5_available_parameters
 FROM ranked GROUP BY source_file""",
-    "agg_param_nonnull": WITH_BASE + """
+    "agg_param_nonnull": EXPANDED + """
 SELECT parameter, non_null_count, round(non_null_count * 100.0e0 / rows_, 6) AS non_null_pct,
-  CASE WHEN parameter IN ('dissolved_oxygen', 'bod', 'ph') THEN 'core' ELSE 'auxiliary' END AS parameter_group,
+  CASE WHEN parameter IN ('dissolved_oxygen', 'bod', 'ph') THEN 'core' WHEN parameter IN ('weather', 'odour') THEN 'field-observation/categorical'
+    ELSE 'auxiliary' END AS parameter_group,
   parameter IN ('dissolved_oxygen', 'bod', 'ph') AS is_core_parameter,
-  parameter NOT IN ('dissolved_oxygen', 'bod', 'ph') AS is_auxiliary_parameter,
-  non_null_count > 0 AS include_in_future_ml_flag
-FROM (""" + _nonnull_long() + ")",
-    "agg_numeric_valid": DIRTY + r"""
+  parameter NOT IN ('dissolved_oxygen', 'bod', 'ph', 'weather', 'odour') AS is_auxiliary_parameter,
+  non_null_count > 0 AND parameter NOT IN ('weather', 'odour') AS include_in_future_ml_flag
+FROM (""" + _nonnull_long(params=PARAMS + LAB + ["weather", "odour"]) + ")",
+    "agg_numeric_valid": CANON + ", dirty AS (" + " UNION ALL ".join(
+        f"SELECT '{p}' AS parameter, {p} AS raw_value FROM canon WHERE {p} IS NOT NULL" for p in CANON_NUM) + r""")
 , parsed AS (
   SELECT parameter,
     CASE WHEN raw_value IS NULL OR miss THEN NULL WHEN starts_with(s, '<') AND num IS NOT NULL THEN num / 2.0e0 ELSE num END AS v,
@@ -161,14 +166,15 @@ SELECT 'rows with all DO+BOD+pH' AS metric, count_if(core_parameter_count = 3) A
 UNION ALL SELECT 'rows with >=2 core parameters', count_if(core_parameter_count >= 2) FROM expanded
 UNION ALL SELECT 'rows with >=1 core parameter', count_if(core_parameter_count >= 1) FROM expanded
 UNION ALL SELECT 'rows with >=3 auxiliary parameters', count_if({AUXN} >= 3) FROM expanded""",
-    "agg_long_valid": WITH_BASE + """
+    "agg_long_valid": EXPANDED + """
 , long AS (""" + " UNION ALL ".join(
-        f"SELECT source_file, '{p}' AS parameter, {p} AS value FROM labelled_risk" for p in PARAMS) + """)
+        f"SELECT source_file, '{p}' AS parameter, {p} AS value FROM expanded" for p in PARAMS + LAB) + """)
 SELECT count(*) AS long_format_row_count, count(DISTINCT parameter) AS unique_parameters,
   count(DISTINCT source_file) AS unique_source_files, count_if(value IS NULL) AS missing_value_count,
-  bool_and(parameter IN ('dissolved_oxygen', 'bod', 'ph', 'temperature', 'conductivity')) AS all_params_are_real
+  bool_and(parameter IN ('dissolved_oxygen', 'bod', 'ph', 'temperature', 'conductivity', 'nitrate', 'fecal_coliform', 'total_coliform',
+    'turbidity', 'cod', 'total_dissolved_solids')) AS all_params_are_real
 FROM long""",
-    "agg_file_rank": WITH_BASE + """
+    "agg_file_rank": EXPANDED + """
 , tot AS (SELECT source_file, CAST(sum(non_null_count) AS BIGINT) AS total_non_null FROM (""" + _nonnull_long("source_file") + """) GROUP BY source_file)
 , r AS (SELECT *, row_number() OVER (ORDER BY total_non_null DESC, source_file) AS d,
                row_number() OVER (ORDER BY total_non_null ASC, source_file) AS a FROM tot)

@@ -52,6 +52,28 @@ RAW = WITH_BASE + """
 """
 
 
+LAB_SHEET = ["nitrate", "fecal_coliform", "total_coliform", "turbidity", "cod", "total_dissolved_solids", "conductivity", "e_coli", "chloride",
+             "arsenic"]
+FIELD_SHEET = {"dissolved_oxygen": "do_mg_l", "bod": "bod_mg_l", "ph": "coalesce(ph_value, ph_value_1)", "temperature": "temperature_c"}
+CANON_NUM = list(FIELD_SHEET) + LAB_SHEET
+CANON = RAW + """
+, l AS (
+  SELECT station_id, CAST(ts AS DATE) AS day, """ + ", ".join(
+    f"min(CASE WHEN event_id % 13 = {k} THEN raw_value END) AS {p}" for k, p in enumerate(LAB_SHEET)) + """
+  FROM dirty2 WHERE event_id % 13 < 10 GROUP BY ALL
+), canon AS (
+  SELECT source_file, station_id, coalesce(station_name, monitoring_location) AS station_name, name_of_water_body AS river_name,
+    date AS sampling_date, """ + ", ".join(f"{x} AS {p}" for p, x in FIELD_SHEET.items()) + ", " + ", ".join(
+    f"CAST(NULL AS VARCHAR) AS {p}" for p in LAB_SHEET) + """
+  FROM raw
+  UNION ALL SELECT 'lab_' || lower(""" + MONTHS + """[CAST(least(floor((day(l.day) - 1) / 10), 2) + 1 AS INT)]) || '.csv', l.station_id,
+    CASE WHEN l.station_id % 5 <> 0 THEN s.station_name END, NULL, strftime(l.day, '%d-%m-%Y'), NULL, NULL, NULL, NULL, """ + ", ".join(
+    f"l.{p}" for p in LAB_SHEET) + """
+  FROM l LEFT JOIN stations s ON s.station_id = l.station_id
+)
+"""
+
+
 def basic_sql(x):
     t2 = f"regexp_replace(trim({x}), '\\(BDL\\)', '', 'gi')"
     return (f"CASE WHEN lower(trim({x})) IN ('nd', 'na', 'none', 'null', '') THEN NULL "
@@ -84,21 +106,21 @@ _fix_inf = infer_river_sql("station_name")
 
 def _flags():
     parts = []
-    for c in ["dissolved_oxygen", "bod", "ph", "temperature", "conductivity"]:
+    for c in CANON_NUM:
         v, f = censored_sql(c)
         parts.append(f"SELECT source_file, station_id, sampling_date, '{c}' AS \"column\", {c} AS value, {f} AS flag_type, "
-                     f"'Kept and coerced' AS action FROM coal WHERE starts_with({f}, 'Converted <')")
+                     f"'Kept and coerced' AS action FROM canon WHERE starts_with({f}, 'Converted <')")
         if c == "ph":
             parts.append(f"SELECT source_file, station_id, sampling_date, 'ph', CAST({v} AS VARCHAR), 'Extreme pH', "
-                         f"'Kept but flagged' FROM coal WHERE {v} < 0 OR {v} > 14")
+                         f"'Kept but flagged' FROM canon WHERE {v} < 0 OR {v} > 14")
         if c in ("bod", "dissolved_oxygen", "temperature"):
             parts.append(f"SELECT source_file, station_id, sampling_date, '{c}', CAST({v} AS VARCHAR), 'Negative {c}', "
-                         f"'Kept but flagged' FROM coal WHERE {v} < 0")
+                         f"'Kept but flagged' FROM canon WHERE {v} < 0")
         if c == "conductivity":
             parts.append(f"SELECT source_file, station_id, sampling_date, 'conductivity', CAST({v} AS VARCHAR), "
                          f"'Extreme conductivity', 'Kept but flagged' FROM coal WHERE {v} > 500000")
     parts.append("SELECT source_file, station_id, sampling_date, 'location', 'NA', 'Missing station and river', "
-                 "'Kept but flagged' FROM coal WHERE station_name IS NULL AND river_name IS NULL")
+                 "'Kept but flagged' FROM canon WHERE station_name IS NULL AND river_name IS NULL")
     return " UNION ALL ".join(parts)
 
 
@@ -187,8 +209,8 @@ FROM (SELECT *, coalesce((lower(trim(river_name)) IN ('river', 'creek', 'sea', '
         f"SELECT source_file, '{o}' AS \"column\", count({s}) AS non_null_count, "
         f"round(count({s}) * 100.0e0 / count(*), 6) AS non_null_pct, {_examples(s, 5)} AS sample_values FROM raw GROUP BY source_file"
         for o, s in INVENTORY),
-    "dq_flags": RAW + _flags(),
-    "dq_flag_summary": RAW + f"""
+    "dq_flags": CANON + _flags(),
+    "dq_flag_summary": CANON + f"""
 SELECT CASE WHEN starts_with(flag_type, 'Converted <') THEN 'Converted <' ELSE flag_type END AS flag_type, count(*) AS count
 FROM ({_flags()}) GROUP BY 1""",
     "imp_group_median": ANNUAL + """

@@ -21,7 +21,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import labels, live
+from ..operators import labels, live, standardize
 from ..operators.registry import ModelStore
 from ..sources import bindings
 from ..sources import files as FS
@@ -117,6 +117,15 @@ def raw_uploads(spark: SparkSession, sf: str) -> DataFrame:
     return materialized(spark, sf, "raw_uploads", lambda: bindings.raw_uploads(spark, sf))
 
 
+def canonical_uploads(spark: SparkSession, sf: str) -> DataFrame:
+    """Expanded canonical table of the field and laboratory sheets, values as typed, united by name (materialised)."""
+    def build():
+        keep = ("source_file", "station_id")
+        return standardize.map_canonical(raw_uploads(spark, sf), keep).unionByName(
+            standardize.map_canonical(bindings.lab_uploads(spark, sf), keep), allowMissingColumns=True)
+    return materialized(spark, sf, "canonical_uploads", build)
+
+
 def live_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Scored live state of all stations (materialised: E3's hand-over to alerts and serving)."""
     return materialized(spark, sf, "live_predictions", lambda: live.live_predictions(live.live_state(live.ingest(live_feed(spark, sf)))))

@@ -10,6 +10,7 @@ from ..operators import explain as X
 from ..operators import live as LV
 from ..operators import ml as ML
 from ..operators import monitoring as M
+from ..operators import profile as P
 from ..operators import serving as SV
 from ..sources.tables import table
 from . import datasets as D
@@ -119,8 +120,7 @@ def set_distinct(spark, sf):
 
 @q
 def upv_long(spark, sf):
-    l = D.samples(spark, sf)
-    return (l.unpivot(["station_id", "sampling_date"], FEATURES, "parameter", "value")
+    return (D.expanded(spark, sf).unpivot(["station_id", "sampling_date"], P.EXPANDED, "parameter", "value")
             .where(F.col("value").isNotNull()))
 
 

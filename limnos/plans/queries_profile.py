@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .. import vocabulary as V
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import profile as P
@@ -99,13 +100,13 @@ def agg_cov_by(spark, sf):
 
 @q
 def agg_best_params(spark, sf):
-    return P.nonnull_counts(_l(spark, sf), P.PARAMS).select("parameter", "non_null_count") \
+    return P.nonnull_counts(D.expanded(spark, sf), P.EXPANDED).select("parameter", "non_null_count") \
         .orderBy(F.col("non_null_count").desc(), "parameter")
 
 
 @q
 def agg_baseline(spark, sf):
-    return rounded(P.baseline(_l(spark, sf), P.PARAMS, 50))
+    return rounded(P.baseline(D.expanded(spark, sf), P.EXPANDED, 50))
 
 
 @q
@@ -132,8 +133,7 @@ def agg_shape(spark, sf):
 
 @q
 def agg_src_contrib(spark, sf):
-    l = _l(spark, sf)
-    nn = P.nonnull_counts(l, P.PARAMS, keys=("source_file",))
+    nn = P.nonnull_counts(D.expanded(spark, sf), P.EXPANDED, keys=("source_file",))
     w = Window.partitionBy("source_file").orderBy(F.col("non_null_count").desc(), "parameter")
     top5 = (nn.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 5)
             .groupBy("source_file").agg(F.array_join(F.transform(
@@ -150,21 +150,23 @@ def agg_src_contrib(spark, sf):
 def agg_param_nonnull(spark, sf):
     # the core flag is materialised once: repeating the same IN-list after the unpivot's
     # Expand triggers a whole-stage-codegen compile failure (interpreted fallback)
-    nn = P.nonnull_counts(_l(spark, sf), P.PARAMS).withColumn(
-        "is_core_parameter", F.col("parameter").isin("dissolved_oxygen", "bod", "ph"))
-    core = F.col("is_core_parameter")
+    l = D.expanded(spark, sf)
+    nn = P.nonnull_counts(l, P.EXPANDED + [c for c in K.FIELD_OBSERVATIONS if c in l.columns]).withColumns({
+        "is_core_parameter": F.col("parameter").isin(*K.CORE_PARAMS), "_noted": F.col("parameter").isin(*K.FIELD_OBSERVATIONS)})
+    core, noted = F.col("is_core_parameter"), F.col("_noted")
     return rounded(nn.select(
         "parameter", "non_null_count", (F.col("non_null_count") * 100.0 / F.col("_rows")).alias("non_null_pct"),
-        F.when(core, F.lit("core")).otherwise(F.lit("auxiliary")).alias("parameter_group"),
-        "is_core_parameter", (~core).alias("is_auxiliary_parameter"),
-        (F.col("non_null_count") > 0).alias("include_in_future_ml_flag")))
+        F.when(noted, F.lit("field-observation/categorical")).when(core, F.lit("core")).otherwise(F.lit("auxiliary")).alias("parameter_group"),
+        "is_core_parameter", (~core & ~noted).alias("is_auxiliary_parameter"),
+        ((F.col("non_null_count") > 0) & ~noted).alias("include_in_future_ml_flag")))
 
 
 @q
 def agg_numeric_valid(spark, sf):
     from ..functions import cleaning as C
-    from ..sources import bindings as B
-    d = C.add_censored(B.dirty_readings(spark, sf).select("parameter", "raw_value"), "raw_value", "v", "flag")
+    u = D.canonical_uploads(spark, sf)
+    typed = u.unpivot([], [c for c in V.NUMERIC if c in u.columns], "parameter", "raw_value").where("raw_value is not null")
+    d = C.add_censored(typed, "raw_value", "v", "flag")
     return d.groupBy("parameter").agg(
         F.count("v").alias("parsed_numeric_count"),
         F.count_if(F.col("flag") == "Parse Error").alias("parse_failure_count"),
@@ -188,18 +190,17 @@ def agg_conf_cov(spark, sf):
 
 @q
 def agg_long_valid(spark, sf):
-    l = _l(spark, sf)
-    long = l.unpivot(["source_file", "station_id", "sampling_date"], P.PARAMS, "parameter", "value")
+    long = D.expanded(spark, sf).unpivot(["source_file", "station_id", "sampling_date"], P.EXPANDED, "parameter", "value")
     return long.agg(F.count(F.lit(1)).alias("long_format_row_count"),
                     F.countDistinct("parameter").alias("unique_parameters"),
                     F.countDistinct("source_file").alias("unique_source_files"),
                     F.count_if(F.col("value").isNull()).alias("missing_value_count"),
-                    F.bool_and(F.col("parameter").isin(*P.PARAMS)).alias("all_params_are_real"))
+                    F.bool_and(F.col("parameter").isin(*V.NUMERIC)).alias("all_params_are_real"))
 
 
 @q
 def agg_file_rank(spark, sf):
-    nn = P.nonnull_counts(_l(spark, sf), P.PARAMS, keys=("source_file",))
+    nn = P.nonnull_counts(D.expanded(spark, sf), P.EXPANDED, keys=("source_file",))
     tot = nn.groupBy("source_file").agg(F.sum("non_null_count").alias("total_non_null"))
 
     def ranked(kind, *order):  # the three rows of a distributed top-k, then their places

@@ -47,18 +47,14 @@ def src_raw_inventory(spark, sf):
     return rounded(S.raw_inventory(D.raw_uploads(spark, sf), DATA_COLS))
 
 
-def _std_raw(spark, sf):
-    return S.standardize_columns(D.raw_uploads(spark, sf), keep=("source_file", "station_id"))
-
-
 @q
 def dq_flags(spark, sf):
-    return S.quality_flags(_std_raw(spark, sf), key=("source_file", "station_id", "sampling_date"))
+    return S.quality_flags(D.canonical_uploads(spark, sf), key=("source_file", "station_id", "sampling_date"))
 
 
 @q
 def dq_flag_summary(spark, sf):
-    f = S.quality_flags(_std_raw(spark, sf), key=("source_file", "station_id", "sampling_date"))
+    f = S.quality_flags(D.canonical_uploads(spark, sf), key=("source_file", "station_id", "sampling_date"))
     kind = F.when(F.col("flag_type").startswith("Converted <"), F.lit("Converted <")).otherwise(F.col("flag_type"))
     return f.groupBy(kind.alias("flag_type")).agg(F.count(F.lit(1)).alias("count"))
 

@@ -90,9 +90,13 @@ LAB_PARAMS = ["nitrate", "fecal_coliform", "total_coliform", "turbidity", "cod",
 
 
 def lab_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per station and day with the mean of each laboratory parameter that was measured."""
+    """One row per station and day: the mean of each laboratory parameter that was measured, and what was noted of
+    weather and odour."""
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
     aggs = [F.round(F.avg(F.when(F.col("event_id") % 13 == k, F.col("value"))), 9).alias(p) for k, p in enumerate(LAB_PARAMS)]
+    k = F.col("event_id")
+    aggs += [F.min(F.when(k % 17 == 3, F.lit("Clear")).when(k % 17 == 5, F.lit("Rainy"))).alias("weather"),
+             F.min(F.when(k % 19 == 7, F.lit("Odour Free"))).alias("odour")]
     return ev.groupBy(F.col("user_id").alias("station_id"), F.to_date("ts").alias("sampling_date")).agg(*aggs)
 
 
@@ -297,6 +301,23 @@ def raw_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.pmod(sid, F.lit(5)) + 1).cast("int")).alias("Class"))
 
 
+#: Headers of the laboratory sheet; a reading with event_id mod 13 = k is of the k-th, and others are of none.
+LAB_SHEET = ["Nitrate (mg/L)", "Fecal Coliform (MPN/100ml)", "Total Coliform (MPN/100ml)", "Turbidity (NTU)", "COD", "TDS", "EC",
+             "E. coli", "Chloride (mg/L)", "Arsenic (mg/L)"]
+
+
+def lab_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw laboratory sheet row per station and day, as typed, with headers unlike the field sheet's."""
+    d = dirty_readings(spark, sf_dir)
+    g = d.where(F.col("event_id") % 13 < len(LAB_SHEET)).groupBy("station_id", F.to_date("ts").alias("day")).agg(
+        *[F.min(F.when(F.col("event_id") % 13 == k, F.col("raw_value"))).alias(h) for k, h in enumerate(LAB_SHEET)])
+    dim = station_dim(spark, sf_dir, g.select("station_id").distinct())
+    return g.join(dim, "station_id", "left").select(
+        F.concat(F.lit("lab_"), F.lower(cycle_name(month_no(F.col("day")))), F.lit(".csv")).alias("source_file"), "station_id",
+        F.when(F.col("station_id") % 5 != 0, F.col("station_name")).alias("Stn Name"),
+        F.date_format("day", "dd-MM-yyyy").alias("Sampling Date"), *[F.col(f"`{h}`") for h in LAB_SHEET])
+
+
 def annual_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annual min/max records with the supplier's basin (region) for group imputation."""
     a = annual_records(spark, sf_dir)
