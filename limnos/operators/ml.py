@@ -10,14 +10,14 @@ computed over DISTINCT scores (value -> count, running sum), not over rows.
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,11 +221,21 @@ def group_column(df: DataFrame, most: int = 5) -> str:
     return "station_name" if n.s > most else "river_name" if n.r > most else "source_file"
 
 
+def group_hash(column: str, piece: int = 0) -> Column:
+    """A number below 2^32 of each row's group; pieces 0 to 3 are independent of each other."""
+    g = F.coalesce(F.col(column), F.lit("Unknown"))
+    return F.conv(F.substring(F.md5(g), 8 * piece + 1, 8), 16, 10).cast("long")
+
+
 def split_group(df: DataFrame, test_pct: int = 20) -> DataFrame:
     """ml_split_group: the group decides, so no group is on both sides."""
-    g = F.coalesce(F.col(group_column(df)), F.lit("Unknown"))
-    h = F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long") % 100
-    return df.withColumn("split", F.when(h < test_pct, F.lit("test")).otherwise(F.lit("train")))
+    return df.withColumn("split", F.when(group_hash(group_column(df)) % 100 < test_pct, F.lit("test")).otherwise(F.lit("train")))
+
+
+def fold_group(df: DataFrame, folds: int, stop_share: int = 5) -> DataFrame:
+    """fold: the group's fold; stops: whether the group watches the growth of boosted trees (one group in `stop_share`)."""
+    g = group_column(df)
+    return df.withColumns({"fold": (group_hash(g, 1) % folds).cast("int"), "stops": group_hash(g, 2) % stop_share == 0})
 
 
 # ---------------------------------------------------------------------------
@@ -326,17 +336,60 @@ def grid(name: str, est):
     return g.build()
 
 
-def tune(train: DataFrame, features, name: str, folds: int = 3, parallelism: int = 4) -> DataFrame:
-    """ml_tune: mean cross-validated F1 of the positive class of every point of the model's grid."""
-    df = balanced_weights(train)
-    stages, fcol = preprocess(features, df.columns, scale=(name == "LogisticRegression"))
-    est = estimator(name, fcol)
-    points = grid(name, est)
-    ev = MulticlassClassificationEvaluator(labelCol="target", metricName="fMeasureByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=Pipeline(stages=stages + [est]), estimatorParamMaps=points, evaluator=ev, numFolds=folds, seed=42,
-                        parallelism=parallelism).fit(df)
-    rows = [(name, ", ".join(sorted(f"{p.name}={v}" for p, v in point.items())), float(f1)) for point, f1 in zip(points, cv.avgMetrics)]
-    return train.sparkSession.createDataFrame(rows, "model string, parameters string, mean_cv_f1 double")
+def _f1(scored: DataFrame) -> float:
+    """F1 of the positive class; 0 without a true positive."""
+    y, p = F.col("target"), F.col("prediction")
+    c = scored.agg(F.count_if((y == 1) & (p == 1)).alias("hit"), F.count_if((y == 1) | (p == 1)).alias("either")).first()
+    return 2.0 * c.hit / (c.hit + c.either) if c.hit else 0.0
+
+
+def tune(train: DataFrame, features, names, folds: int = 3, parallelism: int = 4) -> DataFrame:
+    """ml_tune: mean F1 of the positive class over folds, for every point of the grids of the models `names`.
+
+    Folds are by group, so no group is on both sides of one.  A fold's imputation, indexing and scaling are
+    fitted on its own training rows, once for all points, which then read the finished vectors.  Boosted trees stop at the
+    first tree that brings the groups set aside for it (`fold_group`) no gain; where a fold has no such row they grow to the
+    end.  Folds that lack rows or one of the two classes to train on are left out; `folds` counts those used."""
+    df = fold_group(train.where("target is not null"), folds)
+    size = {r.fold: r for r in df.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("hits"), F.count_if("stops").alias("stops"),
+                                                      F.sum(F.col("stops").cast("int") * F.col("target")).alias("stop_hits")).collect()}
+    jobs = []
+    for name in names:
+        est = estimator(name, "features" if name == "LogisticRegression" else "raw_features")
+        jobs += [(name, est, point) for point in grid(name, est)]
+    found = {k: [] for k in range(len(jobs))}
+    for fold in sorted(size):
+        rest = [r for f, r in size.items() if f != fold]
+        n, hits, stops = (int(sum(r[c] for r in rest)) for c in ("n", "hits", "stops"))
+        kept, kept_hits = n - stops, hits - int(sum(r.stop_hits for r in rest))
+        if not 0 < hits < n:
+            continue
+        early = stops > 0 and 0 < kept_hits < kept
+        inside = balanced_weights(df.where(F.col("fold") != fold))
+        stages, _ = preprocess(features, df.columns, scale=True)
+        prepared = Pipeline(stages=stages).fit(inside)
+        fit_rows, held = (prepared.transform(d).select("target", "stops", "raw_features", "features", *extra).persist()
+                          for d, extra in ((inside, ["w"]), (df.where(F.col("fold") == fold), [])))
+
+        def run(job):
+            name, est, point = job
+            if name == "GBT" and early:
+                point = {**point, est.validationIndicatorCol: "stops", est.validationTol: 0.0}
+            model = est.fit(fit_rows, point)
+            return _f1(model.transform(held)), float(model.getNumTrees) if name in ("RandomForest", "GBT") else None
+        try:
+            with ThreadPool(parallelism) as pool:
+                for k, result in enumerate(pool.imap(run, jobs)):
+                    found[k].append(result)
+        finally:
+            fit_rows.unpersist()
+            held.unpersist()
+    rows = []
+    for k, (name, _, point) in enumerate(jobs):
+        f1, trees = [f for f, _ in found[k]], [t for _, t in found[k] if t is not None]
+        rows.append((name, ", ".join(sorted(f"{p.name}={v}" for p, v in point.items())), len(f1), sum(f1) / len(f1) if f1 else None,
+                     sum(trees) / len(trees) if trees else None))
+    return train.sparkSession.createDataFrame(rows, "model string, parameters string, folds int, mean_cv_f1 double, mean_trees double")
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:

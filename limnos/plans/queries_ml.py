@@ -254,10 +254,10 @@ def ml_preprocess(spark, sf):
 
 @q
 def ml_tune(spark, sf):
-    """Tuning of the auxiliary model on the group split's train side; the boosted trees' grid is `ML.tune(..., "GBT")`."""
+    """Tuning of the auxiliary model on the group split's train side: the grids of three models, folds by group."""
     train = ML.split_group(model_frame(spark, sf)).where("split = 'train'")
     feats = ML.guarded(train, "True Auxiliary-Only Model", _variants()["True Auxiliary-Only Model"])
-    return rounded(ML.tune(train, feats, "LogisticRegression").unionByName(ML.tune(train, feats, "RandomForest")))
+    return rounded(ML.tune(train, feats, ["LogisticRegression", "RandomForest", "GBT"]))
 
 
 @q

@@ -219,3 +219,38 @@ def test_answers_follow_a_grown_input(spark, tmp_path):
     whole = [E.queries()[q](spark, SMOKE).count() for q in ("win_latest", "ml_target")]
     after = [c() for c in count]
     assert after == whole and before != whole
+
+
+def _tuning_rows(spark, rows=600, groups=30):
+    return spark.createDataFrame(
+        [(f"s{i % groups}", f"r{i % 7}", "f", float((i * 37) % 100), float((i * 53) % 90) if i % 11 else None, int((i * 37) % 100 > 60)) for i in range(rows)],
+        "station_name string, river_name string, source_file string, temperature double, conductivity double, target int")
+
+
+def test_folds_and_stops_go_by_group(spark):
+    d = ML.fold_group(_tuning_rows(spark), 3)
+    per = d.groupBy("station_name").agg({"fold": "min", "stops": "min"}).count()
+    assert per == d.select("station_name", "fold", "stops").distinct().count() == 30
+    assert {r.fold for r in d.select("fold").distinct().collect()} == {0, 1, 2}
+
+
+def test_tuning_learns_and_stops_early(spark, monkeypatch):
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    def small(name, est):
+        g = ParamGridBuilder().addGrid(est.stepSize, [0.1, 0.5]) if name == "GBT" else ParamGridBuilder().addGrid(est.regParam, [0.01, 100.0])
+        return (g.addGrid(est.maxIter, [12]) if name == "GBT" else g).build()
+    monkeypatch.setattr(ML, "grid", small)
+    rows = {(r.model, r.parameters): r for r in ML.tune(_tuning_rows(spark), ["temperature", "conductivity"], ["LogisticRegression", "GBT"]).collect()}
+    assert len(rows) == 4 and all(r.folds == 3 for r in rows.values())
+    assert rows["LogisticRegression", "regParam=0.01"].mean_cv_f1 > 0.9
+    boosted = [r for (m, _), r in rows.items() if m == "GBT"]
+    assert all(r.mean_cv_f1 > 0.95 and 1 <= r.mean_trees <= 12 for r in boosted)
+    assert all(r.mean_trees is None for (m, _), r in rows.items() if m != "GBT")
+
+
+def test_tuning_without_two_classes_uses_no_fold(spark, monkeypatch):
+    monkeypatch.setattr(ML, "grid", lambda name, est: [{est.regParam: 1.0}])
+    one = _tuning_rows(spark).withColumn("target", F.lit(0))
+    for df in (one, one.limit(0)):
+        assert [(r.folds, r.mean_cv_f1) for r in ML.tune(df, ["temperature"], ["LogisticRegression"]).collect()] == [(0, None)]

@@ -70,7 +70,7 @@ def test_rows_only_query(spark, duck, name):
     if name == "ml_report":
         assert {r["verdict"] for r in rows} <= {"PASS", "FAIL"} and all((r["verdict"] == "PASS") == (r["fail_reasons"] == "") for r in rows)
     if name == "ml_tune":
-        assert {r["model"] for r in rows} == {"LogisticRegression", "RandomForest"} and len(rows) == 3 + 18
+        assert {r["model"] for r in rows} == {"LogisticRegression", "RandomForest", "GBT"} and len(rows) == 3 + 18 + 6
     if name == "xp_perm_imp":
         assert sorted(r["rank"] for r in rows) == list(range(1, len(rows) + 1))
 
