@@ -90,6 +90,15 @@ def test_permutation_keeps_values_and_importance_is_positive(trained):
     assert all(r.importance_mean > 0.05 for r in rows)
 
 
+def test_permutation_is_never_broadcast(trained):
+    """Neither side is collected by the driver, however small the planner takes it to be."""
+    df, _ = trained
+    mixed = ML.permute_within_buckets(df, "b", seed=3)
+    mixed.collect()
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_splits(trained):
     df, _ = trained
     s = ML.split_random(df)
