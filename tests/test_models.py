@@ -99,6 +99,21 @@ def test_permutation_is_never_broadcast(trained):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_evaluation_is_finished_and_keeps_nothing(trained, monkeypatch):
+    """The metrics come as rows: reading them again neither reads the input nor scores a row; they are those of the model."""
+    df, _ = trained
+    monkeypatch.setattr(ML, "guarded", lambda df, variant, features: list(features))
+    m = ML.evaluate_all(df, [(("v", FEATURES, s, ["Dummy", "DecisionTree"]), {}) for s in ("Random", "Group")])
+    assert [(r.split_type, r.model) for r in m.collect()] == [(s, x) for s in ("Random", "Group") for x in ("Dummy", "DecisionTree")]
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and not any(x in plan for x in ("Aggregate", "Join", "InMemory", "ExistingRDD"))
+    assert df.sparkSession.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+    split = ML.split_random(df)
+    want = ML.metrics(ML.score(ML.fit(split.where("split = 'train'"), FEATURES, "DecisionTree"), split.where("split = 'test'"))).first()
+    got = m.where("model = 'DecisionTree' and split_type = 'Random'").first()
+    assert all(got[c] == pytest.approx(want[c]) for c in want.asDict())
+
+
 def test_splits(trained):
     df, _ = trained
     s = ML.split_random(df)
