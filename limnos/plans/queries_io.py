@@ -91,7 +91,7 @@ def snk_tables(spark, sf):
 
 def _stream(spark, sf, part):
     out = FS.scratch_path(spark, "stream", _tag(sf), uuid.uuid4().hex[:12])
-    return ST.run_live(spark, _json_drop(spark, sf), out, max_files=10, parts=(part,))
+    return ST.run_live(spark, _json_drop(spark, sf), out, max_files=10, parts=(part,), batch_bytes=ST.BATCH_BYTES)
 
 
 @q
@@ -114,4 +114,4 @@ def st_alerts(spark, sf):
 @q
 def st_stale_stream(spark, sf):
     out = FS.scratch_path(spark, "stream", _tag(sf), uuid.uuid4().hex[:12])
-    return SL.current_stale(spark, SL.run_stale(spark, _json_drop(spark, sf), out, max_files=10))
+    return SL.current_stale(spark, SL.run_stale(spark, _json_drop(spark, sf), out, max_files=10, batch_bytes=ST.BATCH_BYTES))

@@ -1,9 +1,9 @@
 """Silences of the live feed by keyed event-time timers (st_stale of a stream).
 
-Each station is a key of a `transformWithState` operator.  Its state is a map
-from day to the first and last reading of the day, of which a batch touches only
-the days that it has readings of, and one timer 24 hours after the newest
-reading.  The clock is the watermark without delay: the newest reading of all
+Each station is a key of a `transformWithState` operator.  Its state is the first
+and last reading of each day, kept in a map of chunks of days, of which a batch
+reads and writes once those that it has readings of or next to, and one timer 24
+hours after the newest reading.  The clock is the watermark without delay: the newest reading of all
 stations.  A timer that fires before a newer reading came opens an alert; a later
 reading closes it, and a late reading that lies inside a silence withdraws or
 splits it.  Late readings are never discarded, because the column that carries the
@@ -27,6 +27,7 @@ from ..sources import files
 from .live import ingest_stream, state_store
 
 DAY_MICROS = 24 * 3600 * 10**6
+CHUNK = 64  # days of a station that are one entry of its state: an access costs far more than the entry's length
 CHANGES = "station_id long, latest long, next long, live boolean, version long"
 
 
@@ -35,17 +36,10 @@ class Silences(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.days = handle.getMapState("days", "day int", "first long, last long")
+        self.days = handle.getMapState("days", "chunk int", "day array<int>, first array<long>, last array<long>")
         # alerted: the reading whose open silence has an alert
         self.about = handle.getValueState("about", "oldest int, newest int, version long, alerted long")
 
-    def _near(self, day: int, step: int, end: int):
-        """The next day with readings before or after `day`, up to `end`."""
-        for d in range(day + step, end + step, step):
-            if self.days.containsKey((d,)):
-                return self.days.getValue((d,))
-        return None
-
     def handleInputRows(self, key, rows, timerValues):
         fresh: dict[int, tuple[int, int]] = {}
         for r in rows:
@@ -53,8 +47,27 @@ class Silences(StatefulProcessor):
             fresh[r.day] = min(first, r.at), max(last, r.at)
         found = self.about.get()
         oldest, newest, version, alerted = found or (min(fresh), min(fresh), 0, None)
-        before = self.days.getValue((newest,))[1] if found else None
-        changes = []
+        held, changed, changes = {}, set(), []
+
+        def chunk(day):
+            """The days with readings of the chunk that `day` is in: {day: (first, last)}."""
+            c = day // CHUNK
+            if c not in held:
+                stored = self.days.getValue((c,)) if found and found[0] // CHUNK <= c <= found[1] // CHUNK else None
+                held[c] = dict(zip(stored[0], zip(stored[1], stored[2]))) if stored else {}
+            return held[c]
+
+        def near(day, step, end):
+            """The next day with readings before or after `day`, up to `end`."""
+            day += step
+            while (end - day) * step >= 0:
+                days = chunk(day)
+                if day in days:
+                    return days[day]
+                at = day // CHUNK * CHUNK
+                day = day + step if days else at + CHUNK if step > 0 else at - 1
+            return None
+        before = chunk(newest)[newest][1] if found else None
 
         def silence(a, b, was):
             """The silence after `a` ends at `b` (None: open), where it ended at `was`; None if it did before as well."""
@@ -66,13 +79,13 @@ class Silences(StatefulProcessor):
                 changes.append(Row(station_id=key[0], latest=a, next=b, live=live, version=version))
         for day in sorted(fresh):
             first, last = fresh[day]
-            old = self.days.getValue((day,)) if oldest <= day <= newest and self.days.containsKey((day,)) else None
+            old = chunk(day).get(day)
             if old:
                 first, last = min(first, old[0]), max(last, old[1])
-                if (first, last) == tuple(old):
+                if (first, last) == old:
                     continue
-            previous = self._near(day, -1, oldest) if day > oldest else None
-            following = self._near(day, 1, newest) if day < newest else None
+            previous = near(day, -1, oldest) if day > oldest else None
+            following = near(day, 1, newest) if day < newest else None
             if previous and (not old or first != old[0]):
                 silence(previous[1], first, old[0] if old else following and following[0])
             if not old or last != old[1]:
@@ -81,9 +94,13 @@ class Silences(StatefulProcessor):
                     silence(old[1], last, ends)
                 if ends is not None:
                     silence(last, ends, last)
-            self.days.updateValue((day,), (first, last))
+            chunk(day)[day] = first, last
+            changed.add(day // CHUNK)
             oldest, newest = min(oldest, day), max(newest, day)
-        now = self.days.getValue((newest,))[1]
+        for c in changed:
+            days = sorted(held[c])
+            self.days.updateValue((c,), (days, [held[c][d][0] for d in days], [held[c][d][1] for d in days]))
+        now = chunk(newest)[newest][1]
         if now != before:
             if before is not None:
                 self.handle.deleteTimer(self._due(before))
@@ -97,7 +114,7 @@ class Silences(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         oldest, newest, version, _ = self.about.get()
-        last = self.days.getValue((newest,))[1]
+        last = self.days.getValue((newest // CHUNK,))[2][-1]  # the newest day is the last of its chunk
         if expiredTimerInfo.getExpiryTimeInMs() != self._due(last):
             return iter([])
         self.about.update((oldest, newest, version + 1, last))
@@ -115,14 +132,14 @@ def changes(readings: DataFrame) -> DataFrame:
     return plain.groupBy("station_id").transformWithState(statefulProcessor=Silences(), outputStructType=CHANGES, outputMode="Update", timeMode="EventTime")
 
 
-def run_stale(spark: SparkSession, drop_dir: str, out_dir: str, max_files: int = 10) -> str:
+def run_stale(spark: SparkSession, drop_dir: str, out_dir: str, max_files: int = 10, batch_bytes: int = 0) -> str:
     """Process everything in the drop dir (availableNow) and return the path of the change log."""
     log = posixpath.join(out_dir, "stale")
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(posixpath.join(log, f"epoch={epoch}"))
     with state_store(spark):  # timers and maps need it
-        q = (changes(ingest_stream(spark, drop_dir, max_files)).writeStream.outputMode("update").foreachBatch(per_batch)
+        q = (changes(ingest_stream(spark, drop_dir, max_files, batch_bytes)).writeStream.outputMode("update").foreachBatch(per_batch)
              .option("checkpointLocation", posixpath.join(out_dir, "_stale_checkpoint")).trigger(availableNow=True).start())
     q.awaitTermination()
     return log

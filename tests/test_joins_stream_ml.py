@@ -155,6 +155,71 @@ def test_timers_open_and_late_readings_withdraw(spark):
         assert got == {(s, at(a), at(b)) for s, a, b in _silences(seen)}, rows
 
 
+class _Counted(dict):
+    """State of one station in memory, with the number of accesses."""
+
+    def __init__(self):
+        self.used, self.value, self.timers = 0, None, set()
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return type("Value", (), {"get": lambda _: self.value, "update": lambda _, v: setattr(self, "value", v)})()
+
+    def getValue(self, key):
+        self.used += 1
+        return self.get(key)
+
+    def containsKey(self, key):
+        self.used += 1
+        return key in self
+
+    def updateValue(self, key, value):
+        self.used += 1
+        self[key] = value
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+def test_a_batch_reads_and_writes_chunks_of_days():
+    """State accesses follow the chunks of days that a batch touches, and neither its days nor the length of a silence."""
+    from collections import namedtuple
+
+    from limnos.streaming import stale as SL
+    Reading, day = namedtuple("Reading", "day at"), SL.DAY_MICROS
+    state, station = _Counted(), SL.Silences()
+    station.init(state)
+    days = [d for d in range(0, 60) if d % 7]
+    assert list(station.handleInputRows((1,), iter(Reading(d, d * day + 5) for d in days), None)) != [] and state.used <= 4
+    state.used = 0
+    found = list(station.handleInputRows((1,), iter([Reading(900, 900 * day + 5), Reading(7, 7 * day + 5)]), None))
+    assert state.used <= 20 and state.timers == {(901 * day + 5) // 1000}
+    assert {(r.latest // day, r.next // day, r.live) for r in found} == {(59, 900, True), (6, 8, False)}
+
+
+def test_batches_hold_bytes(spark):
+    """Many small files are one batch where a batch may hold their bytes, and the answer is the same."""
+    from limnos.sources import files as FS
+    from limnos.streaming import live as ST
+    from limnos.streaming import stale as SL
+    drop, outs, seen = FS.scratch_path(spark, "test", uuid.uuid4().hex), [], []
+    for k in range(6):
+        _drop(spark, drop, [(1, 30 * k), (2, 5 * k)])
+        seen += [(1, 30 * k), (2, 5 * k)]
+    got = []
+    for batch_bytes, epochs in ((0, 3), (1 << 20, 1)):
+        outs.append(FS.scratch_path(spark, "test", uuid.uuid4().hex))
+        paths = ST.run_live(spark, drop, outs[-1], max_files=2, parts=("readings",), batch_bytes=batch_bytes)
+        assert len(spark.read.parquet(paths["readings"]).select("epoch").distinct().collect()) == epochs
+        got.append(sorted(map(str, SL.current_stale(spark, SL.run_stale(spark, drop, outs[-1], 2, batch_bytes)).collect())))
+    assert got[0] == got[1] and len(got[0]) == len(_silences(seen))
+
+
 def test_changes_of_a_batch_follow_the_batch(spark):
     """After a large delivery a small one writes a small epoch; an epoch written again changes nothing; bases take over."""
     from limnos.sources import files as FS
