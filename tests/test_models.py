@@ -125,6 +125,27 @@ def test_splits(trained):
     assert ML.group_column(df.withColumn("station_name", F.lit("x"))) == "source_file"
 
 
+def test_overlap_of_the_sides_is_never_broadcast(spark):
+    """Equal to an intersect with nulls and repeats; no side is collected by the driver, however small it is."""
+    rows = [("train", 1.0, None), ("train", 1.0, None), ("test", 1.0, None), ("train", 0.0, 2.0), ("test", -0.0, 2.0), ("test", 3.0, 3.0),
+            ("test", 3.0, 3.0), ("train", None, 4.0), ("train", None, None), ("test", None, None)]
+    d = spark.createDataFrame(rows, "split string, a double, b double")
+    both = ML.on_both_sides(d, FEATURES)
+    want = d.where("split = 'train'").select(*FEATURES).intersect(d.where("split = 'test'").select(*FEATURES))
+    assert sorted(map(str, both.collect())) == sorted(map(str, want.collect())) and both.count() == 3
+    assert "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_registered_overlap_is_never_broadcast(spark):
+    """What the driver collects for the registered query are the hashes that train, not rows of a side."""
+    import __spark_entry__ as E
+    from tests.conftest import SMOKE
+    df = E.queries()["jn_train_test_overlap"](spark, SMOKE)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan
+
+
 def test_guard_is_obeyed(trained):
     df, _ = trained
     d = df.withColumn("risk_score", F.col("target") * 1.0).withColumn("ph", F.col("a"))
