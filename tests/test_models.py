@@ -114,6 +114,37 @@ def test_evaluation_is_finished_and_keeps_nothing(trained, monkeypatch):
     assert all(got[c] == pytest.approx(want[c]) for c in want.asDict())
 
 
+def test_variants_share_a_split(trained, monkeypatch):
+    """A split is made once for all calls that ask for it, holds the features of all and is given up afterwards."""
+    df, _ = trained
+    got, made, split = [], [], ML.split_random
+
+    def watched(df, variant, features, split, models, rows=None):
+        got.append((variant, split, rows.is_cached, set(rows.columns) >= {"target", "split", *features}, rows.count()))
+        return df.limit(0)
+    monkeypatch.setattr(ML, "evaluate", watched)
+    monkeypatch.setattr(ML, "split_random", lambda df: made.append(1) or split(df))
+    ML.evaluate_all(df, [((v, feats, s, ["DecisionTree"]), {}) for v, feats in (("one", ["a"]), ("both", FEATURES)) for s in ("Random", "Group")])
+    assert sorted(got) == [(v, s, True, True, 400) for v in ("both", "one") for s in ("Group", "Random")] and len(made) == 1
+    assert df.sparkSession.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+
+
+def test_training_reads_kept_vectors(trained, monkeypatch):
+    """A model trains on finished vectors that are kept for it and given up afterwards."""
+    df, _ = trained
+    kept, plain = [], ML.estimator
+
+    def watched(*args):
+        est = plain(*args)
+        fit = est.fit
+        est.fit = lambda rows: kept.append((rows.is_cached, sorted(rows.columns))) or fit(rows)
+        return est
+    monkeypatch.setattr(ML, "estimator", watched)
+    model = ML.fit(df, FEATURES, "DecisionTree")
+    assert kept == [(True, ["raw_features", "target", "w"])] and len(model.stages) == 3
+    assert df.sparkSession.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+
+
 def test_splits(trained):
     df, _ = trained
     s = ML.split_random(df)
