@@ -330,3 +330,24 @@ def test_tuning_without_two_classes_uses_no_fold(spark, monkeypatch):
     one = _tuning_rows(spark).withColumn("target", F.lit(0))
     for df in (one, one.limit(0)):
         assert [(r.folds, r.mean_cv_f1) for r in ML.tune(df, ["temperature"], ["LogisticRegression"]).collect()] == [(0, None)]
+
+
+def test_deep_forests_keep_the_nodes_of_rows(spark, monkeypatch):
+    """They start first, keep each row's node between levels, and are the trees that a fit without it grows."""
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    monkeypatch.setattr(ML, "grid", lambda name, est: ParamGridBuilder().addGrid(est.numTrees, [3]).addGrid(est.maxDepth, [2, ML.FREE_DEPTH]).build())
+    seen, fit = [], ML.RandomForestClassifier.fit
+
+    def kept(est, rows, point):
+        model = fit(est, rows, point)
+        seen.append((point[est.maxDepth], model.getCacheNodeIds()))
+        if point[est.maxDepth] == ML.FREE_DEPTH:
+            plain = fit(est, rows, {**point, est.cacheNodeIds: False})
+            assert plain.toDebugString.split("\n")[1:] == model.toDebugString.split("\n")[1:] and model.totalNumNodes > 20
+        return model
+    monkeypatch.setattr(ML.RandomForestClassifier, "fit", kept)
+    noisy = _tuning_rows(spark).withColumn("target", F.pmod(F.hash("temperature", "conductivity"), F.lit(2)))
+    found = ML.tune(noisy, ["temperature", "conductivity"], ["RandomForest"], parallelism=1).collect()
+    assert seen == [(ML.FREE_DEPTH, True), (2, False)] * 3
+    assert [(r.parameters, r.folds, r.mean_trees) for r in found] == [("maxDepth=2, numTrees=3", 3, 3.0), ("maxDepth=30, numTrees=3", 3, 3.0)]
