@@ -351,3 +351,58 @@ def test_deep_forests_keep_the_nodes_of_rows(spark, monkeypatch):
     found = ML.tune(noisy, ["temperature", "conductivity"], ["RandomForest"], parallelism=1).collect()
     assert seen == [(ML.FREE_DEPTH, True), (2, False)] * 3
     assert [(r.parameters, r.folds, r.mean_trees) for r in found] == [("maxDepth=2, numTrees=3", 3, 3.0), ("maxDepth=30, numTrees=3", 3, 3.0)]
+
+
+def _cell_rows(spark, rows=2400):
+    """Few numbers many times over, both classes equally often, so that all weights are one; noisy enough for deep trees."""
+    r = random.Random(3)
+    numbers = [[float((i * 5) % 7), None if i % 13 == 0 else float((i * 11) % 9) / 4, r.choice("abc")] for i in range(rows)]
+    return spark.createDataFrame(
+        [(f"s{i % 30}", f"r{i % 7}", "f", *x, int((3 * x[0] + (i * 31) % 17 > 18) ^ (i % 5 == 0))) for i, x in enumerate(numbers)],
+        "station_name string, river_name string, source_file string, temperature double, conductivity double, season string, target int")
+
+
+def test_forests_over_cells_are_those_over_rows(spark):
+    """The trees of a fit over the rows, with what each tree drew of them, at any depth and least size of a node."""
+    from pyspark.ml import Pipeline
+
+    from limnos.operators import cells as C
+    df = _cell_rows(spark).withColumn("w", F.lit(1.0)).repartition(3)
+    rows = Pipeline(stages=ML.preprocess(["temperature", "conductivity", "season"], df.columns, scale=False)[0]).fit(df).transform(df).select("target", "raw_features", "w").persist()
+    est = ML.RandomForestClassifier(featuresCol="raw_features", labelCol="target", weightCol="w", seed=42, numTrees=4)
+    bagged = C.BaggedCells(rows, est)
+    assert bagged.fewer and bagged.count < 0.5 * rows.count()
+    assert sum(sum(r.subsampleCounts) for r in bagged.frame.collect()) > 3 * rows.count()
+    over = C.CellForest.like(est).over(bagged)
+    for depth, least in ((3, 1), (ML.FREE_DEPTH, 1), (ML.FREE_DEPTH, 10)):
+        point = {est.maxDepth: depth, est.minInstancesPerNode: least}
+        plain, cells = est.fit(rows, point), over.fit(rows, {getattr(over, p.name): v for p, v in point.items()})
+        assert cells.toDebugString.split("\n")[1:] == plain.toDebugString.split("\n")[1:] and cells.totalNumNodes > 20
+        assert cells.getNumTrees == 4 and cells.getMaxDepth() == depth
+        assert cells.transform(rows).select("prediction", "probability").collect() == plain.transform(rows).select("prediction", "probability").collect()
+    bagged.unpersist()
+    rows.unpersist()
+
+
+def test_tuning_over_cells_finds_what_it_finds_over_rows(spark, monkeypatch):
+    """Trees are grown on cells and measured on cells; the rows of the result are the same, and nothing is kept."""
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    from limnos.operators import cells as C
+
+    def small(name, est):
+        g = ParamGridBuilder()
+        return (g.addGrid(est.maxIter, [4]).addGrid(est.maxDepth, [2]) if name == "GBT" else g.addGrid(est.numTrees, [2, 3]).addGrid(est.maxDepth, [3])).build()
+    monkeypatch.setattr(ML, "grid", small)
+    df, features, trained = _cell_rows(spark), ["temperature", "conductivity", "season"], []
+    fit = ML.GBTClassifier.fit
+    monkeypatch.setattr(ML.GBTClassifier, "fit", lambda est, rows, point: trained.append(rows.columns) or fit(est, rows, point))
+    tuned = []
+    kept = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    for fewer in (0.5, 0.0):
+        monkeypatch.setattr(C, "FEWER", fewer)
+        tuned.append(sorted(ML.tune(df, features, ["RandomForest", "GBT"]).collect()))
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() <= kept
+    assert ["cells" in c for c in trained] == [True] * 3 + [False] * 3
+    assert [r[:3] for r in tuned[0]] == [r[:3] for r in tuned[1]] and [r.mean_trees for r in tuned[0]] == [r.mean_trees for r in tuned[1]]
+    assert [r.mean_cv_f1 for r in tuned[0]] == pytest.approx([r.mean_cv_f1 for r in tuned[1]], abs=0.01)
