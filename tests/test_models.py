@@ -384,6 +384,23 @@ def test_forests_over_cells_are_those_over_rows(spark):
     rows.unpersist()
 
 
+def test_boosted_trees_over_cells_score_like_those_over_rows(spark, monkeypatch):
+    """They train on counted cells, and score rows as the plain fit does, those on a bound included."""
+    from limnos.operators import cells as C
+    df, features = _cell_rows(spark), ["temperature", "conductivity", "season"]
+    plain = ML.estimator
+    monkeypatch.setattr(ML, "estimator", lambda name, *a: plain(name, *a).setMaxIter(5))
+    model = ML.fit(df, features, "GBT")
+    assert model.stages[-1].getFeaturesCol() == "cells" and model.stages[-1].getWeightCol() == "n"
+    monkeypatch.setattr(C, "FEWER", 0.0)
+    want = ML.fit(df, features, "GBT")
+    assert want.stages[-1].getFeaturesCol() == "raw_features" and len(want.stages) < len(model.stages)
+    new = df.unionByName(df.withColumns({"temperature": F.col("temperature") - 0.5, "conductivity": F.col("conductivity") * 40}))
+    got = [ML.score(m, new).select("score", "prediction").collect() for m in (model, want)]
+    assert [r.prediction for r in got[0]] == [r.prediction for r in got[1]]
+    assert [r.score for r in got[0]] == pytest.approx([r.score for r in got[1]], abs=1e-9)
+
+
 def test_tuning_over_cells_finds_what_it_finds_over_rows(spark, monkeypatch):
     """Trees are grown on cells and measured on cells; the rows of the result are the same, and nothing is kept."""
     from pyspark.ml.tuning import ParamGridBuilder
